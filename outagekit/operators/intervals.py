@@ -1,0 +1,251 @@
+"""Interval operators on per-consumer interruption tables.
+
+I1 ``mark_overlaps``  - contained / overlapping / unique flags, outage
+                        groups and the perceived interval (W1-W6).
+I2 ``resolve_overlaps`` - keep the longer of strictly overlapping intervals.
+D1 ``dedup_exact``, D2 ``dedup_first``.
+I3 ``merge_criteria`` - merge flags at second and at minute precision (W7).
+I4 ``import_processing`` - P5 -> P6 -> I2 -> D2 chain.
+
+Plan shape: every per-consumer computation is a window (or aggregate)
+keyed by the consumer unit, so one hash exchange on the key serves the
+whole window chain; frames are ROWS frames ordered by a total order
+(start, end, id, tiebreak) so results are deterministic.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from outagekit.functions import scalars as S
+from outagekit.functions.schema import (
+    END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES, resolve_column,
+)
+
+MARK_COLUMNS = [
+    "verificado", "Contido_outra_intrp", "Sobreposicao_tempo", "Conta_desligamento_unico",
+    "Grupo_desligamento_uc", "NUM_INTRP_PERCEBIDA", "DTHR_INICIO_INTRP_PERCEBIDO",
+    "DATA_HORA_FIM_INTR_PERCEBIDO", "DURACAO_PERCEBIDA_MINUTOS",
+    "DTHR_INICIO_INTRP_PERCEBIDA", "DATA_HORA_FIM_INTR_PERCEBIDA",
+]
+
+_UNB = Window.unboundedPreceding
+_UNF = Window.unboundedFollowing
+
+
+def _q(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def interval_columns(df: DataFrame) -> tuple[str, str, str, str]:
+    """(uc, id, start, end) column names of an interruption table."""
+    uc = resolve_column(df.columns, UC_ALIASES)
+    iid = resolve_column(df.columns, MANOEUVRE_ID_ALIASES)
+    start = resolve_column(df.columns, START_ALIASES)
+    end = resolve_column(df.columns, END_ALIASES)
+    missing = [n for n, v in (("uc", uc), ("id", iid), ("start", start), ("end", end)) if v is None]
+    if missing:
+        raise KeyError(f"interruption table lacks {missing}")
+    return uc, iid, start, end
+
+
+def _tiebreak(df: DataFrame, iid: str) -> str | None:
+    own = resolve_column(df.columns, ["NUM_INTRP_UCI"])
+    return own if own and own != iid else None
+
+
+def mark_overlaps(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Per consumer unit (and ``scope`` columns, e.g. a month partition):
+    validity, containment, overlap, unique-outage groups and the perceived
+    interval after merging micro-interruptions (I1; card C3).
+
+    Semantics kept from the reference on purpose: overlap is inclusive;
+    rows that are not valid still feed the running maximum of the end and
+    still open a new perceived group; a null end hides the running maximum
+    from the next row.
+    """
+    uc, iid, start, end = interval_columns(df)
+    tb = _tiebreak(df, iid)
+    sch = df.schema
+    base = df.select(
+        "*",
+        _q(uc).cast("string").alias("__uc"),
+        _q(iid).cast("string").alias("__id"),
+        S.parse_ts(start, sch[start].dataType).alias("__ini"),
+        S.parse_ts(end, sch[end].dataType).alias("__fim"),
+    )
+    order = [F.col("__ini").asc_nulls_first(), F.col("__fim").asc_nulls_first(),
+             F.col("__id").asc_nulls_first()]
+    if tb:
+        order.append(_q(tb).cast("string").asc_nulls_first())
+    keys = [F.col("__uc"), *[_q(s) for s in scope]]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    running = w.rowsBetween(_UNB, Window.currentRow)
+
+    valid = (F.col("__uc").isNotNull() & F.col("__id").isNotNull() & F.col("__ini").isNotNull()
+             & F.col("__fim").isNotNull() & (F.col("__fim") >= F.col("__ini")))
+    step1 = base.select(
+        "*",
+        valid.alias("__valid"),
+        F.when(F.col("__fim").isNotNull(), F.max("__fim").over(running)).alias("__cum_fim"),
+        F.lead("__ini").over(w).alias("__next_ini"),
+        F.lag("__fim").over(w).alias("__prev_fim"),
+        S.seconds_between(F.col("__ini"), F.col("__fim")).alias("__dur_s"),
+    )
+    step2 = step1.select(
+        "*",
+        F.lag("__cum_fim").over(w).alias("__prev_max_fim"),
+        F.lag("__dur_s").over(w).alias("__prev_dur_s"),
+        S.seconds_between(F.col("__prev_fim"), F.col("__ini")).alias("__gap_s"),
+    )
+    v = F.col("__valid")
+    pm = F.col("__prev_max_fim")
+    overlaps_prev = F.coalesce(v & (F.col("__ini") <= pm), F.lit(False))
+    merge = F.coalesce(
+        v & (F.col("__gap_s") >= 0) & (F.col("__gap_s") < 60)
+        & (F.col("__dur_s") < 60) & (F.col("__prev_dur_s") < 60),
+        F.lit(False))
+    step3 = step2.select(
+        "*",
+        v.alias("verificado"),
+        F.coalesce(v & (F.col("__fim") <= pm), F.lit(False)).alias("Contido_outra_intrp"),
+        F.coalesce(v & ((F.col("__ini") <= pm) | (F.col("__fim") >= F.col("__next_ini"))),
+                   F.lit(False)).alias("Sobreposicao_tempo"),
+        (v & ~overlaps_prev).alias("Conta_desligamento_unico"),
+        F.when(v, F.sum((v & ~overlaps_prev).cast("long")).over(running)).alias("Grupo_desligamento_uc"),
+        F.when(v, F.sum((~merge).cast("long")).over(running)).alias("__grp"),
+    )
+    wg = Window.partitionBy(*keys, F.col("__grp"))
+    first_key = F.struct(F.col("__ini"), F.col("__fim"), F.col("__id"),
+                         *([_q(tb).cast("string")] if tb else []))
+    step4 = step3.select(
+        "*",
+        F.min("__ini").over(wg).alias("__ini_p"),
+        F.max("__fim").over(wg).alias("__fim_p"),
+        F.min_by("__id", first_key).over(wg).alias("__id_p"),
+    )
+    own_dur = F.col("__dur_s") / F.lit(60.0)
+    ver = F.col("verificado")
+    marks = {
+        "NUM_INTRP_PERCEBIDA": F.coalesce(F.when(ver, F.col("__id_p")).otherwise(_q(iid).cast("string")),
+                                          _q(iid).cast("string")),
+        "DTHR_INICIO_INTRP_PERCEBIDO": F.coalesce(F.when(ver, F.col("__ini_p")).otherwise(F.col("__ini")),
+                                                  F.col("__ini")),
+        "DATA_HORA_FIM_INTR_PERCEBIDO": F.coalesce(F.when(ver, F.col("__fim_p")).otherwise(F.col("__fim")),
+                                                   F.col("__fim")),
+        "DURACAO_PERCEBIDA_MINUTOS": F.coalesce(
+            F.when(ver, S.seconds_between(F.col("__ini_p"), F.col("__fim_p")) / F.lit(60.0)).otherwise(own_dur),
+            own_dur, F.lit(0.0)),
+    }
+    flags = ["verificado", "Contido_outra_intrp", "Sobreposicao_tempo",
+             "Conta_desligamento_unico", "Grupo_desligamento_uc"]
+    keep = [_q(c) for c in df.columns if c not in marks and c not in flags
+            and c not in ("DTHR_INICIO_INTRP_PERCEBIDA", "DATA_HORA_FIM_INTR_PERCEBIDA")]
+    out = step4.select(
+        *keep, *[F.col(c) for c in flags], *[m.alias(k) for k, m in marks.items()],
+    )
+    return out.select("*", F.col("DTHR_INICIO_INTRP_PERCEBIDO").alias("DTHR_INICIO_INTRP_PERCEBIDA"),
+                      F.col("DATA_HORA_FIM_INTR_PERCEBIDO").alias("DATA_HORA_FIM_INTR_PERCEBIDA"))
+
+
+def mark_summary(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, verified, contained, overlapping and unique counts (A14), one
+    aggregate over the marked table (per ``by`` input/partition columns)."""
+    aggs = [
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("verificado")).alias("verificado_true"),
+        F.count_if(F.col("Contido_outra_intrp")).alias("contido_true"),
+        F.count_if(F.col("Sobreposicao_tempo")).alias("sobreposto_true"),
+        F.count_if(F.col("Conta_desligamento_unico")).alias("conta_unico_true"),
+    ]
+    g = marked.groupBy(*by) if by else marked.groupBy()
+    return g.agg(*aggs).withColumn("status", F.lit("ok"))
+
+
+# ----------------------------------------------------------------------------
+# Keep the longer of strictly overlapping intervals
+# ----------------------------------------------------------------------------
+
+def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_INICIO_INTRP_UC",
+                     end: str | None = None, tiebreak: str | None = "NUM_INTRP_UCI") -> DataFrame:
+    """Per consumer unit, walk intervals in start order and keep, of two
+    strictly overlapping intervals, the longer one; on equal length the
+    earlier one stays (I2; card C4).
+
+    Because kept intervals never overlap each other, only the most recent
+    kept interval (the champion) can overlap the next row.  Islands - runs
+    of rows linked by overlap with the running maximum of the end - are
+    therefore independent, and the fold runs per (uc, island) as a
+    JVM-side ``aggregate`` over the island's rows.  Rows with a missing or
+    inverted interval bypass the fold unchanged.
+    """
+    end = end or resolve_column(df.columns, END_ALIASES)
+    if end is None:
+        raise KeyError("no end column")
+    tb = tiebreak if tiebreak and tiebreak in df.columns else None
+    sch = df.schema
+    rid_cols = [c for c in df.columns]
+    typed = df.select("*", S.parse_ts(start, sch[start].dataType).alias("__s"),
+                      S.parse_ts(end, sch[end].dataType).alias("__e"))
+    ok = F.col("__s").isNotNull() & F.col("__e").isNotNull() & (F.col("__e") >= F.col("__s"))
+    order = [F.col("__s"), F.col("__e")] + ([_q(tb).cast("string")] if tb else [])
+    w = Window.partitionBy(_q(uc)).orderBy(*order)
+    valid = typed.where(ok)
+    islands = valid.select(
+        "*", F.max("__e").over(w.rowsBetween(_UNB, -1)).alias("__pmax"),
+    ).select(
+        "*", F.sum(F.when(F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")), 1).otherwise(0))
+        .over(w.rowsBetween(_UNB, Window.currentRow)).alias("__island"),
+    )
+    row = F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"),
+                   (_q(tb).cast("string") if tb else F.lit(None).cast("string")).alias("t"),
+                   F.struct(*[_q(c) for c in rid_cols]).alias("r"))
+    grouped = islands.groupBy(_q(uc).alias("__uc"), F.col("__island")).agg(
+        F.array_sort(F.collect_list(row)).alias("__rows"))
+    # Accumulator: kept rows so far and the current champion.
+    elem = grouped.schema["__rows"].dataType.elementType.simpleString()
+    init = F.expr(f"named_struct('kept', cast(array() AS array<{elem}>), 'champ', cast(NULL AS {elem}))")
+
+    def step(acc: Column, cur: Column) -> Column:
+        champ = acc["champ"]
+        dur = lambda x: F.timestamp_diff("MICROSECOND", x["s"], x["e"])
+        overlap = (cur["s"] < champ["e"]) & (cur["e"] > champ["s"])
+        longer = dur(cur) > dur(champ)
+        return (F.when(champ.isNull(), F.struct(acc["kept"].alias("kept"), cur.alias("champ")))
+                .when(overlap & longer, F.struct(acc["kept"].alias("kept"), cur.alias("champ")))
+                .when(overlap, acc)
+                .otherwise(F.struct(F.concat(acc["kept"], F.array(champ)).alias("kept"), cur.alias("champ"))))
+
+    folded = grouped.select(F.aggregate("__rows", init, step).alias("__acc"))
+    kept = folded.select(F.explode(F.concat(F.col("__acc.kept"), F.array(F.col("__acc.champ")))).alias("k"))
+    kept_rows = kept.select("k.r.*")
+    passthrough = typed.where(~ok | ok.isNull()).select(*[_q(c) for c in rid_cols])
+    return kept_rows.unionByName(passthrough)
+
+
+# ----------------------------------------------------------------------------
+# De-duplication
+# ----------------------------------------------------------------------------
+
+def dedup_exact(df: DataFrame) -> DataFrame:
+    """Drop identical rows."""
+    return df.dropDuplicates()
+
+
+def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """First row per ``keys`` by a total ``order``.
+
+    Written as an aggregate (``min_by`` of the whole row) rather than a
+    ``row_number`` window: the aggregate combines map-side, so a key that
+    holds a large share of the rows is reduced before the shuffle instead
+    of landing whole in one task.
+    """
+    ocols = [(_q(o) if isinstance(o, str) else o) for o in order]
+    rest = [c for c in df.columns]
+    return (df.groupBy(*[_q(k) for k in keys])
+            .agg(F.min_by(F.struct(*[_q(c) for c in rest]), F.struct(*ocols)).alias("__row"))
+            .select("__row.*"))
