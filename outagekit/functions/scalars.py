@@ -15,13 +15,12 @@ from outagekit.functions.schema import (
     RAW_END_FALLBACK, RAW_START_FALLBACK, DURATION_ALIASES, is_numeric, is_temporal, resolve_column,
 )
 
-# Text layouts tried in order by the general timestamp parser.
+# Text layouts tried in order by the general timestamp parser
+# (a bracketed fraction is optional and takes 1 to 9 digits).
 TS_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss.S[SSSSSSSS]",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss[.S[SSSSSSSS]]",
-    "dd/MM/yyyy HH:mm:ss.S[SSSSSSSS]",
-    "dd/MM/yyyy HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]",
+    "dd/MM/yyyy HH:mm:ss[.SSSSSSSSS]",
     "yyyy-MM-dd HH:mm",
     "dd/MM/yyyy HH:mm",
 ]

@@ -64,3 +64,446 @@ def q_mark_overlaps(spark, sf):
 @register("dec_fec", oracle(Q.dec_fec_sql(ANOMES), ["intr_long", "billed_month"]))
 def q_dec_fec(spark, sf):
     return ind.dec_fec(unique_long(spark, sf), billed(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# SQL helpers for the checks
+# ---------------------------------------------------------------------------
+from outagekit.functions.numeric import round_half_sql as RH  # noqa: E402
+from outagekit.functions import scalars as S  # noqa: E402
+from outagekit.functions.schema import (  # noqa: E402
+    END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES,
+    resolve_columns as _resolve_columns, resolve_column_fuzzy, standardize_columns,
+)
+from outagekit.operators import quality as dq  # noqa: E402
+from outagekit.sources import extract as ex  # noqa: E402
+from outagekit.sources import io as sio  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+
+def PTS(s: str) -> str:
+    fmts = ["%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S",
+            "%d/%m/%Y %H:%M:%S.%f", "%d/%m/%Y %H:%M:%S", "%Y-%m-%d %H:%M", "%d/%m/%Y %H:%M"]
+    return "coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in fmts) + ")"
+
+
+def PTS_IMPORT(s: str) -> str:
+    fmts = ["%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%Y%m%d %H:%M:%S"]
+    return "coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in fmts) + ")"
+
+
+def MONTH_TXT(s: str) -> str:
+    t = f"coalesce(CAST({s} AS VARCHAR), '')"
+    return (f"(CASE WHEN regexp_matches({t}, '^\\d{{4}}-\\d{{2}}') THEN substr({t}, 1, 7) "
+            f"WHEN regexp_matches({t}, '^\\d{{8}}$') OR regexp_matches({t}, '^\\d{{6}}$') "
+            f"THEN substr({t}, 1, 4) || '-' || substr({t}, 5, 2) END)")
+
+
+REGION_CASE = ("CASE upper(coalesce(SIGLA_REGIONAL, '')) WHEN 'NRT' THEN 'NRT' WHEN 'CSL' THEN 'CSL' "
+               "WHEN 'NRO' THEN 'NRO' WHEN 'LES' THEN 'LES' WHEN 'OES' THEN 'OES' WHEN 'L' THEN 'NRT' "
+               "WHEN 'P' THEN 'CSL' WHEN 'M' THEN 'NRO' WHEN 'C' THEN 'LES' WHEN 'V' THEN 'OES' "
+               "WHEN 'COPEL' THEN 'COPEL' ELSE 'SEM_REGIONAL' END")
+
+
+def LABEL(c: str) -> str:
+    return (f"(CASE WHEN regexp_replace(coalesce(CAST({c} AS VARCHAR), ''), '\\s+', '', 'g') = '' "
+            f"THEN 'SEM_SIGLA' ELSE upper(CAST({c} AS VARCHAR)) END)")
+
+
+def ELIGIBLE(anomes: str = ANOMES) -> str:
+    lo, hi = Q.month_bounds(anomes)
+    return f"""
+(SELECT coalesce(mp.REGIONAL_TOTAL, 'SEM_REGIONAL') AS REGIONAL_TOTAL, e.NUM_UC_UCI, e.NUM_INTRP_PERCEBIDA,
+        e.DUR_MIN, e.TIPO_PROTOC_JUSTIF_UCI, e.VERIFICADO
+ FROM (SELECT coalesce(SIGLA_REGIONAL, '') AS SIGLA_REGIONAL, CAST(NUM_UC_UCI AS VARCHAR) AS NUM_UC_UCI,
+              CAST(NUM_INTRP_PERCEBIDA AS VARCHAR) AS NUM_INTRP_PERCEBIDA,
+              coalesce(TRY_CAST(DURACAO_PERCEBIDA_MINUTOS AS DOUBLE), 0.0) AS DUR_MIN,
+              coalesce(CAST(TIPO_PROTOC_JUSTIF_UCI AS VARCHAR), '') AS TIPO_PROTOC_JUSTIF_UCI,
+              coalesce(verificado, false) AS VERIFICADO
+       FROM {Q.marked_long()} m
+       WHERE DTHR_INICIO_INTRP_PERCEBIDO >= {lo} AND DTHR_INICIO_INTRP_PERCEBIDO < {hi}) e
+ LEFT JOIN (SELECT DISTINCT SIGLA_REGIONAL, REGIONAL_TOTAL FROM billed_month
+            WHERE ANOMES = '{anomes}' AND SIGLA_REGIONAL IS NOT NULL AND SIGLA_REGIONAL <> ''
+              AND REGIONAL_TOTAL <> 'COPEL') mp ON e.SIGLA_REGIONAL = mp.SIGLA_REGIONAL
+ WHERE e.NUM_UC_UCI IS NOT NULL AND e.NUM_UC_UCI <> '' AND e.NUM_INTRP_PERCEBIDA IS NOT NULL
+   AND e.NUM_INTRP_PERCEBIDA <> '' AND e.VERIFICADO AND e.DUR_MIN >= 3.0)"""
+
+
+UNIQUE = Q.unique_intrp(ANOMES)
+UC_MONTH = (f"(SELECT REGIONAL_TOTAL, max(UC_FATURADA) AS UC_FATURADA FROM billed_month "
+            f"WHERE ANOMES = '{ANOMES}' AND REGIONAL_TOTAL <> 'COPEL' GROUP BY 1)")
+L_B = ["intr_long", "billed_month"]
+
+
+def nearest_sql(src: str, val: str, by: str, q: float) -> str:
+    """Nearest-rank order statistic per group, as in the DataFrame code."""
+    return f"""(SELECT {by}, max(CASE WHEN rn - 1 = CAST(round((n - 1) * {q!r}) AS BIGINT) THEN {val} END) AS v
+  FROM (SELECT {by}, {val}, row_number() OVER (PARTITION BY {by} ORDER BY {val}) AS rn,
+               count(*) OVER (PARTITION BY {by}) AS n FROM {src} WHERE {val} IS NOT NULL) z GROUP BY {by})"""
+
+
+# ---------------------------------------------------------------------------
+# Sources (S1, S3-S6)
+# ---------------------------------------------------------------------------
+
+@register("load_table", "SELECT * FROM lineitem")
+def q_load_table(spark, sf):
+    return sio.load_table(spark, f"{sf}/lineitem.parquet")
+
+
+_B1_COLS = Q.INTR_LONG_COLS
+
+
+@register("bronze_as_string", oracle(
+    "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _B1_COLS) + " FROM intr_long", ["intr_long"]))
+def q_bronze(spark, sf):
+    return sio.bronze_as_string(table(spark, sf, "intr_long"))
+
+
+@register("scan_processed", "SELECT * FROM events")
+def q_scan_processed(spark, sf):
+    return sio.scan_processed(spark, [f"{sf}/events.parquet", f"{sf}/./events.parquet"])
+
+
+@register("load_billed_uc", oracle(
+    "SELECT coalesce(REGIONAL_TOTAL, 'SEM_REGIONAL') AS REGIONAL_TOTAL, coalesce(SIGLA_REGIONAL, '') AS SIGLA_REGIONAL, "
+    "CAST(ANOMES AS VARCHAR) AS ANOMES, coalesce(TRY_CAST(UC_FATURADA AS DOUBLE), 0.0) AS UC_FATURADA "
+    "FROM billed_month", ["billed_month"]))
+def q_load_billed(spark, sf):
+    return billed(spark, sf, None)
+
+
+DATA_MES = "202401"
+
+
+def extraction(spark, sf):
+    return ex.extract_interruptions(table(spark, sf, "hist_src"), table(spark, sf, "intrp_src"), DATA_MES)
+
+
+@register("extract_limit")  # an uncapped order-free limit: rows-only check
+def q_extract_limit(spark, sf):
+    return sio.extract_limit(extraction(spark, sf), 100)
+
+
+# ---------------------------------------------------------------------------
+# E1/J1, E2/J2
+# ---------------------------------------------------------------------------
+
+J1_SQL = """
+SELECT h.num_uc_hcai, h.indic_reg_orig_intrp_hcai, h.num_intrp_hcai,
+       coalesce(h.num_intrp_inic_manobra_hcai, h.num_intrp_hcai) AS num_intrp_inic_manobra,
+       i.TIPO_PROTOC_JUSTIF_INTRP AS tipo_justif, i.data_hora_inic_intrp AS inicio, f.data_hora_fim_intrp AS fim
+FROM hist_src h
+LEFT JOIN intrp_src i ON h.indic_reg_orig_intrp_hcai = i.indic_reg_orig_intrp
+      AND coalesce(h.num_intrp_inic_manobra_hcai, h.num_intrp_hcai) = i.NUM_SEQ_INTRP
+LEFT JOIN intrp_src f ON h.indic_reg_orig_intrp_hcai = f.indic_reg_orig_intrp AND h.num_intrp_hcai = f.NUM_SEQ_INTRP
+WHERE h.indic_fat_hcai = 'S'"""
+
+
+@register("join_self_start_end", oracle(J1_SQL, ["hist_src", "intrp_src"]))
+def q_j1(spark, sf):
+    return ex.join_self_start_end(table(spark, sf, "hist_src"), table(spark, sf, "intrp_src"))
+
+
+E1_SQL = f"""
+SELECT CAST(num_uc_hcai AS VARCHAR) AS NUM_UC_UCI, CAST(indic_reg_orig_intrp_hcai AS VARCHAR) AS SIGLA_REGIONAL,
+       CAST(num_intrp_hcai AS VARCHAR) AS NUM_INTRP_UCI, CAST(tipo_justif AS VARCHAR) AS TIPO_PROTOC_JUSTIF_UCI,
+       strftime(inicio, '%Y-%m-%d %H:%M:%S') AS DTHR_INICIO_INTRP_UC,
+       strftime(fim, '%Y-%m-%d %H:%M:%S') AS DATA_HORA_FIM_INTRP,
+       CAST(num_intrp_inic_manobra AS VARCHAR) AS NUM_INTRP_INIC_MANOBRA_UCI,
+       printf('%.3f', date_diff('second', inicio, fim) / 60.0) AS DURACAO_PERCEBIDA_MINUTOS
+FROM ({J1_SQL}) j
+WHERE inicio >= TIMESTAMP '2024-01-01 00:00:00' AND inicio < TIMESTAMP '2024-02-01 00:00:00'"""
+
+
+@register("extract_interruptions", oracle(E1_SQL, ["hist_src", "intrp_src"]))
+def q_e1(spark, sf):
+    return extraction(spark, sf)
+
+
+P_DATA_INI = "1998-01-01"
+J2_SQL = """
+SELECT h.COD_LOCAL_HQCL, h.ANO_MES_HQCL, h.QTDE_CONS_FAT_URB_HQCL, h.QTDE_CONS_FAT_RUR_HQCL,
+       s.COD_SDIS, r.SIGLA_RDIS
+FROM hqcl_src h JOIN local_src l ON l.COD_LOCAL = h.COD_LOCAL_HQCL
+LEFT JOIN section_src s ON l.COD_SECCION_DISTR_LOCAL = s.COD_SDIS
+LEFT JOIN regional_src r ON s.COD_REG_DISTR_SDIS = r.COD_RDIS"""
+GEO = ["hqcl_src", "local_src", "section_src", "regional_src"]
+
+
+def _geo(spark, sf):
+    return [table(spark, sf, n) for n in GEO]
+
+
+@register("join_geo_chain", oracle(J2_SQL, GEO))
+def q_j2(spark, sf):
+    return ex.join_geo_chain(*_geo(spark, sf)).select(
+        "COD_LOCAL_HQCL", "ANO_MES_HQCL", "QTDE_CONS_FAT_URB_HQCL", "QTDE_CONS_FAT_RUR_HQCL", "COD_SDIS", "SIGLA_RDIS")
+
+
+E2_SQL = f"""
+SELECT CASE WHEN GROUPING(r.SIGLA_RDIS) = 1 THEN 'COPEL' ELSE r.SIGLA_RDIS END AS REGIONAL_TOTAL,
+       CASE WHEN GROUPING(r.SIGLA_RDIS) = 1 THEN 'COPEL' ELSE
+         CASE r.SIGLA_RDIS WHEN 'CSL' THEN 'P' WHEN 'NRT' THEN 'L' WHEN 'NRO' THEN 'M' WHEN 'LES' THEN 'C'
+              WHEN 'OES' THEN 'V' ELSE 'COPEL' END END AS SIGLA_REGIONAL,
+       strftime(h.ANO_MES_HQCL, '%Y-%m') AS ANOMES,
+       CAST(sum(h.QTDE_CONS_FAT_URB_HQCL + h.QTDE_CONS_FAT_RUR_HQCL) AS DOUBLE) AS UC_FATURADA
+FROM hqcl_src h JOIN local_src l ON l.COD_LOCAL = h.COD_LOCAL_HQCL
+LEFT JOIN section_src s ON l.COD_SECCION_DISTR_LOCAL = s.COD_SDIS
+LEFT JOIN regional_src r ON s.COD_REG_DISTR_SDIS = r.COD_RDIS
+WHERE h.ANO_MES_HQCL >= TIMESTAMP '{P_DATA_INI} 00:00:00' AND r.SIGLA_RDIS <> 'SCD'
+GROUP BY GROUPING SETS ((strftime(h.ANO_MES_HQCL, '%Y-%m'), r.SIGLA_RDIS), (strftime(h.ANO_MES_HQCL, '%Y-%m')))
+ORDER BY ANOMES DESC, REGIONAL_TOTAL ASC"""
+
+
+@register("billed_uc_rollup", oracle(E2_SQL, GEO))
+def q_e2(spark, sf):
+    return ex.billed_uc_rollup(*_geo(spark, sf), P_DATA_INI)
+
+
+# ---------------------------------------------------------------------------
+# Sinks (K1-K4): write under the session's checkpoint folder, read back
+# ---------------------------------------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    import os
+    import uuid
+    from outagekit.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("write_month_partition", oracle(
+    "SELECT *, CAST(year(DTHR_INICIO_INTRP_UC) AS INTEGER) AS ano, CAST(month(DTHR_INICIO_INTRP_UC) AS INTEGER) AS mes "
+    "FROM intr_long", ["intr_long"]))
+def q_k1(spark, sf):
+    target = sio.write_month_partition(table(spark, sf, "intr_long"), _scratch(spark, "raw"), "DTHR_INICIO_INTRP_UC")
+    return spark.read.parquet(target)
+
+
+@register("overwrite_processed", oracle(f"SELECT * FROM {Q.marked_long()} m", ["intr_long"]))
+def q_k2(spark, sf):
+    base = _scratch(spark, "processed")
+    sio.overwrite_processed(table(spark, sf, "intr_long"), base)
+    sio.overwrite_processed(iv.mark_overlaps(sio.read_current(spark, base)), base)
+    return sio.read_current(spark, base)
+
+
+@register("write_billed_uc", oracle(E2_SQL, GEO))
+def q_k3(spark, sf):
+    target = sio.write_billed_uc(ex.billed_uc_rollup(*_geo(spark, sf), P_DATA_INI), _scratch(spark, "billed"))
+    return spark.read.parquet(target)
+
+
+@register("export_results", oracle(Q.dec_fec_sql(ANOMES), L_B))
+def q_k4(spark, sf):
+    res = ind.dec_fec(unique_long(spark, sf), billed(spark, sf))
+    target = sio.export_results(res, _scratch(spark, "export"), "csv")
+    return spark.read.schema(res.schema).option("header", True).csv(target)
+
+
+# ---------------------------------------------------------------------------
+# Projections and scalar functions
+# ---------------------------------------------------------------------------
+
+@register("resolve_columns", oracle(
+    "SELECT NUM_UC_UCI AS uc, NUM_INTRP_INIC_MANOBRA_UCI AS intrp, DTHR_INICIO_INTRP_UC AS inicio, "
+    "DATA_HORA_FIM_INTRP AS fim FROM intr_long", ["intr_long"]))
+def q_p1(spark, sf):
+    return _resolve_columns(table(spark, sf, "intr_long"),
+                            {"uc": UC_ALIASES, "intrp": MANOEUVRE_ID_ALIASES, "inicio": START_ALIASES,
+                             "fim": END_ALIASES})
+
+
+@register("resolve_columns_fuzzy", oracle(
+    "SELECT NUM_UC_UCI AS uc, DTHR_INICIO_INTRP_UC AS inicio, DATA_HORA_FIM_INTRP AS fim FROM intr_long",
+    ["intr_long"]))
+def q_p2(spark, sf):
+    df = table(spark, sf, "intr_long")
+    uc = resolve_column_fuzzy(df.columns, ["num", "uc"])
+    ini = resolve_column_fuzzy(df.columns, ["inicio"], ["dthr", "dt_"])
+    fim = resolve_column_fuzzy(df.columns, ["fim"], ["data", "dt_"])
+    return df.select(F.col(uc).alias("uc"), F.col(ini).alias("inicio"), F.col(fim).alias("fim"))
+
+
+def _text(spark, sf):
+    return table(spark, sf, "intr_text")
+
+
+@register("parse_ts", oracle(
+    f"SELECT NUM_INTRP_UCI, DTHR_INICIO_TXT, {PTS('DTHR_INICIO_TXT')} AS DTHR_INICIO, "
+    f"DATA_HORA_FIM_TXT, {PTS('DATA_HORA_FIM_TXT')} AS DATA_HORA_FIM FROM intr_text", ["intr_text"]))
+def q_p4(spark, sf):
+    t = _text(spark, sf)
+    return t.select("NUM_INTRP_UCI", "DTHR_INICIO_TXT", S.parse_ts("DTHR_INICIO_TXT").alias("DTHR_INICIO"),
+                    "DATA_HORA_FIM_TXT", S.parse_ts("DATA_HORA_FIM_TXT").alias("DATA_HORA_FIM"))
+
+
+@register("parse_ts_import", oracle(
+    f"SELECT NUM_INTRP_UCI, DTHR_INICIO_TXT, {PTS_IMPORT('DTHR_INICIO_TXT')} AS DTHR_INICIO, "
+    f"DATA_HORA_FIM_TXT, {PTS_IMPORT('DATA_HORA_FIM_TXT')} AS DATA_HORA_FIM FROM intr_text", ["intr_text"]))
+def q_p5(spark, sf):
+    t = _text(spark, sf)
+    return t.select("NUM_INTRP_UCI", "DTHR_INICIO_TXT", S.parse_ts_import("DTHR_INICIO_TXT").alias("DTHR_INICIO"),
+                    "DATA_HORA_FIM_TXT", S.parse_ts_import("DATA_HORA_FIM_TXT").alias("DATA_HORA_FIM"))
+
+
+@register("parse_duration", oracle(
+    f"SELECT NUM_INTRP_UCI, DURACAO_PERCEBIDA_MINUTOS, TRY_CAST(DURACAO_PERCEBIDA_MINUTOS AS DOUBLE) AS DUR_MIN, "
+    f"coalesce(TRY_CAST(DURACAO_PERCEBIDA_MINUTOS AS DOUBLE), 0.0) AS DUR_MIN_0 FROM ({E1_SQL}) e",
+    ["hist_src", "intrp_src"]))
+def q_p6(spark, sf):
+    e = extraction(spark, sf)
+    return e.select("NUM_INTRP_UCI", "DURACAO_PERCEBIDA_MINUTOS",
+                    S.parse_duration("DURACAO_PERCEBIDA_MINUTOS").alias("DUR_MIN"),
+                    S.parse_duration("DURACAO_PERCEBIDA_MINUTOS", 0.0).alias("DUR_MIN_0"))
+
+
+@register("month_key", oracle(
+    f"SELECT NUM_INTRP_UCI, {MONTH_TXT('DTHR_INICIO_TXT')} AS MES_INICIO_TXT, {MONTH_TXT('MES_TXT')} AS MES_LIVRE, "
+    f"strftime(t.DTHR_INICIO_INTRP_UC, '%Y-%m') AS MES_INICIO "
+    f"FROM (SELECT x.*, l.DTHR_INICIO_INTRP_UC FROM intr_text x JOIN intr_long l USING (NUM_INTRP_UCI)) t",
+    ["intr_text"]))
+def q_p7(spark, sf):
+    t = _text(spark, sf).join(table(spark, sf, "intr_long").select("NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC"),
+                              "NUM_INTRP_UCI")
+    return t.select("NUM_INTRP_UCI", S.month_key("DTHR_INICIO_TXT").alias("MES_INICIO_TXT"),
+                    S.month_key("MES_TXT").alias("MES_LIVRE"),
+                    S.month_key("DTHR_INICIO_INTRP_UC", T.TimestampNTZType()).alias("MES_INICIO"))
+
+
+_YM = "^(\\d{4})[-_/](\\d{1,2})$"
+_MY = "^(\\d{1,2})[-_/](\\d{4})$"
+_SIX = "^(\\d{4})(\\d{2})$"
+_ym_year = (f"(CASE WHEN regexp_matches(trim(MES_TXT), '{_YM}') THEN regexp_extract(trim(MES_TXT), '{_YM}', 1) "
+            f"WHEN regexp_matches(trim(MES_TXT), '{_MY}') THEN regexp_extract(trim(MES_TXT), '{_MY}', 2) "
+            f"WHEN regexp_matches(trim(MES_TXT), '{_SIX}') THEN regexp_extract(trim(MES_TXT), '{_SIX}', 1) END)")
+_ym_month = (f"(CASE WHEN regexp_matches(trim(MES_TXT), '{_YM}') THEN regexp_extract(trim(MES_TXT), '{_YM}', 2) "
+             f"WHEN regexp_matches(trim(MES_TXT), '{_MY}') THEN regexp_extract(trim(MES_TXT), '{_MY}', 1) "
+             f"WHEN regexp_matches(trim(MES_TXT), '{_SIX}') THEN regexp_extract(trim(MES_TXT), '{_SIX}', 2) END)")
+
+
+@register("parse_year_month", oracle(
+    f"SELECT NUM_INTRP_UCI, MES_TXT, "
+    f"CASE WHEN CAST({_ym_month} AS INTEGER) BETWEEN 1 AND 12 THEN CAST({_ym_year} AS INTEGER) END AS ano, "
+    f"CASE WHEN CAST({_ym_month} AS INTEGER) BETWEEN 1 AND 12 THEN CAST({_ym_month} AS INTEGER) END AS mes "
+    f"FROM intr_text", ["intr_text"]))
+def q_p8(spark, sf):
+    ym = S.parse_year_month("MES_TXT")
+    return _text(spark, sf).select("NUM_INTRP_UCI", "MES_TXT", ym["ano"].alias("ano"), ym["mes"].alias("mes"))
+
+
+@register("regional_code_map", oracle(
+    f"SELECT NUM_INTRP_UCI, SIGLA_REGIONAL, {REGION_CASE} AS REGIONAL_TOTAL FROM intr_long", ["intr_long"]))
+def q_p9(spark, sf):
+    df = table(spark, sf, "intr_long")
+    return df.select("NUM_INTRP_UCI", "SIGLA_REGIONAL", S.regional_code_map(df).alias("REGIONAL_TOTAL"))
+
+
+@register("regional_label", oracle(
+    f"SELECT NUM_INTRP_UCI, SIGLA_REGIONAL, {LABEL('SIGLA_REGIONAL')} AS sigla_regional_rotulo FROM intr_long",
+    ["intr_long"]))
+def q_p10(spark, sf):
+    return table(spark, sf, "intr_long").select(
+        "NUM_INTRP_UCI", "SIGLA_REGIONAL", S.regional_label("SIGLA_REGIONAL").alias("sigla_regional_rotulo"))
+
+
+@register("parse_flag", oracle(
+    "SELECT NUM_INTRP_UCI, TIPO_PROTOC_JUSTIF_UCI, "
+    "coalesce(lower(trim(TIPO_PROTOC_JUSTIF_UCI)) IN ('true', '1', 'sim', 'yes', 'y'), false) AS FLAG_TIPO, "
+    "coalesce(verificado, false) AS FLAG_VERIFICADO "
+    f"FROM {Q.marked_long()} m", ["intr_long"]))
+def q_p11(spark, sf):
+    m = marked_long(spark, sf)
+    return m.select("NUM_INTRP_UCI", "TIPO_PROTOC_JUSTIF_UCI",
+                    S.parse_flag("TIPO_PROTOC_JUSTIF_UCI", T.StringType()).alias("FLAG_TIPO"),
+                    S.parse_flag("verificado", T.BooleanType()).alias("FLAG_VERIFICADO"))
+
+
+def _holes(spark, sf):
+    """Marked B1 with perceived values knocked out and the verified flag as text."""
+    m = marked_long(spark, sf)
+    i = F.col("NUM_INTRP_UCI").cast("long")
+    return m.select(
+        "NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP",
+        F.when(i % 5 != 0, F.col("DTHR_INICIO_INTRP_PERCEBIDO")).alias("DTHR_INICIO_INTRP_PERCEBIDO"),
+        F.when(i % 7 != 0, F.col("DATA_HORA_FIM_INTR_PERCEBIDO")).alias("DATA_HORA_FIM_INTR_PERCEBIDO"),
+        F.when(i % 3 != 0, F.col("DURACAO_PERCEBIDA_MINUTOS")).alias("DURACAO_PERCEBIDA_MINUTOS"),
+        F.when(i % 4 == 0, F.lit("sim")).when(i % 4 == 1, F.lit("nao")).when(i % 4 == 2, F.lit("talvez"))
+        .alias("verificado"))
+
+
+BACKFILL_SQL = f"""
+SELECT NUM_INTRP_UCI, DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP, s AS DTHR_INICIO_INTRP_PERCEBIDO,
+       e AS DATA_HORA_FIM_INTR_PERCEBIDO, d AS DURACAO_PERCEBIDA_MINUTOS,
+       CASE WHEN lower(trim(v)) IN ('true', '1', 'sim', 'yes') THEN true
+            WHEN lower(trim(v)) IN ('false', '0', 'nao', 'não', 'no') THEN false ELSE true END AS verificado,
+       coalesce(d, 0.0) >= 3.0 AS longa_duracao, s AS DTHR_INICIO_INTRP_PERCEBIDA, e AS DATA_HORA_FIM_INTR_PERCEBIDA
+FROM (SELECT *, coalesce(d0, date_diff('second', s, e) / 60.0) AS d FROM (
+  SELECT NUM_INTRP_UCI, DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP,
+    coalesce(CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 5 <> 0 THEN DTHR_INICIO_INTRP_PERCEBIDO END, DTHR_INICIO_INTRP_UC) AS s,
+    coalesce(CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 7 <> 0 THEN DATA_HORA_FIM_INTR_PERCEBIDO END, DATA_HORA_FIM_INTRP) AS e,
+    CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 3 <> 0 THEN DURACAO_PERCEBIDA_MINUTOS END AS d0,
+    CASE CAST(NUM_INTRP_UCI AS BIGINT) % 4 WHEN 0 THEN 'sim' WHEN 1 THEN 'nao' WHEN 2 THEN 'talvez' END AS v
+  FROM {Q.marked_long()} m) a) b"""
+
+
+@register("backfill_perceived", oracle(BACKFILL_SQL, ["intr_long"]))
+def q_p12(spark, sf):
+    out = S.backfill_perceived(_holes(spark, sf))
+    return out.select("NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "DTHR_INICIO_INTRP_PERCEBIDO",
+                      "DATA_HORA_FIM_INTR_PERCEBIDO", "DURACAO_PERCEBIDA_MINUTOS", "verificado", "longa_duracao",
+                      "DTHR_INICIO_INTRP_PERCEBIDA", "DATA_HORA_FIM_INTR_PERCEBIDA")
+
+
+@register("standardize_columns", oracle(
+    "SELECT " + ", ".join(f"{c} AS {c.lower()}" for c in _B1_COLS) + " FROM intr_long", ["intr_long"]))
+def q_p13(spark, sf):
+    return standardize_columns(table(spark, sf, "intr_long"))
+
+
+@register("strip_accents", oracle(
+    f"SELECT doc_id, lower(trim(translate(text, '{S.ACCENTED}', '{S.PLAIN}'))) AS texto_normalizado FROM documents",
+    []))
+def q_p14(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", S.strip_accents("text").alias("texto_normalizado"))
+
+
+CLEAN_SQL = """
+SELECT coalesce(SIGLA_REGIONAL, '') AS SIGLA_REGIONAL, coalesce(TIPO_PROTOC_JUSTIF_UCI, '') AS TIPO_PROTOC_JUSTIF_UCI,
+       coalesce(DUR_MIN, 0.0) AS DUR_MIN
+FROM (SELECT DISTINCT SIGLA_REGIONAL, TIPO_PROTOC_JUSTIF_UCI,
+             floor(date_diff('second', DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP) / 600.0) AS DUR_MIN FROM intr_long) d"""
+
+
+@register("clean_data", oracle(CLEAN_SQL, ["intr_long"]))
+def q_p15(spark, sf):
+    b = table(spark, sf, "intr_long")
+    proj = b.select("SIGLA_REGIONAL", "TIPO_PROTOC_JUSTIF_UCI",
+                    F.floor(S.seconds_between(F.col("DTHR_INICIO_INTRP_UC"), F.col("DATA_HORA_FIM_INTRP")) / 600.0)
+                    .cast("double").alias("DUR_MIN"))
+    return S.clean_data(proj)
+
+
+@register("second_precision", oracle(
+    "SELECT NUM_INTRP_UCI, (second(DTHR_INICIO_INTRP_UC) > 0 OR second(DATA_HORA_FIM_INTRP) > 0) AS TEM_PRECISAO_SEGUNDO, "
+    "date_trunc('minute', DTHR_INICIO_INTRP_UC) AS DT_INI_MIN, date_trunc('minute', DATA_HORA_FIM_INTRP) AS DT_FIM_MIN "
+    "FROM intr_dense", ["intr_dense"]))
+def q_p16(spark, sf):
+    d = table(spark, sf, "intr_dense")
+    return d.select("NUM_INTRP_UCI",
+                    S.second_precision(F.col("DTHR_INICIO_INTRP_UC"), F.col("DATA_HORA_FIM_INTRP")).alias("TEM_PRECISAO_SEGUNDO"),
+                    S.truncate_minute(F.col("DTHR_INICIO_INTRP_UC")).alias("DT_INI_MIN"),
+                    S.truncate_minute(F.col("DATA_HORA_FIM_INTRP")).alias("DT_FIM_MIN"))
+
+
+@register("safe_div", oracle(
+    f"SELECT u.REGIONAL_TOTAL, CAST(count(*) AS DOUBLE) AS CI, coalesce(max(b.UC_FATURADA), 0.0) AS UC_FATURADA, "
+    f"CASE WHEN coalesce(max(b.UC_FATURADA), 0.0) = 0 THEN 0.0 ELSE count(*) / max(b.UC_FATURADA) END AS FEC "
+    f"FROM {UNIQUE} u LEFT JOIN {UC_MONTH} b ON u.REGIONAL_TOTAL = b.REGIONAL_TOTAL GROUP BY 1", L_B))
+def q_p17(spark, sf):
+    u = unique_long(spark, sf).groupBy("REGIONAL_TOTAL").agg(F.count(F.lit(1)).cast("double").alias("CI"))
+    j = u.join(ind.uc_by_region(billed(spark, sf)), "REGIONAL_TOTAL", "left")
+    uc = F.coalesce(F.col("UC_FATURADA"), F.lit(0.0))
+    return j.select("REGIONAL_TOTAL", "CI", uc.alias("UC_FATURADA"), S.safe_div(F.col("CI"), uc).alias("FEC"))

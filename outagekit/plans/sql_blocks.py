@@ -9,7 +9,8 @@ from __future__ import annotations
 from outagekit.functions.numeric import round_half_sql as RH
 
 
-def mark_sql(src: str, uc: str, iid: str, start: str, end: str, tb: str | None, cols: list[str]) -> str:
+def mark_sql(src: str, uc: str, iid: str, start: str, end: str, tb: str | None, cols: list[str],
+             internals: bool = False) -> str:
     """I1 on ``src``; output = ``cols`` + mark columns."""
     order = "__ini ASC NULLS FIRST, __fim ASC NULLS FIRST, __id ASC NULLS FIRST"
     if tb:
@@ -21,6 +22,11 @@ def mark_sql(src: str, uc: str, iid: str, start: str, end: str, tb: str | None,
         "Grupo_desligamento_uc", "NUM_INTRP_PERCEBIDA", "DTHR_INICIO_INTRP_PERCEBIDO",
         "DATA_HORA_FIM_INTR_PERCEBIDO", "DURACAO_PERCEBIDA_MINUTOS",
         "DTHR_INICIO_INTRP_PERCEBIDA", "DATA_HORA_FIM_INTR_PERCEBIDA"))
+    extra = ""
+    if internals:
+        extra = (", __pm AS PREV_MAX_FIM, __next_ini AS NEXT_MIN_INI, __prev_fim AS PREV_FIM, "
+                 "__dur_s / 60.0 AS DUR_MIN, __gap_s / 60.0 AS GAP_PREV_MIN, __prev_dur_s / 60.0 AS PREV_DUR_MIN, "
+                 "__grp AS GRUPO_PERCEBIDO")
     return f"""
 (WITH b AS (
   SELECT *, CAST({uc} AS VARCHAR) AS __uc, CAST({iid} AS VARCHAR) AS __id,
@@ -63,7 +69,7 @@ SELECT {keep}, verificado, Contido_outra_intrp, Sobreposicao_tempo, Conta_deslig
   coalesce(CASE WHEN verificado THEN date_diff('second', __ini_p, __fim_p) / 60.0 ELSE __dur_s / 60.0 END,
            __dur_s / 60.0, 0.0) AS DURACAO_PERCEBIDA_MINUTOS,
   coalesce(CASE WHEN verificado THEN __ini_p ELSE __ini END, __ini) AS DTHR_INICIO_INTRP_PERCEBIDA,
-  coalesce(CASE WHEN verificado THEN __fim_p ELSE __fim END, __fim) AS DATA_HORA_FIM_INTR_PERCEBIDA
+  coalesce(CASE WHEN verificado THEN __fim_p ELSE __fim END, __fim) AS DATA_HORA_FIM_INTR_PERCEBIDA{extra}
 FROM s5)"""
 
 
@@ -77,9 +83,9 @@ def marked_long() -> str:
                     "DATA_HORA_FIM_INTRP", "NUM_INTRP_UCI", INTR_LONG_COLS)
 
 
-def marked_dense() -> str:
+def marked_dense(internals: bool = False) -> str:
     return mark_sql("intr_dense", "NUM_UC_UCI", "NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC",
-                    "DATA_HORA_FIM_INTRP", None, INTR_DENSE_COLS)
+                    "DATA_HORA_FIM_INTRP", None, INTR_DENSE_COLS, internals)
 
 
 def month_bounds(anomes: str) -> tuple[str, str]:

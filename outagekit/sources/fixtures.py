@@ -63,6 +63,15 @@ LEFT JOIN region ON n_regionkey = r_regionkey
 GROUP BY r_name, substr(cast(o_orderdate AS string), 1, 7)
 """
 
+# Detail rows for the regional volume tests: one row per order with its
+# region name and order date (B4 is this table counted by region and month).
+ORDERS_REGIONAL = """
+SELECT o_orderkey, r_name AS sigla_regional, o_orderdate AS data_referencia
+FROM orders JOIN customer ON o_custkey = c_custkey
+LEFT JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN region ON n_regionkey = r_regionkey
+"""
+
 # Extraction sources (E1): the consumer history and the interruption table,
 # both from ``events``.  The origin code is a function of the manoeuvre
 # group, so the start row (found by the manoeuvre-initial id) and the end
@@ -115,7 +124,7 @@ UNION ALL SELECT 9 AS COD_RDIS, 'SCD' AS SIGLA_RDIS
 # plus junk every 53rd row, and a free-form month text (by id modulo 6).
 _LAYOUT_SPARK = [
     "date_format({c}, 'yyyy-MM-dd HH:mm:ss')",
-    "concat(date_format({c}, 'yyyy-MM-dd HH:mm:ss'), '.25')",
+    "date_format({c}, 'yyyy-MM-dd HH:mm:ss') || '.25'",
     "date_format({c}, \"yyyy-MM-dd'T'HH:mm:ss\")",
     "date_format({c}, 'dd/MM/yyyy HH:mm:ss')",
     "date_format({c}, 'yyyy-MM-dd HH:mm')",
@@ -124,7 +133,7 @@ _LAYOUT_SPARK = [
 ]
 _LAYOUT_DUCK = [
     "strftime({c}, '%Y-%m-%d %H:%M:%S')",
-    "concat(strftime({c}, '%Y-%m-%d %H:%M:%S'), '.25')",
+    "strftime({c}, '%Y-%m-%d %H:%M:%S') || '.25'",
     "strftime({c}, '%Y-%m-%dT%H:%M:%S')",
     "strftime({c}, '%d/%m/%Y %H:%M:%S')",
     "strftime({c}, '%Y-%m-%d %H:%M')",
@@ -167,6 +176,7 @@ DERIVED = {
     "intr_dense": INTR_DENSE,
     "billed_month": BILLED_MONTH,
     "region_month": REGION_MONTH,
+    "orders_regional": ORDERS_REGIONAL,
     "hist_src": HIST_SRC,
     "intrp_src": INTRP_SRC,
     "hqcl_src": HQCL_SRC,

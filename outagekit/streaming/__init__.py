@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streams: every input is a bounded table read whole,
+and its chunk loops are memory batching of one extraction.  There is no
+streaming operator to mirror, so this package holds none; month tables are
+appended by the batch sink ``sources.io.write_month_partition`` (dynamic
+partition overwrite), which is idempotent under retries.
+"""
