@@ -507,3 +507,278 @@ def q_p17(spark, sf):
     j = u.join(ind.uc_by_region(billed(spark, sf)), "REGIONAL_TOTAL", "left")
     uc = F.coalesce(F.col("UC_FATURADA"), F.lit(0.0))
     return j.select("REGIONAL_TOTAL", "CI", uc.alias("UC_FATURADA"), S.safe_div(F.col("CI"), uc).alias("FEC"))
+
+
+# ---------------------------------------------------------------------------
+# Filters (F1-F5)
+# ---------------------------------------------------------------------------
+
+@register("eligible_rows", oracle(f"SELECT * FROM {ELIGIBLE()} e", L_B))
+def q_f1(spark, sf):
+    return ind.eligible_rows(marked_long(spark, sf), ANOMES, billed(spark, sf))
+
+
+MAX_HOURS = 4.0
+
+
+@register("max_duration", oracle(f"SELECT * FROM {UNIQUE} u WHERE DUR_MIN <= {MAX_HOURS * 60.0!r}", L_B))
+def q_f2(spark, sf):
+    return ind.max_duration(unique_long(spark, sf), MAX_HOURS)
+
+
+@register("duration_bands", oracle(
+    "SELECT CASE WHEN coalesce(TRY_CAST(DURACAO_PERCEBIDA_MINUTOS AS DOUBLE), 0.0) >= 3.0 THEN '>=3' ELSE '<3' END AS FAIXA, "
+    f"count(*) AS registros FROM {Q.marked_long()} m GROUP BY 1", ["intr_long"]))
+def q_f3(spark, sf):
+    return ind.duration_bands(marked_long(spark, sf)).groupBy("FAIXA").agg(F.count(F.lit(1)).alias("registros"))
+
+
+VALID_DENSE_SQL = f"""
+SELECT * FROM (SELECT {REGION_CASE} AS REGIONAL_TOTAL, CAST(NUM_UC_UCI AS VARCHAR) AS NUM_UC_UCI,
+  CAST(NUM_INTRP_UCI AS VARCHAR) AS NUM_INTRP, DTHR_INICIO_INTRP_UC AS DT_INI, DATA_HORA_FIM_INTRP AS DT_FIM
+  FROM intr_dense) v
+WHERE NUM_UC_UCI IS NOT NULL AND NUM_UC_UCI <> '' AND DT_INI IS NOT NULL AND DT_FIM IS NOT NULL
+  AND DT_FIM >= DT_INI AND REGIONAL_TOTAL <> 'COPEL'"""
+
+
+@register("valid_interval", oracle(VALID_DENSE_SQL, ["intr_dense"]))
+def q_f4(spark, sf):
+    d = table(spark, sf, "intr_dense")
+    base = d.select(S.regional_code_map(d).alias("REGIONAL_TOTAL"), F.col("NUM_UC_UCI").cast("string").alias("NUM_UC_UCI"),
+                    F.col("NUM_INTRP_UCI").cast("string").alias("NUM_INTRP"),
+                    F.col("DTHR_INICIO_INTRP_UC").alias("DT_INI"), F.col("DATA_HORA_FIM_INTRP").alias("DT_FIM"))
+    return base.where(iv.valid_interval(base))
+
+
+@register("regional_subset", oracle(f"SELECT * FROM {UNIQUE} u WHERE REGIONAL_TOTAL IN ('NRT', 'NRO')", L_B))
+def q_f5(spark, sf):
+    return ind.regional_subset(unique_long(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Joins (J3-J5)
+# ---------------------------------------------------------------------------
+
+def _month_rows_sql() -> str:
+    lo, hi = Q.month_bounds(ANOMES)
+    return (f"(SELECT * FROM {Q.marked_long()} m WHERE DTHR_INICIO_INTRP_PERCEBIDO >= {lo} "
+            f"AND DTHR_INICIO_INTRP_PERCEBIDO < {hi})")
+
+
+@register("region_lookup", oracle(
+    f"SELECT m.NUM_UC_UCI, m.NUM_INTRP_UCI, coalesce(m.SIGLA_REGIONAL, '') AS SIGLA_REGIONAL, "
+    f"coalesce(mp.REGIONAL_TOTAL, 'SEM_REGIONAL') AS REGIONAL_TOTAL FROM {_month_rows_sql()} m "
+    f"LEFT JOIN (SELECT DISTINCT SIGLA_REGIONAL, REGIONAL_TOTAL FROM billed_month WHERE ANOMES = '{ANOMES}' "
+    f"AND SIGLA_REGIONAL IS NOT NULL AND SIGLA_REGIONAL <> '' AND REGIONAL_TOTAL <> 'COPEL') mp "
+    f"ON coalesce(m.SIGLA_REGIONAL, '') = mp.SIGLA_REGIONAL", L_B))
+def q_j3(spark, sf):
+    m = marked_long(spark, sf).where(S.in_month("DTHR_INICIO_INTRP_PERCEBIDO", ANOMES))
+    m = m.select("NUM_UC_UCI", "NUM_INTRP_UCI", F.coalesce("SIGLA_REGIONAL", F.lit("")).alias("SIGLA_REGIONAL"))
+    return (m.join(ind.region_lookup(billed(spark, sf)), "SIGLA_REGIONAL", "left")
+            .select("NUM_UC_UCI", "NUM_INTRP_UCI", "SIGLA_REGIONAL",
+                    F.coalesce("REGIONAL_TOTAL", F.lit(S.NO_REGION)).alias("REGIONAL_TOTAL")))
+
+
+INDICATOR_BASE_SQL = f"""
+SELECT b.REGIONAL_TOTAL, b.UC_FATURADA,
+  CAST(coalesce(s.CIL, 0) AS DOUBLE) AS CI_LIQUIDO, coalesce(s.CHL, 0) / 3600000000.0 AS CHI_LIQUIDO,
+  CAST(coalesce(s.CIE, 0) AS DOUBLE) AS CI_EXPURGO, coalesce(s.CHE, 0) / 3600000000.0 AS CHI_EXPURGO
+FROM {UC_MONTH} b LEFT JOIN (
+  SELECT REGIONAL_TOTAL, count(*) FILTER (WHERE NATUREZA = 'LIQUIDO') AS CIL,
+    CAST(sum(CASE WHEN NATUREZA = 'LIQUIDO' THEN {Q.us('DUR_MIN')} END) AS BIGINT) AS CHL,
+    count(*) FILTER (WHERE NATUREZA <> 'LIQUIDO') AS CIE,
+    CAST(sum(CASE WHEN NATUREZA <> 'LIQUIDO' THEN {Q.us('DUR_MIN')} END) AS BIGINT) AS CHE
+  FROM {UNIQUE} u GROUP BY 1) s ON b.REGIONAL_TOTAL = s.REGIONAL_TOTAL"""
+
+
+@register("join_indicator_base", oracle(INDICATOR_BASE_SQL, L_B))
+def q_j4(spark, sf):
+    return ind.indicator_base(unique_long(spark, sf), billed(spark, sf))
+
+
+def monthly_orders(spark, sf):
+    return dq.regional_monthly(table(spark, sf, "orders_regional"))
+
+
+MONTHLY_SQL = (f"(SELECT {LABEL('sigla_regional')} AS sigla_regional, strftime(data_referencia, '%Y-%m') AS mes_ref, "
+               f"count(*) AS registros FROM orders_regional WHERE data_referencia IS NOT NULL GROUP BY 1, 2)")
+OR = ["orders_regional"]
+TWO_MONTHS_SQL = f"""
+SELECT sigla_regional,
+  CAST(coalesce(sum(CASE WHEN mes_ref = (SELECT max(mes_ref) FROM {MONTHLY_SQL} a) THEN registros END), 0) AS BIGINT) AS registros_atual,
+  CAST(coalesce(sum(CASE WHEN mes_ref = (SELECT max(mes_ref) FROM {MONTHLY_SQL} b
+        WHERE mes_ref < (SELECT max(mes_ref) FROM {MONTHLY_SQL} c)) THEN registros END), 0) AS BIGINT) AS registros_anterior
+FROM {MONTHLY_SQL} m
+WHERE mes_ref >= (SELECT max(mes_ref) FROM {MONTHLY_SQL} d WHERE mes_ref < (SELECT max(mes_ref) FROM {MONTHLY_SQL} e))
+GROUP BY 1"""
+
+
+@register("join_two_months", oracle(TWO_MONTHS_SQL, OR))
+def q_j5(spark, sf):
+    return dq.join_two_months(monthly_orders(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Aggregations
+# ---------------------------------------------------------------------------
+
+@register("consolidate_perceived", oracle(
+    f"SELECT REGIONAL_TOTAL, NUM_UC_UCI, NUM_INTRP_PERCEBIDA, max(DUR_MIN) AS DUR_MIN, "
+    f"bool_and(TIPO_PROTOC_JUSTIF_UCI = '0') AS TIPO_0_ALL FROM {ELIGIBLE()} e GROUP BY 1, 2, 3", L_B))
+def q_a1(spark, sf):
+    e = ind.eligible_rows(marked_long(spark, sf), ANOMES, billed(spark, sf))
+    return e.groupBy("REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP_PERCEBIDA").agg(
+        F.max("DUR_MIN").alias("DUR_MIN"), F.bool_and(F.col("TIPO_PROTOC_JUSTIF_UCI") == "0").alias("TIPO_0_ALL"))
+
+
+@register("classify_nature", oracle(f"SELECT * FROM {UNIQUE} u", L_B))
+def q_a2(spark, sf):
+    return unique_long(spark, sf)
+
+
+@register("ci_chi", oracle(
+    f"SELECT REGIONAL_TOTAL, NATUREZA, count(*) AS CI, CAST(sum({Q.us('DUR_MIN')}) AS BIGINT) / 3600000000.0 AS CHI_HORAS "
+    f"FROM {UNIQUE} u GROUP BY 1, 2", L_B))
+def q_a3(spark, sf):
+    return ind.ci_chi(unique_long(spark, sf))
+
+
+@register("uc_by_region", oracle(f"SELECT * FROM {UC_MONTH} b", ["billed_month"]))
+def q_a5(spark, sf):
+    return ind.uc_by_region(billed(spark, sf))
+
+
+def _stats_sql() -> str:
+    med = f"""(SELECT REGIONAL_TOTAL, avg(DUR_MIN) AS v FROM (
+      SELECT REGIONAL_TOTAL, DUR_MIN, row_number() OVER (PARTITION BY REGIONAL_TOTAL ORDER BY DUR_MIN) - 1 AS i,
+             count(*) OVER (PARTITION BY REGIONAL_TOTAL) AS n FROM {UNIQUE} u) z
+      WHERE i = floor((n - 1) / 2.0) OR i = ceil((n - 1) / 2.0) GROUP BY 1)"""
+    return f"""
+SELECT a.REGIONAL_TOTAL, a.QTD_INTRP, {RH('med.v / 60.0', 2)} AS DUR_MEDIANA_H, {RH('p95.v / 60.0', 2)} AS DUR_P95_H,
+       {RH('p99.v / 60.0', 2)} AS DUR_P99_H, {RH('a.mx / 60.0', 2)} AS DUR_MAX_H
+FROM (SELECT REGIONAL_TOTAL, count(*) AS QTD_INTRP, max(DUR_MIN) AS mx FROM {UNIQUE} u GROUP BY 1) a
+JOIN {med} med USING (REGIONAL_TOTAL)
+JOIN {nearest_sql(UNIQUE, 'DUR_MIN', 'REGIONAL_TOTAL', 0.95)} p95 USING (REGIONAL_TOTAL)
+JOIN {nearest_sql(UNIQUE, 'DUR_MIN', 'REGIONAL_TOTAL', 0.99)} p99 USING (REGIONAL_TOTAL)
+ORDER BY 1"""
+
+
+@register("duration_stats", oracle(_stats_sql(), L_B))
+def q_a6(spark, sf):
+    return ind.duration_stats(unique_long(spark, sf))
+
+
+PREVIEW_SQL = f"""
+SELECT FAIXA, SIGLA_REGIONAL, {RH('CAST(ci AS DOUBLE)', 0)} AS CI, {RH('chi_us / 3600000000.0', 2)} AS CHI_horas
+FROM (SELECT CASE WHEN d >= 3.0 THEN '>=3' ELSE '<3' END AS FAIXA, coalesce(SIGLA_REGIONAL, 'SEM_REGIONAL') AS SIGLA_REGIONAL,
+             count(DISTINCT NUM_UC_UCI) + max(CASE WHEN NUM_UC_UCI IS NULL THEN 1 ELSE 0 END) AS ci,
+             sum({Q.us('d')} * 1.0) AS chi_us
+      FROM (SELECT *, coalesce(TRY_CAST(DURACAO_PERCEBIDA_MINUTOS AS DOUBLE), 0.0) AS d FROM {Q.marked_long()} m) x
+      GROUP BY 1, 2) g"""
+
+
+@register("ci_chi_preview", oracle(PREVIEW_SQL, ["intr_long"]))
+def q_a7(spark, sf):
+    return ind.ci_chi_preview(marked_long(spark, sf))
+
+
+@register("ci_chi_preview_totals", oracle(
+    f"SELECT FAIXA, sum(CI) AS CI_TOTAL, {RH('sum(CHI_horas)', 2)} AS CHI_TOTAL FROM ({PREVIEW_SQL}) p GROUP BY 1",
+    ["intr_long"]))
+def q_a8(spark, sf):
+    return ind.ci_chi_preview_totals(ind.ci_chi_preview(marked_long(spark, sf)))
+
+
+SUMMARY_SQL = f"""
+SELECT sigla_regional, registros, CASE WHEN sum(registros) OVER () > 0
+       THEN registros / sum(registros) OVER () * 100.0 ELSE 0.0 END AS pct_registros
+FROM (SELECT {LABEL('SIGLA_REGIONAL')} AS sigla_regional, count(*) AS registros FROM intr_long GROUP BY 1) c"""
+
+
+@register("regional_summary", oracle(SUMMARY_SQL, ["intr_long"]))
+def q_a9(spark, sf):
+    return dq.regional_summary(table(spark, sf, "intr_long"), "SIGLA_REGIONAL")
+
+
+@register("regional_monthly", oracle(f"SELECT * FROM {MONTHLY_SQL} m", OR))
+def q_a10(spark, sf):
+    return monthly_orders(spark, sf)
+
+
+@register("monthly_total", oracle(
+    f"SELECT mes_ref, CAST(sum(registros) AS BIGINT) AS registros FROM {MONTHLY_SQL} m GROUP BY 1", OR))
+def q_a11(spark, sf):
+    return dq.monthly_total(monthly_orders(spark, sf))
+
+
+def crit_dense(spark, sf):
+    return iv.merge_criteria(table(spark, sf, "intr_dense"))
+
+
+CRIT_SQL = f"""
+(SELECT *, coalesce(GAP_PREV_SEC >= 0 AND GAP_PREV_SEC < 60, false) AS GAP_LT_60S,
+   coalesce(GAP_PREV_SEC_MIN >= 0 AND GAP_PREV_SEC_MIN < 60, false) AS GAP_LT_60S_MIN,
+   DUR_SEC < 60 AS DUR_LT_60S, DUR_SEC_MIN < 60 AS DUR_LT_60S_MIN,
+   coalesce(GAP_PREV_SEC >= 0 AND GAP_PREV_SEC < 60 AND DUR_SEC < 60 AND PREV_DUR_SEC < 60, false) AS MERGE_CRITERIO,
+   coalesce(GAP_PREV_SEC_MIN >= 0 AND GAP_PREV_SEC_MIN < 60 AND DUR_SEC_MIN < 60 AND PREV_DUR_SEC_MIN < 60, false)
+     AS MERGE_CRITERIO_MINUTO
+ FROM (SELECT *, date_diff('second', PREV_FIM_MIN, DT_INI_MIN) AS GAP_PREV_SEC_MIN,
+              lag(DUR_SEC_MIN) OVER w AS PREV_DUR_SEC_MIN
+       FROM (SELECT *, date_diff('second', PREV_FIM, DT_INI) AS GAP_PREV_SEC, lag(DUR_SEC) OVER w AS PREV_DUR_SEC,
+                    date_diff('second', DT_INI_MIN, DT_FIM_MIN) AS DUR_SEC_MIN, lag(DT_FIM_MIN) OVER w AS PREV_FIM_MIN
+             FROM (SELECT *, date_diff('second', DT_INI, DT_FIM) AS DUR_SEC, lag(DT_FIM) OVER w AS PREV_FIM,
+                          (second(DT_INI) > 0 OR second(DT_FIM) > 0) AS TEM_PRECISAO_SEGUNDO,
+                          date_trunc('minute', DT_INI) AS DT_INI_MIN, date_trunc('minute', DT_FIM) AS DT_FIM_MIN
+                   FROM ({VALID_DENSE_SQL}) v
+                   WINDOW w AS (PARTITION BY REGIONAL_TOTAL, NUM_UC_UCI ORDER BY DT_INI, DT_FIM, NUM_INTRP)) t1
+             WINDOW w AS (PARTITION BY REGIONAL_TOTAL, NUM_UC_UCI ORDER BY DT_INI, DT_FIM, NUM_INTRP)) t2
+       WINDOW w AS (PARTITION BY REGIONAL_TOTAL, NUM_UC_UCI ORDER BY DT_INI, DT_FIM, NUM_INTRP)) t3)"""
+CRIT_COLS = ("REGIONAL_TOTAL, NUM_UC_UCI, NUM_INTRP, DT_INI, DT_FIM, DUR_SEC, GAP_PREV_SEC, PREV_DUR_SEC, "
+             "TEM_PRECISAO_SEGUNDO, DUR_SEC_MIN, GAP_PREV_SEC_MIN, PREV_DUR_SEC_MIN, GAP_LT_60S, GAP_LT_60S_MIN, "
+             "DUR_LT_60S, DUR_LT_60S_MIN, MERGE_CRITERIO, MERGE_CRITERIO_MINUTO")
+
+
+def _pct(c: str) -> str:
+    return RH(f"({c} / REGISTROS * 100.0)", 2)
+
+
+PRECISION_SQL = f"""
+SELECT *, {_pct('COM_SEGUNDOS')} AS PCT_COM_SEGUNDOS, {_pct('DURACAO_LT_60S')} AS PCT_DUR_LT_60S,
+  {_pct('GAP_LT_60S')} AS PCT_GAP_LT_60S, {_pct('MERGE_CRITERIO')} AS PCT_MERGE,
+  {_pct('MERGE_CRITERIO_MINUTO')} AS PCT_MERGE_MINUTO, MERGE_CRITERIO - MERGE_CRITERIO_MINUTO AS DELTA_MERGE_SEGUNDO
+FROM (SELECT REGIONAL_TOTAL, count(*) AS REGISTROS, count(*) FILTER (WHERE TEM_PRECISAO_SEGUNDO) AS COM_SEGUNDOS,
+        count(*) FILTER (WHERE DUR_LT_60S) AS DURACAO_LT_60S, count(*) FILTER (WHERE GAP_LT_60S) AS GAP_LT_60S,
+        count(*) FILTER (WHERE MERGE_CRITERIO) AS MERGE_CRITERIO,
+        count(*) FILTER (WHERE MERGE_CRITERIO_MINUTO) AS MERGE_CRITERIO_MINUTO
+      FROM {CRIT_SQL} c GROUP BY 1) a
+ORDER BY PCT_MERGE DESC, REGIONAL_TOTAL"""
+
+
+@register("precision_summary", oracle(PRECISION_SQL, ["intr_dense"]))
+def q_a12(spark, sf):
+    return iv.precision_summary(crit_dense(spark, sf))
+
+
+@register("precision_totals", oracle(
+    f"SELECT count(*) FILTER (WHERE MERGE_CRITERIO) AS MERGE_CRITERIO, "
+    f"count(*) FILTER (WHERE MERGE_CRITERIO_MINUTO) AS MERGE_CRITERIO_MINUTO, "
+    f"count(*) FILTER (WHERE MERGE_CRITERIO) - count(*) FILTER (WHERE MERGE_CRITERIO_MINUTO) AS DELTA_MERGE_SEGUNDO "
+    f"FROM {CRIT_SQL} c", ["intr_dense"]))
+def q_a13(spark, sf):
+    return iv.precision_totals(crit_dense(spark, sf))
+
+
+@register("mark_summary", oracle(
+    f"SELECT count(*) AS total, count(*) FILTER (WHERE verificado) AS verificado_true, "
+    f"count(*) FILTER (WHERE Contido_outra_intrp) AS contido_true, count(*) FILTER (WHERE Sobreposicao_tempo) "
+    f"AS sobreposto_true, count(*) FILTER (WHERE Conta_desligamento_unico) AS conta_unico_true, 'ok' AS status "
+    f"FROM {Q.marked_long()} m", ["intr_long"]))
+def q_a14(spark, sf):
+    return iv.mark_summary(marked_long(spark, sf))
+
+
+@register("available_months", oracle(
+    f"SELECT DISTINCT strftime(DTHR_INICIO_INTRP_PERCEBIDO, '%Y-%m') AS ANOMES FROM {Q.marked_long()} m "
+    f"WHERE DTHR_INICIO_INTRP_PERCEBIDO IS NOT NULL ORDER BY 1 DESC", ["intr_long"]))
+def q_a15(spark, sf):
+    return dq.available_months(marked_long(spark, sf), "DTHR_INICIO_INTRP_PERCEBIDO")
