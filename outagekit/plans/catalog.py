@@ -78,6 +78,7 @@ from outagekit.functions.schema import (  # noqa: E402
 from outagekit.operators import quality as dq  # noqa: E402
 from outagekit.sources import extract as ex  # noqa: E402
 from outagekit.sources import io as sio  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
@@ -782,3 +783,166 @@ def q_a14(spark, sf):
     f"WHERE DTHR_INICIO_INTRP_PERCEBIDO IS NOT NULL ORDER BY 1 DESC", ["intr_long"]))
 def q_a15(spark, sf):
     return dq.available_months(marked_long(spark, sf), "DTHR_INICIO_INTRP_PERCEBIDO")
+
+
+# ---------------------------------------------------------------------------
+# Windows (W1-W9)
+# ---------------------------------------------------------------------------
+
+def marked_dense_internal(spark, sf):
+    return iv.mark_overlaps(table(spark, sf, "intr_dense"), internals=True)
+
+
+_MDI = f"{Q.marked_dense(True)} m"
+_D = ["intr_dense"]
+
+
+@register("prev_max_end", oracle(f"SELECT NUM_UC_UCI, NUM_INTRP_UCI, PREV_MAX_FIM FROM {_MDI}", _D))
+def q_w1(spark, sf):
+    return marked_dense_internal(spark, sf).select("NUM_UC_UCI", "NUM_INTRP_UCI", "PREV_MAX_FIM")
+
+
+@register("next_min_start", oracle(f"SELECT NUM_UC_UCI, NUM_INTRP_UCI, NEXT_MIN_INI FROM {_MDI}", _D))
+def q_w2(spark, sf):
+    return marked_dense_internal(spark, sf).select("NUM_UC_UCI", "NUM_INTRP_UCI", "NEXT_MIN_INI")
+
+
+@register("gap_prev", oracle(
+    f"SELECT NUM_UC_UCI, NUM_INTRP_UCI, PREV_FIM, DUR_MIN, GAP_PREV_MIN, PREV_DUR_MIN FROM {_MDI}", _D))
+def q_w3(spark, sf):
+    return marked_dense_internal(spark, sf).select("NUM_UC_UCI", "NUM_INTRP_UCI", "PREV_FIM", "DUR_MIN",
+                                                   "GAP_PREV_MIN", "PREV_DUR_MIN")
+
+
+@register("outage_group", oracle(
+    f"SELECT NUM_UC_UCI, NUM_INTRP_UCI, Conta_desligamento_unico, Grupo_desligamento_uc FROM {_MDI}", _D))
+def q_w4(spark, sf):
+    return marked_dense_internal(spark, sf).select("NUM_UC_UCI", "NUM_INTRP_UCI", "Conta_desligamento_unico",
+                                                   "Grupo_desligamento_uc")
+
+
+@register("perceived_group", oracle(f"SELECT NUM_UC_UCI, NUM_INTRP_UCI, GRUPO_PERCEBIDO FROM {_MDI}", _D))
+def q_w5(spark, sf):
+    return marked_dense_internal(spark, sf).select("NUM_UC_UCI", "NUM_INTRP_UCI", "GRUPO_PERCEBIDO")
+
+
+@register("perceived_bounds", oracle(
+    f"SELECT NUM_UC_UCI, NUM_INTRP_UCI, NUM_INTRP_PERCEBIDA, DTHR_INICIO_INTRP_PERCEBIDO, DATA_HORA_FIM_INTR_PERCEBIDO, "
+    f"DURACAO_PERCEBIDA_MINUTOS FROM {_MDI}", _D))
+def q_w6(spark, sf):
+    return marked_dense_internal(spark, sf).select("NUM_UC_UCI", "NUM_INTRP_UCI", "NUM_INTRP_PERCEBIDA",
+                                                   "DTHR_INICIO_INTRP_PERCEBIDO", "DATA_HORA_FIM_INTR_PERCEBIDO",
+                                                   "DURACAO_PERCEBIDA_MINUTOS")
+
+
+@register("gap_prev_second_minute", oracle(
+    f"SELECT REGIONAL_TOTAL, NUM_UC_UCI, NUM_INTRP, GAP_PREV_SEC, PREV_DUR_SEC, GAP_PREV_SEC_MIN, PREV_DUR_SEC_MIN "
+    f"FROM {CRIT_SQL} c", _D))
+def q_w7(spark, sf):
+    return crit_dense(spark, sf).select("REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP", "GAP_PREV_SEC", "PREV_DUR_SEC",
+                                        "GAP_PREV_SEC_MIN", "PREV_DUR_SEC_MIN")
+
+
+CHANGE_SQL = f"""
+SELECT sigla_regional, mes_ref, registros, registros_mes_anterior,
+       CASE WHEN registros_mes_anterior > 0 THEN
+         {RH('((registros - registros_mes_anterior) / registros_mes_anterior * 100.0)', 4)} END AS pct_variacao
+FROM (SELECT *, lag(registros) OVER (PARTITION BY sigla_regional ORDER BY mes_ref) AS registros_mes_anterior
+      FROM {MONTHLY_SQL} m) x"""
+
+
+@register("monthly_change", oracle(CHANGE_SQL, OR))
+def q_w8(spark, sf):
+    return dq.monthly_change(monthly_orders(spark, sf))
+
+
+@register("share_of_total", oracle(
+    f"SELECT REGIONAL_TOTAL, PCT_DEC_COM_EXPURGO, PCT_FEC_COM_EXPURGO, PCT_DEC_BRUTO, PCT_FEC_BRUTO, PCT_UC_FATURADA "
+    f"FROM ({Q.dec_fec_sql(ANOMES)}) t", L_B))
+def q_w9(spark, sf):
+    return ind.dec_fec(unique_long(spark, sf), billed(spark, sf)).select(
+        "REGIONAL_TOTAL", "PCT_DEC_COM_EXPURGO", "PCT_FEC_COM_EXPURGO", "PCT_DEC_BRUTO", "PCT_FEC_BRUTO",
+        "PCT_UC_FATURADA")
+
+
+# ---------------------------------------------------------------------------
+# Sorts, limits, set operations, reshape
+# ---------------------------------------------------------------------------
+
+@register("order_total_last", oracle(
+    f"SELECT REGIONAL_TOTAL, row_number() OVER (ORDER BY CASE WHEN REGIONAL_TOTAL = 'COPEL' THEN 1 ELSE 0 END, "
+    f"REGIONAL_TOTAL) AS ORDEM FROM ({Q.dec_fec_sql(ANOMES)}) t", L_B))
+def q_r1(spark, sf):
+    t = ind.dec_fec(unique_long(spark, sf), billed(spark, sf)).select("REGIONAL_TOTAL")
+    w = Window.orderBy((F.col("REGIONAL_TOTAL") == S.TOTAL_LABEL).cast("int"), "REGIONAL_TOTAL")  # < 20 rows
+    return ind.order_total_last(t.select("REGIONAL_TOTAL", F.row_number().over(w).alias("ORDEM")))
+
+
+@register("top_durations", oracle(
+    f"SELECT REGIONAL_TOTAL, NUM_UC_UCI, NUM_INTRP_PERCEBIDA, NATUREZA, {RH('DUR_MIN / 60.0', 2)} AS DUR_H, RANK "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY REGIONAL_TOTAL ORDER BY DUR_MIN DESC, NUM_UC_UCI, "
+    f"NUM_INTRP_PERCEBIDA) AS RANK FROM {UNIQUE} u WHERE REGIONAL_TOTAL IN ('NRT', 'NRO')) r WHERE RANK <= 100", L_B))
+def q_r2(spark, sf):
+    return ind.top_durations(unique_long(spark, sf))
+
+
+@register("contained_sample", oracle(
+    f"SELECT 'intr_long' AS arquivo, NUM_UC_UCI, NUM_INTRP_INIC_MANOBRA_UCI, DTHR_INICIO_INTRP_UC, "
+    f"DATA_HORA_FIM_INTRP AS DATA_HORA_FIM_INTR, verificado, Contido_outra_intrp, Sobreposicao_tempo, "
+    f"Conta_desligamento_unico, Grupo_desligamento_uc FROM {Q.marked_long()} m WHERE Contido_outra_intrp "
+    f"ORDER BY NUM_UC_UCI, DTHR_INICIO_INTRP_UC, NUM_INTRP_INIC_MANOBRA_UCI, NUM_INTRP_UCI LIMIT 500", ["intr_long"]))
+def q_r3(spark, sf):
+    return dq.contained_sample(marked_long(spark, sf), 500, F.lit("intr_long"))
+
+
+@register("merge_sample", oracle(
+    "SELECT REGIONAL_TOTAL, NUM_UC_UCI, NUM_INTRP, DT_INI, DT_FIM, DUR_SEC, GAP_PREV_SEC, PREV_DUR_SEC, "
+    f"TEM_PRECISAO_SEGUNDO, MERGE_CRITERIO, MERGE_CRITERIO_MINUTO FROM {CRIT_SQL} c WHERE MERGE_CRITERIO "
+    "ORDER BY REGIONAL_TOTAL, NUM_UC_UCI, DT_INI, DT_FIM, NUM_INTRP LIMIT 500", _D))
+def q_r4(spark, sf):
+    return iv.merge_sample(crit_dense(spark, sf))
+
+
+@register("negative_sample", oracle(
+    f"SELECT * FROM {Q.marked_long()} m WHERE coalesce(DURACAO_PERCEBIDA_MINUTOS < 0, false) "
+    f"ORDER BY NUM_INTRP_UCI LIMIT 200", ["intr_long"]))
+def q_r5(spark, sf):
+    return dq.negative_sample(marked_long(spark, sf), 200, ["NUM_INTRP_UCI"])
+
+
+@register("top_regions", oracle(f"SELECT * FROM ({SUMMARY_SQL}) s ORDER BY registros DESC, sigla_regional LIMIT 20",
+                                ["intr_long"]))
+def q_r6a(spark, sf):
+    s = dq.regional_summary(table(spark, sf, "intr_long"), "SIGLA_REGIONAL")
+    return dq.top_n(s, 20, [F.col("registros").desc(), F.col("sigla_regional")])
+
+
+@register("append_total_row", oracle(
+    f"SELECT REGIONAL_TOTAL, CAST(count(*) AS BIGINT) AS CI FROM {UNIQUE} u GROUP BY 1 "
+    f"UNION ALL SELECT 'COPEL' AS REGIONAL_TOTAL, CAST(count(*) AS BIGINT) AS CI FROM {UNIQUE} v", L_B))
+def q_r7(spark, sf):
+    u = unique_long(spark, sf)
+    detail = u.groupBy("REGIONAL_TOTAL").agg(F.count(F.lit(1)).alias("CI"))
+    total = u.agg(F.count(F.lit(1)).alias("CI")).select(F.lit(S.TOTAL_LABEL).alias("REGIONAL_TOTAL"), "CI")
+    return detail.unionByName(total)
+
+
+@register("distinct_map", oracle(
+    f"SELECT DISTINCT SIGLA_REGIONAL, REGIONAL_TOTAL FROM billed_month WHERE ANOMES = '{ANOMES}' "
+    f"AND SIGLA_REGIONAL IS NOT NULL AND SIGLA_REGIONAL <> '' AND REGIONAL_TOTAL <> 'COPEL'", ["billed_month"]))
+def q_r8(spark, sf):
+    return ind.region_lookup(billed(spark, sf))
+
+
+@register("unpivot_components", oracle(
+    "SELECT REGIONAL_TOTAL, split_part(COLUNA, '_', 1) AS INDICADOR, split_part(COLUNA, '_', 2) AS COMPONENTE, "
+    "CAST(VALOR AS DOUBLE) AS VALOR FROM (UNPIVOT (SELECT REGIONAL_TOTAL, DEC_LIQUIDO, DEC_EXPURGO, DEC_BRUTO, "
+    f"FEC_LIQUIDO, FEC_EXPURGO, FEC_BRUTO FROM ({Q.dec_fec_sql(ANOMES)}) t) ON DEC_LIQUIDO, DEC_EXPURGO, DEC_BRUTO, "
+    "FEC_LIQUIDO, FEC_EXPURGO, FEC_BRUTO INTO NAME COLUNA VALUE VALOR) u", L_B))
+def q_r9(spark, sf):
+    return ind.unpivot_components(ind.dec_fec(unique_long(spark, sf), billed(spark, sf)))
+
+
+@register("preview_rows", oracle("SELECT * FROM intr_long ORDER BY NUM_INTRP_UCI LIMIT 20", ["intr_long"]))
+def q_r10(spark, sf):
+    return dq.preview_rows(table(spark, sf, "intr_long"), 20, ["NUM_INTRP_UCI"])
