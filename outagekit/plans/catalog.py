@@ -946,3 +946,261 @@ def q_r9(spark, sf):
 @register("preview_rows", oracle("SELECT * FROM intr_long ORDER BY NUM_INTRP_UCI LIMIT 20", ["intr_long"]))
 def q_r10(spark, sf):
     return dq.preview_rows(table(spark, sf, "intr_long"), 20, ["NUM_INTRP_UCI"])
+
+
+# ---------------------------------------------------------------------------
+# Interval and de-duplication operators
+# ---------------------------------------------------------------------------
+
+def resolve_sql(src: str, cols: list[str]) -> str:
+    """I2 as a recursive walk carrying the champion per consumer."""
+    keep = ", ".join(f"r.{c}" for c in cols)
+    return f"""
+(WITH RECURSIVE v AS (
+   SELECT CAST(NUM_INTRP_UCI AS VARCHAR) AS id, NUM_UC_UCI AS uc, DTHR_INICIO_INTRP_UC AS s, DATA_HORA_FIM_INTRP AS e,
+          row_number() OVER (PARTITION BY NUM_UC_UCI ORDER BY DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP,
+                                                       CAST(NUM_INTRP_UCI AS VARCHAR)) AS rn
+   FROM {src} WHERE DTHR_INICIO_INTRP_UC IS NOT NULL AND DATA_HORA_FIM_INTRP IS NOT NULL
+     AND DATA_HORA_FIM_INTRP >= DTHR_INICIO_INTRP_UC
+ ), walk(uc, rn, cid, cs, ce, emitted) AS (
+   SELECT uc, rn, id, s, e, CAST(NULL AS VARCHAR) FROM v WHERE rn = 1
+   UNION ALL
+   SELECT w.uc, v.rn,
+     CASE WHEN v.s < w.ce AND v.e > w.cs THEN
+            CASE WHEN date_diff('microsecond', v.s, v.e) > date_diff('microsecond', w.cs, w.ce) THEN v.id ELSE w.cid END
+          ELSE v.id END,
+     CASE WHEN v.s < w.ce AND v.e > w.cs THEN
+            CASE WHEN date_diff('microsecond', v.s, v.e) > date_diff('microsecond', w.cs, w.ce) THEN v.s ELSE w.cs END
+          ELSE v.s END,
+     CASE WHEN v.s < w.ce AND v.e > w.cs THEN
+            CASE WHEN date_diff('microsecond', v.s, v.e) > date_diff('microsecond', w.cs, w.ce) THEN v.e ELSE w.ce END
+          ELSE v.e END,
+     CASE WHEN v.s < w.ce AND v.e > w.cs THEN NULL ELSE w.cid END
+   FROM walk w JOIN v ON v.uc = w.uc AND v.rn = w.rn + 1
+ ), kept AS (
+   SELECT emitted AS id FROM walk WHERE emitted IS NOT NULL
+   UNION ALL
+   SELECT w.cid FROM walk w JOIN (SELECT uc, max(rn) AS mx FROM v GROUP BY uc) m ON w.uc = m.uc AND w.rn = m.mx
+ )
+ SELECT {keep} FROM {src} r
+ WHERE CAST(r.NUM_INTRP_UCI AS VARCHAR) IN (SELECT id FROM kept)
+    OR NOT coalesce(r.DTHR_INICIO_INTRP_UC IS NOT NULL AND r.DATA_HORA_FIM_INTRP IS NOT NULL
+                    AND r.DATA_HORA_FIM_INTRP >= r.DTHR_INICIO_INTRP_UC, false))"""
+
+
+@register("resolve_overlaps", oracle(f"SELECT * FROM {resolve_sql('intr_long', _B1_COLS)} x", ["intr_long"]))
+def q_i2(spark, sf):
+    return iv.resolve_overlaps(table(spark, sf, "intr_long"))
+
+
+def dedup_sql(src: str, cols: list[str]) -> str:
+    sel = ", ".join(cols)
+    return f"""
+(SELECT {sel} FROM (SELECT *, row_number() OVER (PARTITION BY NUM_UC_UCI, NUM_INTRP_INIC_MANOBRA_UCI
+   ORDER BY DTHR_INICIO_INTRP_UC ASC NULLS FIRST, DATA_HORA_FIM_INTRP ASC NULLS FIRST, NUM_INTRP_UCI ASC NULLS FIRST) AS rn
+   FROM {src}) d WHERE rn = 1)"""
+
+
+@register("dedup_first", oracle(f"SELECT * FROM {dedup_sql('intr_long', _B1_COLS)} x", ["intr_long"]))
+def q_d2(spark, sf):
+    return iv.dedup_first(table(spark, sf, "intr_long"), ["NUM_UC_UCI", "NUM_INTRP_INIC_MANOBRA_UCI"],
+                          ["DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "NUM_INTRP_UCI"])
+
+
+@register("dedup_exact", "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def q_d1(spark, sf):
+    return iv.dedup_exact(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+
+
+def raw_month(spark, sf):
+    """The raw (all text) month as extracted: B1 written as strings."""
+    return sio.bronze_as_string(table(spark, sf, "intr_long"))
+
+
+_RAW_TYPED = ("(SELECT NUM_UC_UCI, NUM_INTRP_UCI, NUM_INTRP_INIC_MANOBRA_UCI, SIGLA_REGIONAL, TIPO_PROTOC_JUSTIF_UCI, "
+              f"{PTS_IMPORT('CAST(DTHR_INICIO_INTRP_UC AS VARCHAR)')} AS DTHR_INICIO_INTRP_UC, "
+              f"{PTS_IMPORT('CAST(DATA_HORA_FIM_INTRP AS VARCHAR)')} AS DATA_HORA_FIM_INTRP FROM intr_long)")
+_I4_SQL = dedup_sql(resolve_sql(_RAW_TYPED, _B1_COLS), _B1_COLS)
+
+
+@register("import_processing", oracle(f"SELECT * FROM {_I4_SQL} x", ["intr_long"]))
+def q_i4(spark, sf):
+    return iv.import_processing(raw_month(spark, sf))
+
+
+@register("processing_report", oracle(
+    f"""SELECT a.n AS registros_iniciais, a.n - b.n AS removidos_sobreposicao, b.n - c.n AS removidos_duplicados,
+        c.n AS registros_finais, CASE WHEN a.n > 0 THEN {RH('((a.n - c.n) / a.n * 100.0)', 1)} ELSE 0.0 END AS reducao_pct
+    FROM (SELECT count(*) AS n FROM intr_long) a, (SELECT count(*) AS n FROM {resolve_sql(_RAW_TYPED, _B1_COLS)} x) b,
+         (SELECT count(*) AS n FROM {_I4_SQL} y) c""", ["intr_long"]))
+def q_a16(spark, sf):
+    return iv.processing_report(raw_month(spark, sf))
+
+
+@register("table_profile", oracle(
+    f"SELECT 'bruto' AS tabela, count(*) AS linhas, 7 AS colunas FROM intr_long "
+    f"UNION ALL SELECT 'processado' AS tabela, count(*) AS linhas, 7 AS colunas FROM {_I4_SQL} x", ["intr_long"]))
+def q_a17(spark, sf):
+    raw = raw_month(spark, sf)
+    return dq.table_profile({"bruto": raw, "processado": iv.import_processing(raw)})
+
+
+# ---------------------------------------------------------------------------
+# Data-quality tests (Q-A .. Q-I, R6)
+# ---------------------------------------------------------------------------
+
+@register("null_check", oracle(" UNION ALL ".join(
+    f"SELECT '{c}' AS coluna, count(*) FILTER (WHERE {c} IS NULL) AS nulos FROM intr_long" for c in _B1_COLS),
+    ["intr_long"]))
+def q_qa(spark, sf):
+    return dq.null_check(table(spark, sf, "intr_long"))
+
+
+_LI = "(SELECT l_orderkey, l_linenumber FROM lineitem)"
+
+
+@register("duplicate_check", f"""
+SELECT CAST(sum(n) - sum(n - 1) AS BIGINT) AS passed, CAST(sum(n - 1) AS BIGINT) AS failed, CAST(sum(n) AS BIGINT) AS linhas
+FROM (SELECT count(*) AS n FROM {_LI} t GROUP BY l_orderkey, l_linenumber) g""")
+def q_qb(spark, sf):
+    return dq.duplicate_check(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+
+
+_LI3 = "(SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem)"
+RULES_SQL = f"""
+SELECT regra, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, {RH('ratio * 100.0', 4)} AS pct_failed,
+       CASE WHEN thr IS NULL OR ratio <= thr THEN 'ok' ELSE 'falha' END AS status
+FROM (
+  SELECT 'null_check' AS regra, 3 * count(*) - nn AS passed, nn AS failed, nn / greatest(3 * count(*), 1) AS ratio,
+         0.05 AS thr FROM (SELECT *, (CASE WHEN l_orderkey IS NULL THEN 1 ELSE 0 END + CASE WHEN l_linenumber IS NULL
+         THEN 1 ELSE 0 END + CASE WHEN l_returnflag IS NULL THEN 1 ELSE 0 END) AS k FROM {_LI3} t) x,
+       (SELECT sum(CASE WHEN l_orderkey IS NULL THEN 1 ELSE 0 END + CASE WHEN l_linenumber IS NULL THEN 1 ELSE 0 END
+               + CASE WHEN l_returnflag IS NULL THEN 1 ELSE 0 END) AS nn FROM {_LI3} t2) y GROUP BY nn
+  UNION ALL
+  SELECT 'duplicate_check', sum(n) - sum(n - 1), sum(n - 1), sum(n - 1) / greatest(sum(n), 1), 0.01
+  FROM (SELECT count(*) AS n FROM {_LI3} t GROUP BY l_orderkey, l_linenumber, l_returnflag) g
+  UNION ALL
+  SELECT 'type_consistency', count(*), 0, 0.0, NULL FROM {_LI3} t) r"""
+
+
+@register("rule_report", RULES_SQL)
+def q_qc(spark, sf):
+    return dq.rule_report(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+
+
+TEXT_CONTRACT = T.StructType([
+    T.StructField("NUM_UC_UCI", T.StringType()),
+    T.StructField("NUM_INTRP_UCI", T.StringType()),
+    T.StructField("DTHR_INICIO_TXT", T.TimestampNTZType()),
+    T.StructField("DATA_HORA_FIM_TXT", T.TimestampNTZType()),
+    T.StructField("MES_TXT", T.StringType()),
+    T.StructField("DURACAO_PERCEBIDA_MINUTOS", T.DoubleType()),
+])
+
+
+@register("schema_check", oracle(f"""
+SELECT coluna, tipo_esperado, tipo_atual, tipo_atual <> 'ausente' AS presente, tipo_atual = tipo_esperado AS tipo_ok,
+       CAST(nao_convertiveis AS BIGINT) AS nao_convertiveis FROM (
+  SELECT 'NUM_UC_UCI' AS coluna, 'string' AS tipo_esperado, 'string' AS tipo_atual, 0 AS nao_convertiveis
+  UNION ALL SELECT 'NUM_INTRP_UCI', 'string', 'string', 0
+  UNION ALL SELECT 'DTHR_INICIO_TXT', 'timestamp_ntz', 'string',
+    (SELECT count(*) FILTER (WHERE DTHR_INICIO_TXT IS NOT NULL AND {PTS('DTHR_INICIO_TXT')} IS NULL) FROM intr_text)
+  UNION ALL SELECT 'DATA_HORA_FIM_TXT', 'timestamp_ntz', 'string',
+    (SELECT count(*) FILTER (WHERE DATA_HORA_FIM_TXT IS NOT NULL AND {PTS('DATA_HORA_FIM_TXT')} IS NULL) FROM intr_text)
+  UNION ALL SELECT 'MES_TXT', 'string', 'string', 0
+  UNION ALL SELECT 'DURACAO_PERCEBIDA_MINUTOS', 'double', 'ausente', NULL) s""", ["intr_text"]))
+def q_qd(spark, sf):
+    return dq.schema_check(_text(spark, sf), TEXT_CONTRACT)
+
+
+def _iqr_sql(cols: list[str], k: float = 1.5, min_non_null: int = 5000) -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS coluna, CAST({c} AS DOUBLE) AS valor FROM events" for c in cols)
+    q1 = nearest_sql(f"({long})", "valor", "coluna", 0.25)
+    q3 = nearest_sql(f"({long})", "valor", "coluna", 0.75)
+    fences = f"""(SELECT s.*, a.v AS q1, b.v AS q3, b.v - a.v AS iqr, a.v - {k!r} * (b.v - a.v) AS limite_inferior,
+        b.v + {k!r} * (b.v - a.v) AS limite_superior
+      FROM (SELECT coluna, count(valor) AS nao_nulos, min(valor) AS min, max(valor) AS max, avg(valor) AS mean,
+                   stddev_samp(valor) AS std FROM ({long}) l GROUP BY 1) s
+      JOIN {q1} a USING (coluna) JOIN {q3} b USING (coluna)
+      WHERE s.nao_nulos >= {min_non_null} AND a.v IS NOT NULL AND b.v IS NOT NULL)"""
+    low = "CASE WHEN f.iqr = 0 THEN l.valor < f.q1 ELSE l.valor < f.limite_inferior END"
+    high = "CASE WHEN f.iqr = 0 THEN l.valor > f.q1 ELSE l.valor > f.limite_superior END"
+    counts = f"""(SELECT l.coluna, count(*) FILTER (WHERE {low} OR {high}) AS outliers,
+        count(*) FILTER (WHERE {low}) AS outliers_inferiores, count(*) FILTER (WHERE {high}) AS outliers_superiores
+      FROM ({long}) l JOIN {fences} f USING (coluna) WHERE l.valor IS NOT NULL GROUP BY 1)"""
+    return f"""
+SELECT f.coluna, f.nao_nulos, coalesce(c.outliers, 0) AS outliers, coalesce(c.outliers_inferiores, 0) AS outliers_inferiores,
+  coalesce(c.outliers_superiores, 0) AS outliers_superiores,
+  {RH('(coalesce(c.outliers, 0) / f.nao_nulos * 100.0)', 4)} AS pct_outliers,
+  f.limite_inferior, f.limite_superior, f.q1, f.q3, f.iqr, f.min, f.max, {RH('f.mean', 6)} AS media,
+  {RH('f.std', 6)} AS desvio_padrao
+FROM {fences} f LEFT JOIN {counts} c USING (coluna)"""
+
+
+IQR_SQL = _iqr_sql(["event_id", "user_id", "value"])
+
+
+def iqr_events(spark, sf):
+    return dq.iqr_outliers(table(spark, sf, "events"))
+
+
+@register("iqr_outliers", IQR_SQL)
+def q_qe(spark, sf):
+    return iqr_events(spark, sf)
+
+
+@register("outlier_alerts", f"""
+SELECT count(*) AS colunas_analisadas, count(*) FILTER (WHERE pct_outliers >= 1.0) AS colunas_em_alerta,
+  CAST(coalesce(sum(CASE WHEN rn <= 30 THEN outliers_inferiores END), 0) AS BIGINT) AS inferiores_top,
+  CAST(coalesce(sum(CASE WHEN rn <= 30 THEN outliers_superiores END), 0) AS BIGINT) AS superiores_top
+FROM (SELECT *, row_number() OVER (ORDER BY pct_outliers DESC, coluna) AS rn FROM ({IQR_SQL}) i) r""")
+def q_qf(spark, sf):
+    return dq.outlier_alerts(iqr_events(spark, sf))
+
+
+@register("top_outliers", f"SELECT * FROM ({IQR_SQL}) i ORDER BY pct_outliers DESC, coluna LIMIT 30")
+def q_r6b(spark, sf):
+    return dq.top_n(iqr_events(spark, sf), 30, [F.col("pct_outliers").desc(), F.col("coluna")])
+
+
+@register("negative_durations", oracle(
+    f"SELECT 'DURACAO_PERCEBIDA_MINUTOS' AS coluna, count(*) FILTER (WHERE DURACAO_PERCEBIDA_MINUTOS < 0) AS negativos "
+    f"FROM {Q.marked_long()} m", ["intr_long"]))
+def q_qg(spark, sf):
+    return dq.negative_durations(marked_long(spark, sf))
+
+
+ANOM_FULL_SQL = f"""
+(SELECT sigla_regional, mes_ref, registros, registros_mes_anterior, pct_variacao,
+   CASE WHEN mad > 0 THEN {RH('(0.6745 * (registros - med) / mad)', 4)} END AS robust_z
+ FROM (SELECT *, median(abs(registros - med)) OVER (PARTITION BY sigla_regional) AS mad
+       FROM (SELECT *, median(CAST(registros AS DOUBLE)) OVER (PARTITION BY sigla_regional) AS med
+             FROM ({CHANGE_SQL}) c) a) b)"""
+
+
+@register("regional_anomalies", oracle(f"""
+SELECT *, coalesce(abs(pct_variacao) >= 35.0, false) OR coalesce(abs(robust_z) >= 3.5, false) AS anomalia
+FROM {ANOM_FULL_SQL} x
+WHERE mes_ref = (SELECT max(mes_ref) FROM {MONTHLY_SQL} m)
+  AND (coalesce(abs(pct_variacao) >= 35.0, false) OR coalesce(abs(robust_z) >= 3.5, false))
+ORDER BY pct_variacao DESC NULLS FIRST, robust_z DESC NULLS FIRST""", OR))
+def q_qh(spark, sf):
+    return dq.regional_anomalies(monthly_orders(spark, sf))
+
+
+@register("regional_psi", oracle(f"""
+SELECT psi, mes_atual, mes_anterior,
+  CASE WHEN psi >= 0.25 THEN 'Drift alto' WHEN psi >= 0.10 THEN 'Drift moderado'
+       WHEN psi IS NOT NULL THEN 'Estavel' END AS nivel
+FROM (SELECT CASE WHEN max(sa) > 0 AND max(sp) > 0 AND (SELECT max(mes_ref) FROM {MONTHLY_SQL} q
+                    WHERE mes_ref < (SELECT max(mes_ref) FROM {MONTHLY_SQL} r)) IS NOT NULL
+             THEN {RH('sum((a - e) * ln(a / e))', 8)} END AS psi,
+             (SELECT max(mes_ref) FROM {MONTHLY_SQL} s) AS mes_atual,
+             (SELECT max(mes_ref) FROM {MONTHLY_SQL} t WHERE mes_ref < (SELECT max(mes_ref) FROM {MONTHLY_SQL} u))
+               AS mes_anterior
+      FROM (SELECT registros_atual / sum(registros_atual) OVER () + 1e-8 AS a,
+                   registros_anterior / sum(registros_anterior) OVER () + 1e-8 AS e,
+                   sum(registros_atual) OVER () AS sa, sum(registros_anterior) OVER () AS sp
+            FROM ({TWO_MONTHS_SQL}) p) z) y""", OR))
+def q_qi(spark, sf):
+    return dq.regional_psi(monthly_orders(spark, sf))
