@@ -185,55 +185,60 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
     strictly overlapping intervals, the longer one; on equal length the
     earlier one stays (I2; card C4).
 
-    Because kept intervals never overlap each other, only the most recent
-    kept interval (the champion) can overlap the next row.  Islands - runs
-    of rows linked by overlap with the running maximum of the end - are
-    therefore independent, and the fold runs per (uc, island) as a
-    JVM-side ``aggregate`` over the island's rows.  Rows with a missing or
-    inverted interval bypass the fold unchanged.
+    Kept intervals never overlap each other, so only the most recent kept
+    interval (the champion) can overlap the next row.  Islands - runs of
+    rows linked by overlap with the running maximum of the end - are
+    therefore independent, and the order-dependent fold runs per island:
+
+    * one hash exchange on the consumer unit; a running-max window numbers
+      the islands, and a second window over (uc, island) - already
+      co-partitioned, no new exchange - hands each row its island's
+      (start, end, id) keys;
+    * single-row islands (the common case) are kept without any fold;
+    * larger islands evaluate a JVM-side ``aggregate`` over their sorted
+      keys and each row checks whether it is among the kept ones.
+
+    Rows with a missing or inverted interval bypass the fold unchanged.
+    Islands are chains of mutually overlapping interruptions of one
+    consumer, so their size is bounded by the physical process, not by the
+    table; the fold costs O(k^2) for an island of k rows.
     """
     end = end or resolve_column(df.columns, END_ALIASES)
     if end is None:
         raise KeyError("no end column")
-    tb = tiebreak if tiebreak and tiebreak in df.columns else None
     sch = df.schema
-    rid_cols = [c for c in df.columns]
-    typed = df.select("*", S.parse_ts(start, sch[start].dataType).alias("__s"),
-                      S.parse_ts(end, sch[end].dataType).alias("__e"))
-    ok = F.col("__s").isNotNull() & F.col("__e").isNotNull() & (F.col("__e") >= F.col("__s"))
-    order = [F.col("__s"), F.col("__e")] + ([_q(tb).cast("string")] if tb else [])
-    w = Window.partitionBy(_q(uc)).orderBy(*order)
-    valid = typed.where(ok)
-    islands = valid.select(
-        "*", F.max("__e").over(w.rowsBetween(_UNB, -1)).alias("__pmax"),
-    ).select(
-        "*", F.sum(F.when(F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")), 1).otherwise(0))
-        .over(w.rowsBetween(_UNB, Window.currentRow)).alias("__island"),
-    )
-    row = F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"),
-                   (_q(tb).cast("string") if tb else F.lit(None).cast("string")).alias("t"),
-                   F.struct(*[_q(c) for c in rid_cols]).alias("r"))
-    grouped = islands.groupBy(_q(uc).alias("__uc"), F.col("__island")).agg(
-        F.array_sort(F.collect_list(row)).alias("__rows"))
-    # Accumulator: kept rows so far and the current champion.
-    elem = grouped.schema["__rows"].dataType.elementType.simpleString()
+    tb = (_q(tiebreak).cast("string") if tiebreak and tiebreak in df.columns
+          else F.xxhash64(*[_q(c) for c in df.columns]).cast("string"))
+    s_, e_ = S.parse_ts(start, sch[start].dataType), S.parse_ts(end, sch[end].dataType)
+    typed = df.select("*", s_.alias("__s"), e_.alias("__e"), tb.alias("__t"))
+    ok = F.coalesce(F.col("__s").isNotNull() & F.col("__e").isNotNull() & (F.col("__e") >= F.col("__s")),
+                    F.lit(False))
+    w = Window.partitionBy(_q(uc)).orderBy("__s", "__e", "__t")
+    step1 = typed.select("*", ok.alias("__ok"),
+                         F.max(F.when(ok, F.col("__e"))).over(w.rowsBetween(_UNB, -1)).alias("__pmax"))
+    boundary = F.col("__ok") & (F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")))
+    step2 = step1.select("*", F.sum(boundary.cast("int")).over(w.rowsBetween(_UNB, Window.currentRow))
+                         .alias("__island"))
+    key = F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__t").alias("t"))
+    wi = Window.partitionBy(_q(uc), F.col("__island"), F.col("__ok"))
+    step3 = step2.select("*", F.collect_list(F.when(F.col("__ok"), key)).over(wi).alias("__keys"))
+
+    elem = "struct<s: timestamp_ntz, e: timestamp_ntz, t: string>"
     init = F.expr(f"named_struct('kept', cast(array() AS array<{elem}>), 'champ', cast(NULL AS {elem}))")
 
     def step(acc: Column, cur: Column) -> Column:
         champ = acc["champ"]
         dur = lambda x: F.timestamp_diff("MICROSECOND", x["s"], x["e"])
         overlap = (cur["s"] < champ["e"]) & (cur["e"] > champ["s"])
-        longer = dur(cur) > dur(champ)
         return (F.when(champ.isNull(), F.struct(acc["kept"].alias("kept"), cur.alias("champ")))
-                .when(overlap & longer, F.struct(acc["kept"].alias("kept"), cur.alias("champ")))
+                .when(overlap & (dur(cur) > dur(champ)), F.struct(acc["kept"].alias("kept"), cur.alias("champ")))
                 .when(overlap, acc)
                 .otherwise(F.struct(F.concat(acc["kept"], F.array(champ)).alias("kept"), cur.alias("champ"))))
 
-    folded = grouped.select(F.aggregate("__rows", init, step).alias("__acc"))
-    kept = folded.select(F.explode(F.concat(F.col("__acc.kept"), F.array(F.col("__acc.champ")))).alias("k"))
-    kept_rows = kept.select("k.r.*")
-    passthrough = typed.where(~ok | ok.isNull()).select(*[_q(c) for c in rid_cols])
-    return kept_rows.unionByName(passthrough)
+    kept_keys = F.aggregate(F.array_sort("__keys"), init, step,
+                            lambda acc: F.concat(acc["kept"], F.array(acc["champ"])))
+    keep = (~F.col("__ok")) | (F.size("__keys") <= 1) | F.array_contains(kept_keys, key)
+    return step3.where(keep).select(*[_q(c) for c in df.columns])
 
 
 # ----------------------------------------------------------------------------
