@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from outagekit.functions import scalars as S
 from outagekit.functions.numeric import minutes_to_micros, round_half
+from outagekit.operators.joins import broadcast_bounded
 from outagekit.functions.schema import (
     BILLED_UC_ALIASES, JUSTIFICATION_ALIASES, MONTH_ALIASES, PERCEIVED_END_ALIASES,
     PERCEIVED_START_ALIASES, is_temporal, resolve_column,
@@ -60,7 +61,9 @@ def eligible_rows(marked: DataFrame, anomes: str, billed_month: DataFrame | None
 
     Month is taken from the perceived start and applied as a half-open
     timestamp range, so it prunes at the scan when the table is read from
-    storage.  Consumer and perceived id must be present, the row verified
+    storage.  The code -> region map has one row per region code; it is
+    broadcast after a size check, so the interval rows are never shuffled
+    on the (five-valued) code.  Consumer and perceived id must be present, the row verified
     and the perceived duration at least 3 minutes."""
     sch = marked.schema
     start = resolve_column(marked.columns, PERCEIVED_START_ALIASES)
@@ -89,7 +92,7 @@ def eligible_rows(marked: DataFrame, anomes: str, billed_month: DataFrame | None
             raise ValueError("a table without REGIONAL_TOTAL needs the billed table for the code map")
         base = (marked.where(month_pred)
                 .select(F.coalesce(F.col("SIGLA_REGIONAL").cast("string"), F.lit("")).alias("SIGLA_REGIONAL"), *cols)
-                .join(region_lookup(billed_month), "SIGLA_REGIONAL", "left")
+                .join(broadcast_bounded(region_lookup(billed_month)), "SIGLA_REGIONAL", "left")
                 .select(F.coalesce("REGIONAL_TOTAL", F.lit(S.NO_REGION)).alias("REGIONAL_TOTAL"),
                         *[c for c in ("NUM_UC_UCI", "NUM_INTRP_PERCEBIDA", "DUR_MIN",
                                       "TIPO_PROTOC_JUSTIF_UCI", "VERIFICADO")]))

@@ -79,12 +79,18 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
         _q(iid).cast("string").alias("__id"),
         S.parse_ts(start, sch[start].dataType).alias("__ini"),
         S.parse_ts(end, sch[end].dataType).alias("__fim"),
+        (_q(tb).cast("string") if tb else F.lit(None).cast("string")).alias("__tb"),
     )
     order = [F.col("__ini").asc_nulls_first(), F.col("__fim").asc_nulls_first(),
              F.col("__id").asc_nulls_first()]
     if tb:
-        order.append(_q(tb).cast("string").asc_nulls_first())
-    keys = [F.col("__uc"), *[_q(s) for s in scope]]
+        order.append(F.col("__tb").asc_nulls_first())
+    # Partition on the input column itself when it is already text, so the
+    # hash partitioning stays visible to later operators keyed by the
+    # consumer (e.g. the per-interruption consolidation) and they need no
+    # new exchange.
+    uc_key = _q(uc) if isinstance(sch[uc].dataType, T.StringType) else F.col("__uc")
+    keys = [uc_key, *[_q(s) for s in scope]]
     w = Window.partitionBy(*keys).orderBy(*order)
     running = w.rowsBetween(_UNB, Window.currentRow)
 
@@ -122,8 +128,7 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
         F.when(v, F.sum((~merge).cast("long")).over(running)).alias("__grp"),
     )
     wg = Window.partitionBy(*keys, F.col("__grp"))
-    first_key = F.struct(F.col("__ini"), F.col("__fim"), F.col("__id"),
-                         *([_q(tb).cast("string")] if tb else []))
+    first_key = F.struct(F.col("__ini"), F.col("__fim"), F.col("__id"), F.col("__tb"))
     step4 = step3.select(
         "*",
         F.min("__ini").over(wg).alias("__ini_p"),

@@ -76,6 +76,7 @@ from outagekit.functions.schema import (  # noqa: E402
     resolve_columns as _resolve_columns, resolve_column_fuzzy, standardize_columns,
 )
 from outagekit.operators import quality as dq  # noqa: E402
+from outagekit.operators.joins import broadcast_bounded  # noqa: E402
 from outagekit.sources import extract as ex  # noqa: E402
 from outagekit.sources import io as sio  # noqa: E402
 from pyspark.sql import Window  # noqa: E402
@@ -575,7 +576,7 @@ def _month_rows_sql() -> str:
 def q_j3(spark, sf):
     m = marked_long(spark, sf).where(S.in_month("DTHR_INICIO_INTRP_PERCEBIDO", ANOMES))
     m = m.select("NUM_UC_UCI", "NUM_INTRP_UCI", F.coalesce("SIGLA_REGIONAL", F.lit("")).alias("SIGLA_REGIONAL"))
-    return (m.join(ind.region_lookup(billed(spark, sf)), "SIGLA_REGIONAL", "left")
+    return (m.join(broadcast_bounded(ind.region_lookup(billed(spark, sf))), "SIGLA_REGIONAL", "left")
             .select("NUM_UC_UCI", "NUM_INTRP_UCI", "SIGLA_REGIONAL",
                     F.coalesce("REGIONAL_TOTAL", F.lit(S.NO_REGION)).alias("REGIONAL_TOTAL")))
 
