@@ -9,6 +9,8 @@ rows; only the text-layout view needs engine-specific date formatting.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -205,16 +207,30 @@ def _ntz(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table (parquet scan) or a derived view, as a DataFrame."""
+    """A base table (parquet scan) or a derived view, as a DataFrame.
+
+    DataFrames are plans, not data; they are memoised per session, folder
+    and name so repeated queries skip file listing and re-analysis."""
+    key = (id(spark), sf_dir, name)
+    hit = _PLANS.get(key)
+    if hit is not None:
+        return hit
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for dep in DEPENDS.get(name, []):
-        table(spark, sf_dir, dep).createOrReplaceTempView(dep)
-    for base in BASE_TABLES:
-        if base in _sql_for(name, "spark"):
-            spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-    return _ntz(spark.sql(_sql_for(name, "spark")))
+        out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    else:
+        for dep in DEPENDS.get(name, []):
+            table(spark, sf_dir, dep).createOrReplaceTempView(dep)
+        sql = _sql_for(name, "spark")
+        for base in BASE_TABLES:
+            if re.search(rf"\b{base}\b", sql):
+                table(spark, sf_dir, base).createOrReplaceTempView(base)
+        out = _ntz(spark.sql(sql))
+    _PLANS[key] = out
+    return out
 
 
 def oracle(body: str, views: list[str]) -> str:
