@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from outagekit.functions import scalars as S
 from outagekit.functions.numeric import round_half
+from outagekit.operators import scan as SC
 from outagekit.functions.schema import (
     END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES, resolve_column,
 )
@@ -59,7 +60,8 @@ def _tiebreak(df: DataFrame, iid: str) -> str | None:
     return own if own and own != iid else None
 
 
-def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = False) -> DataFrame:
+def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = False,
+                  skew: str = "auto", hot_rows: int = SC.DEFAULT_HOT_ROWS) -> DataFrame:
     """Per consumer unit (and ``scope`` columns, e.g. a month partition):
     validity, containment, overlap, unique-outage groups and the perceived
     interval after merging micro-interruptions (I1; card C3).
@@ -69,6 +71,12 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
     still open a new perceived group; a null end hides the running maximum
     from the next row.  ``internals`` keeps the window columns (W1-W5)
     for inspection.
+
+    Plan: one hash exchange on the consumer and a chain of windows over it.
+    Consumers with more than ``hot_rows`` rows (``skew="auto"``; ``"on"``
+    sends every consumer, ``"off"`` none) take the chunked path of
+    ``operators.scan``: their sorted run is split over several tasks and
+    stitched with per-chunk carries, so no task holds a hot consumer whole.
     """
     uc, iid, start, end = interval_columns(df)
     tb = _tiebreak(df, iid)
@@ -81,35 +89,35 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
         S.parse_ts(end, sch[end].dataType).alias("__fim"),
         (_q(tb).cast("string") if tb else F.lit(None).cast("string")).alias("__tb"),
     )
+    base = base.select("*", S.seconds_between(F.col("__ini"), F.col("__fim")).alias("__dur_s"))
     order = [F.col("__ini").asc_nulls_first(), F.col("__fim").asc_nulls_first(),
-             F.col("__id").asc_nulls_first()]
-    if tb:
-        order.append(F.col("__tb").asc_nulls_first())
+             F.col("__id").asc_nulls_first(), F.col("__tb").asc_nulls_first()]
     # Partition on the input column itself when it is already text, so the
     # hash partitioning stays visible to later operators keyed by the
     # consumer (e.g. the per-interruption consolidation) and they need no
     # new exchange.
-    uc_key = _q(uc) if isinstance(sch[uc].dataType, T.StringType) else F.col("__uc")
-    keys = [uc_key, *[_q(s) for s in scope]]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    running = w.rowsBetween(_UNB, Window.currentRow)
+    uc_name = uc if isinstance(sch[uc].dataType, T.StringType) else "__uc"
+    keys = [uc_name, *scope]
+    ctx = dict(keys=keys, order=order, iid=iid, df=df, internals=internals)
 
-    valid = (F.col("__uc").isNotNull() & F.col("__id").isNotNull() & F.col("__ini").isNotNull()
-             & F.col("__fim").isNotNull() & (F.col("__fim") >= F.col("__ini")))
-    step1 = base.select(
-        "*",
-        valid.alias("__valid"),
-        F.when(F.col("__fim").isNotNull(), F.max("__fim").over(running)).alias("__cum_fim"),
-        F.lead("__ini").over(w).alias("__next_ini"),
-        F.lag("__fim").over(w).alias("__prev_fim"),
-        S.seconds_between(F.col("__ini"), F.col("__fim")).alias("__dur_s"),
-    )
-    step2 = step1.select(
-        "*",
-        F.lag("__cum_fim").over(w).alias("__prev_max_fim"),
-        F.lag("__dur_s").over(w).alias("__prev_dur_s"),
-        S.seconds_between(F.col("__prev_fim"), F.col("__ini")).alias("__gap_s"),
-    )
+    parts = None
+    if skew == "on":
+        parts = (base.limit(0), base)
+    elif skew == "auto":
+        parts = SC.split_hot(base, keys, hot_rows)
+    if parts is None:
+        return _mark_plain(base, **ctx)
+    normal, hot = parts
+    return _mark_plain(normal, **ctx).unionByName(_mark_chunked(hot, **ctx))
+
+
+def _valid() -> Column:
+    return (F.col("__uc").isNotNull() & F.col("__id").isNotNull() & F.col("__ini").isNotNull()
+            & F.col("__fim").isNotNull() & (F.col("__fim") >= F.col("__ini")))
+
+
+def _flags(frame: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Mark flags from __prev_max_fim, __next_ini, __gap_s, __dur_s, __prev_dur_s."""
     v = F.col("__valid")
     pm = F.col("__prev_max_fim")
     overlaps_prev = F.coalesce(v & (F.col("__ini") <= pm), F.lit(False))
@@ -117,24 +125,120 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
         v & (F.col("__gap_s") >= 0) & (F.col("__gap_s") < 60)
         & (F.col("__dur_s") < 60) & (F.col("__prev_dur_s") < 60),
         F.lit(False))
-    step3 = step2.select(
+    out = frame.select(
         "*",
         v.alias("verificado"),
         F.coalesce(v & (F.col("__fim") <= pm), F.lit(False)).alias("Contido_outra_intrp"),
         F.coalesce(v & ((F.col("__ini") <= pm) | (F.col("__fim") >= F.col("__next_ini"))),
                    F.lit(False)).alias("Sobreposicao_tempo"),
         (v & ~overlaps_prev).alias("Conta_desligamento_unico"),
-        F.when(v, F.sum((v & ~overlaps_prev).cast("long")).over(running)).alias("Grupo_desligamento_uc"),
-        F.when(v, F.sum((~merge).cast("long")).over(running)).alias("__grp"),
+        (v & ~overlaps_prev).cast("long").alias("__u1"),
+        (~merge).cast("long").alias("__m1"),
     )
-    wg = Window.partitionBy(*keys, F.col("__grp"))
-    first_key = F.struct(F.col("__ini"), F.col("__fim"), F.col("__id"), F.col("__tb"))
+    return out, v, merge
+
+
+def _first_key() -> Column:
+    return F.struct(F.col("__ini"), F.col("__fim"), F.col("__id"), F.col("__tb"))
+
+
+def _mark_plain(base: DataFrame, keys, order, iid, df, internals) -> DataFrame:
+    w = Window.partitionBy(*[_q(k) for k in keys]).orderBy(*order)
+    running = w.rowsBetween(_UNB, Window.currentRow)
+    step1 = base.select(
+        "*",
+        _valid().alias("__valid"),
+        F.when(F.col("__fim").isNotNull(), F.max("__fim").over(running)).alias("__cum_fim"),
+        F.lead("__ini").over(w).alias("__next_ini"),
+        F.lag("__fim").over(w).alias("__prev_fim"),
+    )
+    step2 = step1.select(
+        "*",
+        F.lag("__cum_fim").over(w).alias("__prev_max_fim"),
+        F.lag("__dur_s").over(w).alias("__prev_dur_s"),
+        S.seconds_between(F.col("__prev_fim"), F.col("__ini")).alias("__gap_s"),
+    )
+    step3, v, _ = _flags(step2)
+    step3 = step3.select(
+        "*",
+        F.when(v, F.sum("__u1").over(running)).alias("Grupo_desligamento_uc"),
+        F.when(v, F.sum("__m1").over(running)).alias("__grp"),
+    )
+    wg = Window.partitionBy(*[_q(k) for k in keys], F.col("__grp"))
     step4 = step3.select(
         "*",
         F.min("__ini").over(wg).alias("__ini_p"),
         F.max("__fim").over(wg).alias("__fim_p"),
-        F.min_by("__id", first_key).over(wg).alias("__id_p"),
+        F.min_by("__id", _first_key()).over(wg).alias("__id_p"),
+    )
+    return _mark_finish(step4, iid, df, internals)
+
+
+def _mark_chunked(base: DataFrame, keys, order, iid, df, internals) -> DataFrame:
+    """The same marks for hot consumers, computed per ordered chunk and
+    stitched with border carries (see ``operators.scan``)."""
+    kc = [_q(k) for k in keys]
+    h = SC.chunked(base, kc, order)
+    wl = SC.chunk_window(kc, order)
+    running = wl.rowsBetween(_UNB, Window.currentRow)
+    h1 = h.select(
+        "*", _valid().alias("__valid"),
+        F.max("__fim").over(running).alias("__lcm"),
+        F.lead("__ini").over(wl).alias("__lead_ini"),
+        F.lag("__fim").over(wl).alias("__lag_fim"),
+        F.lag("__dur_s").over(wl).alias("__lag_dur"),
+        SC.is_first(wl).alias("__first"), SC.is_last(wl).alias("__last"),
     )
+    oc = ["__ini", "__fim", "__id", "__tb"]
+    h2 = SC.border_carry(h1, keys, oc, last=["__fim", "__dur_s"], first=["__ini"], max_cols=["__fim"])
+    first = F.col("__first")
+    h3 = h2.select(
+        "*",
+        F.when(F.col("__fim").isNotNull(), F.greatest("__lcm", "__pm___fim")).alias("__cum_fim"),
+        F.when(F.col("__last"), F.col("__nf___ini")).otherwise(F.col("__lead_ini")).alias("__next_ini"),
+        F.when(first, F.col("__pl___fim")).otherwise(F.col("__lag_fim")).alias("__prev_fim"),
+        F.when(first, F.col("__pl___dur_s")).otherwise(F.col("__lag_dur")).alias("__prev_dur_s"),
+    )
+    h4 = h3.select(
+        "*",
+        F.when(first, F.when(F.col("__has_prev") & F.col("__pl___fim").isNotNull(), F.col("__pm___fim")))
+        .otherwise(F.lag("__cum_fim").over(wl)).alias("__prev_max_fim"),
+        S.seconds_between(F.col("__prev_fim"), F.col("__ini")).alias("__gap_s"),
+    )
+    h5, v, _ = _flags(h4.drop("__has_prev", "__pl___fim", "__pl___dur_s", "__nf___ini", "__pm___fim"))
+    h6 = SC.border_carry(h5, keys, oc, sum_cols=["__u1", "__m1"])
+    h7 = h6.select(
+        "*",
+        F.when(v, F.sum("__u1").over(running) + F.col("__ps___u1")).alias("Grupo_desligamento_uc"),
+        F.when(v, F.sum("__m1").over(running) + F.col("__ps___m1")).alias("__grp"),
+    )
+    # Perceived groups are contiguous in the order; a group crossing a chunk
+    # border is the last group of one chunk and the first of the next.
+    wg = Window.partitionBy(*kc, F.col(SC.CHUNK), F.col("__grp"))
+    wc = Window.partitionBy(*kc, F.col(SC.CHUNK))
+    h8 = h7.select(
+        "*",
+        F.min("__ini").over(wg).alias("__ini_l"), F.max("__fim").over(wg).alias("__fim_l"),
+        F.min_by("__id", _first_key()).over(wg).alias("__id_l"), F.min(_first_key()).over(wg).alias("__fk_l"),
+        F.min("__grp").over(wc).alias("__gmin"), F.max("__grp").over(wc).alias("__gmax"),
+    )
+    pieces = (h8.where(F.col("__grp").isNotNull()
+                       & ((F.col("__grp") == F.col("__gmin")) | (F.col("__grp") == F.col("__gmax"))))
+              .select(*kc, "__grp", "__ini_l", "__fim_l", "__id_l", "__fk_l").distinct())
+    # at most two pieces per (key, chunk): bounded like the border summary
+    spans = pieces.groupBy(*kc, "__grp").agg(
+        F.min("__ini_l").alias("__ini_g"), F.max("__fim_l").alias("__fim_g"),
+        F.min_by("__id_l", F.col("__fk_l")).alias("__id_g"))
+    h9 = h8.join(F.broadcast(spans), [*keys, "__grp"], "left").select(
+        "*",
+        F.coalesce("__ini_g", "__ini_l").alias("__ini_p"),
+        F.coalesce("__fim_g", "__fim_l").alias("__fim_p"),
+        F.coalesce("__id_g", "__id_l").alias("__id_p"),
+    )
+    return _mark_finish(h9, iid, df, internals)
+
+
+def _mark_finish(step4: DataFrame, iid: str, df: DataFrame, internals: bool) -> DataFrame:
     own_dur = F.col("__dur_s") / F.lit(60.0)
     ver = F.col("verificado")
     marks = {
