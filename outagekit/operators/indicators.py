@@ -257,20 +257,41 @@ def unpivot_components(table: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------
 
 def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float],
-                           median_name: str | None = None) -> DataFrame:
+                           median_name: str | None = None, hot_values: int = 1_000_000) -> DataFrame:
     """Exact order statistics per group without holding a group in one task.
 
     Rows are first reduced to a histogram (group, value, count) with a
-    map-side combined aggregate; the running count then runs over distinct
-    values only.  ``qs`` maps output names to quantiles picked by nearest
-    rank (index round((n - 1) q) of the sorted values); ``median_name``
-    adds the interpolated median (mean of the two middle values)."""
+    map-side combined aggregate, so the running count runs over distinct
+    values, not rows.  Groups with more than ``hot_values`` distinct values
+    (e.g. a continuous column) take the chunked scan of ``operators.scan``:
+    their sorted histogram is cut into ordered chunks over many tasks and the
+    counts of earlier chunks are carried in.  ``qs`` maps output names to
+    quantiles picked by nearest rank (index round((n - 1) q) of the sorted
+    values); ``median_name`` adds the interpolated median (mean of the two
+    middle values)."""
+    from outagekit.operators import scan as SC
+
     hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    cum = hist.select(*by, value, "__c",
-                      F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__hi"),
-                      F.sum("__c").over(Window.partitionBy(*by)).alias("__n"))
-    cum = cum.withColumn("__lo", F.col("__hi") - F.col("__c"))  # rows before this value
+    order = [F.col(value)]
+
+    def cum_plain(h: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return h.select(*by, value, "__c",
+                        F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__hi"))
+
+    def cum_chunked(h: DataFrame) -> DataFrame:
+        c = SC.chunked(h, [F.col(b) for b in by], order)
+        wl = SC.chunk_window([F.col(b) for b in by], order)
+        c1 = SC.border_carry(c, by, [value], sum_cols=["__c"])
+        return c1.select(*by, value, "__c",
+                         (F.sum("__c").over(wl.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                          + F.col("__ps___c")).alias("__hi"))
+
+    parts = SC.split_hot(hist, by, hot_values) if by else None
+    cum = cum_plain(hist) if parts is None else cum_plain(parts[0]).unionByName(cum_chunked(parts[1]))
+    # group sizes: one row per group
+    sizes = hist.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    cum = cum.join(sizes, by).withColumn("__lo", F.col("__hi") - F.col("__c"))  # rows before this value
 
     def pick(idx):  # 0-based index into the sorted values
         return F.max(F.when((F.col("__lo") <= idx) & (idx < F.col("__hi")), F.col(value)))

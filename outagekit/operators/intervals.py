@@ -289,7 +289,8 @@ def mark_summary(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # ----------------------------------------------------------------------------
 
 def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_INICIO_INTRP_UC",
-                     end: str | None = None, tiebreak: str | None = "NUM_INTRP_UCI") -> DataFrame:
+                     end: str | None = None, tiebreak: str | None = "NUM_INTRP_UCI", skew: str = "auto",
+                     hot_rows: int = SC.DEFAULT_HOT_ROWS) -> DataFrame:
     """Per consumer unit, walk intervals in start order and keep, of two
     strictly overlapping intervals, the longer one; on equal length the
     earlier one stays (I2; card C4).
@@ -308,6 +309,9 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
       keys and each row checks whether it is among the kept ones.
 
     Rows with a missing or inverted interval bypass the fold unchanged.
+    Consumers above ``hot_rows`` rows number their islands on the chunked
+    path of ``operators.scan`` (running maximum and island count carried
+    across chunk borders), so a hot consumer is spread over many tasks.
     Islands are chains of mutually overlapping interruptions of one
     consumer, so their size is bounded by the physical process, not by the
     table; the fold costs O(k^2) for an island of k rows.
@@ -322,12 +326,37 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
     typed = df.select("*", s_.alias("__s"), e_.alias("__e"), tb.alias("__t"))
     ok = F.coalesce(F.col("__s").isNotNull() & F.col("__e").isNotNull() & (F.col("__e") >= F.col("__s")),
                     F.lit(False))
-    w = Window.partitionBy(_q(uc)).orderBy("__s", "__e", "__t")
-    step1 = typed.select("*", ok.alias("__ok"),
-                         F.max(F.when(ok, F.col("__e"))).over(w.rowsBetween(_UNB, -1)).alias("__pmax"))
-    boundary = F.col("__ok") & (F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")))
-    step2 = step1.select("*", F.sum(boundary.cast("int")).over(w.rowsBetween(_UNB, Window.currentRow))
-                         .alias("__island"))
+    typed = typed.select("*", ok.alias("__ok"), F.when(ok, F.col("__e")).alias("__ev"))
+    order = [F.col("__s"), F.col("__e"), F.col("__t")]
+
+    def islands_plain(frame: DataFrame) -> DataFrame:
+        w = Window.partitionBy(_q(uc)).orderBy(*order)
+        step1 = frame.select("*", F.max("__ev").over(w.rowsBetween(_UNB, -1)).alias("__pmax"))
+        boundary = F.col("__ok") & (F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")))
+        return step1.select("*", F.sum(boundary.cast("int")).over(w.rowsBetween(_UNB, Window.currentRow))
+                            .alias("__island"))
+
+    def islands_chunked(frame: DataFrame) -> DataFrame:
+        h = SC.chunked(frame, [_q(uc)], order)
+        wl = SC.chunk_window([_q(uc)], order)
+        h1 = h.select("*", F.max("__ev").over(wl.rowsBetween(_UNB, -1)).alias("__lpm"))
+        h2 = SC.border_carry(h1, [uc], ["__s", "__e", "__t"], max_cols=["__ev"])
+        h3 = h2.select("*", F.greatest("__lpm", "__pm___ev").alias("__pmax"))
+        boundary = F.col("__ok") & (F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")))
+        h4 = h3.select("*", boundary.cast("long").alias("__b"))
+        h5 = SC.border_carry(h4, [uc], ["__s", "__e", "__t"], sum_cols=["__b"])
+        return h5.select(*[_q(c) for c in frame.columns], "__pmax", (F.sum("__b").over(wl.rowsBetween(_UNB, Window.currentRow))
+                                                     + F.col("__ps___b")).alias("__island"))
+
+    parts = None
+    if skew == "on":
+        parts = (typed.limit(0), typed)
+    elif skew == "auto":
+        parts = SC.split_hot(typed, [uc], hot_rows)
+    if parts is None:
+        step2 = islands_plain(typed)
+    else:
+        step2 = islands_plain(parts[0]).unionByName(islands_chunked(parts[1]))
     key = F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__t").alias("t"))
     wi = Window.partitionBy(_q(uc), F.col("__island"), F.col("__ok"))
     step3 = step2.select("*", F.collect_list(F.when(F.col("__ok"), key)).over(wi).alias("__keys"))
@@ -386,12 +415,13 @@ def valid_interval(df: DataFrame) -> Column:
             & (F.col("DT_FIM") >= F.col("DT_INI")) & (F.col("REGIONAL_TOTAL") != S.TOTAL_LABEL))
 
 
-def merge_criteria(df: DataFrame) -> DataFrame:
+def merge_criteria(df: DataFrame, skew: str = "auto", hot_rows: int = SC.DEFAULT_HOT_ROWS) -> DataFrame:
     """Per (region, consumer), the under-one-minute merge rule evaluated on
     raw timestamps and on minute-truncated ones (I3; card C9; W7, P16).
 
     Uses the raw start/end pair (trap Q10) and maps the origin code to the
-    region name (P9)."""
+    region name (P9).  Only lags cross rows, so hot consumers take the
+    chunked path with the previous chunk's last row as carry."""
     uc, iid, start, end = interval_columns(df)
     own = resolve_column(df.columns, ["NUM_INTRP_UCI"]) or iid
     sch = df.schema
@@ -403,27 +433,43 @@ def merge_criteria(df: DataFrame) -> DataFrame:
         S.parse_ts(end, sch[end].dataType).alias("DT_FIM"),
     )
     base = base.where(valid_interval(base))
-    w = Window.partitionBy("REGIONAL_TOTAL", "NUM_UC_UCI").orderBy("DT_INI", "DT_FIM", "NUM_INTRP")
     sec = S.seconds_between
-    t1 = base.select(
+    local = base.select(
         "*",
         sec(F.col("DT_INI"), F.col("DT_FIM")).alias("DUR_SEC"),
-        F.lag("DT_FIM").over(w).alias("PREV_FIM"),
         S.second_precision(F.col("DT_INI"), F.col("DT_FIM")).alias("TEM_PRECISAO_SEGUNDO"),
         S.truncate_minute(F.col("DT_INI")).alias("DT_INI_MIN"),
         S.truncate_minute(F.col("DT_FIM")).alias("DT_FIM_MIN"),
-    )
-    t2 = t1.select(
-        "*",
-        sec(F.col("PREV_FIM"), F.col("DT_INI")).alias("GAP_PREV_SEC"),
-        F.lag("DUR_SEC").over(w).alias("PREV_DUR_SEC"),
-        sec(F.col("DT_INI_MIN"), F.col("DT_FIM_MIN")).alias("DUR_SEC_MIN"),
-        F.lag("DT_FIM_MIN").over(w).alias("PREV_FIM_MIN"),
-    )
+    ).select("*", sec(F.col("DT_INI_MIN"), F.col("DT_FIM_MIN")).alias("DUR_SEC_MIN"))
+    keys = ["REGIONAL_TOTAL", "NUM_UC_UCI"]
+    order = [F.col("DT_INI"), F.col("DT_FIM"), F.col("NUM_INTRP")]
+    lagged = ["DT_FIM", "DUR_SEC", "DT_FIM_MIN", "DUR_SEC_MIN"]
+    names = {"DT_FIM": "PREV_FIM", "DUR_SEC": "PREV_DUR_SEC", "DT_FIM_MIN": "PREV_FIM_MIN",
+             "DUR_SEC_MIN": "PREV_DUR_SEC_MIN"}
+
+    def lags_plain(frame: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return frame.select("*", *[F.lag(c).over(w).alias(names[c]) for c in lagged])
+
+    def lags_chunked(frame: DataFrame) -> DataFrame:
+        h = SC.chunked(frame, [F.col(k) for k in keys], order)
+        wl = SC.chunk_window([F.col(k) for k in keys], order)
+        h1 = h.select("*", SC.is_first(wl).alias("__first"), *[F.lag(c).over(wl).alias(f"__lag_{c}") for c in lagged])
+        h2 = SC.border_carry(h1, keys, ["DT_INI", "DT_FIM", "NUM_INTRP"], last=lagged)
+        return h2.select(*[F.col(c) for c in frame.columns],
+                         *[F.when(F.col("__first"), F.col(f"__pl_{c}")).otherwise(F.col(f"__lag_{c}"))
+                           .alias(names[c]) for c in lagged])
+
+    parts = None
+    if skew == "on":
+        parts = (local.limit(0), local)
+    elif skew == "auto":
+        parts = SC.split_hot(local, keys, hot_rows)
+    t2 = lags_plain(local) if parts is None else lags_plain(parts[0]).unionByName(lags_chunked(parts[1]))
     t3 = t2.select(
         "*",
+        sec(F.col("PREV_FIM"), F.col("DT_INI")).alias("GAP_PREV_SEC"),
         sec(F.col("PREV_FIM_MIN"), F.col("DT_INI_MIN")).alias("GAP_PREV_SEC_MIN"),
-        F.lag("DUR_SEC_MIN").over(w).alias("PREV_DUR_SEC_MIN"),
     )
     gap = F.coalesce((F.col("GAP_PREV_SEC") >= 0) & (F.col("GAP_PREV_SEC") < 60), F.lit(False))
     gap_m = F.coalesce((F.col("GAP_PREV_SEC_MIN") >= 0) & (F.col("GAP_PREV_SEC_MIN") < 60), F.lit(False))
