@@ -1205,3 +1205,8 @@ FROM (SELECT CASE WHEN max(sa) > 0 AND max(sp) > 0 AND (SELECT max(mes_ref) FROM
             FROM ({TWO_MONTHS_SQL}) p) z) y""", OR))
 def q_qi(spark, sf):
     return dq.regional_psi(monthly_orders(spark, sf))
+
+
+@register("merge_criteria", oracle(f"SELECT {CRIT_COLS} FROM {CRIT_SQL} c", _D))
+def q_i3(spark, sf):
+    return crit_dense(spark, sf)
