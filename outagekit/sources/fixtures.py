@@ -215,7 +215,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     DataFrames are plans, not data; they are memoised per session, folder
     and name so repeated queries skip file listing and re-analysis."""
-    key = (id(spark), sf_dir, name)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
     hit = _PLANS.get(key)
     if hit is not None:
         return hit
