@@ -262,6 +262,18 @@ def monthly_change(monthly: DataFrame) -> DataFrame:
                                / F.col("registros_mes_anterior") * 100.0, 4)).alias("pct_variacao"))
 
 
+def month_rank(monthly: DataFrame) -> DataFrame:
+    """(mes_ref, rank) with rank 1 = latest month.  One row per calendar
+    month, so the global ordering window runs over a bounded table."""
+    months = monthly.select("mes_ref").distinct()
+    return months.select("mes_ref", F.row_number().over(Window.orderBy(F.col("mes_ref").desc())).alias("__rk"))
+
+
+def _latest_two(monthly: DataFrame) -> DataFrame:
+    # at most two rows: broadcasting them is bounded by construction
+    return F.broadcast(month_rank(monthly).where(F.col("__rk") <= 2))
+
+
 def regional_anomalies(monthly: DataFrame, pct_threshold: float = 35.0, z_threshold: float = 3.5,
                        latest_only: bool = True) -> DataFrame:
     """% change and MAD robust z-score per region and month; flagged rows of
@@ -278,21 +290,23 @@ def regional_anomalies(monthly: DataFrame, pct_threshold: float = 35.0, z_thresh
     out = out.withColumn("anomalia", flag)
     if not latest_only:
         return out.orderBy("mes_ref", "sigla_regional")
-    latest = monthly.agg(F.max("mes_ref")).scalar()
-    return (out.where((F.col("mes_ref") == latest) & F.col("anomalia"))
+    latest = _latest_two(monthly).where(F.col("__rk") == 1).select("mes_ref")
+    return (out.join(latest, "mes_ref").where(F.col("anomalia"))
+            .select("sigla_regional", "mes_ref", "registros", "registros_mes_anterior", "pct_variacao",
+                    "robust_z", "anomalia")
             .orderBy(F.col("pct_variacao").desc_nulls_first(), F.col("robust_z").desc_nulls_first()))
 
 
 def join_two_months(monthly: DataFrame) -> DataFrame:
     """Latest and previous month counts per region over the union of both
-    months' regions, absent as 0 (J5): one conditional aggregate, no join."""
-    latest = monthly.agg(F.max("mes_ref")).scalar()
-    prev = monthly.where(F.col("mes_ref") < latest).agg(F.max("mes_ref")).scalar()
-    two = monthly.where((F.col("mes_ref") == latest) | (F.col("mes_ref") == prev))
+    months' regions, absent as 0 (J5): one conditional aggregate over the
+    rows of the two latest months (found by a broadcast of at most two
+    month rows), no outer join."""
+    two = monthly.join(_latest_two(monthly), "mes_ref")
     return two.groupBy("sigla_regional").agg(
-        F.coalesce(F.sum(F.when(F.col("mes_ref") == latest, F.col("registros"))), F.lit(0)).cast("long")
+        F.coalesce(F.sum(F.when(F.col("__rk") == 1, F.col("registros"))), F.lit(0)).cast("long")
         .alias("registros_atual"),
-        F.coalesce(F.sum(F.when(F.col("mes_ref") == prev, F.col("registros"))), F.lit(0)).cast("long")
+        F.coalesce(F.sum(F.when(F.col("__rk") == 2, F.col("registros"))), F.lit(0)).cast("long")
         .alias("registros_anterior"))
 
 
@@ -300,19 +314,23 @@ def regional_psi(monthly: DataFrame, eps: float = 1e-8) -> DataFrame:
     """Population stability index of the regional distribution, latest vs
     previous month, with its drift level (Q-I; card C12).  One row; null
     index with fewer than two months or an empty month."""
-    latest = monthly.agg(F.max("mes_ref")).scalar()
-    prev = monthly.where(F.col("mes_ref") < latest).agg(F.max("mes_ref")).scalar()
     pair = join_two_months(monthly)
     tot = Window.partitionBy()  # one row per region
-    a = F.col("registros_atual") / F.sum("registros_atual").over(tot) + F.lit(eps)
-    e = F.col("registros_anterior") / F.sum("registros_anterior").over(tot) + F.lit(eps)
-    terms = pair.select(((a - e) * F.log(a / e)).alias("__t"),
-                        F.sum("registros_atual").over(tot).alias("__sa"),
-                        F.sum("registros_anterior").over(tot).alias("__sp"))
-    agg = terms.agg(F.sum("__t").alias("__psi"), F.max("__sa").alias("__sa"), F.max("__sp").alias("__sp"))
-    psi = F.when((F.col("__sa") > 0) & (F.col("__sp") > 0) & prev.isNotNull(), round_half(F.col("__psi"), 8))
-    return agg.select(
-        psi.alias("psi"), latest.alias("mes_atual"), prev.alias("mes_anterior")).select(
+    sa = F.sum("registros_atual").over(tot)
+    sp = F.sum("registros_anterior").over(tot)
+    a = F.col("registros_atual") / sa + F.lit(eps)
+    e = F.col("registros_anterior") / sp + F.lit(eps)
+    terms = pair.select(((a - e) * F.log(a / e)).alias("__t"), sa.alias("__sa"), sp.alias("__sp"))
+    agg = terms.agg(F.sum("__t").alias("__psi"), F.max("__sa").alias("__sa"), F.max("__sp").alias("__sp"),
+                    F.lit(1).alias("__one"))
+    months = _latest_two(monthly).agg(F.max(F.when(F.col("__rk") == 1, F.col("mes_ref"))).alias("mes_atual"),
+                                      F.max(F.when(F.col("__rk") == 2, F.col("mes_ref"))).alias("mes_anterior"),
+                                      F.lit(1).alias("__one"))
+    # both sides are single-row aggregates; the join key is a constant
+    row = months.join(agg, "__one", "left")
+    psi = F.when((F.col("__sa") > 0) & (F.col("__sp") > 0) & F.col("mes_anterior").isNotNull(),
+                 round_half(F.col("__psi"), 8))
+    return row.select(psi.alias("psi"), "mes_atual", "mes_anterior").select(
         "*", F.when(F.col("psi") >= 0.25, F.lit("Drift alto"))
         .when(F.col("psi") >= 0.10, F.lit("Drift moderado"))
         .when(F.col("psi").isNotNull(), F.lit("Estavel")).alias("nivel"))
