@@ -56,6 +56,17 @@ CROSS JOIN (SELECT '2024-01' AS anomes UNION ALL SELECT '2024-02' UNION ALL SELE
 GROUP BY n_regionkey, m.anomes
 """
 
+# B3 for Spark: the same rows, with the three months attached by exploding a
+# literal array onto the per-region count instead of a cross join.
+BILLED_MONTH_SPARK = """
+SELECT CASE n_regionkey WHEN 0 THEN 'NRT' WHEN 1 THEN 'CSL' WHEN 2 THEN 'NRO' WHEN 3 THEN 'LES' ELSE 'OES' END AS REGIONAL_TOTAL,
+       substr('LPMCV', cast(n_regionkey AS int) + 1, 1) AS SIGLA_REGIONAL,
+       anomes AS ANOMES, UC_FATURADA
+FROM (SELECT n_regionkey, cast(count(*) AS double) AS UC_FATURADA
+      FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey) r
+LATERAL VIEW explode(array('2024-01', '2024-02', '2024-03')) m AS anomes
+"""
+
 # Monthly counts by region.
 REGION_MONTH = """
 SELECT r_name AS sigla_regional, substr(cast(o_orderdate AS string), 1, 7) AS mes_ref, count(*) AS registros
@@ -192,6 +203,8 @@ DEPENDS = {"intr_text": ["intr_long"]}
 def _sql_for(name: str, engine: str) -> str:
     if name == "intr_text":
         return intr_text_sql(engine)
+    if name == "billed_month" and engine == "spark":
+        return BILLED_MONTH_SPARK
     return DERIVED[name]
 
 
