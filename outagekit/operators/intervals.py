@@ -36,7 +36,6 @@ MARK_COLUMNS = [
 ]
 
 _UNB = Window.unboundedPreceding
-_UNF = Window.unboundedFollowing
 
 
 def _q(name: str) -> Column:
