@@ -313,21 +313,22 @@ def join_two_months(monthly: DataFrame) -> DataFrame:
 def regional_psi(monthly: DataFrame, eps: float = 1e-8) -> DataFrame:
     """Population stability index of the regional distribution, latest vs
     previous month, with its drift level (Q-I; card C12).  One row; null
-    index with fewer than two months or an empty month."""
-    pair = join_two_months(monthly)
+    index with fewer than two months or an empty month.  Rows of the two
+    latest months are reduced to one row per region, then to one row."""
+    two = monthly.join(_latest_two(monthly), "mes_ref")
+    pair = two.groupBy("sigla_regional").agg(
+        F.coalesce(F.sum(F.when(F.col("__rk") == 1, F.col("registros"))), F.lit(0)).alias("__a"),
+        F.coalesce(F.sum(F.when(F.col("__rk") == 2, F.col("registros"))), F.lit(0)).alias("__p"),
+        F.max(F.when(F.col("__rk") == 1, F.col("mes_ref"))).alias("__ma"),
+        F.max(F.when(F.col("__rk") == 2, F.col("mes_ref"))).alias("__mp"))
     tot = Window.partitionBy()  # one row per region
-    sa = F.sum("registros_atual").over(tot)
-    sp = F.sum("registros_anterior").over(tot)
-    a = F.col("registros_atual") / sa + F.lit(eps)
-    e = F.col("registros_anterior") / sp + F.lit(eps)
-    terms = pair.select(((a - e) * F.log(a / e)).alias("__t"), sa.alias("__sa"), sp.alias("__sp"))
-    agg = terms.agg(F.sum("__t").alias("__psi"), F.max("__sa").alias("__sa"), F.max("__sp").alias("__sp"),
-                    F.lit(1).alias("__one"))
-    months = _latest_two(monthly).agg(F.max(F.when(F.col("__rk") == 1, F.col("mes_ref"))).alias("mes_atual"),
-                                      F.max(F.when(F.col("__rk") == 2, F.col("mes_ref"))).alias("mes_anterior"),
-                                      F.lit(1).alias("__one"))
-    # both sides are single-row aggregates; the join key is a constant
-    row = months.join(agg, "__one", "left")
+    sa = F.sum("__a").over(tot)
+    sp = F.sum("__p").over(tot)
+    a = F.col("__a") / sa + F.lit(eps)
+    e = F.col("__p") / sp + F.lit(eps)
+    terms = pair.select(((a - e) * F.log(a / e)).alias("__t"), sa.alias("__sa"), sp.alias("__sp"), "__ma", "__mp")
+    row = terms.agg(F.sum("__t").alias("__psi"), F.max("__sa").alias("__sa"), F.max("__sp").alias("__sp"),
+                    F.max("__ma").alias("mes_atual"), F.max("__mp").alias("mes_anterior"))
     psi = F.when((F.col("__sa") > 0) & (F.col("__sp") > 0) & F.col("mes_anterior").isNotNull(),
                  round_half(F.col("__psi"), 8))
     return row.select(psi.alias("psi"), "mes_atual", "mes_anterior").select(
