@@ -279,8 +279,8 @@ def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[st
         return h.select(*by, value, "__c",
                         F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__hi"))
 
-    def cum_chunked(h: DataFrame) -> DataFrame:
-        c = SC.chunked(h, [F.col(b) for b in by], order)
+    def cum_chunked(h: DataFrame, n_hot) -> DataFrame:
+        c = SC.chunked(h, [F.col(b) for b in by], order, SC.chunk_count(h.sparkSession, n_hot))
         wl = SC.chunk_window([F.col(b) for b in by], order)
         c1 = SC.border_carry(c, by, [value], sum_cols=["__c"])
         return c1.select(*by, value, "__c",
@@ -288,7 +288,7 @@ def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[st
                           + F.col("__ps___c")).alias("__hi"))
 
     parts = SC.split_hot(hist, by, hot_values) if by else None
-    cum = cum_plain(hist) if parts is None else cum_plain(parts[0]).unionByName(cum_chunked(parts[1]))
+    cum = cum_plain(hist) if parts is None else cum_plain(parts[0]).unionByName(cum_chunked(parts[1], parts[2]))
     # group sizes: one row per group
     sizes = hist.groupBy(*by).agg(F.sum("__c").alias("__n"))
     cum = cum.join(sizes, by).withColumn("__lo", F.col("__hi") - F.col("__c"))  # rows before this value

@@ -101,13 +101,14 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
 
     parts = None
     if skew == "on":
-        parts = (base.limit(0), base)
+        parts = (base.limit(0), base, None)
     elif skew == "auto":
         parts = SC.split_hot(base, keys, hot_rows)
     if parts is None:
         return _mark_plain(base, **ctx)
-    normal, hot = parts
-    return _mark_plain(normal, **ctx).unionByName(_mark_chunked(hot, **ctx))
+    normal, hot, n_hot = parts
+    n_chunks = SC.chunk_count(df.sparkSession, n_hot)
+    return _mark_plain(normal, **ctx).unionByName(_mark_chunked(hot, n_chunks=n_chunks, **ctx))
 
 
 def _valid() -> Column:
@@ -173,11 +174,11 @@ def _mark_plain(base: DataFrame, keys, order, iid, df, internals) -> DataFrame:
     return _mark_finish(step4, iid, df, internals)
 
 
-def _mark_chunked(base: DataFrame, keys, order, iid, df, internals) -> DataFrame:
+def _mark_chunked(base: DataFrame, keys, order, iid, df, internals, n_chunks=None) -> DataFrame:
     """The same marks for hot consumers, computed per ordered chunk and
     stitched with border carries (see ``operators.scan``)."""
     kc = [_q(k) for k in keys]
-    h = SC.chunked(base, kc, order)
+    h = SC.chunked(base, kc, order, n_chunks)
     wl = SC.chunk_window(kc, order)
     running = wl.rowsBetween(_UNB, Window.currentRow)
     h1 = h.select(
@@ -335,8 +336,8 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
         return step1.select("*", F.sum(boundary.cast("int")).over(w.rowsBetween(_UNB, Window.currentRow))
                             .alias("__island"))
 
-    def islands_chunked(frame: DataFrame) -> DataFrame:
-        h = SC.chunked(frame, [_q(uc)], order)
+    def islands_chunked(frame: DataFrame, n_hot) -> DataFrame:
+        h = SC.chunked(frame, [_q(uc)], order, SC.chunk_count(frame.sparkSession, n_hot))
         wl = SC.chunk_window([_q(uc)], order)
         h1 = h.select("*", F.max("__ev").over(wl.rowsBetween(_UNB, -1)).alias("__lpm"))
         h2 = SC.border_carry(h1, [uc], ["__s", "__e", "__t"], max_cols=["__ev"])
@@ -349,13 +350,13 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
 
     parts = None
     if skew == "on":
-        parts = (typed.limit(0), typed)
+        parts = (typed.limit(0), typed, None)
     elif skew == "auto":
         parts = SC.split_hot(typed, [uc], hot_rows)
     if parts is None:
         step2 = islands_plain(typed)
     else:
-        step2 = islands_plain(parts[0]).unionByName(islands_chunked(parts[1]))
+        step2 = islands_plain(parts[0]).unionByName(islands_chunked(parts[1], parts[2]))
     key = F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__t").alias("t"))
     wi = Window.partitionBy(_q(uc), F.col("__island"), F.col("__ok"))
     step3 = step2.select("*", F.collect_list(F.when(F.col("__ok"), key)).over(wi).alias("__keys"))
@@ -450,8 +451,8 @@ def merge_criteria(df: DataFrame, skew: str = "auto", hot_rows: int = SC.DEFAULT
         w = Window.partitionBy(*keys).orderBy(*order)
         return frame.select("*", *[F.lag(c).over(w).alias(names[c]) for c in lagged])
 
-    def lags_chunked(frame: DataFrame) -> DataFrame:
-        h = SC.chunked(frame, [F.col(k) for k in keys], order)
+    def lags_chunked(frame: DataFrame, n_hot) -> DataFrame:
+        h = SC.chunked(frame, [F.col(k) for k in keys], order, SC.chunk_count(frame.sparkSession, n_hot))
         wl = SC.chunk_window([F.col(k) for k in keys], order)
         h1 = h.select("*", SC.is_first(wl).alias("__first"), *[F.lag(c).over(wl).alias(f"__lag_{c}") for c in lagged])
         h2 = SC.border_carry(h1, keys, ["DT_INI", "DT_FIM", "NUM_INTRP"], last=lagged)
@@ -461,10 +462,11 @@ def merge_criteria(df: DataFrame, skew: str = "auto", hot_rows: int = SC.DEFAULT
 
     parts = None
     if skew == "on":
-        parts = (local.limit(0), local)
+        parts = (local.limit(0), local, None)
     elif skew == "auto":
         parts = SC.split_hot(local, keys, hot_rows)
-    t2 = lags_plain(local) if parts is None else lags_plain(parts[0]).unionByName(lags_chunked(parts[1]))
+    t2 = (lags_plain(local) if parts is None
+          else lags_plain(parts[0]).unionByName(lags_chunked(parts[1], parts[2])))
     t3 = t2.select(
         "*",
         sec(F.col("PREV_FIM"), F.col("DT_INI")).alias("GAP_PREV_SEC"),

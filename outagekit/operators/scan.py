@@ -27,26 +27,38 @@ from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 DEFAULT_HOT_ROWS = 1_000_000
+ROWS_PER_CHUNK = 2_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
-    """Keys with more than ``threshold`` rows (a map-side combined count).
-    At most rows / threshold keys qualify."""
+    """Keys with more than ``threshold`` rows and their row counts (a
+    map-side combined count).  At most rows / threshold keys qualify."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > threshold).select(*keys))
+            .where(F.col("__n") > threshold))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame] | None:
-    """(ordinary rows, hot-key rows), or None when no key is hot.
+def split_hot(df: DataFrame, keys: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame, int] | None:
+    """(ordinary rows, hot-key rows, number of hot rows), or None when no
+    key is hot.
 
-    The presence test is one small action (``limit(1)``) on the key counts;
-    the split itself is a pair of broadcast semi/anti joins against the hot
-    key set, whose size is bounded as stated above."""
+    One small action returns the number of hot keys and their rows (a
+    single aggregate row); the split itself is a pair of broadcast semi/anti
+    joins against the hot key set, whose size is bounded as stated above."""
     hk = hot_keys(df, keys, threshold)
-    if hk.limit(1).count() == 0:
+    n_keys, n_rows = hk.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    if n_keys == 0:
         return None
-    hkb = F.broadcast(hk)
-    return df.join(hkb, list(keys), "left_anti"), df.join(hkb, list(keys), "left_semi")
+    hkb = F.broadcast(hk.select(*keys))
+    return df.join(hkb, list(keys), "left_anti"), df.join(hkb, list(keys), "left_semi"), int(n_rows)
+
+
+def chunk_count(spark, hot_rows: int | None) -> int:
+    """Enough chunks for about ROWS_PER_CHUNK rows each, never fewer than
+    the session's shuffle partitions."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not hot_rows:
+        return base
+    return max(base, -(-hot_rows // ROWS_PER_CHUNK))
 
 
 def chunked(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], n_chunks: int | None = None) -> DataFrame:
@@ -63,7 +75,7 @@ def chunked(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], n_ch
 
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = n_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_chunks or chunk_count(spark, None)
     tagged = df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
     return tagged.repartition(n, *keys, F.col(CHUNK)).checkpoint(eager=True)
 
