@@ -223,12 +223,12 @@ def negative_sample(df: DataFrame, limit_rows: int = 200, order: Sequence[str] =
 
 def regional_summary(df: DataFrame, regional_col: str | None = None) -> DataFrame:
     """Rows per region label with % of the total (A9); SEM_SIGLA counts
-    blank labels.  The % uses a window over the per-region result, which
-    has one row per region."""
+    blank labels.  The total is a scalar subquery over the per-label counts,
+    so no step gathers the labels into one partition."""
     rc = regional_col or resolve_regional_dq(df.columns)
     counts = df.select(S.regional_label(rc).alias("sigla_regional")).groupBy("sigla_regional").agg(
         F.count(F.lit(1)).alias("registros"))
-    total = F.sum("registros").over(Window.partitionBy())
+    total = counts.agg(F.sum("registros")).scalar()
     return counts.select("sigla_regional", "registros",
                          F.when(total > 0, F.col("registros") / total * 100.0).otherwise(F.lit(0.0))
                          .alias("pct_registros")).orderBy(F.col("registros").desc(), "sigla_regional")
