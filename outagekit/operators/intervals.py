@@ -296,25 +296,25 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
     earlier one stays (I2; card C4).
 
     Kept intervals never overlap each other, so only the most recent kept
-    interval (the champion) can overlap the next row.  Islands - runs of
-    rows linked by overlap with the running maximum of the end - are
-    therefore independent, and the order-dependent fold runs per island:
+    interval (the champion) can overlap the next row; the walk's state is
+    that one row.  Islands - runs of rows linked by overlap with the
+    running maximum of the end - are independent of each other:
 
     * one hash exchange on the consumer unit; a running-max window numbers
-      the islands, and a second window over (uc, island) - already
-      co-partitioned, no new exchange - hands each row its island's
-      (start, end, id) keys;
-    * single-row islands (the common case) are kept without any fold;
-    * larger islands evaluate a JVM-side ``aggregate`` over their sorted
-      keys and each row checks whether it is among the kept ones.
-
-    Rows with a missing or inverted interval bypass the fold unchanged.
-    Consumers above ``hot_rows`` rows number their islands on the chunked
-    path of ``operators.scan`` (running maximum and island count carried
-    across chunk borders), so a hot consumer is spread over many tasks.
-    Islands are chains of mutually overlapping interruptions of one
-    consumer, so their size is bounded by the physical process, not by the
-    table; the fold costs O(k^2) for an island of k rows.
+      the islands (JVM, whole-stage code);
+    * the rows, already sorted by (consumer, start, end, id) by that window,
+      are streamed through an Arrow-batched ``mapInPandas`` walk that keeps
+      one pending row per partition: linear time, constant memory, no group
+      ever materialised; rows alone in their island skip the loop.
+
+    The walk needs a running state that no built-in expression carries;
+    that is why this one step is Python.  Rows with a missing or inverted
+    interval bypass it unchanged.  Consumers above ``hot_rows`` rows number
+    their islands on the chunked path of ``operators.scan`` (running
+    maximum and island count carried across chunk borders) and are then
+    regrouped by (consumer, island), so a hot consumer is spread over many
+    tasks; an island, the smallest unit a sequential walk allows, stays in
+    one task but is streamed, not collected.
     """
     end = end or resolve_column(df.columns, END_ALIASES)
     if end is None:
@@ -348,35 +348,98 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
         return h5.select(*[_q(c) for c in frame.columns], "__pmax", (F.sum("__b").over(wl.rowsBetween(_UNB, Window.currentRow))
                                                      + F.col("__ps___b")).alias("__island"))
 
+    names = list(df.columns)
+    out_schema = df.schema
+    walk_cols = [*[_q(c) for c in names], "__s", "__e", "__t", "__ok", "__island"]
+    sort_cols = [_q(uc), F.col("__s"), F.col("__e"), F.col("__t")]
+
+    def walk(frame: DataFrame) -> DataFrame:
+        # rows arrive sorted by (uc, start, end, id) - the window's own
+        # order, so this sort is removed as redundant - and each island lies
+        # whole in one partition; the walk streams batch by batch.
+        ordered = frame.select(*walk_cols).sortWithinPartitions(*sort_cols)
+        return ordered.mapInPandas(lambda it: _walk_partition(it, names, uc), schema=out_schema)
+
     parts = None
     if skew == "on":
         parts = (typed.limit(0), typed, None)
     elif skew == "auto":
         parts = SC.split_hot(typed, [uc], hot_rows)
     if parts is None:
-        step2 = islands_plain(typed)
-    else:
-        step2 = islands_plain(parts[0]).unionByName(islands_chunked(parts[1], parts[2]))
-    key = F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__t").alias("t"))
-    wi = Window.partitionBy(_q(uc), F.col("__island"), F.col("__ok"))
-    step3 = step2.select("*", F.collect_list(F.when(F.col("__ok"), key)).over(wi).alias("__keys"))
-
-    elem = "struct<s: timestamp_ntz, e: timestamp_ntz, t: string>"
-    init = F.expr(f"named_struct('kept', cast(array() AS array<{elem}>), 'champ', cast(NULL AS {elem}))")
-
-    def step(acc: Column, cur: Column) -> Column:
-        champ = acc["champ"]
-        dur = lambda x: F.timestamp_diff("MICROSECOND", x["s"], x["e"])
-        overlap = (cur["s"] < champ["e"]) & (cur["e"] > champ["s"])
-        return (F.when(champ.isNull(), F.struct(acc["kept"].alias("kept"), cur.alias("champ")))
-                .when(overlap & (dur(cur) > dur(champ)), F.struct(acc["kept"].alias("kept"), cur.alias("champ")))
-                .when(overlap, acc)
-                .otherwise(F.struct(F.concat(acc["kept"], F.array(champ)).alias("kept"), cur.alias("champ"))))
-
-    kept_keys = F.aggregate(F.array_sort("__keys"), init, step,
-                            lambda acc: F.concat(acc["kept"], F.array(acc["champ"])))
-    keep = (~F.col("__ok")) | (F.size("__keys") <= 1) | F.array_contains(kept_keys, key)
-    return step3.where(keep).select(*[_q(c) for c in df.columns])
+        return walk(islands_plain(typed))
+    hot = islands_chunked(parts[1], parts[2])
+    # a hot consumer's islands are regrouped so none is split across tasks
+    hot = hot.repartition(SC.chunk_count(df.sparkSession, parts[2]), _q(uc), F.col("__island"))
+    return walk(islands_plain(parts[0])).unionByName(walk(hot))
+
+
+def _walk_partition(batches, names, uc):
+    """Stream one partition's rows (sorted by consumer, start, end, id) and
+    yield the kept ones.
+
+    Only the latest kept interval (the champion) can overlap the next row,
+    so the state is one pending row, carried across Arrow batches.  Rows
+    alone in their island are kept without entering the loop; invalid
+    rows pass through."""
+    import numpy as np
+    import pandas as pd
+
+    pend = None  # dict(ku, ki, s, e, d, row)
+    for pdf in batches:
+        ok = pdf["__ok"].to_numpy(dtype=bool)
+        outs = []
+        if (~ok).any():
+            outs.append(pdf.loc[~ok, names])
+        v = pdf.loc[ok].reset_index(drop=True)
+        n = len(v)
+        if n == 0:
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+            continue
+        ku = v[uc].to_numpy(dtype=object)
+        ki = v["__island"].to_numpy()
+        s = v["__s"].to_numpy()
+        e = v["__e"].to_numpy()
+        d = e - s
+        same_prev = np.zeros(n, dtype=bool)
+        same_prev[1:] = (ku[1:] == ku[:-1]) & (ki[1:] == ki[:-1])
+        same_prev[0] = pend is not None and pend["ku"] == ku[0] and pend["ki"] == ki[0]
+        same_next = np.ones(n, dtype=bool)  # the last row's island may go on
+        same_next[:-1] = same_prev[1:]
+        single = ~same_prev & ~same_next
+        keep = single.copy()
+        if pend is not None and not same_prev[0]:
+            outs.append(pend["row"])
+            pend = None
+        c = -1 if pend is not None else None  # -1: the pending row is champion
+        for i in np.flatnonzero(~single):
+            if not same_prev[i]:
+                if c is not None and c >= 0:
+                    keep[c] = True
+                elif c == -1:
+                    outs.append(pend["row"])
+                    pend = None
+                c = i
+                continue
+            cs, ce, cd = (pend["s"], pend["e"], pend["d"]) if c == -1 else (s[c], e[c], d[c])
+            if s[i] < ce and e[i] > cs:
+                if d[i] > cd:
+                    if c == -1:
+                        pend = None
+                    c = i
+            else:
+                if c == -1:
+                    outs.append(pend["row"])
+                    pend = None
+                else:
+                    keep[c] = True
+                c = i
+        if c is not None and c >= 0:
+            pend = dict(ku=ku[c], ki=ki[c], s=s[c], e=e[c], d=d[c], row=v.loc[[c], names])
+        outs.append(v.loc[keep, names])
+        yield pd.concat(outs, ignore_index=True)
+    if pend is not None:
+        yield pend["row"].reset_index(drop=True)
 
 
 # ----------------------------------------------------------------------------

@@ -81,3 +81,40 @@ def test_mark_overlaps_perceived_bounds_contain_members(spark):
         assert r.DATA_HORA_FIM_INTR_PERCEBIDO >= r.DATA_HORA_FIM_INTRP
         merged += r.NUM_INTRP_PERCEBIDA != r.NUM_INTRP_UCI
     assert merged > 0
+
+
+def test_big_island_walk_matches(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        uc = str(rng.randrange(6))
+        s = BASE + dt.timedelta(minutes=rng.randrange(0, 3000))
+        e = s + dt.timedelta(minutes=rng.choice([0, 3, 30, 240, 900]))
+        rows.append((uc, f"{i:05d}", s, e))
+    # one very long interval per consumer makes most rows one big island
+    for uc in range(6):
+        rows.append((str(uc), f"L{uc}", BASE, BASE + dt.timedelta(minutes=1000)))
+    df = spark.createDataFrame(rows, "NUM_UC_UCI string, NUM_INTRP_UCI string, "
+                                     "DTHR_INICIO_INTRP_UC timestamp_ntz, DATA_HORA_FIM_INTRP timestamp_ntz")
+    want = walk(rows)
+    for skew in ("off", "on"):
+        got = sorted(r.NUM_INTRP_UCI for r in iv.resolve_overlaps(df, skew=skew).collect())
+        assert got == want, skew
+
+
+def test_walk_state_crosses_arrow_batches(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(1200):
+        uc = str(rng.randrange(4))
+        s = BASE + dt.timedelta(minutes=rng.randrange(0, 4000))
+        rows.append((uc, f"{i:05d}", s, s + dt.timedelta(minutes=rng.choice([0, 2, 20, 200, 700]))))
+    df = spark.createDataFrame(rows, "NUM_UC_UCI string, NUM_INTRP_UCI string, "
+                                     "DTHR_INICIO_INTRP_UC timestamp_ntz, DATA_HORA_FIM_INTRP timestamp_ntz")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(r.NUM_INTRP_UCI for r in iv.resolve_overlaps(df).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == walk(rows)
