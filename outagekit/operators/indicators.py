@@ -76,6 +76,12 @@ def eligible_rows(marked: DataFrame, anomes: str, billed_month: DataFrame | None
         month_pred = S.in_month(S.parse_ts(start, sch[start].dataType), anomes)
     else:
         month_pred = S.month_key(start, sch[start].dataType) == anomes
+    if "ano" in marked.columns and "mes" in marked.columns:
+        # Month-partitioned input (ano=/mes= of the raw start): a perceived
+        # start never follows its raw start, so earlier partitions cannot
+        # hold the month's rows and are pruned - an exact lower bound.
+        y, m = int(anomes[:4]), int(anomes[5:7])
+        month_pred = month_pred & ((F.col("ano") > y) | ((F.col("ano") == y) & (F.col("mes") >= m)))
     cols = [
         F.col("NUM_UC_UCI").cast("string").alias("NUM_UC_UCI"),
         F.col("NUM_INTRP_PERCEBIDA").cast("string").alias("NUM_INTRP_PERCEBIDA"),

@@ -102,3 +102,16 @@ def test_consolidation_reuses_consumer_partitioning(spark):
     # aggregate: no exchange keyed by (region, consumer, id)
     assert p.count("Exchange hashpartitioning(NUM_UC_UCI") == 1
     assert "Exchange hashpartitioning(REGIONAL_TOTAL" not in p
+
+
+def test_month_filter_prunes_earlier_partitions(spark):
+    d = tempfile.mkdtemp(prefix="ok-pp-", dir="/tmp")
+    sio.write_month_partition(iv.mark_overlaps(table(spark, SF, "intr_long")), d, "DTHR_INICIO_INTRP_UC")
+    marked = spark.read.parquet(d)
+    billed = ind.load_billed_uc(table(spark, SF, "billed_month"))
+    e = ind.eligible_rows(marked, "2024-03", billed.where(F.col("ANOMES") == "2024-03"))
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    scan = [ln for ln in plan.split("\n") if "FileScan" in ln and "ok-pp-" in ln][0]
+    assert "PartitionFilters: [" in scan and "mes" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    full = ind.eligible_rows(marked.drop("ano", "mes"), "2024-03", billed.where(F.col("ANOMES") == "2024-03"))
+    assert e.count() == full.count() > 0
