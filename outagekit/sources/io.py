@@ -1,14 +1,15 @@
 """Sources and sinks.
 
 Writes never touch a path that is being read: rewrites go to a new
-versioned folder and a small pointer file names the current version, so
-a failed or killed job leaves the previous version intact and a retried
-task simply rewrites its own part files.
+versioned folder and readers take the newest committed one, so a failed or
+killed job leaves the previous version intact and a retried task simply
+rewrites its own part files.
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -25,7 +26,10 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if low.endswith(".csv"):
         r = spark.read.option("header", True)
         return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", False).csv(path)
-    if low.endswith(".parquet") or os.path.isdir(path):
+    if low.endswith(".parquet"):
+        return spark.read.parquet(path)
+    fs, p = _fs(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isDirectory():
         return spark.read.parquet(path)
     raise ValueError(f"unsupported file type: {path}")
 
@@ -35,10 +39,19 @@ def bronze_as_string(df: DataFrame) -> DataFrame:
     return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def _norm_path(p: str) -> str:
+    """Normalise the path part only, so 'hdfs://' or 's3a://' keep their scheme."""
+    if "://" in p:
+        scheme, rest = p.split("://", 1)
+        host, _, path = rest.partition("/")
+        return f"{scheme}://{host}/{posixpath.normpath(path)}" if path else f"{scheme}://{host}"
+    return posixpath.normpath(p)
+
+
 def scan_processed(spark: SparkSession, paths: Sequence[str], recursive: bool = True) -> DataFrame:
     """Union of processed inputs, each path once, in sorted order.
     One scan over all paths with schema merging; no per-file loop."""
-    uniq = sorted({os.path.normpath(p) for p in paths})
+    uniq = sorted({_norm_path(p) for p in paths})
     return (spark.read.option("recursiveFileLookup", str(recursive).lower())
             .option("mergeSchema", "true").parquet(*uniq))
 
@@ -68,22 +81,34 @@ def write_month_partition(df: DataFrame, target: str, month_col: str) -> str:
     return target
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def overwrite_processed(df: DataFrame, base_dir: str) -> str:
-    """Write a new version of a processed table next to the old ones and
-    move the pointer to it (K2).  Readers of the old version are not
-    disturbed; the pointer file is replaced atomically."""
-    version = os.path.join(base_dir, f"v-{uuid.uuid4().hex}")
+    """Write a new version of a processed table next to the old ones (K2).
+
+    Versions are folders named by write time; a version counts once its
+    job has committed (Spark's ``_SUCCESS`` marker), so readers never see a
+    half-written table and readers of an older version are not disturbed.
+    Works on any Hadoop file system (HDFS, object stores, local)."""
+    version = f"{base_dir.rstrip('/')}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(version)
-    tmp = os.path.join(base_dir, f".CURRENT.{uuid.uuid4().hex}")
-    with open(tmp, "w") as fh:
-        fh.write(version)
-    os.replace(tmp, os.path.join(base_dir, "CURRENT"))
     return version
 
 
 def read_current(spark: SparkSession, base_dir: str) -> DataFrame:
-    with open(os.path.join(base_dir, "CURRENT")) as fh:
-        return spark.read.parquet(fh.read().strip())
+    """The newest committed version under ``base_dir``."""
+    fs, root = _fs(spark, base_dir)
+    done = [st.getPath() for st in fs.listStatus(root)
+            if st.isDirectory() and st.getPath().getName().startswith("v-")
+            and fs.exists(st.getPath().suffix("/_SUCCESS"))]
+    if not done:
+        raise FileNotFoundError(f"no committed version under {base_dir}")
+    newest = max(done, key=lambda p: p.getName())
+    return spark.read.parquet(newest.toString())
 
 
 BILLED_SCHEMA = T.StructType([
