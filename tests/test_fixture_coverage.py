@@ -25,3 +25,12 @@ def test_counts_match_fixture_coverage(spark, sf):
     assert (d.contido_true, d.sobreposto_true) == b2[1:]
     assert b1[0] - catalog.QUERIES["dedup_first"](spark, sf).count() == rep
     assert catalog.QUERIES["duplicate_check"](spark, sf).collect()[0].failed == li
+
+
+def test_iqr_and_monthly_rows_sf001(spark):
+    from outagekit.operators import quality as dq
+    sf = "/root/testdata/sf0.01"
+    r = dq.iqr_outliers(table(spark, sf, "events"), min_non_null=1).where("coluna = 'value'").collect()[0]
+    assert r.outliers == 463
+    assert catalog.QUERIES["regional_monthly"](spark, sf).count() == 397
+    assert catalog.QUERIES["negative_sample"](spark, sf).count() == 98
