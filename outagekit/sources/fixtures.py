@@ -228,7 +228,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     DataFrames are plans, not data; they are memoised per session, folder
     and name so repeated queries skip file listing and re-analysis."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext handle
+        app = spark.conf.get("spark.app.id", None)
+    key = (id(spark), app, sf_dir, name)
     hit = _PLANS.get(key)
     if hit is not None:
         return hit
