@@ -345,7 +345,7 @@ def top_durations(unique: DataFrame, regions=("NRT", "NRO"), k: int = 100) -> Da
             .withColumn("__rn", F.row_number().over(w))
             .where(F.col("__rn") <= k)
             .select("REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP_PERCEBIDA", "NATUREZA",
-                    round_half(F.col("DUR_MIN") / 60.0, 2).alias("DUR_H"), F.col("__rn").alias("RANK")))
+                    round_half(F.col("DUR_MIN") / 60.0, 2).alias("DUR_H"), F.col("__rn").cast("long").alias("RANK")))
 
 
 # ----------------------------------------------------------------------------

@@ -876,7 +876,7 @@ def q_w9(spark, sf):
 def q_r1(spark, sf):
     t = ind.dec_fec(unique_long(spark, sf), billed(spark, sf)).select("REGIONAL_TOTAL")
     w = Window.orderBy((F.col("REGIONAL_TOTAL") == S.TOTAL_LABEL).cast("int"), "REGIONAL_TOTAL")  # < 20 rows
-    return ind.order_total_last(t.select("REGIONAL_TOTAL", F.row_number().over(w).alias("ORDEM")))
+    return ind.order_total_last(t.select("REGIONAL_TOTAL", F.row_number().over(w).cast("long").alias("ORDEM")))
 
 
 @register("top_durations", oracle(
