@@ -1210,3 +1210,10 @@ def q_qi(spark, sf):
 @register("merge_criteria", oracle(f"SELECT {CRIT_COLS} FROM {CRIT_SQL} c", _D))
 def q_i3(spark, sf):
     return crit_dense(spark, sf)
+
+
+@register("max_duration_report", oracle(
+    f"SELECT count(*) AS linhas_antes, count(*) FILTER (WHERE DUR_MIN <= {MAX_HOURS * 60.0!r}) AS linhas_depois, "
+    f"count(*) FILTER (WHERE NOT (DUR_MIN <= {MAX_HOURS * 60.0!r})) AS linhas_removidas FROM {UNIQUE} u", L_B))
+def q_f2_report(spark, sf):
+    return ind.max_duration_report(unique_long(spark, sf), MAX_HOURS)
