@@ -1217,3 +1217,11 @@ def q_i3(spark, sf):
     f"count(*) FILTER (WHERE NOT (DUR_MIN <= {MAX_HOURS * 60.0!r})) AS linhas_removidas FROM {UNIQUE} u", L_B))
 def q_f2_report(spark, sf):
     return ind.max_duration_report(unique_long(spark, sf), MAX_HOURS)
+
+
+@register("available_billed_months", oracle(
+    "SELECT DISTINCT CAST(ANOMES AS VARCHAR) AS ANOMES FROM billed_month WHERE ANOMES IS NOT NULL ORDER BY 1 DESC",
+    ["billed_month"]))
+def q_a15_billed(spark, sf):
+    b = billed(spark, sf, None)
+    return b.select("ANOMES").where(F.col("ANOMES").isNotNull()).distinct().orderBy(F.col("ANOMES").desc())
