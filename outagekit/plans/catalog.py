@@ -1225,3 +1225,14 @@ def q_f2_report(spark, sf):
 def q_a15_billed(spark, sf):
     b = billed(spark, sf, None)
     return b.select("ANOMES").where(F.col("ANOMES").isNotNull()).distinct().orderBy(F.col("ANOMES").desc())
+
+
+@register("regional_summary_totals", oracle(
+    f"SELECT CAST(sum(registros) AS BIGINT) AS total, "
+    f"CAST(coalesce(sum(registros) FILTER (WHERE sigla_regional = 'SEM_SIGLA'), 0) AS BIGINT) AS sem_sigla "
+    f"FROM ({SUMMARY_SQL}) s", ["intr_long"]))
+def q_a9_totals(spark, sf):
+    s = dq.regional_summary(table(spark, sf, "intr_long"), "SIGLA_REGIONAL")
+    return s.agg(F.sum("registros").cast("long").alias("total"),
+                 F.coalesce(F.sum(F.when(F.col("sigla_regional") == S.NO_SIGLA, F.col("registros"))), F.lit(0))
+                 .cast("long").alias("sem_sigla"))
