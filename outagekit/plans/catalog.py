@@ -9,11 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from outagekit.functions import scalars as S
+from outagekit.functions.numeric import round_half_sql as RH
+from outagekit.functions.schema import (
+    END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES,
+    resolve_columns as _resolve_columns, resolve_column_fuzzy, standardize_columns,
+)
 from outagekit.operators import indicators as ind
 from outagekit.operators import intervals as iv
+from outagekit.operators import quality as dq
+from outagekit.operators.joins import broadcast_bounded
 from outagekit.plans import sql_blocks as Q
+from outagekit.sources import extract as ex
+from outagekit.sources import io as sio
 from outagekit.sources.fixtures import oracle, table
 
 # The DEC/FEC month: the latest month of the billed table (the reference's
@@ -69,20 +81,6 @@ def q_dec_fec(spark, sf):
 # ---------------------------------------------------------------------------
 # SQL helpers for the checks
 # ---------------------------------------------------------------------------
-from outagekit.functions.numeric import round_half_sql as RH  # noqa: E402
-from outagekit.functions import scalars as S  # noqa: E402
-from outagekit.functions.schema import (  # noqa: E402
-    END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES,
-    resolve_columns as _resolve_columns, resolve_column_fuzzy, standardize_columns,
-)
-from outagekit.operators import quality as dq  # noqa: E402
-from outagekit.operators.joins import broadcast_bounded  # noqa: E402
-from outagekit.sources import extract as ex  # noqa: E402
-from outagekit.sources import io as sio  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
-
 
 def PTS(s: str) -> str:
     fmts = ["%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S",
