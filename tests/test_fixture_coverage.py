@@ -34,3 +34,17 @@ def test_iqr_and_monthly_rows_sf001(spark):
     assert r.outliers == 463
     assert catalog.QUERIES["regional_monthly"](spark, sf).count() == 397
     assert catalog.QUERIES["negative_sample"](spark, sf).count() == 98
+
+
+def test_dec_fec_identities_on_data(spark):
+    rows = catalog.QUERIES["dec_fec"](spark, "/root/testdata/sf0.01").collect()
+    regs = [r for r in rows if r.REGIONAL_TOTAL != "COPEL"]
+    tot = [r for r in rows if r.REGIONAL_TOTAL == "COPEL"][0]
+    for r in rows:
+        assert r.CI_BRUTO == r.CI_LIQUIDO + r.CI_EXPURGO
+        assert abs(r.CHI_BRUTO - (r.CHI_LIQUIDO + r.CHI_EXPURGO)) < 1e-9
+        assert abs(r.DEC_BRUTO - round(r.CHI_BRUTO / r.UC_FATURADA, 4)) < 1e-9
+        assert abs(r.FEC_LIQUIDO - r.CI_LIQUIDO / r.UC_FATURADA) < 1e-12
+    assert tot.UC_FATURADA == sum(r.UC_FATURADA for r in regs)
+    assert tot.CI_BRUTO == sum(r.CI_BRUTO for r in regs)
+    assert abs(sum(r.PCT_UC_FATURADA for r in regs) - 100.0) < 0.05
