@@ -8,11 +8,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from outagekit.plans import catalog
 from outagekit.sources.fixtures import BASE_TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = {k: v for k, v in E.queries().items() if k in catalog.QUERIES}
+ORACLES = catalog.ORACLES
 
 
 def _norm(v):
