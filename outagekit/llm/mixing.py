@@ -12,10 +12,10 @@ product of (1, 1, 1) and their sizes, and each step settles at least one.
 The flight runs in blocks: rows are dealt by a hash into blocks, sorted by
 (block, source, size falling) and streamed, so a task holds three documents
 at a time whatever the size of a source.  A block leaves at most two
-undecided documents per source; these meet in ever fewer blocks, the flight
-goes on, and in the last one the landing drops the document constraint, then
-draws what is left (one document a source) by its probability.  Large
-documents go first, which leaves the landing to small ones.
+undecided documents per source; these meet in ever fewer blocks and the
+flight goes on.  In the last block it stops at ``LAND`` documents a source:
+the landing lists their samples and takes the one whose words are nearest
+the balance (then the one whose number of documents is).
 
 All draws are keyed by (seed, level, block, source): reruns agree.
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ from outagekit.operators.joins import broadcast_bounded
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
 #: Documents dealt to a block of the flight phase.
 BLOCK = 8192
+#: Documents a source's landing problem holds.
+LAND = 12
 EPS = 1e-9
 UNIT = "doc_id long, __f long, __row long, sid long, size long, whole long, pi double, block long"
 
@@ -101,31 +104,29 @@ def _step(act: list[list], u: Sequence[float], rng: random.Random) -> None:
 
 
 def _flight(act: list[list], rng: random.Random) -> list[list]:
-    """One step for three units (row, probability, size); what it settled
-    leaves ``act``."""
-    a, b, c = (x[2] for x in act)
-    _step(act, (c - b, a - c, b - a) if not a == b == c else (1, -1, 0), rng)
-    done = [x for x in act if x[1] in (0.0, 1.0)]
+    """One step for the first three units (row, probability, size); what it
+    settled leaves ``act``."""
+    three = act[:3]
+    a, b, c = (x[2] for x in three)
+    _step(three, (c - b, a - c, b - a) if not a == b == c else (1, -1, 0), rng)
     act[:] = [x for x in act if x[1] not in (0.0, 1.0)]
-    return done
+    return [x for x in three if x[1] in (0.0, 1.0)]
 
 
-def _landing(act: list[list], rng: random.Random) -> list[list]:
-    """Settle at most two units: keep the words alone, then draw."""
-    left = list(act)
-    if len(left) == 2:
-        a, b = left[0][2], left[1][2]
-        _step(left, (b, -a) if a and b else (0, 1) if a else (1, 0), rng) if a or b else _step(left, (1, -1), rng)
-    for x in left:
-        if x[1] not in (0.0, 1.0):
-            x[1] = float(rng.random() < x[1])
-    return left
+def _landing(act: list[list]) -> list[list]:
+    """Settle the last units of a source by the best of their samples."""
+    p, size = np.array([x[1] for x in act]), np.array([x[2] for x in act], float)
+    samples = (np.arange(1 << len(act))[:, None] >> np.arange(len(act))) & 1
+    words, docs = np.abs((samples - p) @ size).round(6), np.abs((samples - p).sum(1)).round(6)
+    for x, taken in zip(act, samples[np.lexsort((docs, words))[0]]):
+        x[1] = float(taken)
+    return act
 
 
 def _fly(batches: Iterator[pa.RecordBatch], seed: int, level: int, last: bool) -> Iterator[pa.RecordBatch]:
     """Stream rows sorted by (block, source): settled units go out at once."""
-    key, act, rng = None, [], None
-    schema = None
+    key, act, rng, schema = None, [], None, None
+    hold = LAND if last else 2
     for batch in batches:
         schema = batch.schema
         names, out = schema.names, []
@@ -133,15 +134,15 @@ def _fly(batches: Iterator[pa.RecordBatch], seed: int, level: int, last: bool) -
         i_sid, i_size, i_pi, i_block = (names.index(c) for c in ("sid", "size", "pi", "block"))
         for row in zip(*cols):
             if key != (row[i_block], row[i_sid]):
-                out += _landing(act, rng) if last and act else act
+                out += _landing(act) if last and act else act
                 key, act = (row[i_block], row[i_sid]), []
                 rng = random.Random(f"{seed}/{level}/{key[0]}/{key[1]}")
             act.append([row, row[i_pi], row[i_size]])
-            if len(act) == 3:
+            while len(act) > hold:
                 out += _flight(act, rng)
         yield _batch(out, schema, i_pi)
     if act:
-        yield _batch(_landing(act, rng) if last else act, schema, schema.names.index("pi"))
+        yield _batch(_landing(act) if last else act, schema, schema.names.index("pi"))
 
 
 def _batch(units: list[list], schema: pa.Schema, i_pi: int) -> pa.RecordBatch:
@@ -160,8 +161,9 @@ def cube_sample(units: DataFrame, blocks: int, seed: int = 0) -> DataFrame:
     settled, level = None, 0
     while True:
         last = blocks == 1
-        frame = (frame.repartition("block")
-                 .sortWithinPartitions("block", "sid", F.desc("size"), h, "doc_id", "__f", "__row"))
+        # large documents fly first; the last level mixes sizes, which gives the landing choice
+        order = [h, "doc_id"] if last else [F.desc("size"), h, "doc_id"]
+        frame = frame.repartition("block").sortWithinPartitions("block", "sid", *order, "__f", "__row")
         flown = cut(frame.mapInArrow(lambda it, a=level, b=last: _fly(it, seed, a, b), UNIT))
         done = flown.where("pi in (0, 1)")
         settled = done if settled is None else settled.unionByName(done)
