@@ -11,8 +11,8 @@ literal U+2581 does too, unlike in the library, as it is not taken for a blank.
 
 No piece has a blank after another character, so no merge crosses the start
 of a word (blanks and what follows them): words are segmented one by one.
-Each occurrence of a word draws one of ``variants`` keyed segmentations by
-(seed, document, place), and a task remembers those of short words.
+Each document draws one of ``variants`` keyed segmentations of its words by
+(seed, document), and a task remembers what it has segmented.
 
 Defined results: null text gives null ids, empty text none; a null doc_id
 keys like any other; an empty table gives an empty result; other columns
@@ -35,9 +35,10 @@ from pyspark.sql import types as T
 from outagekit.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 8
-#: Words up to this length are remembered, so many per variant and task.
-SHORT, REMEMBERED = 24, 40_000
+DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+#: Words up to this length merge in bulk; segmentations a task remembers
+#: (besides those of the batch at hand).
+SHORT, REMEMBERED = 24, 400_000
 #: Documents of an output batch.
 ROWS = 256
 MASK = (1 << 64) - 1
@@ -113,52 +114,172 @@ def segment(word: str, vocab: dict, key: int = 0, dropout: float = 0.0) -> list[
     return ids
 
 
-class Remembered(dict):
-    """Packed ids of the words of one variant."""
-
-    def __init__(self, vocab: dict, seed: int, variant: int, dropout: float):
-        super().__init__()
-        self.vocab, self.seed, self.variant, self.dropout = vocab, seed, variant, dropout
-
-    def __missing__(self, word: str) -> bytes:
-        key = xxhash.xxh64_intdigest(f"{self.seed}/{self.variant}/{word}".encode("utf-8", "surrogatepass"))
-        ids = np.array(segment(word, self.vocab, key, self.dropout), np.int32).tobytes()
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+class Merges:
+    """The agenda run on many words at once: each round merges, in every word
+    at a time, its best pair that is not skipped (the leftmost of equals), so
+    each word goes through the same merges as in ``segment``."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, vocab: dict, dropout: float):
+        self.vocab, self.dropout, self.cutoff = vocab, dropout, np.uint64(int(dropout * (1 << 64)))
+        ranks = vocab["ranks"]
+        pairs = [(ranks[p[:i]][1] << 20 | ranks[p[i:]][1], r, n) for p, (r, n) in ranks.items()
+                 for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        size = 1 << (3 * len(pairs)).bit_length()
+        self.mask = np.int64(size - 1)
+        self.keys, self.rank, self.merged = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.probes = 1
+        for key, r, n in pairs:
+            at = int(self._slot(np.int64(key)))
+            tries = 1
+            while self.keys[at] >= 0:
+                at, tries = (at + 1) & int(self.mask), tries + 1
+            self.keys[at], self.rank[at], self.merged[at] = key, int(r), n
+            self.probes = max(self.probes, tries)
+        self.chars = np.full(0x110000, -1, np.int32)
+        for p, (_, n) in ranks.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = n
+
+    def _slot(self, key):
+        return ((key >> 20) * 40503 ^ (key & 0xFFFFF) * 60493) & self.mask
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of adjacent pieces, NONE where they do not merge
+        or are skipped."""
+        want = left.astype(np.int64) << 20 | right
+        want[right < 0] = -2
+        at = self._slot(want)
+        for _ in range(self.probes):
+            off = (self.keys[at] != want) & (self.keys[at] != -1)
+            if not off.any():
+                break
+            at = np.where(off, (at + 1) & self.mask, at)
+        rank = np.where(self.keys[at] == want, self.rank[at], self.NONE)
+        if self.cutoff:
+            x = key ^ (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            rank[x ^ (x >> np.uint64(31)) < self.cutoff] = self.NONE
+        return rank, self.merged[at]
+
+    def segment_all(self, words: list[str], keys: list[int]) -> list[bytes]:
+        """Packed ids of each word."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            part = order[at:at + 4096]
+            at += len(part)
+            width = len(words[part[-1]])
+            if width > SHORT:
+                cut = next(i for i, j in enumerate(part) if len(words[j]) > SHORT)
+                for j in part[cut:]:
+                    out[j] = np.array(segment(words[j], self.vocab, keys[j], self.dropout), np.int32).tobytes()
+                part = part[:cut]
+                if not part:
+                    continue
+                width = len(words[part[-1]])
+            self._run(part, words, keys, width, out)
+        return out
+
+    def _run(self, part: list[int], words: list[str], keys: list[int], width: int, out: list) -> None:
+        n = len(part)
+        codes = np.frombuffer("".join([words[j].ljust(width, "\0") for j in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+        lens = np.array([len(words[j]) for j in part])
+        ids = self.chars[codes]
+        real = np.arange(width) < lens[:, None]
+        odd = ((ids < 0) & real).any(1)
+        for r in np.flatnonzero(odd):  # byte pieces
+            out[part[r]] = np.array(segment(words[part[r]], self.vocab, keys[part[r]], self.dropout), np.int32).tobytes()
+        ids[~real] = -1
+        # one more place: the end of the last piece
+        start = np.minimum(np.arange(width + 1), lens[:, None]).astype(np.int32)
+        ids = np.concatenate([ids, np.full((n, 1), -1, np.int32)], axis=1)
+        key = np.array([keys[j] for j in part], np.uint64)
+        rows = np.flatnonzero(~odd)
+        ids, start, key, lens = ids[rows], start[rows], key[rows], lens[rows]
+        rank, made = self._pairs(ids[:, :-1], ids[:, 1:], start[:, :-1], np.concatenate([start[:, 2:], start[:, -1:]], axis=1), key[:, None])
+        while len(rows):
+            best = rank.argmin(1)
+            line = np.arange(len(rows))
+            done = rank[line, best] == self.NONE
+            if done.any():
+                for r in np.flatnonzero(done):
+                    out[part[rows[r]]] = ids[r, :lens[r]].tobytes()
+                go = ~done
+                rows, ids, start, key, lens, rank, made, best = (x[go] for x in (rows, ids, start, key, lens, rank, made, best))
+                w = int(lens.max(initial=1))
+                ids, start, rank, made = ids[:, :w + 1], start[:, :w + 1], rank[:, :w], made[:, :w]
+                line = np.arange(len(rows))
+                if not len(rows):
+                    return
+            ids[line, best] = made[line, best]
+            lens = lens - 1
+            w = ids.shape[1]
+            take = np.minimum(np.arange(w) + (np.arange(w) > best[:, None]), w - 1)
+            ids, start = np.take_along_axis(ids, take, 1), np.take_along_axis(start, take, 1)
+            ids[line, lens] = -1
+            rank, made = np.take_along_axis(rank, take[:, :-1].clip(max=w - 2), 1), np.take_along_axis(made, take[:, :-1].clip(max=w - 2), 1)
+            rank[line, np.minimum(lens, w - 2)] = self.NONE
+            for j in (best, best - 1):
+                ok = np.flatnonzero((j >= 0) & (j + 1 < lens))
+                i = j[ok]
+                end = start[ok, np.minimum(i + 2, w - 1)]
+                rank[ok, i], made[ok, i] = self._pairs(ids[ok, i], ids[ok, i + 1], start[ok, i], end, key[ok])
+            last = np.flatnonzero(best + 1 >= lens)
+            rank[last, best[last]] = self.NONE
 
 
 class Encoder:
+    """Encodes texts, remembering the packed ids of short words."""
+
     def __init__(self, vocab: dict, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.vocab, self.seed, self.find = vocab, seed, re.compile(vocab["words"]).findall
-        self.memory = [Remembered(vocab, seed, v, dropout) for v in range(variants if dropout else 1)]
-
-    def encode(self, text: str, doc: int | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        words, memory = self.find(" " + text), self.memory
-        if len(memory) == 1:
-            return np.frombuffer(b"".join([memory[0][w] for w in words]), np.int32)
-        key = xxhash.xxh64_intdigest(f"{self.seed}/{doc}".encode())
-        x = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        variant = ((x >> np.uint64(33)) % np.uint64(len(memory))).tolist()
-        return np.frombuffer(b"".join([memory[v][w] for w, v in zip(words, variant)]), np.int32)
+        self.vocab, self.seed, self.find, self.dropout = vocab, seed, re.compile(vocab["words"]).findall, dropout
+        self.memory: list[dict] = [{} for _ in range(variants if dropout else 1)]
+        self.merges: Merges | None = None
+
+    def _drawn(self, doc: int | None) -> int:
+        """The variant of a document's words."""
+        return xxhash.xxh64_intdigest(f"{self.seed}/{doc}".encode()) % len(self.memory)
+
+    def _learn(self, new: dict) -> None:
+        if self.merges is None:
+            self.merges = Merges(self.vocab, self.dropout)
+        new = list(new)
+        keys = [xxhash.xxh64_intdigest(f"{self.seed}/{v}/{w}".encode("utf-8", "surrogatepass")) for w, v in new]
+        for (w, v), ids in zip(new, self.merges.segment_all([w for w, _ in new], keys)):
+            self.memory[v][w] = ids
+
+    def encode_all(self, texts: list[str | None], docs: list[int | None]) -> list[np.ndarray | None]:
+        words = [self.find(" " + t) if t else [] for t in texts]
+        drawn = [self._drawn(d) for d in docs]
+        new = {(w, v) for ws, v in zip(words, drawn) for w in set(ws).difference(self.memory[v])}
+        if new:
+            self._learn(new)
+        out = [None if t is None else np.frombuffer(b"".join(map(self.memory[v].__getitem__, ws)), np.int32)
+               for t, ws, v in zip(texts, words, drawn)]
+        if sum(map(len, self.memory)) > REMEMBERED:  # what came first is what is common: it stays
+            for w, v in new:
+                del self.memory[v][w]
+        return out
+
+    def encode(self, text: str | None, doc: int | None = None) -> np.ndarray | None:
+        return self.encode_all([text], [doc])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         spelled = self.vocab["spelled"]
         return b"".join([spelled[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], schema: pa.Schema | None, names: list[str], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], names: list[str], encoder: Encoder) -> Iterator[pa.RecordBatch]:
     id_col, text_col, keep = names[0], names[1], names[2:]
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS):
             b = whole.slice(at, ROWS)
             docs, texts = b.column(id_col).to_pylist(), b.column(text_col).to_pylist()
-            ids = [None if t is None else encoder.encode(t, d) for t, d in zip(texts, docs)]
+            ids = encoder.encode_all(texts, docs)
             same = [None if t is None else encoder.decode(i) == t for t, i in zip(texts, ids)]
             n = np.array([0 if i is None else len(i) for i in ids])
             lists = pa.ListArray.from_arrays(
@@ -182,7 +303,7 @@ def encoded(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL,
     names = ["c_id", "c_text", *[f"k{i}" for i in range(len(keep))]]
     fields = [docs.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in new]
     inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
-    out = docs.select(*cols).mapInArrow(lambda it: _encode(it, None, names, encoder), inner)
+    out = docs.select(*cols).mapInArrow(lambda it: _encode(it, names, encoder), inner)
     return out.toDF(*[f.name for f in fields])
 
 
