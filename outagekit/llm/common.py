@@ -30,9 +30,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+#: Rows of a checkpoint's file where the number of rows is known.
+CUT_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.  With
+    ``rows``, about how many there are, it has no more files than they need."""
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // CUT_ROWS)))
     return df.checkpoint(eager=True)
 
 

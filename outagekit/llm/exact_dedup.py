@@ -54,6 +54,7 @@ def update_state(spark: SparkSession, staged: DataFrame, staged_path: str, state
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     s.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     s.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else 4 MB or more a partition, unused
+    s.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # one file a partition and run
     rows = s.readStream.schema(staged.schema).parquet(staged_path)
     state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "__file", "__row")), F.count(F.lit(1)))
     query = (state.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_path)

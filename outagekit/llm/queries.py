@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from outagekit.llm import bpe_dropout, exact_dedup, line_chunks, mixing, simhash, topk, toxicity, url_reputation
+from outagekit.llm import (
+    bpe_dropout, exact_dedup, line_chunks, mixing, pfp, secret_scan, simhash, topk, toxicity, url_reputation,
+)
 
 QUERIES = {
     "op1_cube_mix": mixing.op1_cube_mix,
+    "op2_pfp_repeats": pfp.op2_pfp_repeats,
     "op3_bpe_dropout": bpe_dropout.op3_bpe_dropout,
     "op4_nra_topk": topk.op4_nra_topk,
     "op5_url_reputation": url_reputation.op5_url_reputation,
+    "op6_secret_forest": secret_scan.op6_secret_forest,
     "op7_simhash_vp": simhash.op7_simhash_vp,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_line_dedup": line_chunks.op9_line_dedup,

@@ -205,19 +205,20 @@ def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("leaf").applyInArrow(lambda t: _shard_edges(t, radius), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) of every vertex of ``edges`` (a, b): ``root`` is the
-    smallest vertex of its component.  Each round takes the smallest label
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(v, root) of every vertex of ``edges`` (a, b), about ``n`` at most:
+    ``root`` is the smallest vertex of its component.  Each round takes the smallest label
     of the neighbours, then the label's own label; a round's table is
     checkpointed, its number of changes is all the driver sees."""
-    e = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(e.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    e = cut(edges.select(F.inline(both)).distinct(), n and 2 * n)
+    labels = cut(e.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("root")), n)
     while True:
         near = (e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v"))
                 .agg(F.min("root").alias("near")))
         low = labels.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         hop = labels.select(F.col("v").alias("root"), F.col("root").alias("up"))
-        new = cut(low.join(hop, "root").select("v", F.least("root", "up").alias("root"), "old"))
+        new = cut(low.join(hop, "root").select("v", F.least("root", "up").alias("root"), "old"), n)
         changed = new.where("root <> old").count()
         labels = new.select("v", "root")
         if not changed:
@@ -229,9 +230,9 @@ def near_duplicates(docs: DataFrame, k: int = K, radius: int = RADIUS) -> DataFr
     kept (the one row of its class that stays: smallest doc_id), __f, __row."""
     rows = cut(fingerprints(docs, k))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__f", "__row"))
-    distinct = cut(rows.groupBy("fp").agg(first.alias("head")))
-    edges = near_edges(distinct, distinct.count(), radius)
-    root = components(edges).withColumnRenamed("v", "fp")
+    distinct = cut(rows.groupBy("fp").agg(first.alias("head")), rows.count())
+    n = distinct.count()
+    root = components(near_edges(distinct, n, radius), n).withColumnRenamed("v", "fp")
     classes = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = classes.groupBy("root").agg(F.min("head").alias("top"))
     of_fp = classes.join(heads, "root").select("fp", "top")
