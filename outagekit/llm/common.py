@@ -68,6 +68,20 @@ def located(df: DataFrame) -> DataFrame:
         return located(df.sparkSession.read.schema(df.schema).parquet(path))
 
 
+def located_rows(df: DataFrame) -> DataFrame:
+    """``located`` with the whole row in one struct, ``__doc``: whatever
+    its columns are called, they clash with none of the operator's."""
+    packed = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc")
+    try:
+        out = df.select(packed, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        out.schema
+        return out
+    except AnalysisException:
+        path = fresh_dir(df.sparkSession, "located")
+        df.select(packed).write.parquet(path)
+        return located(df.sparkSession.read.parquet(path))
+
+
 def barrier(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
     """``df`` with ``cols`` added, each computed once per row: the values
     pass through a generator, which the optimizer does not inline, so a

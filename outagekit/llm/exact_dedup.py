@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outagekit.llm.common import ascii_lower, fresh_dir, located, table
+from outagekit.llm.common import ascii_lower, fresh_dir, located, located_rows, table
 from outagekit.operators.joins import broadcast_bounded
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,9 +114,9 @@ def exact_dedup(docs: DataFrame, digest: Digest = sha256) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without its copies, all columns kept (the pipeline's stage)."""
-    whole = located(docs)
-    gone = exact_dedup(whole.drop("__file", "__row")).where("not kept").select("__file", "__row")
-    return whole.join(broadcast_bounded(gone), ["__file", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = located_rows(docs)
+    gone = exact_dedup(whole.select("__doc.*")).where("not kept").select("__file", "__row")
+    return whole.join(broadcast_bounded(gone), ["__file", "__row"], "left_anti").select("__doc.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ Three documents at a time suffice: their null-space direction is the cross
 product of (1, 1, 1) and their sizes, and each step settles at least one.
 
 The flight runs in blocks: rows are dealt by a hash into blocks, sorted by
-(block, source, size falling) and streamed, so a task holds three documents
+(block, source, hash) and streamed, so a task holds three documents
 at a time whatever the size of a source.  A block leaves at most two
 undecided documents per source; these meet in ever fewer blocks and the
 flight goes on.  In the last block it stops at ``LAND`` documents a source:
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outagekit.llm.common import WORD, cut, located, table
+from outagekit.llm.common import WORD, cut, located, located_rows, table
 from outagekit.operators.joins import broadcast_bounded
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
@@ -161,9 +161,8 @@ def cube_sample(units: DataFrame, blocks: int, seed: int = 0) -> DataFrame:
     settled, level = None, 0
     while True:
         last = blocks == 1
-        # large documents fly first; the last level mixes sizes, which gives the landing choice
-        order = [h, "doc_id"] if last else [F.desc("size"), h, "doc_id"]
-        frame = frame.repartition("block").sortWithinPartitions("block", "sid", *order, "__f", "__row")
+        # sizes mixed: what a block leaves gives the landing some choice
+        frame = frame.repartition("block").sortWithinPartitions("block", "sid", h, "doc_id", "__f", "__row")
         flown = cut(frame.mapInArrow(lambda it, a=level, b=last: _fly(it, seed, a, b), UNIT))
         done = flown.where("pi in (0, 1)")
         settled = done if settled is None else settled.unionByName(done)
@@ -201,11 +200,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    whole = located(docs).withColumn("__f", F.xxhash64("__file"))
-    took = (mix(docs, **options).where("copies > 0")
+    whole = located_rows(docs).withColumn("__f", F.xxhash64("__file"))
+    took = (mix(whole.select("__doc.*"), **options).where("copies > 0")
             .select("__f", "__row", F.array_repeat(F.lit(1), F.col("copies").cast("int")).alias("__copies")))
-    return (whole.join(took, ["__f", "__row"])
-            .select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__copies").alias("__copy")).drop("__copy"))
+    return (whole.join(took, ["__f", "__row"]).select("__doc", F.explode("__copies").alias("__copy")).select("__doc.*"))
 
 
 def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outagekit.llm.common import cut, located, table
+from outagekit.llm.common import cut, located, located_rows, table
 from outagekit.operators.joins import broadcast_bounded
 
 K, RADIUS = 3, 3
@@ -242,9 +242,9 @@ def near_duplicates(docs: DataFrame, k: int = K, radius: int = RADIUS) -> DataFr
 
 def drop_near_duplicates(docs: DataFrame, k: int = K, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each class, all columns kept."""
-    whole = located(docs).withColumn("__f", F.xxhash64("__file"))
-    gone = cut(near_duplicates(docs, k, radius).where("not kept").select("__f", "__row"))
-    return whole.join(broadcast_bounded(gone), ["__f", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = located_rows(docs).withColumn("__f", F.xxhash64("__file"))
+    gone = cut(near_duplicates(whole.select("__doc.*"), k, radius).where("not kept").select("__f", "__row"))
+    return whole.join(broadcast_bounded(gone), ["__f", "__row"], "left_anti").select("__doc.*")
 
 
 def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
