@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from outagekit.llm.common import cut, table
 
 TOP, STEP, SCALE = 5, 50, 256
 #: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 8192, 256
+CANDIDATES, QUERIES = 8192, 512
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -52,54 +53,74 @@ def _matrix(col) -> np.ndarray:
 
 
 class Lists:
-    """The sorted lists of a block of candidates."""
+    """The sorted lists of a block of candidates, read for many queries at
+    once: a depth is the same for all, so the bounds are matrix products."""
 
-    def __init__(self, ids: np.ndarray, c: np.ndarray):
+    def __init__(self, ids: np.ndarray, c: np.ndarray, kind: type):
         self.ids, self.n = ids, len(ids)
-        self.c = c.astype(float)
+        self.c = c.astype(kind)
         order = np.argsort(c, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.c, order, 0)
         self.rank = np.empty(c.shape, np.int32)  # place of a candidate in each list, from the bottom
         np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
 
-    def best(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (id, score) of query ``q``, its own id left out."""
-        alive = np.flatnonzero(self.ids != qid)
-        dims = np.flatnonzero(q)
-        q = q[dims].astype(float)
-        up = q > 0
-        part = self.c[:, dims] * q
-        worst = np.where(up, self.sorted[0, dims], self.sorted[-1, dims]) * q
-        depth = max(1, self.n // 16)
-        while len(alive) > k and depth < self.n:
-            front = np.where(up, self.sorted[self.n - depth, dims], self.sorted[depth - 1, dims]) * q
-            rank = self.rank[np.ix_(alive, dims)]
-            seen = np.where(up, rank >= self.n - depth, rank < depth)
-            read = np.where(seen, part[alive], 0.0).sum(1)
-            low, high = read + (~seen) @ worst, read + (~seen) @ front
-            bar = np.partition(low, -k)[-k]
-            alive = alive[high >= bar]
-            depth *= 2
-        score = part[alive].sum(1)
-        top = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][top], score[top].astype(np.int64)
+    def bounds(self, depth: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (queries x candidates) after reading
+        ``depth`` entries of each list: from the top for the positive query
+        components ``up``, from the bottom for the negative ones ``down``."""
+        low, high = 0, 0
+        for part, seen, worst, front in (
+                (up, self.rank >= self.n - depth, self.sorted[0], self.sorted[self.n - depth]),
+                (down, self.rank < depth, self.sorted[-1], self.sorted[depth - 1])):
+            read = part @ np.where(seen, self.c, 0).T
+            rest = (~seen).astype(self.c.dtype).T
+            low, high = low + read + (part * worst) @ rest, high + read + (part * front) @ rest
+        return low, high
+
+    def best(self, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k best (ids, scores) of each query, its own id left out."""
+        q = q.astype(self.c.dtype)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        own = self.ids == qids[:, None]
+        alive = ~own
+        k = min(k, self.n)
+        depth = self.n // 2
+        while 0 < depth < self.n - self.n // 16 and alive.sum() > 0.1 * alive.size:
+            low, high = self.bounds(depth, up, down)
+            low[own] = -np.inf
+            bar = np.partition(low, self.n - k, axis=1)[:, self.n - k]
+            alive &= high >= bar[:, None]  # an outsider below the k-th best lower bound cannot qualify
+            depth += (self.n - depth + 1) // 2
+        # what is left is read to the end
+        whole = q @ self.c.T if alive.sum() > 0.1 * alive.size else None
+        out = []
+        for i in range(len(qids)):
+            left = np.flatnonzero(alive[i])
+            score = self.c[left] @ q[i] if whole is None else whole[i, left]
+            if len(left) > 4 * k:
+                some = score >= np.partition(score, len(left) - k)[len(left) - k]
+                left, score = left[some], score[some]
+            top = np.lexsort((self.ids[left], -score))[:k]
+            out.append((self.ids[left][top], score[top].astype(np.int64)))
+        return out
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            ids = np.asarray(b.column("ids")[i].values)
-            qids = np.asarray(b.column("qids")[i].values)
+            ids, qids = (np.asarray(b.column(c)[i].values) for c in ("ids", "qids"))
             c, q = _matrix(b.column("vecs")[i].values), _matrix(b.column("qvecs")[i].values)
             d = max(c.shape[1], q.shape[1])
             c, q = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (c, q))
-            if float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * d >= 2 ** 53:
+            largest = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, d)
+            if largest >= 2 ** 53:
                 raise ValueError("components too large for exact scores")
-            lists, out = Lists(ids, c), []
-            for qid, row in zip(qids, q):
-                found, score = lists.best(qid, row, k)
-                out.append((np.full(len(found), qid), np.full(len(found), hash(row.tobytes())), found, score))
-            cols = [np.concatenate(x) for x in zip(*out)]
+            # sums of integers are exact in either type below its limit
+            found = Lists(ids, c, np.float32 if largest < 2 ** 24 else np.float64).best(qids, q, k)
+            per = [len(f) for f, _ in found]
+            marks = [int(xxhash.xxh64_intdigest(row.tobytes()) >> 1) for row in q]
+            cols = [np.repeat(qids, per), np.repeat(np.array(marks, np.int64), per),
+                    np.concatenate([f for f, _ in found]), np.concatenate([s for _, s in found])]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "qh", "vec_id", "score"])
 
 
