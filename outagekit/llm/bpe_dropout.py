@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 #: Words up to this length merge in bulk; segmentations a task remembers
 #: (besides those of the batch at hand).
-SHORT, REMEMBERED = 24, 400_000
+SHORT, REMEMBERED = 24, 600_000
 #: Documents of an output batch.
 ROWS = 256
 MASK = (1 << 64) - 1
@@ -65,7 +67,7 @@ def vocabulary(path: str = MODEL) -> dict:
     alone = "".join(c for c in "\n\t" if c not in joins)  # in no longer piece: merges stop there
     if any(" " in p.lstrip(" ") for p in plain):
         raise ValueError("pieces with blanks inside: words are not independent")
-    return {"ranks": plain, "bytes": byte_ids, "spelled": spelled,
+    return {"id": hash(m.serialized_model_proto()), "ranks": plain, "bytes": byte_ids, "spelled": spelled,
             "words": rf" +[^ {alone}]*|[^ {alone}]+" + (f"|[{alone}]" if alone else "")}
 
 
@@ -239,6 +241,7 @@ class Encoder:
         self.vocab, self.seed, self.find, self.dropout = vocab, seed, re.compile(vocab["words"]).findall, dropout
         self.memory: list[dict] = [{} for _ in range(variants if dropout else 1)]
         self.merges: Merges | None = None
+        self.lossy: set[str] = set()  # words whose pieces do not spell them
 
     def _drawn(self, doc: int | None) -> int:
         """The variant of a document's words."""
@@ -249,8 +252,11 @@ class Encoder:
             self.merges = Merges(self.vocab, self.dropout)
         new = list(new)
         keys = [xxhash.xxh64_intdigest(f"{self.seed}/{v}/{w}".encode("utf-8", "surrogatepass")) for w, v in new]
+        spelled = self.vocab["spelled"]
         for (w, v), ids in zip(new, self.merges.segment_all([w for w, _ in new], keys)):
             self.memory[v][w] = ids
+            if b"".join(map(spelled.__getitem__, np.frombuffer(ids, np.int32).tolist())) != w.encode("utf-8", "surrogatepass"):
+                self.lossy.add(w)
 
     def encode_all(self, texts: list[str | None], docs: list[int | None]) -> list[np.ndarray | None]:
         words = [self.find(" " + t) if t else [] for t in texts]
@@ -260,6 +266,9 @@ class Encoder:
             self._learn(new)
         out = [None if t is None else np.frombuffer(b"".join(map(self.memory[v].__getitem__, ws)), np.int32)
                for t, ws, v in zip(texts, words, drawn)]
+        # the pieces spell the text if they spell its words and the words make it up
+        self.same = [None if t is None else sum(map(len, ws)) == len(t) + bool(t) and self.lossy.isdisjoint(ws)
+                     for t, ws in zip(texts, words)]
         if sum(map(len, self.memory)) > REMEMBERED:  # what came first is what is common: it stays
             for w, v in new:
                 del self.memory[v][w]
@@ -273,14 +282,25 @@ class Encoder:
         return b"".join([spelled[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], names: list[str], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+def _remembering(vocab: dict, dropout: float, seed: int, variants: int) -> Encoder:
+    """The encoder of this worker process: its next tasks go on with what
+    earlier ones remembered."""
+    kept = sys.modules.setdefault("bpe_dropout_memory", types.ModuleType("bpe_dropout_memory")).__dict__
+    key = (vocab["id"], dropout, seed, variants)
+    if kept.get("key") != key:
+        kept.update(key=key, encoder=Encoder(vocab, dropout, seed, variants))
+    return kept["encoder"]
+
+
+def _encode(batches: Iterator[pa.RecordBatch], names: list[str], how: tuple) -> Iterator[pa.RecordBatch]:
+    encoder = _remembering(*how)
     id_col, text_col, keep = names[0], names[1], names[2:]
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS):
             b = whole.slice(at, ROWS)
             docs, texts = b.column(id_col).to_pylist(), b.column(text_col).to_pylist()
             ids = encoder.encode_all(texts, docs)
-            same = [None if t is None else encoder.decode(i) == t for t, i in zip(texts, ids)]
+            same = encoder.same
             n = np.array([0 if i is None else len(i) for i in ids])
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.array([i is None for i in ids] + [False])),
@@ -293,17 +313,17 @@ def _encode(batches: Iterator[pa.RecordBatch], names: list[str], encoder: Encode
 def encoded(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL, dropout: float = DROPOUT,
             seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """``docs`` (doc_id, text) with its columns ``keep`` (all by default) and
-    ids, n_ids, lossless - whether the ids decode to the text.  An input
+    ids, n_ids, lossless - whether the ids spell the text.  An input
     column of one of these names makes way for it."""
     new = [("ids", "array<int>"), ("n_ids", "long"), ("lossless", "boolean")]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [n for n, _ in new]]
-    encoder = Encoder(vocabulary(model), dropout, seed, variants)
+    how = (vocabulary(model), dropout, seed, variants)
     # plain names inside, whatever the columns are called
     cols = [F.col("doc_id").alias("c_id"), F.col("text").alias("c_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]]
     names = ["c_id", "c_text", *[f"k{i}" for i in range(len(keep))]]
     fields = [docs.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in new]
     inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
-    out = docs.select(*cols).mapInArrow(lambda it: _encode(it, names, encoder), inner)
+    out = docs.select(*cols).mapInArrow(lambda it: _encode(it, names, how), inner)
     return out.toDF(*[f.name for f in fields])
 
 
