@@ -15,12 +15,15 @@ less than ``d`` bytes in one, or less than ``LENGTH - d`` in the other.
 Positions are shared out by the ``CONTEXT`` bytes after their trigger (a
 string's first trigger with so many bytes of it left).  A first pass counts
 these keys; only those at two or more places are looked at again, so texts
-that repeat nothing are never compared.  Positions whose string has no such
-trigger are their own keys.  Keys at over ``HOT`` places are not brought
+that repeat nothing are never compared.  A string without such a trigger (in
+monotonous text) has its first of a second, denser kind instead, and one
+without either is its own key.  Keys at over ``HOT`` places are not brought
 together in a task: the strings of these positions are counted by a 128-bit
 digest, combined before the shuffle.
 
 Equal texts are parsed once; their copies are removed whole (if long enough).
+Strings that a text repeats itself are found while it is parsed, and one place
+of each kind goes on to be compared with other texts.
 
 Defined results: null counts as empty; texts under ``LENGTH`` bytes lose
 nothing; each of repeated rows is a text; an empty table gives an empty
@@ -42,8 +45,9 @@ from pyspark.sql import functions as F
 from outagekit.llm.common import cut, table
 
 LENGTH = 400
-#: Bytes of a trigger, one place in so many is one, bytes of a key.
-W, EVERY, CONTEXT = 16, 48, 64
+#: Bytes of a trigger; one place in so many is one, and one of the second
+#: kind; bytes of a key (a multiple of W).
+W, EVERY, DENSE, CONTEXT = 16, 48, 4, 128
 #: Places of a key above which it is not gathered; places compared at once.
 HOT, GATHER = 50_000, 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -69,9 +73,18 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def parsed(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of a text, places, reach, keys) of its triggers that come first
-    in some string: strings start up to ``reach`` bytes before the place."""
+def _context(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Hash of the CONTEXT bytes at the places ``p``."""
+    step, out = _power(W), np.zeros(len(p), np.uint64)
+    for k in range(0, CONTEXT, W):
+        out = out * step + h[p + k]
+    return out
+
+
+def parsed(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(index of a text, places, least, reach, keys, own spans): the strings
+    that start ``least`` to ``reach`` bytes before a place are named by it;
+    own spans are starts of strings that the text itself repeats."""
     limit = LENGTH - CONTEXT
     at = 0
     while at < len(texts):
@@ -81,40 +94,83 @@ def parsed(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
             stop += 1
         data = np.frombuffer(b"".join(texts[at:stop]) + bytes(CONTEXT), np.uint8)
         h = window_hashes(data)
-        hit = np.flatnonzero((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) < np.uint64((1 << 32) // EVERY))
+        draw = h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+        hit = np.flatnonzero(draw < np.uint64((1 << 32) // EVERY))
+        dense = draw >= np.uint64((1 << 32) - (1 << 32) // DENSE)
         first = np.cumsum([0] + [len(t) for t in texts[at:stop]])
         cuts = np.searchsorted(hit, first)
-        b16, b32 = _power(16), _power(32)
         for k in range(at, stop):
             lo, n = first[k - at], len(texts[k])
             if n < LENGTH:
                 continue
             g = hit[cuts[k - at]:cuts[k - at + 1]] - lo
             g = g[g <= n - W]
-            before = np.concatenate([[-1], g[:-1]])
-            reach = np.minimum(g - before - 1, limit)
-            ok = (g + LENGTH - n <= reach) & (g <= n - CONTEXT)
-            p = g[ok] + lo
-            keys = (h[p] * b16 + h[p + 16]) * b32 + (h[p + 32] * b16 + h[p + 48])
-            # strings without an early trigger: each start is a place of its own
+            edge = np.concatenate([[-1], g])
+            reach = np.minimum(g - edge[:-1] - 1, limit)
+            least = np.maximum(g + LENGTH - n, 0)
+            ok = least <= reach
+            places, lows, highs = [g[ok]], [least[ok]], [reach[ok]]
+            lone = []
             after = np.concatenate([g, [n + limit]])
-            gap = np.flatnonzero(after - np.concatenate([[-1], g]) > limit + 1)
-            lone = [np.arange((-1 if j == 0 else g[j - 1]) + 1, min(after[j] - limit - 1, n - LENGTH) + 1) for j in gap]
-            lone = np.concatenate(lone) if lone else np.zeros(0, np.int64)
-            t = texts[k]
-            own = np.array([xxhash.xxh64_intdigest(t[i:i + LENGTH], 7) for i in lone.tolist()], np.uint64)
-            yield k, np.concatenate([g[ok], lone]), np.concatenate([reach[ok], np.zeros(len(lone), np.int64)]), np.concatenate([keys, own])
+            for j in np.flatnonzero(after - edge > limit + 1):
+                a, z = edge[j] + 1, min(after[j] - limit - 1, n - LENGTH)  # starts without an early trigger
+                if a > z:
+                    continue
+                s = a + np.flatnonzero(dense[lo + a:lo + min(z + limit, n - W) + 1])
+                before = np.concatenate([[a - 1], s])
+                high = np.minimum(s - before[:-1] - 1, limit)
+                low = np.maximum(s - z, 0)
+                named = low <= high
+                places.append(s[named])
+                lows.append(low[named])
+                highs.append(high[named])
+                nxt = np.concatenate([s, [n + LENGTH]])
+                for i in np.flatnonzero(nxt - before > limit + 1):
+                    lone.append(np.arange(before[i] + 1, min(nxt[i] - limit - 1, z) + 1))
+            places, lows, highs = (np.concatenate(x).astype(np.int64) for x in (places, lows, highs))
+            keys = _context(h, places + lo)
+            if lone:
+                own = np.concatenate(lone).astype(np.int64)
+                t = texts[k]
+                digests = np.array([xxhash.xxh64_intdigest(t[i:i + LENGTH], 7) for i in own.tolist()], np.uint64)
+                zero = np.zeros(len(own), np.int64)
+                places, lows, highs, keys = (np.concatenate(x) for x in ((places, own), (lows, zero), (highs, zero), (keys, digests)))
+            yield k, *_own_repeats(texts[k], places, lows, highs, keys)
         at = stop
 
 
+def _own_repeats(text: bytes, g: np.ndarray, least: np.ndarray, reach: np.ndarray, keys: np.ndarray) -> tuple:
+    """Places whose strings a text repeats itself, byte for byte: their spans
+    are known here, and one place of each kind stands for them elsewhere."""
+    order = np.argsort(keys, kind="stable")
+    twin = keys[order[1:]] == keys[order[:-1]]
+    again = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
+    if not again.any():
+        return g, least, reach, keys, []
+    kinds: dict[tuple, list[int]] = {}
+    for i in order[again].tolist():
+        a, z = g[i] - reach[i], g[i] - least[i]
+        kinds.setdefault((int(least[i]), int(reach[i]), text[a:z + LENGTH]), []).append(i)
+    same = [m for m in kinds.values() if len(m) > 1]
+    spans = [(int(g[i] - reach[i]), int(g[i] - least[i])) for m in same for i in m]
+    keep = np.ones(len(g), bool)
+    keep[[i for m in same for i in m[1:]]] = False
+    return g[keep], least[keep], reach[keep], keys[keep], spans
+
+
+def unpacked(at):
+    """Place, least, reach of a packed place."""
+    return at >> 18, at >> 9 & 511, at & 511
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         us = b.column("u").to_numpy(zero_copy_only=False)
         texts = [t.encode("utf-8", "surrogatepass") for t in b.column("t").to_pylist()]
         u, at, key, held = [], [], [], 0
-        for k, g, reach, keys in parsed(texts):
+        for k, g, least, reach, keys, _ in parsed(texts):
             u.append(np.full(len(g), us[k]))
-            at.append(g << 10 | reach)
+            at.append(g << 18 | least << 9 | reach)
             key.append(keys.view(np.int64))
             held += len(g)
             if held > 200_000:
@@ -150,8 +206,7 @@ def repeated_starts(keys: np.ndarray, at: np.ndarray, left: list[bytes], right:
     """(index of a place, start) of the strings that occur more than once
     among the given places (all places of each key)."""
     n = len(keys)
-    g, reach = at >> 10, at & 1023
-    least = LENGTH - np.array([len(r) for r in right])
+    g, least, reach = unpacked(at)
     dictionary, same_left = _order(keys, [s[::-1] for s in left], max(1, int(reach.max())))
     parse, same_right = _order(keys, right, LENGTH)
     who, start = [], []
@@ -219,9 +274,9 @@ def _strings(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.Record
             for p in found:
                 if p["hot"] != hot:
                     continue
-                g, reach = p["at"] >> 10, p["at"] & 1023
+                g, least, reach = unpacked(p["at"])
                 if hot:
-                    for i in range(g - reach, min(g, len(data) - LENGTH) + 1):
+                    for i in range(g - reach, g - least + 1):
                         out.append((hashlib.blake2b(data[i:i + LENGTH], digest_size=16).digest(), u, i))
                 else:
                     out.append((p["key"], u, p["at"], data[g - reach:g], data[g:g + LENGTH]))
@@ -266,7 +321,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, seed: int = SEED) -> DataFra
     keys = cut(places.groupBy("key").agg(*_twice(F.xxhash64("u", "at")), F.count(F.lit(1)).alias("n")).where("lo <> hi")
                .select("key", (F.col("n") > hot).alias("hot")))
     kept = (places.join(keys, "key").groupBy("u").agg(F.collect_set(F.struct("key", "at", "hot")).alias("places")))
-    found = distinct_texts(docs, seed).join(kept, "u").select("u", "t", "places")
+    # all columns of the texts go along, so this and the last join share one exchange of them
+    found = distinct_texts(docs, seed).join(kept, "u").select("u", "t", "n", "places")
     strings = found.mapInArrow(lambda it: _strings(it, False), "key long, u long, at long, left binary, right binary")
     runs = (strings.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "u long, first long, last long"))
     if keys.where("hot").take(1):
@@ -290,9 +346,12 @@ def covered(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _result(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for u, t, n, spans in zip(*[b.column(c).to_pylist() for c in ("u", "t", "n", "spans")]):
-            data = t.encode("utf-8", "surrogatepass")
-            runs = [(0, len(data))] if n > 1 and len(data) >= LENGTH else covered(len(data), [(s["first"], s["last"]) for s in spans or []])
+        us, texts, counts, found = (b.column(c).to_pylist() for c in ("u", "t", "n", "spans"))
+        texts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        own = {k: spans for k, *_, spans in parsed(texts)}
+        for k, (u, data, n, spans) in enumerate(zip(us, texts, counts, found)):
+            spans = [(s["first"], s["last"]) for s in spans or []] + own.get(k, [])
+            runs = [(0, len(data))] if n > 1 and len(data) >= LENGTH else covered(len(data), spans)
             ends = [0, *[e for _, e in runs]]
             left = b"".join([data[a:z] for a, z in zip(ends, [*[s for s, _ in runs], len(data)])])
             rows.append((u, len(data), len(data) - len(left), [{"from": a, "to": z} for a, z in runs],
