@@ -25,6 +25,8 @@ HEADLINE = [
     "dec_fec",
     "precision_summary",
     "iqr_outliers",
+    "duration_stats",
+    "processing_report",
     "regional_anomalies",
     "extract_interruptions",
     "billed_uc_rollup",

@@ -23,6 +23,11 @@ def round_half_sql(expr: str, digits: int) -> str:
 
 
 def minutes_to_micros(c: Column) -> Column:
-    """Exact integer microseconds of a duration in minutes; sums of these
-    do not depend on the order rows are added in."""
-    return F.round(c * F.lit(60_000_000.0)).cast("long")
+    """Whole microseconds of a duration in minutes, as a decimal: sums do not
+    depend on the order rows are added in and do not overflow (a bigint sum
+    ends at 2.5e9 customer hours)."""
+    return F.round(c * F.lit(60_000_000.0)).cast("decimal(20,0)")
+
+
+def micros_to_hours(c: Column) -> Column:
+    return c.cast("double") / F.lit(3_600_000_000.0)

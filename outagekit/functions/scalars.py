@@ -18,6 +18,7 @@ from outagekit.functions.schema import (
 # Text layouts tried in order by the general timestamp parser
 # (a bracketed fraction is optional and takes 1 to 9 digits).
 TS_FORMATS = [
+    "yyyy-MM-dd",
     "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]",
     "dd/MM/yyyy HH:mm:ss[.SSSSSSSSS]",
@@ -32,6 +33,8 @@ REGION_CODE_TO_NAME = {"L": "NRT", "P": "CSL", "M": "NRO", "C": "LES", "V": "OES
 REGION_NAMES = ["NRT", "CSL", "NRO", "LES", "OES"]
 TOTAL_LABEL = "COPEL"
 NO_REGION = "SEM_REGIONAL"
+#: Region of an origin code or a region name.
+REGION_OF = {**{n: n for n in REGION_NAMES}, **REGION_CODE_TO_NAME, TOTAL_LABEL: TOTAL_LABEL}
 NO_SIGLA = "SEM_SIGLA"
 
 # Text accepted as "true" for the verified flag.
@@ -44,6 +47,9 @@ BACKFILL_FALSE_WORDS = ["false", "0", "nao", "não", "no"]
 ACCENTED = "áàâãéèêíìîóòôõúùûçÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛÇ"
 PLAIN = "aaaaeeeiiioooouuucAAAAEEEIIIOOOOUUUC"
 
+# Layouts of free month text, with the groups of year and month.
+MONTH_TEXT = ((r"^(\d{4})[-_/](\d{1,2})$", 1, 2), (r"^(\d{1,2})[-_/](\d{4})$", 2, 1), (r"^(\d{4})(\d{2})$", 1, 2))
+
 LONG_INTERRUPTION_MIN = 3.0
 
 
@@ -120,15 +126,8 @@ def parse_year_month(col: str | Column) -> Column:
     """struct(ano, mes) from free month text: YYYY-M(M), YYYY/M, YYYY_MM,
     M(M)-YYYY, YYYYMM; month outside 1..12 or anything else gives null (P8)."""
     s = F.trim(_c(col).cast("string"))
-    ym = r"^(\d{4})[-_/](\d{1,2})$"
-    my = r"^(\d{1,2})[-_/](\d{4})$"
-    six = r"^(\d{4})(\d{2})$"
-    year = (F.when(s.rlike(ym), F.regexp_extract(s, ym, 1))
-            .when(s.rlike(my), F.regexp_extract(s, my, 2))
-            .when(s.rlike(six), F.regexp_extract(s, six, 1))).cast("int")
-    month = (F.when(s.rlike(ym), F.regexp_extract(s, ym, 2))
-             .when(s.rlike(my), F.regexp_extract(s, my, 1))
-             .when(s.rlike(six), F.regexp_extract(s, six, 2))).cast("int")
+    year, month = (F.coalesce(*[F.when(s.rlike(p), F.regexp_extract(s, p, at[i])) for p, *at in MONTH_TEXT]).cast("int")
+                   for i in (0, 1))
     ok = month.between(1, 12)
     return F.when(ok, F.struct(year.alias("ano"), month.alias("mes")))
 
@@ -146,8 +145,7 @@ def regional_code_map(df: DataFrame, sigla_col: str = "SIGLA_REGIONAL",
     if sig_name is None:
         raise KeyError("neither REGIONAL_TOTAL nor SIGLA_REGIONAL present")
     sig = F.upper(F.coalesce(F.col(f"`{sig_name}`").cast("string"), F.lit("")))
-    pairs = {**{n: n for n in REGION_NAMES}, **REGION_CODE_TO_NAME, TOTAL_LABEL: TOTAL_LABEL}
-    lookup = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    lookup = F.create_map(*[F.lit(x) for kv in REGION_OF.items() for x in kv])
     return F.coalesce(F.element_at(lookup, sig), F.lit(NO_REGION))
 
 
@@ -204,52 +202,55 @@ def clean_data(df: DataFrame) -> DataFrame:
     return out
 
 
-def backfill_perceived(df: DataFrame, default_verified: bool = True) -> DataFrame:
-    """Make a marked table usable for the indicators (P12; card C2).
-
-    Null perceived bounds take the first existing raw column; null minutes
-    are derived from the bounds; ``longa_duracao`` is added when absent;
-    PERCEBIDO bounds are mirrored as PERCEBIDA; ``verificado`` gets a
-    default when absent.
-    """
-    cols = set(df.columns)
-    end_p = "DATA_HORA_FIM_INTR_PERCEBIDO" if "DATA_HORA_FIM_INTR_PERCEBIDO" in cols else "DATA_HORA_FIM_INTR_PERCEBIDA"
-    start_p = "DTHR_INICIO_INTRP_PERCEBIDO" if "DTHR_INICIO_INTRP_PERCEBIDO" in cols else "DTHR_INICIO_INTRP_PERCEBIDA"
-    out = df
-    if end_p in cols:
-        raw = next((c for c in RAW_END_FALLBACK if c in cols), None)
-        if raw:
-            out = out.withColumn(end_p, F.coalesce(F.col(end_p), F.col(raw).cast(out.schema[end_p].dataType)))
-    if start_p in cols:
-        raw = next((c for c in RAW_START_FALLBACK if c in cols), None)
-        if raw:
-            out = out.withColumn(start_p, F.coalesce(F.col(start_p), F.col(raw).cast(out.schema[start_p].dataType)))
-    if start_p in cols and end_p in cols:
-        s = parse_ts(start_p, out.schema[start_p].dataType)
-        e = parse_ts(end_p, out.schema[end_p].dataType)
-        derived = minutes_between(s, e)
-        if "DURACAO_PERCEBIDA_MINUTOS" in cols:
-            out = out.withColumn("DURACAO_PERCEBIDA_MINUTOS",
-                                 F.coalesce(parse_duration("DURACAO_PERCEBIDA_MINUTOS"), derived))
-        else:
-            out = out.withColumn("DURACAO_PERCEBIDA_MINUTOS", derived)
-    if "longa_duracao" not in cols:
-        dur = resolve_column(out.columns, DURATION_ALIASES)
-        if dur:
-            out = out.withColumn("longa_duracao",
-                                 parse_duration(dur, 0.0) >= F.lit(LONG_INTERRUPTION_MIN))
-    if "DTHR_INICIO_INTRP_PERCEBIDO" in out.columns and "DTHR_INICIO_INTRP_PERCEBIDA" not in out.columns:
-        out = out.withColumn("DTHR_INICIO_INTRP_PERCEBIDA", F.col("DTHR_INICIO_INTRP_PERCEBIDO"))
-    if "DATA_HORA_FIM_INTR_PERCEBIDO" in out.columns and "DATA_HORA_FIM_INTR_PERCEBIDA" not in out.columns:
-        out = out.withColumn("DATA_HORA_FIM_INTR_PERCEBIDA", F.col("DATA_HORA_FIM_INTR_PERCEBIDO"))
-    if "verificado" not in out.columns:
-        out = out.withColumn("verificado", F.lit(default_verified))
+# Columns of a marked table that are filled where null: (targets, of which the
+# first present counts; sources, of which the first present fills it).
+BACKFILL_RULES = (
+    (("NUM_INTRP_PERCEBIDA",), ("NUM_INTRP_INIC_MANOBRA_UCI", "NUM_INTRP")),
+    (("DTHR_INICIO_INTRP_PERCEBIDO", "DTHR_INICIO_INTRP_PERCEBIDA"), tuple(RAW_START_FALLBACK)),
+    (("DATA_HORA_FIM_INTR_PERCEBIDO", "DATA_HORA_FIM_INTR_PERCEBIDA"), tuple(RAW_END_FALLBACK)),
+)
+# Second spellings added where only the first is there.
+MIRRORS = (("DTHR_INICIO_INTRP_PERCEBIDO", "DTHR_INICIO_INTRP_PERCEBIDA"),
+           ("DATA_HORA_FIM_INTR_PERCEBIDO", "DATA_HORA_FIM_INTR_PERCEBIDA"))
+
+
+def _first_present(df: DataFrame, names) -> str | None:
+    return next((c for c in names if c in df.columns), None)
+
+
+def _verified(df: DataFrame, default: bool) -> Column:
+    if "verificado" not in df.columns:
+        return F.lit(default)
+    if isinstance(df.schema["verificado"].dataType, T.StringType):
+        word = F.lower(F.trim(F.col("verificado")))
+        value = F.when(word.isin(BACKFILL_TRUE_WORDS), True).when(word.isin(BACKFILL_FALSE_WORDS), False)
     else:
-        vt = out.schema["verificado"].dataType
-        if isinstance(vt, T.StringType):
-            t = F.lower(F.trim(F.col("verificado")))
-            v = F.when(t.isin(BACKFILL_TRUE_WORDS), True).when(t.isin(BACKFILL_FALSE_WORDS), False)
-        else:
-            v = parse_flag("verificado", vt, default=default_verified)
-        out = out.withColumn("verificado", F.coalesce(v, F.lit(default_verified)))
-    return out
+        value = parse_flag("verificado", df.schema["verificado"].dataType, default=default)
+    return F.coalesce(value, F.lit(default))
+
+
+def backfill_perceived(df: DataFrame, default_verified: bool = True) -> DataFrame:
+    """Make a marked table usable for the indicators (P12; card C2): fill
+    null perceived ids and bounds (BACKFILL_RULES), then null minutes from the
+    filled bounds; add what the indicators expect (``longa_duracao``, the
+    second spellings, ``verificado`` with a default)."""
+    filled = {}
+    for targets, sources in BACKFILL_RULES:
+        target, source = _first_present(df, targets), _first_present(df, sources)
+        if target and source:
+            filled[target] = F.coalesce(F.col(target), F.col(source).cast(df.schema[target].dataType))
+    one = df.withColumns(filled)
+
+    start, end = (_first_present(one, targets) for targets, _ in BACKFILL_RULES[1:])
+    more = {}
+    if start and end:
+        span = minutes_between(parse_ts(start, one.schema[start].dataType), parse_ts(end, one.schema[end].dataType))
+        own = [parse_duration("DURACAO_PERCEBIDA_MINUTOS")] if "DURACAO_PERCEBIDA_MINUTOS" in one.columns else []
+        more["DURACAO_PERCEBIDA_MINUTOS"] = F.coalesce(*own, span)
+    two = one.withColumns(more)
+
+    added = {b: F.col(a) for a, b in MIRRORS if a in two.columns and b not in two.columns}
+    minutes = resolve_column(two.columns, DURATION_ALIASES)
+    if "longa_duracao" not in two.columns and minutes:
+        added["longa_duracao"] = parse_duration(minutes, 0.0) >= F.lit(LONG_INTERRUPTION_MIN)
+    return two.withColumns(added | {"verificado": _verified(two, default_verified)})

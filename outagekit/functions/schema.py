@@ -64,26 +64,19 @@ def resolve_column_fuzzy(columns: Sequence[str], include_all: Sequence[str] = ()
     return None
 
 
+def _named_or_like(columns: Sequence[str], aliases: Sequence[str], include_all: Sequence[str] = (),
+                   include_any: Sequence[str] = ()) -> str | None:
+    return resolve_column(columns, aliases) or resolve_column_fuzzy(columns, include_all, include_any)
+
+
 def resolve_regional_dq(columns: Sequence[str]) -> str | None:
-    direct = resolve_column(columns, REGIONAL_DQ_ALIASES)
-    if direct:
-        return direct
-    for c in columns:
-        low = c.strip().lower()
-        if "regional" in low and ("sigla" in low or "sg_" in low):
-            return c
-    return None
+    """The region label column of the quality tests."""
+    return _named_or_like(columns, REGIONAL_DQ_ALIASES, ["regional"], ["sigla", "sg_"])
 
 
 def resolve_date_dq(columns: Sequence[str]) -> str | None:
-    direct = resolve_column(columns, DATE_DQ_ALIASES)
-    if direct:
-        return direct
-    for c in columns:
-        low = c.strip().lower()
-        if "data" in low or "dt_" in low or "compet" in low or "mes" in low:
-            return c
-    return None
+    """The reference date column of the quality tests."""
+    return _named_or_like(columns, DATE_DQ_ALIASES, (), ["data", "dt_", "compet", "mes"])
 
 
 def resolve_columns(df: DataFrame, mapping: dict[str, Sequence[str]], keep_rest: bool = False) -> DataFrame:
@@ -121,19 +114,3 @@ def is_temporal(dt: T.DataType) -> bool:
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-
-
-def contract_report(df: DataFrame, expected: T.StructType) -> list[tuple[str, str, str, bool]]:
-    """Compare a schema with a declared contract (Q-D, metadata part).
-
-    Returns (column, expected type, actual type or 'missing', ok) rows; this
-    touches no data.
-    """
-    actual = {f.name.lower(): f.dataType for f in df.schema.fields}
-    rows = []
-    for f in expected.fields:
-        got = actual.get(f.name.lower())
-        rows.append((f.name, f.dataType.simpleString(),
-                     got.simpleString() if got is not None else "missing",
-                     got is not None and got == f.dataType))
-    return rows

@@ -1,8 +1,8 @@
 """Continuity indicators: DEC (hours per billed consumer) and FEC
 (interruptions per billed consumer), with their building blocks.
 
-Plan shape for ``dec_fec`` (card C5): scan -> month range filter pushed to
-the scan -> partial aggregate by (region, consumer, perceived id) ->
+Plan shape for ``dec_fec`` (card C5): scan -> month range filter (pushed to
+the scan of a stored marked table) -> partial aggregate by (region, consumer, perceived id) ->
 exchange -> final aggregate -> partial aggregate by region -> exchange ->
 a table of one row per region.  Everything after the second aggregate has
 fewer rows than there are regions, so the share columns use a window over
@@ -11,11 +11,12 @@ the whole (tiny) table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outagekit.functions import scalars as S
-from outagekit.functions.numeric import minutes_to_micros, round_half
+from outagekit.functions.numeric import micros_to_hours, minutes_to_micros, round_half
+from outagekit.operators import scan as SC
 from outagekit.operators.joins import broadcast_bounded
 from outagekit.functions.schema import (
     BILLED_UC_ALIASES, JUSTIFICATION_ALIASES, MONTH_ALIASES, PERCEIVED_END_ALIASES,
@@ -23,7 +24,6 @@ from outagekit.functions.schema import (
 )
 
 LIQUIDO, EXPURGO = "LIQUIDO", "EXPURGO"
-_US_PER_HOUR = 3_600_000_000.0
 
 
 def _q(name: str):
@@ -56,12 +56,15 @@ def region_lookup(billed_month: DataFrame) -> DataFrame:
             .select("SIGLA_REGIONAL", "REGIONAL_TOTAL").distinct())
 
 
-def eligible_rows(marked: DataFrame, anomes: str, billed_month: DataFrame | None = None) -> DataFrame:
+def eligible_rows(marked: DataFrame, anomes: str, billed_month: DataFrame | None = None,
+                  partition: tuple[str, str] | None = None) -> DataFrame:
     """Rows that count for a month (F1), with their region.
 
     Month is taken from the perceived start and applied as a half-open
-    timestamp range, so it prunes at the scan when the table is read from
-    storage.  The code -> region map has one row per region code; it is
+    timestamp range.  Over a stored marked table it reaches the scan (over one
+    marked on the fly it cannot: the perceived start is a window's result);
+    ``partition`` names the (year, month) partition columns of the raw start,
+    where the table has them, and prunes earlier months.  The code -> region map has one row per region code; it is
     broadcast after a size check, so the interval rows are never shuffled
     on the (five-valued) code.  Consumer and perceived id must be present, the row verified
     and the perceived duration at least 3 minutes."""
@@ -76,12 +79,12 @@ def eligible_rows(marked: DataFrame, anomes: str, billed_month: DataFrame | None
         month_pred = S.in_month(S.parse_ts(start, sch[start].dataType), anomes)
     else:
         month_pred = S.month_key(start, sch[start].dataType) == anomes
-    if "ano" in marked.columns and "mes" in marked.columns:
-        # Month-partitioned input (ano=/mes= of the raw start): a perceived
-        # start never follows its raw start, so earlier partitions cannot
-        # hold the month's rows and are pruned - an exact lower bound.
+    if partition:
+        # A perceived start never follows its raw start, so partitions of an
+        # earlier raw start cannot hold the month's rows: an exact bound.
         y, m = int(anomes[:4]), int(anomes[5:7])
-        month_pred = month_pred & ((F.col("ano") > y) | ((F.col("ano") == y) & (F.col("mes") >= m)))
+        ano, mes = (_q(c).cast("int") for c in partition)
+        month_pred = month_pred & ((ano > y) | ((ano == y) & (mes >= m)))
     cols = [
         F.col("NUM_UC_UCI").cast("string").alias("NUM_UC_UCI"),
         F.col("NUM_INTRP_PERCEBIDA").cast("string").alias("NUM_INTRP_PERCEBIDA"),
@@ -108,15 +111,40 @@ def eligible_rows(marked: DataFrame, anomes: str, billed_month: DataFrame | None
         & F.col("VERIFICADO") & (F.col("DUR_MIN") >= S.LONG_INTERRUPTION_MIN))
 
 
-def consolidate_perceived(eligible: DataFrame) -> DataFrame:
+def perceived_interruptions(eligible: DataFrame) -> DataFrame:
     """One row per (region, consumer, perceived interruption): longest
-    duration, and whether every justification type is '0' (A1), then the
-    nature LIQUIDO / EXPURGO (A2).  Both aggregates combine map-side."""
-    return (eligible.groupBy("REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP_PERCEBIDA")
-            .agg(F.max("DUR_MIN").alias("DUR_MIN"),
-                 F.bool_and(F.col("TIPO_PROTOC_JUSTIF_UCI") == "0").alias("__all0"))
-            .select("REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP_PERCEBIDA", "DUR_MIN",
-                    F.when(F.col("__all0"), F.lit(LIQUIDO)).otherwise(F.lit(EXPURGO)).alias("NATUREZA")))
+    duration, and whether every justification type is '0' (A1).  Both
+    aggregates combine map-side."""
+    return eligible.groupBy("REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP_PERCEBIDA").agg(
+        F.max("DUR_MIN").alias("DUR_MIN"), F.bool_and(F.col("TIPO_PROTOC_JUSTIF_UCI") == "0").alias("TIPO_0_ALL"))
+
+
+def consolidate_perceived(eligible: DataFrame) -> DataFrame:
+    """Perceived interruptions with their nature LIQUIDO / EXPURGO (A2)."""
+    return perceived_interruptions(eligible).select(
+        "REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP_PERCEBIDA", "DUR_MIN",
+        F.when(F.col("TIPO_0_ALL"), F.lit(LIQUIDO)).otherwise(F.lit(EXPURGO)).alias("NATUREZA"))
+
+
+def count_with_total(unique: DataFrame) -> DataFrame:
+    """Interruptions per region and a row for the company (R7): one rollup
+    over one read."""
+    rolled = unique.rollup("REGIONAL_TOTAL").agg(F.count(F.lit(1)).alias("CI"), F.grouping("REGIONAL_TOTAL").alias("__total"))
+    return rolled.select(F.when(F.col("__total") == 1, F.lit(S.TOTAL_LABEL)).otherwise(F.col("REGIONAL_TOTAL")).alias("REGIONAL_TOTAL"), "CI")
+
+
+def interruption_rate(unique: DataFrame, billed_month: DataFrame) -> DataFrame:
+    """Interruptions per billed consumer of every region that has
+    interruptions, 0 without consumers (P17)."""
+    n = unique.groupBy("REGIONAL_TOTAL").agg(F.count(F.lit(1)).cast("double").alias("CI"))
+    uc = F.coalesce(F.col("UC_FATURADA"), F.lit(0.0))
+    return (n.join(uc_by_region(billed_month), "REGIONAL_TOTAL", "left")
+            .select("REGIONAL_TOTAL", "CI", uc.alias("UC_FATURADA"), S.safe_div(F.col("CI"), uc).alias("FEC")))
+
+
+def billed_months(billed: DataFrame) -> DataFrame:
+    """Months of the billed table, descending."""
+    return billed.select("ANOMES").where(F.col("ANOMES").isNotNull()).distinct().orderBy(F.col("ANOMES").desc())
 
 
 def max_duration(unique: DataFrame, max_hours: float) -> DataFrame:
@@ -138,7 +166,7 @@ def ci_chi(unique: DataFrame) -> DataFrame:
     """CI = interruptions, CHI = customer hours, per (region, nature) (A3)."""
     return (unique.groupBy("REGIONAL_TOTAL", "NATUREZA")
             .agg(F.count(F.lit(1)).alias("CI"),
-                 (F.sum(minutes_to_micros(F.col("DUR_MIN"))) / F.lit(_US_PER_HOUR)).alias("CHI_HORAS")))
+                 micros_to_hours(F.sum(minutes_to_micros(F.col("DUR_MIN")))).alias("CHI_HORAS")))
 
 
 def uc_by_region(billed_month: DataFrame) -> DataFrame:
@@ -154,12 +182,13 @@ def _region_sums(unique: DataFrame, billed_month: DataFrame) -> DataFrame:
     us = minutes_to_micros(F.col("DUR_MIN"))
     sums = unique.groupBy("REGIONAL_TOTAL").agg(
         F.count_if(is_liq).cast("double").alias("CI_LIQUIDO"),
-        F.coalesce(F.sum(F.when(is_liq, us)), F.lit(0)).alias("__chl_us"),
+        F.sum(F.when(is_liq, us)).alias("__chl_us"),
         F.count_if(~is_liq).cast("double").alias("CI_EXPURGO"),
-        F.coalesce(F.sum(F.when(~is_liq, us)), F.lit(0)).alias("__che_us"),
+        F.sum(F.when(~is_liq, us)).alias("__che_us"),
     )
     return (uc_by_region(billed_month).join(sums, "REGIONAL_TOTAL", "left")
-            .fillna(0.0, subset=["CI_LIQUIDO", "CI_EXPURGO"]).fillna(0, subset=["__chl_us", "__che_us"]))
+            .select("REGIONAL_TOTAL", "UC_FATURADA", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("CI_LIQUIDO", "CI_EXPURGO")],
+                    *[F.coalesce(F.col(c), F.lit(0).cast("decimal(30,0)")).alias(c) for c in ("__chl_us", "__che_us")]))
 
 
 def indicator_base(unique: DataFrame, billed_month: DataFrame) -> DataFrame:
@@ -169,8 +198,8 @@ def indicator_base(unique: DataFrame, billed_month: DataFrame) -> DataFrame:
     the reference; ``unbilled_reconciliation`` counts them."""
     return _region_sums(unique, billed_month).select(
         "REGIONAL_TOTAL", "UC_FATURADA", "CI_LIQUIDO",
-        (F.col("__chl_us") / F.lit(_US_PER_HOUR)).alias("CHI_LIQUIDO"),
-        "CI_EXPURGO", (F.col("__che_us") / F.lit(_US_PER_HOUR)).alias("CHI_EXPURGO"))
+        micros_to_hours(F.col("__chl_us")).alias("CHI_LIQUIDO"),
+        "CI_EXPURGO", micros_to_hours(F.col("__che_us")).alias("CHI_EXPURGO"))
 
 
 def unbilled_reconciliation(unique: DataFrame, billed_month: DataFrame) -> DataFrame:
@@ -194,9 +223,9 @@ def dec_fec(unique: DataFrame, billed_month: DataFrame) -> DataFrame:
               .select(F.when(F.col("__total") == 1, F.lit(S.TOTAL_LABEL))
                       .otherwise(F.col("REGIONAL_TOTAL")).alias("REGIONAL_TOTAL"),
                       "__total", "UC_FATURADA", "CI_LIQUIDO",
-                      (F.col("__chl_us") / F.lit(_US_PER_HOUR)).alias("CHI_LIQUIDO"),
-                      "CI_EXPURGO", (F.col("__che_us") / F.lit(_US_PER_HOUR)).alias("CHI_EXPURGO"),
-                      ((F.col("__chl_us") + F.col("__che_us")) / F.lit(_US_PER_HOUR)).alias("__chi_b")))
+                      micros_to_hours(F.col("__chl_us")).alias("CHI_LIQUIDO"),
+                      "CI_EXPURGO", micros_to_hours(F.col("__che_us")).alias("CHI_EXPURGO"),
+                      micros_to_hours(F.col("__chl_us") + F.col("__che_us")).alias("__chi_b")))
     uc = F.col("UC_FATURADA")
     ci_b = F.col("CI_LIQUIDO") + F.col("CI_EXPURGO")
     chi_b = F.col("__chi_b")
@@ -262,71 +291,80 @@ def unpivot_components(table: DataFrame) -> DataFrame:
 # Duration statistics and top durations
 # ----------------------------------------------------------------------------
 
-def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float],
-                           median_name: str | None = None, hot_values: int = 1_000_000) -> DataFrame:
-    """Exact order statistics per group without holding a group in one task.
-
-    Rows are first reduced to a histogram (group, value, count) with a
-    map-side combined aggregate, so the running count runs over distinct
-    values, not rows.  Groups with more than ``hot_values`` distinct values
-    (e.g. a continuous column) take the chunked scan of ``operators.scan``:
-    their sorted histogram is cut into ordered chunks over many tasks and the
-    counts of earlier chunks are carried in.  ``qs`` maps output names to
-    quantiles picked by nearest rank (index round((n - 1) q) of the sorted
-    values); ``median_name`` adds the interpolated median (mean of the two
-    middle values)."""
-    from outagekit.operators import scan as SC
-
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+def value_histogram(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, __c): how often each value stands in each group, combined
+    map-side; nulls left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+
+
+def ranked_histogram(hist: DataFrame, value: str, by: list[str], skew: str = "auto", hot_values: int = 1_000_000) -> DataFrame:
+    """A histogram with the ranks of its values in the group: ``__lo`` rows
+    before the value, ``__hi`` up to it, ``__n`` in all.
+
+    The running count runs over distinct values, not rows.  Groups with more
+    than ``hot_values`` of them (``skew="auto"``; e.g. a continuous column)
+    take the chunked scan of ``operators.scan``: the sorted histogram is cut
+    into ordered chunks over many tasks and earlier chunks' counts carried."""
+    keys, src = (by, hist) if by else (["__all"], hist.withColumn("__all", F.lit(0)))
     order = [F.col(value)]
 
-    def cum_plain(h: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return h.select(*by, value, "__c",
-                        F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__hi"))
-
-    def cum_chunked(h: DataFrame, n_hot) -> DataFrame:
-        c = SC.chunked(h, [F.col(b) for b in by], order, SC.chunk_count(h.sparkSession, n_hot))
-        wl = SC.chunk_window([F.col(b) for b in by], order)
-        c1 = SC.border_carry(c, by, [value], sum_cols=["__c"])
-        return c1.select(*by, value, "__c",
-                         (F.sum("__c").over(wl.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                          + F.col("__ps___c")).alias("__hi"))
-
-    parts = SC.split_hot(hist, by, hot_values) if by else None
-    cum = cum_plain(hist) if parts is None else cum_plain(parts[0]).unionByName(cum_chunked(parts[1], parts[2]))
-    # group sizes: one row per group
-    sizes = hist.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    cum = cum.join(sizes, by).withColumn("__lo", F.col("__hi") - F.col("__c"))  # rows before this value
-
-    def pick(idx):  # 0-based index into the sorted values
-        return F.max(F.when((F.col("__lo") <= idx) & (idx < F.col("__hi")), F.col(value)))
-
-    aggs = []
-    nm1 = F.col("__n") - 1
-    for name, q in qs.items():
-        aggs.append(pick(F.round(nm1 * F.lit(q))).alias(name))
+    def plain(h: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        run = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return h.select("*", F.sum("__c").over(run).alias("__hi"), F.sum("__c").over(w).alias("__n"))
+
+    def chunked(h: DataFrame, n_keys=None, n_rows=None) -> DataFrame:
+        n = SC.chunk_count(h.sparkSession, n_rows)
+        c = SC.chunked(h, [F.col(b) for b in keys], order, n)
+        run = SC.chunk_window([F.col(b) for b in keys], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        c1 = SC.border_carry(c, keys, [value], sum_cols=["__c"], pairs=n_keys and n_keys + n)
+        sizes = c.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+        return SC.join_keys(c1, sizes, keys, "inner").select(*h.columns, (F.sum("__c").over(run) + F.col("__ps___c")).alias("__hi"), "__n")
+
+    parts = SC.split_hot(src, keys, hot_values) if skew == "auto" else None
+    if skew == "on":
+        out = chunked(src)
+    elif parts is None:
+        out = plain(src)
+    else:
+        out = plain(parts[0]).unionByName(chunked(*parts[1:]))
+    return out.select(*by, value, "__c", (F.col("__hi") - F.col("__c")).alias("__lo"), "__hi", "__n")
+
+
+def rank_pick(value: str, index: Column) -> Column:
+    """Aggregate: the value at a 0-based index of the sorted values."""
+    return F.max(F.when((F.col("__lo") <= index) & (index < F.col("__hi")), F.col(value)))
+
+
+def quantile_aggs(value: str, qs: dict[str, float], median_name: str | None = None) -> list[Column]:
+    """Aggregates over a ranked histogram: nearest-rank quantiles (index
+    round((n - 1) q)) and the median (mean of the two middle values)."""
+    last = F.col("__n") - 1
+    aggs = [rank_pick(value, F.round(last * F.lit(q))).alias(name) for name, q in qs.items()]
     if median_name:
-        lo = F.floor(nm1 / 2)
-        hi = F.ceil(nm1 / 2)
-        aggs.append(((pick(lo) + pick(hi)) / 2.0).alias(median_name))
-    return cum.groupBy(*by).agg(*aggs)
+        aggs.append(((rank_pick(value, F.floor(last / 2)) + rank_pick(value, F.ceil(last / 2))) / 2.0).alias(median_name))
+    return aggs
+
+
+def nearest_rank_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float],
+                           median_name: str | None = None, hot_values: int = 1_000_000, skew: str = "auto") -> DataFrame:
+    """Exact order statistics per group without holding a group in one task."""
+    ranked = ranked_histogram(value_histogram(df, value, by), value, by, skew, hot_values)
+    return ranked.groupBy(*by).agg(*quantile_aggs(value, qs, median_name))
 
 
 def duration_stats(unique: DataFrame) -> DataFrame:
     """Per region: count, median, p95, p99 and max duration in hours, 2 dp
-    (A6; card C6)."""
-    q = nearest_rank_quantiles(unique, "DUR_MIN", ["REGIONAL_TOTAL"],
-                               {"__p95": 0.95, "__p99": 0.99}, median_name="__med")
-    n = unique.groupBy("REGIONAL_TOTAL").agg(F.count(F.lit(1)).alias("QTD_INTRP"),
-                                             F.max("DUR_MIN").alias("__max"))
-    return (n.join(q, "REGIONAL_TOTAL")
-            .select("REGIONAL_TOTAL", "QTD_INTRP",
-                    round_half(F.col("__med") / 60.0, 2).alias("DUR_MEDIANA_H"),
-                    round_half(F.col("__p95") / 60.0, 2).alias("DUR_P95_H"),
-                    round_half(F.col("__p99") / 60.0, 2).alias("DUR_P99_H"),
-                    round_half(F.col("__max") / 60.0, 2).alias("DUR_MAX_H"))
-            .orderBy("REGIONAL_TOTAL"))
+    (A6; card C6): everything from one histogram.  Durations are whole
+    seconds, so a region has no more values than its longest interruption
+    has seconds, and no group needs splitting."""
+    ranked = ranked_histogram(value_histogram(unique, "DUR_MIN", ["REGIONAL_TOTAL"]), "DUR_MIN", ["REGIONAL_TOTAL"], skew="off")
+    q = ranked.groupBy("REGIONAL_TOTAL").agg(
+        F.max("__n").alias("QTD_INTRP"), F.max("DUR_MIN").alias("__max"),
+        *quantile_aggs("DUR_MIN", {"__p95": 0.95, "__p99": 0.99}, "__med"))
+    hours = lambda c: round_half(F.col(c) / 60.0, 2)
+    return (q.select("REGIONAL_TOTAL", "QTD_INTRP", hours("__med").alias("DUR_MEDIANA_H"), hours("__p95").alias("DUR_P95_H"),
+                     hours("__p99").alias("DUR_P99_H"), hours("__max").alias("DUR_MAX_H")).orderBy("REGIONAL_TOTAL"))
 
 
 def regional_subset(df: DataFrame, regions=("NRT", "NRO")) -> DataFrame:
@@ -377,11 +415,12 @@ def ci_chi_preview(df: DataFrame) -> DataFrame:
     else:
         base = base.withColumn("_qtd_uc", F.lit(1.0))
         ci = F.count(F.lit(1)).cast("double")
-    chi_us = F.sum(minutes_to_micros(F.col("_duracao_min")) * F.col("_qtd_uc"))
+    # consumers to a thousandth, so the weighted sum is exact too
+    chi_us = F.sum(minutes_to_micros(F.col("_duracao_min")).cast("decimal(18,0)") * F.col("_qtd_uc").cast("decimal(12,3)"))
     return (base.groupBy("FAIXA", "SIGLA_REGIONAL")
             .agg(ci.alias("__ci"), chi_us.alias("__chi_us"))
             .select("FAIXA", "SIGLA_REGIONAL", round_half(F.col("__ci"), 0).alias("CI"),
-                    round_half(F.col("__chi_us") / F.lit(_US_PER_HOUR), 2).alias("CHI_horas"))
+                    round_half(micros_to_hours(F.col("__chi_us")), 2).alias("CHI_horas"))
             .orderBy("FAIXA", "SIGLA_REGIONAL"))
 
 

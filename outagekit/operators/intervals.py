@@ -28,13 +28,6 @@ from outagekit.functions.schema import (
     END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES, resolve_column,
 )
 
-MARK_COLUMNS = [
-    "verificado", "Contido_outra_intrp", "Sobreposicao_tempo", "Conta_desligamento_unico",
-    "Grupo_desligamento_uc", "NUM_INTRP_PERCEBIDA", "DTHR_INICIO_INTRP_PERCEBIDO",
-    "DATA_HORA_FIM_INTR_PERCEBIDO", "DURACAO_PERCEBIDA_MINUTOS",
-    "DTHR_INICIO_INTRP_PERCEBIDA", "DATA_HORA_FIM_INTR_PERCEBIDA",
-]
-
 _UNB = Window.unboundedPreceding
 
 
@@ -60,7 +53,7 @@ def _tiebreak(df: DataFrame, iid: str) -> str | None:
 
 
 def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = False,
-                  skew: str = "auto", hot_rows: int = SC.DEFAULT_HOT_ROWS) -> DataFrame:
+                  skew: str = "auto", hot_rows: int = SC.DEFAULT_HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Per consumer unit (and ``scope`` columns, e.g. a month partition):
     validity, containment, overlap, unique-outage groups and the perceived
     interval after merging micro-interruptions (I1; card C3).
@@ -76,6 +69,8 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
     sends every consumer, ``"off"`` none) take the chunked path of
     ``operators.scan``: their sorted run is split over several tasks and
     stitched with per-chunk carries, so no task holds a hot consumer whole.
+    Finding them counts the consumers first; a caller that knows them passes
+    them as ``hot`` (key columns and row count ``__n``).
     """
     uc, iid, start, end = interval_columns(df)
     tb = _tiebreak(df, iid)
@@ -99,16 +94,15 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
     keys = [uc_name, *scope]
     ctx = dict(keys=keys, order=order, iid=iid, df=df, internals=internals)
 
-    parts = None
     if skew == "on":
-        parts = (base.limit(0), base, None)
-    elif skew == "auto":
-        parts = SC.split_hot(base, keys, hot_rows)
+        return _mark_chunked(base, **ctx)
+    parts = SC.split_hot(base, keys, hot_rows, hot) if skew == "auto" else None
     if parts is None:
         return _mark_plain(base, **ctx)
-    normal, hot, n_hot = parts
-    n_chunks = SC.chunk_count(df.sparkSession, n_hot)
-    return _mark_plain(normal, **ctx).unionByName(_mark_chunked(hot, n_chunks=n_chunks, **ctx))
+    normal, held, n_keys, n_rows = parts
+    n_chunks = SC.chunk_count(df.sparkSession, n_rows)
+    return _mark_plain(normal, **ctx).unionByName(
+        _mark_chunked(held, n_chunks=n_chunks, pairs=n_keys + n_chunks, **ctx))
 
 
 def _valid() -> Column:
@@ -174,7 +168,7 @@ def _mark_plain(base: DataFrame, keys, order, iid, df, internals) -> DataFrame:
     return _mark_finish(step4, iid, df, internals)
 
 
-def _mark_chunked(base: DataFrame, keys, order, iid, df, internals, n_chunks=None) -> DataFrame:
+def _mark_chunked(base: DataFrame, keys, order, iid, df, internals, n_chunks=None, pairs=None) -> DataFrame:
     """The same marks for hot consumers, computed per ordered chunk and
     stitched with border carries (see ``operators.scan``)."""
     kc = [_q(k) for k in keys]
@@ -190,7 +184,7 @@ def _mark_chunked(base: DataFrame, keys, order, iid, df, internals, n_chunks=Non
         SC.is_first(wl).alias("__first"), SC.is_last(wl).alias("__last"),
     )
     oc = ["__ini", "__fim", "__id", "__tb"]
-    h2 = SC.border_carry(h1, keys, oc, last=["__fim", "__dur_s"], first=["__ini"], max_cols=["__fim"])
+    h2 = SC.border_carry(h1, keys, oc, last=["__fim", "__dur_s"], first=["__ini"], max_cols=["__fim"], pairs=pairs)
     first = F.col("__first")
     h3 = h2.select(
         "*",
@@ -206,7 +200,7 @@ def _mark_chunked(base: DataFrame, keys, order, iid, df, internals, n_chunks=Non
         S.seconds_between(F.col("__prev_fim"), F.col("__ini")).alias("__gap_s"),
     )
     h5, v, _ = _flags(h4.drop("__has_prev", "__pl___fim", "__pl___dur_s", "__nf___ini", "__pm___fim"))
-    h6 = SC.border_carry(h5, keys, oc, sum_cols=["__u1", "__m1"])
+    h6 = SC.border_carry(h5, keys, oc, sum_cols=["__u1", "__m1"], pairs=pairs)
     h7 = h6.select(
         "*",
         F.when(v, F.sum("__u1").over(running) + F.col("__ps___u1")).alias("Grupo_desligamento_uc"),
@@ -229,7 +223,9 @@ def _mark_chunked(base: DataFrame, keys, order, iid, df, internals, n_chunks=Non
     spans = pieces.groupBy(*kc, "__grp").agg(
         F.min("__ini_l").alias("__ini_g"), F.max("__fim_l").alias("__fim_g"),
         F.min_by("__id_l", F.col("__fk_l")).alias("__id_g"))
-    h9 = h8.join(F.broadcast(spans), [*keys, "__grp"], "left").select(
+    if pairs is not None and 2 * pairs <= SC.MAX_BROADCAST:
+        spans = F.broadcast(spans)
+    h9 = SC.join_keys(h8, spans, [*keys, "__grp"], "left").select(
         "*",
         F.coalesce("__ini_g", "__ini_l").alias("__ini_p"),
         F.coalesce("__fim_g", "__fim_l").alias("__fim_p"),
@@ -270,18 +266,57 @@ def _mark_finish(step4: DataFrame, iid: str, df: DataFrame, internals: bool) ->
                       F.col("DATA_HORA_FIM_INTR_PERCEBIDO").alias("DATA_HORA_FIM_INTR_PERCEBIDA"))
 
 
+_MARK_COUNTS = {"verificado_true": "verificado", "contido_true": "Contido_outra_intrp",
+                "sobreposto_true": "Sobreposicao_tempo", "conta_unico_true": "Conta_desligamento_unico"}
+
+
 def mark_summary(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows, verified, contained, overlapping and unique counts (A14), one
     aggregate over the marked table (per ``by`` input/partition columns)."""
-    aggs = [
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("verificado")).alias("verificado_true"),
-        F.count_if(F.col("Contido_outra_intrp")).alias("contido_true"),
-        F.count_if(F.col("Sobreposicao_tempo")).alias("sobreposto_true"),
-        F.count_if(F.col("Conta_desligamento_unico")).alias("conta_unico_true"),
-    ]
-    g = marked.groupBy(*by) if by else marked.groupBy()
-    return g.agg(*aggs).withColumn("status", F.lit("ok"))
+    return marked.groupBy(*[_q(c) for c in by]).agg(
+        F.count(F.lit(1)).alias("total"), *[F.count_if(_q(c)).alias(n) for n, c in _MARK_COUNTS.items()])
+
+
+def mark_inputs(spark, paths: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Mark every input file on its own (A14; card C3 marks file by file).
+
+    Returns the marked rows, with their file in ``arquivo``, and one row per
+    file: counts and ``status`` - ``ok``, ``colunas_ausentes`` (a needed
+    column is missing) or ``erro`` (it cannot be read).  Files are told apart
+    by their schemas on the driver; files of one layout are read and marked in
+    one job, with the file as part of the window key, not in a loop."""
+    layouts: dict[tuple, list[str]] = {}
+    status = []
+    for path in paths:
+        try:
+            schema = spark.read.parquet(path).schema
+        except Exception as e:  # an unreadable input is a result here, not a failure of the others
+            status.append((path, "erro", str(e).split("\n")[0]))
+            continue
+        try:
+            interval_columns(spark.createDataFrame([], schema))
+        except KeyError as e:
+            status.append((path, "colunas_ausentes", str(e)))
+            continue
+        layouts.setdefault(tuple((f.name, f.dataType.simpleString()) for f in schema.fields), []).append(path)
+        status.append((path, "ok", None))
+    marked = None
+    for files in layouts.values():
+        df = spark.read.parquet(*files)
+        df = df.select("*", F.regexp_replace(F.col("_metadata.file_path"), r"^(.*\.parquet)/[^/]+$", "$1").alias("arquivo"))
+        part = mark_overlaps(df, scope=["arquivo"])
+        marked = part if marked is None else marked.unionByName(part, allowMissingColumns=True)
+    files = spark.createDataFrame(status, "arquivo string, status string, mensagem string")
+    # Spark writes paths with their scheme; compare without it
+    bare = lambda c: F.regexp_replace(c, r"^[a-z0-9+.]+:(//[^/]*(?=/))?", "")
+    names = ["total", *_MARK_COUNTS]
+    if marked is None:
+        counts = spark.createDataFrame([], "__f string, " + ", ".join(f"{n} long" for n in names))
+    else:
+        counts = mark_summary(marked, ["arquivo"]).withColumn("__f", bare(F.col("arquivo"))).drop("arquivo")
+    summary = (files.join(counts, bare(F.col("arquivo")) == F.col("__f"), "left")
+               .select("arquivo", "status", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names], "mensagem"))
+    return marked, summary
 
 
 # ----------------------------------------------------------------------------
@@ -297,149 +332,127 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
 
     Kept intervals never overlap each other, so only the most recent kept
     interval (the champion) can overlap the next row; the walk's state is
-    that one row.  Islands - runs of rows linked by overlap with the
-    running maximum of the end - are independent of each other:
-
-    * one hash exchange on the consumer unit; a running-max window numbers
-      the islands (JVM, whole-stage code);
-    * the rows, already sorted by (consumer, start, end, id) by that window,
-      are streamed through an Arrow-batched ``mapInPandas`` walk that keeps
-      one pending row per partition: linear time, constant memory, no group
-      ever materialised; rows alone in their island skip the loop.
-
-    The walk needs a running state that no built-in expression carries;
-    that is why this one step is Python.  Rows with a missing or inverted
-    interval bypass it unchanged.  Consumers above ``hot_rows`` rows number
-    their islands on the chunked path of ``operators.scan`` (running
-    maximum and island count carried across chunk borders) and are then
-    regrouped by (consumer, island), so a hot consumer is spread over many
-    tasks; an island, the smallest unit a sequential walk allows, stays in
-    one task but is streamed, not collected.
+    that one row.  Islands - runs of rows linked by overlap with the running
+    maximum of the end - are independent of each other.
+
+    * Rows with a missing or inverted interval pass by, unshuffled.
+    * One exchange on the consumer unit and a running-maximum window find
+      where islands begin; a row alone in its island is kept as it is, in
+      the JVM.
+    * The rest, sorted, is walked batch by batch (Arrow batches in and out,
+      so types and values are untouched); one pending row per task is held.
+
+    Consumers above ``hot_rows`` rows find their islands on the chunked path
+    of ``operators.scan`` and are regrouped by (consumer, island), so a hot
+    consumer is spread over many tasks; an island, the smallest unit a
+    sequential walk allows, stays in one task, but is streamed.
     """
+    tagged = tag_overlaps(df, uc, start, end, tiebreak, skew, hot_rows)
+    return tagged.where("__keep").drop("__keep")
+
+
+def tag_overlaps(df: DataFrame, uc: str, start: str, end: str | None, tiebreak: str | None = "NUM_INTRP_UCI",
+                 skew: str = "auto", hot_rows: int = SC.DEFAULT_HOT_ROWS) -> DataFrame:
+    """``df`` with ``__keep``: whether ``resolve_overlaps`` keeps the row."""
     end = end or resolve_column(df.columns, END_ALIASES)
     if end is None:
         raise KeyError("no end column")
     sch = df.schema
     tb = (_q(tiebreak).cast("string") if tiebreak and tiebreak in df.columns
           else F.xxhash64(*[_q(c) for c in df.columns]).cast("string"))
-    s_, e_ = S.parse_ts(start, sch[start].dataType), S.parse_ts(end, sch[end].dataType)
-    typed = df.select("*", s_.alias("__s"), e_.alias("__e"), tb.alias("__t"))
-    ok = F.coalesce(F.col("__s").isNotNull() & F.col("__e").isNotNull() & (F.col("__e") >= F.col("__s")),
-                    F.lit(False))
-    typed = typed.select("*", ok.alias("__ok"), F.when(ok, F.col("__e")).alias("__ev"))
+    typed = df.select("*", S.parse_ts(start, sch[start].dataType).alias("__s"),
+                      S.parse_ts(end, sch[end].dataType).alias("__e"), tb.alias("__t"))
+    ok = F.coalesce(F.col("__e") >= F.col("__s"), F.lit(False))
+    names = [_q(c) for c in df.columns]
+    passed = typed.where(~ok).select(*names, F.lit(True).alias("__keep"))
+    valid = typed.where(ok)
     order = [F.col("__s"), F.col("__e"), F.col("__t")]
+    begins = F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax"))
 
     def islands_plain(frame: DataFrame) -> DataFrame:
         w = Window.partitionBy(_q(uc)).orderBy(*order)
-        step1 = frame.select("*", F.max("__ev").over(w.rowsBetween(_UNB, -1)).alias("__pmax"))
-        boundary = F.col("__ok") & (F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")))
-        return step1.select("*", F.sum(boundary.cast("int")).over(w.rowsBetween(_UNB, Window.currentRow))
-                            .alias("__island"))
-
-    def islands_chunked(frame: DataFrame, n_hot) -> DataFrame:
-        h = SC.chunked(frame, [_q(uc)], order, SC.chunk_count(frame.sparkSession, n_hot))
-        wl = SC.chunk_window([_q(uc)], order)
-        h1 = h.select("*", F.max("__ev").over(wl.rowsBetween(_UNB, -1)).alias("__lpm"))
-        h2 = SC.border_carry(h1, [uc], ["__s", "__e", "__t"], max_cols=["__ev"])
-        h3 = h2.select("*", F.greatest("__lpm", "__pm___ev").alias("__pmax"))
-        boundary = F.col("__ok") & (F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax")))
-        h4 = h3.select("*", boundary.cast("long").alias("__b"))
-        h5 = SC.border_carry(h4, [uc], ["__s", "__e", "__t"], sum_cols=["__b"])
-        return h5.select(*[_q(c) for c in frame.columns], "__pmax", (F.sum("__b").over(wl.rowsBetween(_UNB, Window.currentRow))
-                                                     + F.col("__ps___b")).alias("__island"))
-
-    names = list(df.columns)
-    out_schema = df.schema
-    walk_cols = [*[_q(c) for c in names], "__s", "__e", "__t", "__ok", "__island"]
-    sort_cols = [_q(uc), F.col("__s"), F.col("__e"), F.col("__t")]
-
-    def walk(frame: DataFrame) -> DataFrame:
-        # rows arrive sorted by (uc, start, end, id) - the window's own
-        # order, so this sort is removed as redundant - and each island lies
-        # whole in one partition; the walk streams batch by batch.
-        ordered = frame.select(*walk_cols).sortWithinPartitions(*sort_cols)
-        return ordered.mapInPandas(lambda it: _walk_partition(it, names, uc), schema=out_schema)
-
-    parts = None
+        one = frame.select("*", F.max("__e").over(w.rowsBetween(_UNB, -1)).alias("__pmax")).select("*", begins.alias("__new"))
+        return one.select("*", (F.col("__new") & F.coalesce(F.lead("__new").over(w), F.lit(True))).alias("__alone"))
+
+    def islands_chunked(frame: DataFrame, n_keys=None, n_rows=None) -> DataFrame:
+        n = SC.chunk_count(frame.sparkSession, n_rows)
+        pairs = n_keys and n_keys + n
+        h = SC.chunked(frame, [_q(uc)], order, n)
+        wl, oc = SC.chunk_window([_q(uc)], order), ["__s", "__e", "__t"]
+        h1 = h.select("*", F.max("__e").over(wl.rowsBetween(_UNB, -1)).alias("__lpm"))
+        h2 = SC.border_carry(h1, [uc], oc, max_cols=["__e"], pairs=pairs).select(
+            "*", F.greatest("__lpm", "__pm___e").alias("__pmax")).select("*", begins.alias("__new"))
+        h3 = h2.select("*", F.col("__new").cast("long").alias("__b"), F.lead("__new").over(wl).alias("__next"),
+                       SC.is_last(wl).alias("__last"))
+        h4 = SC.border_carry(h3, [uc], oc, first=["__new"], sum_cols=["__b"], pairs=pairs)
+        after = F.when(F.col("__last"), F.col("__nf___new")).otherwise(F.col("__next"))
+        return h4.select(*[_q(c) for c in frame.columns], "__new",
+                         (F.col("__new") & F.coalesce(after, F.lit(True))).alias("__alone"),
+                         (F.sum("__b").over(wl.rowsBetween(_UNB, Window.currentRow)) + F.col("__ps___b")).alias("__island"))
+
+    epoch = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
+    walk_cols = [*names, "__new", *[F.timestamp_diff("MICROSECOND", epoch, F.col(c)).alias(f"{c}us") for c in ("__s", "__e")]]
+    out_schema = T.StructType([*sch.fields, T.StructField("__keep", T.BooleanType())])
+
+    def walk(frame: DataFrame, *sort: Column) -> DataFrame:
+        alone = frame.where("__alone").select(*names, F.lit(True).alias("__keep"))
+        rest = frame.where(~F.col("__alone")).sortWithinPartitions(*sort, *order).select(*walk_cols)
+        return alone.unionByName(rest.mapInArrow(_island_walk(len(sch)), out_schema))
+
     if skew == "on":
-        parts = (typed.limit(0), typed, None)
-    elif skew == "auto":
-        parts = SC.split_hot(typed, [uc], hot_rows)
-    if parts is None:
-        return walk(islands_plain(typed))
-    hot = islands_chunked(parts[1], parts[2])
-    # a hot consumer's islands are regrouped so none is split across tasks
-    hot = hot.repartition(SC.chunk_count(df.sparkSession, parts[2]), _q(uc), F.col("__island"))
-    return walk(islands_plain(parts[0])).unionByName(walk(hot))
-
-
-def _walk_partition(batches, names, uc):
-    """Stream one partition's rows (sorted by consumer, start, end, id) and
-    yield the kept ones.
-
-    Only the latest kept interval (the champion) can overlap the next row,
-    so the state is one pending row, carried across Arrow batches.  Rows
-    alone in their island are kept without entering the loop; invalid
-    rows pass through."""
-    import numpy as np
-    import pandas as pd
-
-    pend = None  # dict(ku, ki, s, e, d, row)
-    for pdf in batches:
-        ok = pdf["__ok"].to_numpy(dtype=bool)
-        outs = []
-        if (~ok).any():
-            outs.append(pdf.loc[~ok, names])
-        v = pdf.loc[ok].reset_index(drop=True)
-        n = len(v)
-        if n == 0:
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-            continue
-        ku = v[uc].to_numpy(dtype=object)
-        ki = v["__island"].to_numpy()
-        s = v["__s"].to_numpy()
-        e = v["__e"].to_numpy()
-        d = e - s
-        same_prev = np.zeros(n, dtype=bool)
-        same_prev[1:] = (ku[1:] == ku[:-1]) & (ki[1:] == ki[:-1])
-        same_prev[0] = pend is not None and pend["ku"] == ku[0] and pend["ki"] == ki[0]
-        same_next = np.ones(n, dtype=bool)  # the last row's island may go on
-        same_next[:-1] = same_prev[1:]
-        single = ~same_prev & ~same_next
-        keep = single.copy()
-        if pend is not None and not same_prev[0]:
-            outs.append(pend["row"])
-            pend = None
-        c = -1 if pend is not None else None  # -1: the pending row is champion
-        for i in np.flatnonzero(~single):
-            if not same_prev[i]:
-                if c is not None and c >= 0:
-                    keep[c] = True
-                elif c == -1:
-                    outs.append(pend["row"])
-                    pend = None
-                c = i
-                continue
-            cs, ce, cd = (pend["s"], pend["e"], pend["d"]) if c == -1 else (s[c], e[c], d[c])
-            if s[i] < ce and e[i] > cs:
-                if d[i] > cd:
-                    if c == -1:
-                        pend = None
-                    c = i
+        normal, held = None, (valid,)
+    else:
+        parts = SC.split_hot(valid, [uc], hot_rows) if skew == "auto" else None
+        normal, held = (valid, None) if parts is None else (parts[0], parts[1:])
+    out = passed
+    if normal is not None:
+        out = out.unionByName(walk(islands_plain(normal), _q(uc)))
+    if held is not None:
+        n = SC.chunk_count(df.sparkSession, held[2] if len(held) > 1 else None)
+        hot = islands_chunked(*held).repartition(n, _q(uc), F.col("__island"))
+        out = out.unionByName(walk(hot, _q(uc), F.col("__island")))
+    return out
+
+
+def _island_walk(n_cols: int):
+    """The walk over Arrow batches of sorted islands: the first ``n_cols``
+    columns go through untouched, with a flag whether the row is kept.  It
+    travels to the tasks whole, so executors need not have this package."""
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def flagged(batch, keep):
+            cols = [batch.column(i) for i in range(n_cols)] + [pa.array(keep, pa.bool_())]
+            return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(n_cols + 1)])
+
+        champion = None  # (start, end, its one-row batch) of an earlier batch
+        for batch in batches:
+            new, start, end = (batch.column(c).to_pylist() for c in ("__new", "__sus", "__eus"))
+            keep = np.zeros(batch.num_rows, bool)
+            at = -1  # the champion's row in this batch; -1: it came earlier
+            for i in range(batch.num_rows):
+                cs, ce = (start[at], end[at]) if at >= 0 else champion[:2] if champion else (0, 0)
+                rival = not new[i] and start[i] < ce and end[i] > cs
+                if rival and end[i] - start[i] <= ce - cs:
+                    continue
+                if at >= 0:
+                    keep[at] = not rival
+                elif champion:
+                    yield flagged(champion[2], [not rival])
+                    champion = None
+                at = i
+            if at >= 0:
+                champion = (start[at], end[at], batch.slice(at, 1))
+                others = np.arange(batch.num_rows) != at
+                yield flagged(batch.filter(pa.array(others)), keep[others])
             else:
-                if c == -1:
-                    outs.append(pend["row"])
-                    pend = None
-                else:
-                    keep[c] = True
-                c = i
-        if c is not None and c >= 0:
-            pend = dict(ku=ku[c], ki=ki[c], s=s[c], e=e[c], d=d[c], row=v.loc[[c], names])
-        outs.append(v.loc[keep, names])
-        yield pd.concat(outs, ignore_index=True)
-    if pend is not None:
-        yield pend["row"].reset_index(drop=True)
+                yield flagged(batch, keep)
+        if champion:
+            yield flagged(champion[2], [True])
+
+    return walk
 
 
 # ----------------------------------------------------------------------------
@@ -514,22 +527,23 @@ def merge_criteria(df: DataFrame, skew: str = "auto", hot_rows: int = SC.DEFAULT
         w = Window.partitionBy(*keys).orderBy(*order)
         return frame.select("*", *[F.lag(c).over(w).alias(names[c]) for c in lagged])
 
-    def lags_chunked(frame: DataFrame, n_hot) -> DataFrame:
-        h = SC.chunked(frame, [F.col(k) for k in keys], order, SC.chunk_count(frame.sparkSession, n_hot))
+    def lags_chunked(frame: DataFrame, n_keys=None, n_rows=None) -> DataFrame:
+        n = SC.chunk_count(frame.sparkSession, n_rows)
+        h = SC.chunked(frame, [F.col(k) for k in keys], order, n)
         wl = SC.chunk_window([F.col(k) for k in keys], order)
         h1 = h.select("*", SC.is_first(wl).alias("__first"), *[F.lag(c).over(wl).alias(f"__lag_{c}") for c in lagged])
-        h2 = SC.border_carry(h1, keys, ["DT_INI", "DT_FIM", "NUM_INTRP"], last=lagged)
+        h2 = SC.border_carry(h1, keys, ["DT_INI", "DT_FIM", "NUM_INTRP"], last=lagged, pairs=n_keys and n_keys + n)
         return h2.select(*[F.col(c) for c in frame.columns],
                          *[F.when(F.col("__first"), F.col(f"__pl_{c}")).otherwise(F.col(f"__lag_{c}"))
                            .alias(names[c]) for c in lagged])
 
-    parts = None
+    parts = SC.split_hot(local, keys, hot_rows) if skew == "auto" else None
     if skew == "on":
-        parts = (local.limit(0), local, None)
-    elif skew == "auto":
-        parts = SC.split_hot(local, keys, hot_rows)
-    t2 = (lags_plain(local) if parts is None
-          else lags_plain(parts[0]).unionByName(lags_chunked(parts[1], parts[2])))
+        t2 = lags_chunked(local)
+    elif parts is None:
+        t2 = lags_plain(local)
+    else:
+        t2 = lags_plain(parts[0]).unionByName(lags_chunked(*parts[1:]))
     t3 = t2.select(
         "*",
         sec(F.col("PREV_FIM"), F.col("DT_INI")).alias("GAP_PREV_SEC"),
@@ -605,44 +619,46 @@ def type_raw(df: DataFrame, convert_dates: bool = True, convert_decimal: bool =
     return out
 
 
+def _chain_columns(df: DataFrame) -> tuple[str, str, str, str, list[str]]:
+    """(consumer, start, end, manoeuvre id, order of the de-duplication) of
+    a month; a missing one is an error, never a step left out."""
+    uc, start, end, man = (resolve_column(df.columns, names) for names in (
+        UC_ALIASES, START_ALIASES, END_ALIASES, ["NUM_INTRP_INIC_MANOBRA_UCI", "NUM_INTRP_INIC_MAN"]))
+    missing = [n for n, c in (("consumer", uc), ("start", start), ("end", end), ("manoeuvre id", man)) if c is None]
+    if missing:
+        raise KeyError(f"the table lacks a column for: {', '.join(missing)}")
+    own = resolve_column(df.columns, ["NUM_INTRP_UCI"])
+    return uc, start, end, man, [c for c in (start, end, own) if c]
+
+
 def import_processing(raw: DataFrame, convert_dates: bool = True, convert_decimal: bool = True,
                       resolve: bool = True, dedup: bool = True) -> DataFrame:
-    """P5 -> P6 -> I2 -> D2 with each step switchable (I4).  The
-    overlap step and the de-duplication both key on the consumer unit."""
+    """P5 -> P6 -> I2 -> D2 with each step switchable (I4).  The overlap step
+    shuffles on the consumer, the de-duplication on (consumer, manoeuvre)."""
     out = type_raw(raw, convert_dates, convert_decimal)
-    uc = resolve_column(out.columns, UC_ALIASES)
-    start = resolve_column(out.columns, START_ALIASES)
-    end = resolve_column(out.columns, END_ALIASES)
-    if resolve and uc and start and end:
+    uc, start, end, man, order = _chain_columns(out)
+    if resolve:
         out = resolve_overlaps(out, uc=uc, start=start, end=end)
-    man = resolve_column(out.columns, ["NUM_INTRP_INIC_MANOBRA_UCI", "NUM_INTRP_INIC_MAN"])
-    if dedup and uc and man:
-        own = resolve_column(out.columns, ["NUM_INTRP_UCI"])
-        order = [c for c in (start, end, own) if c]
+    if dedup:
         out = dedup_first(out, [uc, man], order)
     return out
 
 
 def processing_report(raw: DataFrame) -> DataFrame:
     """Rows in, removed by the overlap step, removed as duplicates, rows out
-    and % reduction (A16): three counts over the same chain."""
+    and % reduction (A16): one pass over the tagged rows, counted per
+    (consumer, manoeuvre) and then in all."""
     typed = type_raw(raw)
-    uc = resolve_column(typed.columns, UC_ALIASES)
-    start = resolve_column(typed.columns, START_ALIASES)
-    end = resolve_column(typed.columns, END_ALIASES)
-    after_overlap = resolve_overlaps(typed, uc=uc, start=start, end=end)
-    man = resolve_column(typed.columns, ["NUM_INTRP_INIC_MANOBRA_UCI", "NUM_INTRP_INIC_MAN"])
-    own = resolve_column(typed.columns, ["NUM_INTRP_UCI"])
-    final = dedup_first(after_overlap, [uc, man], [c for c in (start, end, own) if c])
-    n_in = typed.agg(F.count(F.lit(1)).alias("registros_iniciais"))
-    n_ov = after_overlap.agg(F.count(F.lit(1)).alias("apos_sobreposicao"))
-    n_out = final.agg(F.count(F.lit(1)).alias("registros_finais"))
-    row = n_in.select(
-        "registros_iniciais", n_ov.scalar().alias("apos_sobreposicao"), n_out.scalar().alias("registros_finais"))
+    uc, start, end, man, _ = _chain_columns(typed)
+    tagged = tag_overlaps(typed, uc, start, end)
+    groups = tagged.groupBy(_q(uc), _q(man)).agg(F.count(F.lit(1)).alias("__n"), F.count_if("__keep").alias("__k"))
+    zero = F.lit(0).cast("long")
+    row = groups.agg(F.coalesce(F.sum("__n"), zero).alias("registros_iniciais"), F.coalesce(F.sum("__k"), zero).alias("__left"),
+                     F.count_if(F.col("__k") > 0).alias("registros_finais"))
     return row.select(
         "registros_iniciais",
-        (F.col("registros_iniciais") - F.col("apos_sobreposicao")).alias("removidos_sobreposicao"),
-        (F.col("apos_sobreposicao") - F.col("registros_finais")).alias("removidos_duplicados"),
+        (F.col("registros_iniciais") - F.col("__left")).alias("removidos_sobreposicao"),
+        (F.col("__left") - F.col("registros_finais")).alias("removidos_duplicados"),
         "registros_finais",
         F.when(F.col("registros_iniciais") > 0,
                round_half((F.col("registros_iniciais") - F.col("registros_finais"))

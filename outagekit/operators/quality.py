@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from outagekit.functions import scalars as S
 from outagekit.functions.numeric import round_half
 from outagekit.functions.schema import (
-    is_numeric, is_temporal, numeric_columns, resolve_date_dq, resolve_regional_dq,
+    is_numeric, numeric_columns, resolve_column, resolve_date_dq, resolve_regional_dq,
 )
-from outagekit.operators.indicators import nearest_rank_quantiles
+from outagekit.operators.intervals import interval_columns
+from outagekit.operators.indicators import quantile_aggs, ranked_histogram, value_histogram
 
 # Thresholds of the rule report.
 QUALITY_RULES = {"null_threshold": 0.05, "duplicate_threshold": 0.01}
@@ -33,10 +34,14 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _stack(agg_row: DataFrame, names: Sequence[str], prefix: str, key: str, val: str) -> DataFrame:
-    """One-row aggregate with columns prefix+name -> long (key, val) rows."""
-    args = ", ".join(f"'{n}', `{prefix}{n}`" for n in names)
-    return agg_row.selectExpr(f"stack({len(names)}, {args}) AS (`{key}`, `{val}`)")
+def _rows(agg_row: DataFrame, names: Sequence[str], fields: dict[str, list]) -> DataFrame:
+    """A one-row aggregate as one row per name: ``fields`` gives, per output
+    column, a Column (of the aggregate) or a plain value for each name."""
+    def cell(v):
+        return v if isinstance(v, Column) else F.lit(v)
+
+    rows = [F.struct(*[cell(vals[i]).alias(k) for k, vals in fields.items()]) for i in range(len(names))]
+    return agg_row.select(F.inline(F.array(*rows)))
 
 
 # ----------------------------------------------------------------------------
@@ -46,8 +51,8 @@ def _stack(agg_row: DataFrame, names: Sequence[str], prefix: str, key: str, val:
 def null_check(df: DataFrame) -> DataFrame:
     """Nulls per column in one pass (Q-A)."""
     cols = df.columns
-    row = df.agg(*[F.count_if(_q(c).isNull()).alias(f"n_{c}") for c in cols])
-    return _stack(row, cols, "n_", "coluna", "nulos")
+    row = df.agg(*[F.count_if(_q(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
+    return _rows(row, cols, {"coluna": cols, "nulos": [F.col(f"n{i}") for i in range(len(cols))]})
 
 
 def null_check_summary(df: DataFrame) -> DataFrame:
@@ -98,28 +103,44 @@ def schema_check(df: DataFrame, contract: T.StructType) -> DataFrame:
     also counts non-null values that do not convert to the declared type
     (text timestamps go through the general timestamp parser)."""
     actual = {f.name.lower(): f for f in df.schema.fields}
-    aggs, meta = [], []
-    for f in contract.fields:
-        got = actual.get(f.name.lower())
+    names = [f.name for f in contract.fields]
+    found = [actual.get(n.lower()) for n in names]
+    aggs = []
+    for i, (want, got) in enumerate(zip(contract.fields, found)):
         if got is None:
-            aggs.append(F.lit(None).cast("long").alias(f"b_{f.name}"))
-        else:
-            c = _q(got.name)
-            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-                conv = S.parse_ts(got.name, got.dataType)
-            else:
-                conv = c.try_cast(f.dataType)
-            aggs.append(F.count_if(c.isNotNull() & conv.isNull()).alias(f"b_{f.name}"))
-        meta.append((f.name, f.dataType.simpleString(),
-                     got.dataType.simpleString() if got is not None else "ausente"))
-    row = df.agg(*aggs)
-    args = ", ".join(f"'{n}', '{e}', '{a}', `b_{n}`" for n, e, a in meta)
-    return row.selectExpr(
-        f"stack({len(meta)}, {args}) AS (coluna, tipo_esperado, tipo_atual, nao_convertiveis)"
-    ).select("coluna", "tipo_esperado", "tipo_atual",
-             (F.col("tipo_atual") != "ausente").alias("presente"),
-             (F.col("tipo_atual") == F.col("tipo_esperado")).alias("tipo_ok"),
-             F.col("nao_convertiveis").cast("long").alias("nao_convertiveis"))
+            aggs.append(F.max(F.lit(None).cast("long")).alias(f"b{i}"))
+            continue
+        is_ts = isinstance(want.dataType, (T.TimestampType, T.TimestampNTZType))
+        conv = S.parse_ts(got.name, got.dataType) if is_ts else _q(got.name).try_cast(want.dataType)
+        aggs.append(F.count_if(_q(got.name).isNotNull() & conv.isNull()).alias(f"b{i}"))
+    wanted = [f.dataType.simpleString() for f in contract.fields]
+    types = [g.dataType.simpleString() if g is not None else "ausente" for g in found]
+    return _rows(df.agg(*aggs), names, {
+        "coluna": names, "tipo_esperado": wanted, "tipo_atual": types,
+        "presente": [g is not None for g in found], "tipo_ok": [a == b for a, b in zip(types, wanted)],
+        "nao_convertiveis": [F.col(f"b{i}").cast("long") for i in range(len(names))]})
+
+
+def schema_check_inputs(spark, paths: Sequence[str], contract: T.StructType) -> DataFrame:
+    """``schema_check`` of every input on its own: ``arquivo``, ``status``
+    (``ok``; ``colunas_ausentes`` where a declared column is missing; ``erro``
+    where the input cannot be read) and the test's columns.  One aggregate
+    per input: inputs differ in their schemas, so their tests do too."""
+    out, failed = None, []
+    for path in paths:
+        try:
+            df = spark.read.parquet(path)
+        except Exception as e:  # an unreadable input is a result here, not a failure of the others
+            failed.append((path, "erro", str(e).split("\n")[0]))
+            continue
+        have = {c.lower() for c in df.columns}
+        status = "ok" if all(f.name.lower() in have for f in contract.fields) else "colunas_ausentes"
+        part = schema_check(df, contract).select(F.lit(path).alias("arquivo"), F.lit(status).alias("status"), "*")
+        out = part if out is None else out.unionByName(part)
+    if failed:
+        bad = spark.createDataFrame(failed, "arquivo string, status string, mensagem string").drop("mensagem")
+        out = bad if out is None else out.unionByName(bad, allowMissingColumns=True)
+    return out
 
 
 # ----------------------------------------------------------------------------
@@ -133,39 +154,47 @@ def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, iqr_factor: float = 1.5, min_non_null: int = 5000,
-                 columns: Sequence[str] | None = None) -> DataFrame:
+                 columns: Sequence[str] | None = None, skew: str = "auto") -> DataFrame:
     """IQR outlier test per numeric column (Q-E; card C8).
 
     Quartiles are nearest-rank order statistics.  With IQR = 0 any value
     different from Q1 is an outlier.  Columns with fewer than
     ``min_non_null`` values are skipped.  Mean and sample deviation are
-    reported to 6 dp."""
+    reported to 6 dp.
+
+    Two reads: one wide aggregate (mean, deviation), and one histogram of
+    (column, value), from which come count, extremes and quartiles, and -
+    against the fences - the outlier counts."""
     cols = list(columns) if columns else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "coluna string")
-    long = _long_numeric(df, cols)
-    stats = long.groupBy("coluna").agg(
-        F.count("valor").alias("nao_nulos"), F.min("valor").alias("min"), F.max("valor").alias("max"),
-        F.avg("valor").alias("__mean"), F.stddev_samp("valor").alias("__std"))
-    quart = nearest_rank_quantiles(long, "valor", ["coluna"], {"q1": 0.25, "q3": 0.75})
+    x = [_q(c).cast("double") for c in cols]
+    wide = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(x)])
+    moments = _rows(wide, cols, {"coluna": cols, "__mean": [F.col(f"m{i}") for i in range(len(cols))],
+                                 "__std": [F.col(f"s{i}") for i in range(len(cols))]})
+    hist = value_histogram(_long_numeric(df, cols), "valor", ["coluna"])
+    ranked = ranked_histogram(hist, "valor", ["coluna"], skew)
     k = float(iqr_factor)
-    fences = (stats.join(quart, "coluna")
-              .where((F.col("nao_nulos") >= min_non_null) & F.col("q1").isNotNull() & F.col("q3").isNotNull())
-              .select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
-              .select("*", (F.col("q1") - F.lit(k) * F.col("iqr")).alias("limite_inferior"),
-                      (F.col("q3") + F.lit(k) * F.col("iqr")).alias("limite_superior")))
-    # one row per column: bounded by the schema, so broadcasting is safe
+    fences = (ranked.groupBy("coluna").agg(
+        F.max("__n").alias("nao_nulos"), F.min("valor").alias("min"), F.max("valor").alias("max"),
+        *quantile_aggs("valor", {"q1": 0.25, "q3": 0.75}))
+        .where(F.col("nao_nulos") >= min_non_null)
+        .select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
+        .select("*", (F.col("q1") - F.lit(k) * F.col("iqr")).alias("limite_inferior"),
+                (F.col("q3") + F.lit(k) * F.col("iqr")).alias("limite_superior")))
     v = F.col("valor")
     zero = F.col("iqr") == 0
     low = F.when(zero, v < F.col("q1")).otherwise(v < F.col("limite_inferior"))
     high = F.when(zero, v > F.col("q1")).otherwise(v > F.col("limite_superior"))
-    counts = (long.where(v.isNotNull()).join(F.broadcast(fences.select("coluna", "q1", "iqr", "limite_inferior",
-                                                                        "limite_superior")), "coluna")
-              .groupBy("coluna").agg(F.count_if(low | high).alias("outliers"),
-                                     F.count_if(low).alias("outliers_inferiores"),
-                                     F.count_if(high).alias("outliers_superiores")))
-    return (fences.join(counts, "coluna", "left").fillna(0, subset=["outliers", "outliers_inferiores",
-                                                                     "outliers_superiores"])
+
+    def total(cond: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("__c"))), F.lit(0)).alias(name)
+
+    # one row per column: bounded by the schema, so broadcasting is safe
+    counts = (hist.join(F.broadcast(fences), "coluna")
+              .groupBy("coluna").agg(total(low | high, "outliers"), total(low, "outliers_inferiores"), total(high, "outliers_superiores"),
+                                     *[F.first(c).alias(c) for c in fences.columns if c != "coluna"]))
+    return (counts.join(F.broadcast(moments), "coluna")
             .select("coluna", "nao_nulos", "outliers", "outliers_inferiores", "outliers_superiores",
                     round_half(F.col("outliers") / F.col("nao_nulos") * 100.0, 4).alias("pct_outliers"),
                     "limite_inferior", "limite_superior", "q1", "q3", "iqr", "min", "max",
@@ -198,8 +227,9 @@ def negative_durations(df: DataFrame) -> DataFrame:
     cols = duration_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "coluna string, negativos long")
-    row = df.agg(*[F.count_if(_q(c) < 0).alias(f"n_{c}") for c in cols])
-    return _stack(row, cols, "n_", "coluna", "negativos").orderBy(F.col("negativos").desc(), "coluna")
+    row = df.agg(*[F.count_if(_q(c) < 0).alias(f"n{i}") for i, c in enumerate(cols)])
+    out = _rows(row, cols, {"coluna": cols, "negativos": [F.col(f"n{i}") for i in range(len(cols))]})
+    return out.orderBy(F.col("negativos").desc(), "coluna")
 
 
 def negative_sample(df: DataFrame, limit_rows: int = 200, order: Sequence[str] = ()) -> DataFrame:
@@ -234,6 +264,13 @@ def regional_summary(df: DataFrame, regional_col: str | None = None) -> DataFram
                          .alias("pct_registros")).orderBy(F.col("registros").desc(), "sigla_regional")
 
 
+def regional_summary_totals(summary: DataFrame) -> DataFrame:
+    """All rows, and those without a label, of a regional summary."""
+    blank = F.col("sigla_regional") == S.NO_SIGLA
+    return summary.agg(F.sum("registros").cast("long").alias("total"),
+                       F.coalesce(F.sum(F.when(blank, F.col("registros"))), F.lit(0)).cast("long").alias("sem_sigla"))
+
+
 def regional_monthly(df: DataFrame, regional_col: str | None = None, date_col: str | None = None) -> DataFrame:
     """Rows per (region label, month), rows without a month dropped (A10)."""
     rc = regional_col or resolve_regional_dq(df.columns)
@@ -321,9 +358,9 @@ def regional_psi(monthly: DataFrame, eps: float = 1e-8) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("__rk") == 2, F.col("registros"))), F.lit(0)).alias("__p"),
         F.max(F.when(F.col("__rk") == 1, F.col("mes_ref"))).alias("__ma"),
         F.max(F.when(F.col("__rk") == 2, F.col("mes_ref"))).alias("__mp"))
-    tot = Window.partitionBy()  # one row per region
-    sa = F.sum("__a").over(tot)
-    sp = F.sum("__p").over(tot)
+    # the two totals as scalar subqueries: labels are free text, so their
+    # table may be large and is not gathered into one partition
+    sa, sp = (pair.agg(F.sum(c)).scalar() for c in ("__a", "__p"))
     a = F.col("__a") / sa + F.lit(eps)
     e = F.col("__p") / sp + F.lit(eps)
     terms = pair.select(((a - e) * F.log(a / e)).alias("__t"), sa.alias("__sa"), sp.alias("__sp"), "__ma", "__mp")
@@ -341,17 +378,18 @@ def regional_psi(monthly: DataFrame, eps: float = 1e-8) -> DataFrame:
 # Samples, previews and profiles
 # ----------------------------------------------------------------------------
 
-def contained_sample(marked: DataFrame, max_rows: int = 500, source: Column | None = None) -> DataFrame:
+def contained_sample(marked: DataFrame, max_rows: int = 500, source: str = "arquivo") -> DataFrame:
     """Up to ``max_rows`` contained rows with their provenance (R3), in a
-    reproducible order (consumer, start, id)."""
-    src = source if source is not None else F.col("_metadata.file_path")
-    uc, iid, start, end = ("NUM_UC_UCI", "NUM_INTRP_INIC_MANOBRA_UCI", "DTHR_INICIO_INTRP_UC",
-                           "DATA_HORA_FIM_INTRP")
+    reproducible order (file, consumer, start, id).  ``source`` is the column
+    that names a row's file, taken from ``_metadata.file_path`` before the
+    marking (``mark_inputs`` does); other columns are found by their names."""
+    uc, iid, start, end = interval_columns(marked)
+    own = resolve_column(marked.columns, ["NUM_INTRP_UCI"]) or iid
     return (marked.where(F.col("Contido_outra_intrp"))
-            .select(src.alias("arquivo"), _q(uc).alias("NUM_UC_UCI"), _q(iid).alias("NUM_INTRP_INIC_MANOBRA_UCI"),
+            .select(_q(source).alias("arquivo"), _q(uc).alias("NUM_UC_UCI"), _q(iid).alias("NUM_INTRP_INIC_MANOBRA_UCI"),
                     _q(start).alias("DTHR_INICIO_INTRP_UC"), _q(end).alias("DATA_HORA_FIM_INTR"),
                     "verificado", "Contido_outra_intrp", "Sobreposicao_tempo", "Conta_desligamento_unico",
-                    "Grupo_desligamento_uc", F.col("NUM_INTRP_UCI").alias("__tb"))
+                    "Grupo_desligamento_uc", _q(own).alias("__tb"))
             .orderBy("arquivo", "NUM_UC_UCI", "DTHR_INICIO_INTRP_UC", "NUM_INTRP_INIC_MANOBRA_UCI", "__tb")
             .limit(max_rows).drop("__tb"))
 
@@ -381,7 +419,3 @@ def table_profile(named: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def temporal_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_temporal(f.dataType)]

@@ -7,6 +7,7 @@ are the reference's defaults unless stated.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +25,7 @@ from outagekit.operators import intervals as iv
 from outagekit.operators import quality as dq
 from outagekit.operators.joins import broadcast_bounded
 from outagekit.plans import sql_blocks as Q
+from outagekit.session import checkpoint_dir
 from outagekit.sources import extract as ex
 from outagekit.sources import io as sio
 from outagekit.sources.fixtures import oracle, table
@@ -83,7 +85,7 @@ def q_dec_fec(spark, sf):
 # ---------------------------------------------------------------------------
 
 def PTS(s: str) -> str:
-    fmts = ["%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S",
+    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S",
             "%d/%m/%Y %H:%M:%S.%f", "%d/%m/%Y %H:%M:%S", "%Y-%m-%d %H:%M", "%d/%m/%Y %H:%M"]
     return "coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in fmts) + ")"
 
@@ -100,10 +102,8 @@ def MONTH_TXT(s: str) -> str:
             f"THEN substr({t}, 1, 4) || '-' || substr({t}, 5, 2) END)")
 
 
-REGION_CASE = ("CASE upper(coalesce(SIGLA_REGIONAL, '')) WHEN 'NRT' THEN 'NRT' WHEN 'CSL' THEN 'CSL' "
-               "WHEN 'NRO' THEN 'NRO' WHEN 'LES' THEN 'LES' WHEN 'OES' THEN 'OES' WHEN 'L' THEN 'NRT' "
-               "WHEN 'P' THEN 'CSL' WHEN 'M' THEN 'NRO' WHEN 'C' THEN 'LES' WHEN 'V' THEN 'OES' "
-               "WHEN 'COPEL' THEN 'COPEL' ELSE 'SEM_REGIONAL' END")
+REGION_CASE = ("CASE upper(coalesce(SIGLA_REGIONAL, '')) "
+               + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.REGION_OF.items()) + f" ELSE '{S.NO_REGION}' END")
 
 
 def LABEL(c: str) -> str:
@@ -181,11 +181,6 @@ def extraction(spark, sf):
     return ex.extract_interruptions(table(spark, sf, "hist_src"), table(spark, sf, "intrp_src"), DATA_MES)
 
 
-@register("extract_limit")  # an uncapped order-free limit: rows-only check
-def q_extract_limit(spark, sf):
-    return sio.extract_limit(extraction(spark, sf), 100)
-
-
 # ---------------------------------------------------------------------------
 # E1/J1, E2/J2
 # ---------------------------------------------------------------------------
@@ -222,6 +217,17 @@ def q_e1(spark, sf):
     return extraction(spark, sf)
 
 
+@register("extract_limit", oracle(f"SELECT * FROM ({E1_SQL}) e ORDER BY NUM_INTRP_UCI NULLS FIRST LIMIT 100",
+                                  ["hist_src", "intrp_src"]))
+def q_s6(spark, sf):
+    return sio.extract_limit(extraction(spark, sf), 100, ["NUM_INTRP_UCI"])
+
+
+@register("extract_limit_any", oracle(f"SELECT least(count(*), 100) AS linhas FROM ({E1_SQL}) e", ["hist_src", "intrp_src"]))
+def q_s6_any(spark, sf):
+    return sio.extract_limit(extraction(spark, sf), 100).agg(F.count(F.lit(1)).alias("linhas"))
+
+
 P_DATA_INI = "1998-01-01"
 J2_SQL = """
 SELECT h.COD_LOCAL_HQCL, h.ANO_MES_HQCL, h.QTDE_CONS_FAT_URB_HQCL, h.QTDE_CONS_FAT_RUR_HQCL,
@@ -267,20 +273,28 @@ def q_e2(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _scratch(spark, name: str) -> str:
-    import os
-    import uuid
-    from outagekit.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @register("write_month_partition", oracle(
     "SELECT *, CAST(year(DTHR_INICIO_INTRP_UC) AS INTEGER) AS ano, CAST(month(DTHR_INICIO_INTRP_UC) AS INTEGER) AS mes "
     "FROM intr_long", ["intr_long"]))
 def q_k1(spark, sf):
-    target = sio.write_month_partition(table(spark, sf, "intr_long"), _scratch(spark, "raw"), "DTHR_INICIO_INTRP_UC")
+    df, start = table(spark, sf, "intr_long"), "DTHR_INICIO_INTRP_UC"
+    target = sio.write_month_partition(df, _scratch(spark, "raw"), start)
+    sio.write_month_partition(df.where(F.month(start) == 3), target, start)  # a rerun replaces its month only
     return spark.read.parquet(target)
 
 
+@register("dec_fec_stored", oracle(Q.dec_fec_sql(ANOMES), L_B))
+def q_a4_stored(spark, sf):
+    """The DEC/FEC table over a stored, month-partitioned marked table."""
+    target = sio.write_month_partition(marked_long(spark, sf), _scratch(spark, "marked"), "DTHR_INICIO_INTRP_UC")
+    b = billed(spark, sf)
+    stored = ind.eligible_rows(spark.read.parquet(target), ANOMES, b, partition=("ano", "mes"))
+    return ind.dec_fec(ind.consolidate_perceived(stored), b)
+
+
 @register("overwrite_processed", oracle(f"SELECT * FROM {Q.marked_long()} m", ["intr_long"]))
 def q_k2(spark, sf):
     base = _scratch(spark, "processed")
@@ -361,26 +375,18 @@ def q_p6(spark, sf):
 
 @register("month_key", oracle(
     f"SELECT NUM_INTRP_UCI, {MONTH_TXT('DTHR_INICIO_TXT')} AS MES_INICIO_TXT, {MONTH_TXT('MES_TXT')} AS MES_LIVRE, "
-    f"strftime(t.DTHR_INICIO_INTRP_UC, '%Y-%m') AS MES_INICIO "
-    f"FROM (SELECT x.*, l.DTHR_INICIO_INTRP_UC FROM intr_text x JOIN intr_long l USING (NUM_INTRP_UCI)) t",
+    f"strftime(DTHR_INICIO_INTRP_UC, '%Y-%m') AS MES_INICIO FROM intr_text",
     ["intr_text"]))
 def q_p7(spark, sf):
-    t = _text(spark, sf).join(table(spark, sf, "intr_long").select("NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC"),
-                              "NUM_INTRP_UCI")
-    return t.select("NUM_INTRP_UCI", S.month_key("DTHR_INICIO_TXT").alias("MES_INICIO_TXT"),
+    return _text(spark, sf).select(
+                    "NUM_INTRP_UCI", S.month_key("DTHR_INICIO_TXT").alias("MES_INICIO_TXT"),
                     S.month_key("MES_TXT").alias("MES_LIVRE"),
                     S.month_key("DTHR_INICIO_INTRP_UC", T.TimestampNTZType()).alias("MES_INICIO"))
 
 
-_YM = "^(\\d{4})[-_/](\\d{1,2})$"
-_MY = "^(\\d{1,2})[-_/](\\d{4})$"
-_SIX = "^(\\d{4})(\\d{2})$"
-_ym_year = (f"(CASE WHEN regexp_matches(trim(MES_TXT), '{_YM}') THEN regexp_extract(trim(MES_TXT), '{_YM}', 1) "
-            f"WHEN regexp_matches(trim(MES_TXT), '{_MY}') THEN regexp_extract(trim(MES_TXT), '{_MY}', 2) "
-            f"WHEN regexp_matches(trim(MES_TXT), '{_SIX}') THEN regexp_extract(trim(MES_TXT), '{_SIX}', 1) END)")
-_ym_month = (f"(CASE WHEN regexp_matches(trim(MES_TXT), '{_YM}') THEN regexp_extract(trim(MES_TXT), '{_YM}', 2) "
-             f"WHEN regexp_matches(trim(MES_TXT), '{_MY}') THEN regexp_extract(trim(MES_TXT), '{_MY}', 1) "
-             f"WHEN regexp_matches(trim(MES_TXT), '{_SIX}') THEN regexp_extract(trim(MES_TXT), '{_SIX}', 2) END)")
+_ym_year, _ym_month = ("(CASE " + " ".join(
+    f"WHEN regexp_matches(trim(MES_TXT), '{p}') THEN regexp_extract(trim(MES_TXT), '{p}', {at[i]})"
+    for p, *at in S.MONTH_TEXT) + " END)" for i in (0, 1))
 
 
 @register("parse_year_month", oracle(
@@ -425,7 +431,8 @@ def _holes(spark, sf):
     m = marked_long(spark, sf)
     i = F.col("NUM_INTRP_UCI").cast("long")
     return m.select(
-        "NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP",
+        "NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "NUM_INTRP_INIC_MANOBRA_UCI",
+        F.when(i % 9 != 0, F.col("NUM_INTRP_PERCEBIDA")).alias("NUM_INTRP_PERCEBIDA"),
         F.when(i % 5 != 0, F.col("DTHR_INICIO_INTRP_PERCEBIDO")).alias("DTHR_INICIO_INTRP_PERCEBIDO"),
         F.when(i % 7 != 0, F.col("DATA_HORA_FIM_INTR_PERCEBIDO")).alias("DATA_HORA_FIM_INTR_PERCEBIDO"),
         F.when(i % 3 != 0, F.col("DURACAO_PERCEBIDA_MINUTOS")).alias("DURACAO_PERCEBIDA_MINUTOS"),
@@ -434,13 +441,14 @@ def _holes(spark, sf):
 
 
 BACKFILL_SQL = f"""
-SELECT NUM_INTRP_UCI, DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP, s AS DTHR_INICIO_INTRP_PERCEBIDO,
-       e AS DATA_HORA_FIM_INTR_PERCEBIDO, d AS DURACAO_PERCEBIDA_MINUTOS,
+SELECT NUM_INTRP_UCI, DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP, NUM_INTRP_INIC_MANOBRA_UCI, NUM_INTRP_PERCEBIDA,
+       s AS DTHR_INICIO_INTRP_PERCEBIDO, e AS DATA_HORA_FIM_INTR_PERCEBIDO, d AS DURACAO_PERCEBIDA_MINUTOS,
        CASE WHEN lower(trim(v)) IN ('true', '1', 'sim', 'yes') THEN true
             WHEN lower(trim(v)) IN ('false', '0', 'nao', 'não', 'no') THEN false ELSE true END AS verificado,
        coalesce(d, 0.0) >= 3.0 AS longa_duracao, s AS DTHR_INICIO_INTRP_PERCEBIDA, e AS DATA_HORA_FIM_INTR_PERCEBIDA
 FROM (SELECT *, coalesce(d0, date_diff('second', s, e) / 60.0) AS d FROM (
-  SELECT NUM_INTRP_UCI, DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP,
+  SELECT NUM_INTRP_UCI, DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP, NUM_INTRP_INIC_MANOBRA_UCI,
+    coalesce(CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 9 <> 0 THEN NUM_INTRP_PERCEBIDA END, NUM_INTRP_INIC_MANOBRA_UCI) AS NUM_INTRP_PERCEBIDA,
     coalesce(CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 5 <> 0 THEN DTHR_INICIO_INTRP_PERCEBIDO END, DTHR_INICIO_INTRP_UC) AS s,
     coalesce(CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 7 <> 0 THEN DATA_HORA_FIM_INTR_PERCEBIDO END, DATA_HORA_FIM_INTRP) AS e,
     CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 3 <> 0 THEN DURACAO_PERCEBIDA_MINUTOS END AS d0,
@@ -451,8 +459,8 @@ FROM (SELECT *, coalesce(d0, date_diff('second', s, e) / 60.0) AS d FROM (
 @register("backfill_perceived", oracle(BACKFILL_SQL, ["intr_long"]))
 def q_p12(spark, sf):
     out = S.backfill_perceived(_holes(spark, sf))
-    return out.select("NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "DTHR_INICIO_INTRP_PERCEBIDO",
-                      "DATA_HORA_FIM_INTR_PERCEBIDO", "DURACAO_PERCEBIDA_MINUTOS", "verificado", "longa_duracao",
+    return out.select("NUM_INTRP_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "NUM_INTRP_INIC_MANOBRA_UCI",
+                      "NUM_INTRP_PERCEBIDA", "DTHR_INICIO_INTRP_PERCEBIDO", "DATA_HORA_FIM_INTR_PERCEBIDO", "DURACAO_PERCEBIDA_MINUTOS", "verificado", "longa_duracao",
                       "DTHR_INICIO_INTRP_PERCEBIDA", "DATA_HORA_FIM_INTR_PERCEBIDA")
 
 
@@ -503,10 +511,7 @@ def q_p16(spark, sf):
     f"CASE WHEN coalesce(max(b.UC_FATURADA), 0.0) = 0 THEN 0.0 ELSE count(*) / max(b.UC_FATURADA) END AS FEC "
     f"FROM {UNIQUE} u LEFT JOIN {UC_MONTH} b ON u.REGIONAL_TOTAL = b.REGIONAL_TOTAL GROUP BY 1", L_B))
 def q_p17(spark, sf):
-    u = unique_long(spark, sf).groupBy("REGIONAL_TOTAL").agg(F.count(F.lit(1)).cast("double").alias("CI"))
-    j = u.join(ind.uc_by_region(billed(spark, sf)), "REGIONAL_TOTAL", "left")
-    uc = F.coalesce(F.col("UC_FATURADA"), F.lit(0.0))
-    return j.select("REGIONAL_TOTAL", "CI", uc.alias("UC_FATURADA"), S.safe_div(F.col("CI"), uc).alias("FEC"))
+    return ind.interruption_rate(unique_long(spark, sf), billed(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -581,13 +586,13 @@ def q_j3(spark, sf):
 
 INDICATOR_BASE_SQL = f"""
 SELECT b.REGIONAL_TOTAL, b.UC_FATURADA,
-  CAST(coalesce(s.CIL, 0) AS DOUBLE) AS CI_LIQUIDO, coalesce(s.CHL, 0) / 3600000000.0 AS CHI_LIQUIDO,
-  CAST(coalesce(s.CIE, 0) AS DOUBLE) AS CI_EXPURGO, coalesce(s.CHE, 0) / 3600000000.0 AS CHI_EXPURGO
+  CAST(coalesce(s.CIL, 0) AS DOUBLE) AS CI_LIQUIDO, CAST(coalesce(s.CHL, 0) AS DOUBLE) / 3600000000.0 AS CHI_LIQUIDO,
+  CAST(coalesce(s.CIE, 0) AS DOUBLE) AS CI_EXPURGO, CAST(coalesce(s.CHE, 0) AS DOUBLE) / 3600000000.0 AS CHI_EXPURGO
 FROM {UC_MONTH} b LEFT JOIN (
   SELECT REGIONAL_TOTAL, count(*) FILTER (WHERE NATUREZA = 'LIQUIDO') AS CIL,
-    CAST(sum(CASE WHEN NATUREZA = 'LIQUIDO' THEN {Q.us('DUR_MIN')} END) AS BIGINT) AS CHL,
+    sum(CASE WHEN NATUREZA = 'LIQUIDO' THEN {Q.us('DUR_MIN')} END) AS CHL,
     count(*) FILTER (WHERE NATUREZA <> 'LIQUIDO') AS CIE,
-    CAST(sum(CASE WHEN NATUREZA <> 'LIQUIDO' THEN {Q.us('DUR_MIN')} END) AS BIGINT) AS CHE
+    sum(CASE WHEN NATUREZA <> 'LIQUIDO' THEN {Q.us('DUR_MIN')} END) AS CHE
   FROM {UNIQUE} u GROUP BY 1) s ON b.REGIONAL_TOTAL = s.REGIONAL_TOTAL"""
 
 
@@ -626,9 +631,7 @@ def q_j5(spark, sf):
     f"SELECT REGIONAL_TOTAL, NUM_UC_UCI, NUM_INTRP_PERCEBIDA, max(DUR_MIN) AS DUR_MIN, "
     f"bool_and(TIPO_PROTOC_JUSTIF_UCI = '0') AS TIPO_0_ALL FROM {ELIGIBLE()} e GROUP BY 1, 2, 3", L_B))
 def q_a1(spark, sf):
-    e = ind.eligible_rows(marked_long(spark, sf), ANOMES, billed(spark, sf))
-    return e.groupBy("REGIONAL_TOTAL", "NUM_UC_UCI", "NUM_INTRP_PERCEBIDA").agg(
-        F.max("DUR_MIN").alias("DUR_MIN"), F.bool_and(F.col("TIPO_PROTOC_JUSTIF_UCI") == "0").alias("TIPO_0_ALL"))
+    return ind.perceived_interruptions(ind.eligible_rows(marked_long(spark, sf), ANOMES, billed(spark, sf)))
 
 
 @register("classify_nature", oracle(f"SELECT * FROM {UNIQUE} u", L_B))
@@ -637,7 +640,7 @@ def q_a2(spark, sf):
 
 
 @register("ci_chi", oracle(
-    f"SELECT REGIONAL_TOTAL, NATUREZA, count(*) AS CI, CAST(sum({Q.us('DUR_MIN')}) AS BIGINT) / 3600000000.0 AS CHI_HORAS "
+    f"SELECT REGIONAL_TOTAL, NATUREZA, count(*) AS CI, CAST(sum({Q.us('DUR_MIN')}) AS DOUBLE) / 3600000000.0 AS CHI_HORAS "
     f"FROM {UNIQUE} u GROUP BY 1, 2", L_B))
 def q_a3(spark, sf):
     return ind.ci_chi(unique_long(spark, sf))
@@ -669,10 +672,10 @@ def q_a6(spark, sf):
 
 
 PREVIEW_SQL = f"""
-SELECT FAIXA, SIGLA_REGIONAL, {RH('CAST(ci AS DOUBLE)', 0)} AS CI, {RH('chi_us / 3600000000.0', 2)} AS CHI_horas
+SELECT FAIXA, SIGLA_REGIONAL, {RH('CAST(ci AS DOUBLE)', 0)} AS CI, {RH('CAST(chi_us AS DOUBLE) / 3600000000.0', 2)} AS CHI_horas
 FROM (SELECT CASE WHEN d >= 3.0 THEN '>=3' ELSE '<3' END AS FAIXA, coalesce(SIGLA_REGIONAL, 'SEM_REGIONAL') AS SIGLA_REGIONAL,
              count(DISTINCT NUM_UC_UCI) + max(CASE WHEN NUM_UC_UCI IS NULL THEN 1 ELSE 0 END) AS ci,
-             sum({Q.us('d')} * 1.0) AS chi_us
+             sum({Q.us('d')}) AS chi_us
       FROM (SELECT *, coalesce(TRY_CAST(DURACAO_PERCEBIDA_MINUTOS AS DOUBLE), 0.0) AS d FROM {Q.marked_long()} m) x
       GROUP BY 1, 2) g"""
 
@@ -771,7 +774,7 @@ def q_a13(spark, sf):
 @register("mark_summary", oracle(
     f"SELECT count(*) AS total, count(*) FILTER (WHERE verificado) AS verificado_true, "
     f"count(*) FILTER (WHERE Contido_outra_intrp) AS contido_true, count(*) FILTER (WHERE Sobreposicao_tempo) "
-    f"AS sobreposto_true, count(*) FILTER (WHERE Conta_desligamento_unico) AS conta_unico_true, 'ok' AS status "
+    f"AS sobreposto_true, count(*) FILTER (WHERE Conta_desligamento_unico) AS conta_unico_true "
     f"FROM {Q.marked_long()} m", ["intr_long"]))
 def q_a14(spark, sf):
     return iv.mark_summary(marked_long(spark, sf))
@@ -885,15 +888,6 @@ def q_r2(spark, sf):
     return ind.top_durations(unique_long(spark, sf))
 
 
-@register("contained_sample", oracle(
-    f"SELECT 'intr_long' AS arquivo, NUM_UC_UCI, NUM_INTRP_INIC_MANOBRA_UCI, DTHR_INICIO_INTRP_UC, "
-    f"DATA_HORA_FIM_INTRP AS DATA_HORA_FIM_INTR, verificado, Contido_outra_intrp, Sobreposicao_tempo, "
-    f"Conta_desligamento_unico, Grupo_desligamento_uc FROM {Q.marked_long()} m WHERE Contido_outra_intrp "
-    f"ORDER BY NUM_UC_UCI, DTHR_INICIO_INTRP_UC, NUM_INTRP_INIC_MANOBRA_UCI, NUM_INTRP_UCI LIMIT 500", ["intr_long"]))
-def q_r3(spark, sf):
-    return dq.contained_sample(marked_long(spark, sf), 500, F.lit("intr_long"))
-
-
 @register("merge_sample", oracle(
     "SELECT REGIONAL_TOTAL, NUM_UC_UCI, NUM_INTRP, DT_INI, DT_FIM, DUR_SEC, GAP_PREV_SEC, PREV_DUR_SEC, "
     f"TEM_PRECISAO_SEGUNDO, MERGE_CRITERIO, MERGE_CRITERIO_MINUTO FROM {CRIT_SQL} c WHERE MERGE_CRITERIO "
@@ -920,10 +914,7 @@ def q_r6a(spark, sf):
     f"SELECT REGIONAL_TOTAL, CAST(count(*) AS BIGINT) AS CI FROM {UNIQUE} u GROUP BY 1 "
     f"UNION ALL SELECT 'COPEL' AS REGIONAL_TOTAL, CAST(count(*) AS BIGINT) AS CI FROM {UNIQUE} v", L_B))
 def q_r7(spark, sf):
-    u = unique_long(spark, sf)
-    detail = u.groupBy("REGIONAL_TOTAL").agg(F.count(F.lit(1)).alias("CI"))
-    total = u.agg(F.count(F.lit(1)).alias("CI")).select(F.lit(S.TOTAL_LABEL).alias("REGIONAL_TOTAL"), "CI")
-    return detail.unionByName(total)
+    return ind.count_with_total(unique_long(spark, sf))
 
 
 @register("distinct_map", oracle(
@@ -956,7 +947,7 @@ def resolve_sql(src: str, cols: list[str]) -> str:
     keep = ", ".join(f"r.{c}" for c in cols)
     return f"""
 (WITH RECURSIVE v AS (
-   SELECT CAST(NUM_INTRP_UCI AS VARCHAR) AS id, NUM_UC_UCI AS uc, DTHR_INICIO_INTRP_UC AS s, DATA_HORA_FIM_INTRP AS e,
+   SELECT CAST(NUM_INTRP_UCI AS VARCHAR) AS id, coalesce(CAST(NUM_UC_UCI AS VARCHAR), '') AS uc, DTHR_INICIO_INTRP_UC AS s, DATA_HORA_FIM_INTRP AS e,
           row_number() OVER (PARTITION BY NUM_UC_UCI ORDER BY DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP,
                                                        CAST(NUM_INTRP_UCI AS VARCHAR)) AS rn
    FROM {src} WHERE DTHR_INICIO_INTRP_UC IS NOT NULL AND DATA_HORA_FIM_INTRP IS NOT NULL
@@ -1221,8 +1212,7 @@ def q_f2_report(spark, sf):
     "SELECT DISTINCT CAST(ANOMES AS VARCHAR) AS ANOMES FROM billed_month WHERE ANOMES IS NOT NULL ORDER BY 1 DESC",
     ["billed_month"]))
 def q_a15_billed(spark, sf):
-    b = billed(spark, sf, None)
-    return b.select("ANOMES").where(F.col("ANOMES").isNotNull()).distinct().orderBy(F.col("ANOMES").desc())
+    return ind.billed_months(billed(spark, sf, None))
 
 
 @register("regional_summary_totals", oracle(
@@ -1230,7 +1220,168 @@ def q_a15_billed(spark, sf):
     f"CAST(coalesce(sum(registros) FILTER (WHERE sigla_regional = 'SEM_SIGLA'), 0) AS BIGINT) AS sem_sigla "
     f"FROM ({SUMMARY_SQL}) s", ["intr_long"]))
 def q_a9_totals(spark, sf):
-    s = dq.regional_summary(table(spark, sf, "intr_long"), "SIGLA_REGIONAL")
-    return s.agg(F.sum("registros").cast("long").alias("total"),
-                 F.coalesce(F.sum(F.when(F.col("sigla_regional") == S.NO_SIGLA, F.col("registros"))), F.lit(0))
-                 .cast("long").alias("sem_sigla"))
+    return dq.regional_summary_totals(dq.regional_summary(table(spark, sf, "intr_long"), "SIGLA_REGIONAL"))
+
+
+@register("unbilled_reconciliation", oracle(
+    f"SELECT REGIONAL_TOTAL, count(*) AS CI_SEM_UC FROM {UNIQUE} u "
+    f"WHERE REGIONAL_TOTAL NOT IN (SELECT REGIONAL_TOTAL FROM {UC_MONTH} b) GROUP BY 1", L_B))
+def q_unbilled(spark, sf):
+    return ind.unbilled_reconciliation(unique_long(spark, sf), billed(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Month scope, hot keys, null keys and typed ids
+# ---------------------------------------------------------------------------
+
+# B1 with a month, every eleventh of them unknown; consumers and manoeuvre
+# ids as numbers, some unknown, the ids beyond what a double holds.
+_ID = "CAST(NUM_INTRP_UCI AS BIGINT)"
+_SCOPED = ("SELECT NUM_UC_UCI, NUM_INTRP_UCI, NUM_INTRP_INIC_MANOBRA_UCI, SIGLA_REGIONAL, TIPO_PROTOC_JUSTIF_UCI, "
+           f"DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP, CASE WHEN {_ID} % 11 <> 0 THEN CAST(month(DTHR_INICIO_INTRP_UC) AS INT) END AS mes "
+           "FROM intr_long")
+_TYPED = (f"SELECT CASE WHEN {_ID} % 50 <> 3 THEN CAST(NUM_UC_UCI AS BIGINT) END AS NUM_UC_UCI, NUM_INTRP_UCI, "
+          f"CASE WHEN {_ID} % 5 <> 0 THEN 9007199254740993 + {_ID} END AS NUM_INTRP_INIC_MANOBRA_UCI, SIGLA_REGIONAL, "
+          "TIPO_PROTOC_JUSTIF_UCI, DTHR_INICIO_INTRP_UC, DATA_HORA_FIM_INTRP FROM intr_long")
+
+
+def _shaped(spark, sf, sql: str) -> DataFrame:
+    table(spark, sf, "intr_long").createOrReplaceTempView("intr_long")
+    return spark.sql(sql)
+
+
+def _month_marks() -> str:
+    return Q.mark_sql(f"({_SCOPED})", "NUM_UC_UCI", "NUM_INTRP_INIC_MANOBRA_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP",
+                      "NUM_INTRP_UCI", [*_B1_COLS, "mes"], scope="mes")
+
+
+@register("mark_overlaps_month", oracle(f"SELECT * FROM {_month_marks()} m", ["intr_long"]))
+def q_i1_month(spark, sf):
+    return iv.mark_overlaps(_shaped(spark, sf, _SCOPED), scope=["mes"])
+
+
+@register("mark_overlaps_hot", oracle(f"SELECT * FROM {_month_marks()} m", ["intr_long"]))
+def q_i1_hot(spark, sf):
+    return iv.mark_overlaps(_shaped(spark, sf, _SCOPED), scope=["mes"], skew="on")
+
+
+_TYPED_OUT = ("NUM_UC_UCI", "NUM_INTRP_UCI", "CAST(NUM_INTRP_INIC_MANOBRA_UCI AS STRING) AS NUM_INTRP_INIC_MANOBRA_UCI",
+              "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP")
+_RESOLVE_TYPED = oracle("SELECT " + ", ".join(_TYPED_OUT).replace("STRING", "VARCHAR") +
+                        f" FROM {resolve_sql(f'({_TYPED})', _B1_COLS)} x", ["intr_long"])
+
+
+@register("resolve_overlaps_typed", _RESOLVE_TYPED)
+def q_i2_typed(spark, sf):
+    return iv.resolve_overlaps(_shaped(spark, sf, _TYPED)).selectExpr(*_TYPED_OUT)
+
+
+@register("resolve_overlaps_hot", _RESOLVE_TYPED)
+def q_i2_hot(spark, sf):
+    return iv.resolve_overlaps(_shaped(spark, sf, _TYPED), skew="on").selectExpr(*_TYPED_OUT)
+
+
+# ---------------------------------------------------------------------------
+# Per-input results (A14, Q-D, R3) over stored files
+# ---------------------------------------------------------------------------
+
+_FILES_SQL = (f"(SELECT *, CASE WHEN {_ID} % 3 = 0 THEN 'a.parquet' ELSE 'b.parquet' END AS arquivo FROM intr_long)")
+
+
+def _files(spark, sf) -> list[str]:
+    """B1 as two files, and a third without its consumers."""
+    df, base = table(spark, sf, "intr_long"), _scratch(spark, "files")
+    third = F.col("NUM_INTRP_UCI").cast("long") % 3 == 0
+    parts = {"a": df.where(third), "b": df.where(~third), "c": df.where(third).drop("NUM_UC_UCI")}
+    for name, part in parts.items():
+        part.write.parquet(f"{base}/{name}.parquet")
+    return [f"{base}/{name}.parquet" for name in parts]
+
+
+def _file_marks() -> str:
+    return Q.mark_sql(_FILES_SQL, "NUM_UC_UCI", "NUM_INTRP_INIC_MANOBRA_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP",
+                      "NUM_INTRP_UCI", [*_B1_COLS, "arquivo"], scope="arquivo")
+
+
+def _basename(df: DataFrame) -> DataFrame:
+    return df.withColumn("arquivo", F.substring_index("arquivo", "/", -1))
+
+
+@register("mark_summary_inputs", oracle(
+    f"SELECT arquivo, 'ok' AS status, count(*) AS total, count(*) FILTER (WHERE verificado) AS verificado_true, "
+    f"count(*) FILTER (WHERE Contido_outra_intrp) AS contido_true, count(*) FILTER (WHERE Sobreposicao_tempo) AS sobreposto_true, "
+    f"count(*) FILTER (WHERE Conta_desligamento_unico) AS conta_unico_true FROM {_file_marks()} m GROUP BY 1 "
+    f"UNION ALL SELECT 'c.parquet', 'colunas_ausentes', 0, 0, 0, 0, 0", ["intr_long"]))
+def q_a14_inputs(spark, sf):
+    return _basename(iv.mark_inputs(spark, _files(spark, sf))[1]).drop("mensagem")
+
+
+@register("contained_sample", oracle(
+    f"SELECT arquivo, NUM_UC_UCI, NUM_INTRP_INIC_MANOBRA_UCI, DTHR_INICIO_INTRP_UC, "
+    f"DATA_HORA_FIM_INTRP AS DATA_HORA_FIM_INTR, verificado, Contido_outra_intrp, Sobreposicao_tempo, "
+    f"Conta_desligamento_unico, Grupo_desligamento_uc FROM {_file_marks()} m WHERE Contido_outra_intrp "
+    f"ORDER BY arquivo, NUM_UC_UCI, DTHR_INICIO_INTRP_UC, NUM_INTRP_INIC_MANOBRA_UCI, NUM_INTRP_UCI LIMIT 500", ["intr_long"]))
+def q_r3(spark, sf):
+    marked, _ = iv.mark_inputs(spark, _files(spark, sf))
+    return _basename(dq.contained_sample(marked, 500))
+
+
+_INPUT_CONTRACT = T.StructType([T.StructField("NUM_UC_UCI", T.StringType()), T.StructField("NUM_INTRP_UCI", T.LongType()),
+                                T.StructField("SIGLA_REGIONAL", T.IntegerType())])
+
+
+@register("schema_check_inputs", oracle(" UNION ALL ".join(f"""
+SELECT '{f}' AS arquivo, '{'colunas_ausentes' if f[0] == 'c' else 'ok'}' AS status, 'NUM_UC_UCI' AS coluna, 'string' AS tipo_esperado,
+  '{'ausente' if f[0] == 'c' else 'string'}' AS tipo_atual, {f[0] != 'c'} AS presente, {f[0] != 'c'} AS tipo_ok,
+  CAST({'NULL' if f[0] == 'c' else 0} AS BIGINT) AS nao_convertiveis
+UNION ALL SELECT '{f}', '{'colunas_ausentes' if f[0] == 'c' else 'ok'}', 'NUM_INTRP_UCI', 'bigint', 'string', true, false, 0
+UNION ALL SELECT '{f}', '{'colunas_ausentes' if f[0] == 'c' else 'ok'}', 'SIGLA_REGIONAL', 'int', 'string', true, false,
+  count(*) FILTER (WHERE SIGLA_REGIONAL IS NOT NULL AND TRY_CAST(SIGLA_REGIONAL AS INTEGER) IS NULL)
+FROM {_FILES_SQL} t WHERE arquivo = '{'a.parquet' if f[0] == 'c' else f}'""" for f in ("a.parquet", "b.parquet", "c.parquet")), ["intr_long"]))
+def q_qd_inputs(spark, sf):
+    return _basename(dq.schema_check_inputs(spark, _files(spark, sf), _INPUT_CONTRACT))
+
+
+# ---------------------------------------------------------------------------
+# Whole rows with copies (D1, Q-B, Q-C)
+# ---------------------------------------------------------------------------
+
+_COPIED = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 3 = 0)"
+
+
+_LI_COLS = ['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']
+
+
+def copied_lineitem(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.unionByName(li.where(F.col("l_orderkey") % 3 == 0))
+
+
+@register("dedup_exact_rows", "SELECT DISTINCT * FROM lineitem")
+def q_d1_rows(spark, sf):
+    return iv.dedup_exact(copied_lineitem(spark, sf))
+
+
+def _row_groups() -> str:
+    return f"(SELECT count(*) AS n FROM (SELECT t AS r FROM {_COPIED} t) x GROUP BY r)"
+
+
+@register("duplicate_check_rows", f"""
+SELECT CAST(count(*) AS BIGINT) AS passed, CAST(sum(n - 1) AS BIGINT) AS failed, CAST(sum(n) AS BIGINT) AS linhas FROM {_row_groups()} g""")
+def q_qb_rows(spark, sf):
+    return dq.duplicate_check(copied_lineitem(spark, sf))
+
+
+@register("rule_report_rows", f"""
+SELECT regra, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, {RH('ratio * 100.0', 4)} AS pct_failed,
+       CASE WHEN thr IS NULL OR ratio <= thr THEN 'ok' ELSE 'falha' END AS status
+FROM (
+  SELECT 'null_check' AS regra, {len(_LI_COLS)} * n - nulls AS passed, nulls AS failed, nulls / greatest({len(_LI_COLS)} * n, 1) AS ratio,
+         0.05 AS thr
+  FROM (SELECT count(*) AS n, {" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _LI_COLS)} AS nulls FROM {_COPIED} t) a
+  UNION ALL
+  SELECT 'duplicate_check', count(*), sum(n - 1), sum(n - 1) / greatest(sum(n), 1), 0.01 FROM {_row_groups()} g
+  UNION ALL
+  SELECT 'type_consistency', count(*), 0, 0.0, NULL FROM {_COPIED} t) r""")
+def q_qc_rows(spark, sf):
+    return dq.rule_report(copied_lineitem(spark, sf))

@@ -10,12 +10,14 @@ from outagekit.functions.numeric import round_half_sql as RH
 
 
 def mark_sql(src: str, uc: str, iid: str, start: str, end: str, tb: str | None, cols: list[str],
-             internals: bool = False) -> str:
-    """I1 on ``src``; output = ``cols`` + mark columns."""
+             internals: bool = False, scope: str = "") -> str:
+    """I1 on ``src``; output = ``cols`` + mark columns.  ``scope``: a further
+    column of the key."""
     order = "__ini ASC NULLS FIRST, __fim ASC NULLS FIRST, __id ASC NULLS FIRST"
     if tb:
         order += f", CAST({tb} AS VARCHAR) ASC NULLS FIRST"
-    w = f"PARTITION BY __uc ORDER BY {order}"
+    key = "__uc" + (f", {scope}" if scope else "")
+    w = f"PARTITION BY {key} ORDER BY {order}"
     run = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     keep = ", ".join(c for c in cols if c not in (
         "verificado", "Contido_outra_intrp", "Sobreposicao_tempo", "Conta_desligamento_unico",
@@ -56,9 +58,9 @@ def mark_sql(src: str, uc: str, iid: str, start: str, end: str, tb: str | None,
     CASE WHEN verificado THEN CAST(sum(CAST(NOT __merge AS BIGINT)) OVER {run} AS BIGINT) END AS __grp
   FROM s3
 ), s5 AS (
-  SELECT *, min(__ini) OVER (PARTITION BY __uc, __grp) AS __ini_p,
-            max(__fim) OVER (PARTITION BY __uc, __grp) AS __fim_p,
-            first_value(__id) OVER (PARTITION BY __uc, __grp ORDER BY {order}
+  SELECT *, min(__ini) OVER (PARTITION BY {key}, __grp) AS __ini_p,
+            max(__fim) OVER (PARTITION BY {key}, __grp) AS __fim_p,
+            first_value(__id) OVER (PARTITION BY {key}, __grp ORDER BY {order}
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS __id_p
   FROM s4
 )
@@ -135,17 +137,17 @@ def dec_fec_sql(anomes: str) -> str:
   LEFT JOIN (
     SELECT REGIONAL_TOTAL,
       count(*) FILTER (WHERE NATUREZA = 'LIQUIDO') AS CI_LIQUIDO,
-      coalesce(CAST(sum(CASE WHEN NATUREZA = 'LIQUIDO' THEN {us('DUR_MIN')} END) AS BIGINT), 0) AS CHL_US,
+      coalesce(sum(CASE WHEN NATUREZA = 'LIQUIDO' THEN {us('DUR_MIN')} END), 0) AS CHL_US,
       count(*) FILTER (WHERE NATUREZA <> 'LIQUIDO') AS CI_EXPURGO,
-      coalesce(CAST(sum(CASE WHEN NATUREZA <> 'LIQUIDO' THEN {us('DUR_MIN')} END) AS BIGINT), 0) AS CHE_US
+      coalesce(sum(CASE WHEN NATUREZA <> 'LIQUIDO' THEN {us('DUR_MIN')} END), 0) AS CHE_US
     FROM {unique_intrp(anomes)} u GROUP BY 1) s
   ON b.REGIONAL_TOTAL = s.REGIONAL_TOTAL"""
     rolled = f"""
   SELECT CASE WHEN GROUPING(REGIONAL_TOTAL) = 1 THEN 'COPEL' ELSE REGIONAL_TOTAL END AS REGIONAL_TOTAL,
          GROUPING(REGIONAL_TOTAL) AS tot,
-         sum(UC_FATURADA) AS UC, sum(CI_LIQUIDO) AS CIL, CAST(sum(CHL_US) AS BIGINT) / 3600000000.0 AS CHL,
-         sum(CI_EXPURGO) AS CIE, CAST(sum(CHE_US) AS BIGINT) / 3600000000.0 AS CHE,
-         CAST(sum(CHL_US) + sum(CHE_US) AS BIGINT) / 3600000000.0 AS CHB
+         sum(UC_FATURADA) AS UC, sum(CI_LIQUIDO) AS CIL, CAST(sum(CHL_US) AS DOUBLE) / 3600000000.0 AS CHL,
+         sum(CI_EXPURGO) AS CIE, CAST(sum(CHE_US) AS DOUBLE) / 3600000000.0 AS CHE,
+         CAST(sum(CHL_US) + sum(CHE_US) AS DOUBLE) / 3600000000.0 AS CHB
   FROM ({base}) x GROUP BY ROLLUP (REGIONAL_TOTAL)"""
 
     def sd(a, b):

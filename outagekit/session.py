@@ -43,23 +43,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and staged tables.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is.  Only when it is unset (tests, local runs) a scratch
-    folder is created and registered.
-    """
-    path = None
-    try:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    except Exception:  # no local SparkContext handle
-        pass
-    path = path or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="outagekit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:
-        pass
-    return path
+    """Shared folder for lineage cuts and staged tables: the one the session
+    has (``spark.checkpoint.dir``, or set on its context).  A session whose
+    tasks all run in the driver's own process (``local``) may lack one; its
+    local folder is shared by definition, so a scratch folder is set.  On a
+    cluster a missing folder is an error, raised before any work."""
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir()
+    if path:
+        return path
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("this operator needs a folder that all executors share: set spark.checkpoint.dir")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="outagekit-ckpt-"))
+    return sc.getCheckpointDir()

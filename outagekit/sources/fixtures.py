@@ -67,17 +67,8 @@ FROM (SELECT n_regionkey, cast(count(*) AS double) AS UC_FATURADA
 LATERAL VIEW explode(array('2024-01', '2024-02', '2024-03')) m AS anomes
 """
 
-# Monthly counts by region.
-REGION_MONTH = """
-SELECT r_name AS sigla_regional, substr(cast(o_orderdate AS string), 1, 7) AS mes_ref, count(*) AS registros
-FROM orders JOIN customer ON o_custkey = c_custkey
-LEFT JOIN nation ON c_nationkey = n_nationkey
-LEFT JOIN region ON n_regionkey = r_regionkey
-GROUP BY r_name, substr(cast(o_orderdate AS string), 1, 7)
-"""
-
 # Detail rows for the regional volume tests: one row per order with its
-# region name and order date (B4 is this table counted by region and month).
+# region name and order date.
 ORDERS_REGIONAL = """
 SELECT o_orderkey, r_name AS sigla_regional, o_orderdate AS data_referencia
 FROM orders JOIN customer ON o_custkey = c_custkey
@@ -175,7 +166,7 @@ END"""
 def intr_text_sql(engine: str) -> str:
     layouts = _LAYOUT_SPARK if engine == "spark" else _LAYOUT_DUCK
     return f"""
-SELECT NUM_UC_UCI, NUM_INTRP_UCI, SIGLA_REGIONAL,
+SELECT NUM_UC_UCI, NUM_INTRP_UCI, SIGLA_REGIONAL, DTHR_INICIO_INTRP_UC,
        {_layout_case(layouts, 'DTHR_INICIO_INTRP_UC', 0)} AS DTHR_INICIO_TXT,
        {_layout_case(layouts, 'DATA_HORA_FIM_INTRP', 3)} AS DATA_HORA_FIM_TXT,
        {_MONTH_TEXT} AS MES_TXT
@@ -188,7 +179,6 @@ DERIVED = {
     "intr_long": INTR_LONG,
     "intr_dense": INTR_DENSE,
     "billed_month": BILLED_MONTH,
-    "region_month": REGION_MONTH,
     "orders_regional": ORDERS_REGIONAL,
     "hist_src": HIST_SRC,
     "intrp_src": INTRP_SRC,

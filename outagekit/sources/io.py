@@ -56,27 +56,31 @@ def scan_processed(spark: SparkSession, paths: Sequence[str], recursive: bool =
             .option("mergeSchema", "true").parquet(*uniq))
 
 
-def extract_limit(df: DataFrame, limit_rows: int | None) -> DataFrame:
-    """Exact cap on extracted rows, none when ``limit_rows`` is falsy."""
-    return df.limit(int(limit_rows)) if limit_rows else df
+def extract_limit(df: DataFrame, limit_rows: int | None, order: Sequence[str] = ()) -> DataFrame:
+    """Exact cap on extracted rows, none when ``limit_rows`` is falsy (S6);
+    with ``order`` the rows are the first in that order, else any."""
+    if not limit_rows:
+        return df
+    return (df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]) if order else df).limit(int(limit_rows))
 
 
 def add_month_partition(df: DataFrame, month_col: str) -> DataFrame:
-    """(ano, mes) partition columns from a timestamp or a free month text."""
+    """(ano, mes) partition columns, 'YYYY' and 'MM', from a timestamp or a
+    free month text (P8)."""
     dt = df.schema[month_col].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return df.withColumn("ano", F.year(month_col)).withColumn("mes", F.month(month_col))
-    ym = parse_year_month(month_col)
-    return df.withColumn("ano", ym["ano"]).withColumn("mes", ym["mes"])
+        year, month = F.year(month_col), F.month(month_col)
+    else:
+        ym = parse_year_month(month_col)
+        year, month = ym["ano"], ym["mes"]
+    return df.withColumns({"ano": F.lpad(year.cast("string"), 4, "0"), "mes": F.lpad(month.cast("string"), 2, "0")})
 
 
 def write_month_partition(df: DataFrame, target: str, month_col: str) -> str:
-    """Write Hive-style ``ano=YYYY/mes=M`` partitions (K1).  Dynamic
+    """Write Hive-style ``ano=YYYY/mes=MM`` partitions (K1).  Dynamic
     partition overwrite replaces only the months present in ``df``, so a
     rerun of one month leaves the others alone."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (add_month_partition(df, month_col).write.mode("overwrite")
+    (add_month_partition(df, month_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("ano", "mes").parquet(target))
     return target
 
@@ -127,11 +131,19 @@ def write_billed_uc(df: DataFrame, target: str) -> str:
     return target
 
 
+#: Most rows of a result that is handed over as one file.
+ONE_FILE_ROWS = 1_000_000
+
+
 def export_results(df: DataFrame, target: str, fmt: str = "csv") -> str:
-    """Result tables to CSV (header) or Parquet (K4).  Results here are
-    small summaries; CSV goes out as one part file for hand-off."""
+    """Result tables to CSV (header) or Parquet (K4).  A CSV result of at most
+    ``ONE_FILE_ROWS`` rows goes out as one part file for hand-off; the rows
+    are brought together by an exchange, so what computes them keeps its
+    tasks.  Larger results keep their partitions."""
     if fmt == "csv":
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(target)
+        if df.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS:
+            df = df.repartition(1)
+        df.write.mode("overwrite").option("header", True).csv(target)
     elif fmt == "parquet":
         df.write.mode("overwrite").parquet(target)
     else:

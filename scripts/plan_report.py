@@ -24,9 +24,10 @@ def facts(plan: str) -> dict:
                                                  r"BroadcastNestedLoopJoin)", plan)))) or "-",
         "windows": plan.count("Window ["),
         "group limit": "yes" if "WindowGroupLimit" in plan else "-",
-        "python": ("mapInPandas" if "MapInPandas" in plan else
-                   "yes" if ("ArrowEvalPython" in plan or "BatchEvalPython" in plan
-                             or "FlatMapGroupsInPandas" in plan) else "-"),
+        "scans": len(re.findall(r"FileScan parquet", plan)),
+        "reused": plan.count("ReusedExchange"),
+        "python": ("mapInArrow" if re.search("MapInArrow", plan) else
+                   "yes" if re.search("EvalPython|InPandas", plan) else "-"),
     }
 
 
@@ -35,17 +36,21 @@ def main() -> None:
     spark = get_spark()
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
     rows = []
+    sc = spark.sparkContext
     for name, fn in catalog.QUERIES.items():
+        sc.setJobGroup(f"plan {name}", "jobs before the query's own")
         df = fn(spark, sf)
+        early = len(sc.statusTracker().getJobIdsForGroup(f"plan {name}"))
+        sc.setJobGroup(f"run {name}", "the query")
         qe = df._jdf.queryExecution()
         qe.toRdd().count()  # run this plan itself so AQE settles its final plan
         plan = qe.executedPlan().toString().split("== Initial Plan ==")[0]
-        rows.append((name, facts(plan)))
+        rows.append((name, {"plan-time jobs": early, **facts(plan)}))
     keys = list(rows[0][1])
     out = ["# Physical plans", "",
            f"Generated by `scripts/plan_report.py` on `{sf}` (local, AQE on, final adaptive plans).",
            "Counts are over the whole plan, fixture views included; reused exchanges are not counted.",
-           "Python appears only as the streaming overlap walk (`mapInPandas`) of overlap resolution.", "",
+           "Python appears only as the walk over islands of two or more rows in overlap resolution.", "",
            "| query | " + " | ".join(keys) + " |", "|---|" + "---|" * len(keys)]
     for name, f in rows:
         out.append(f"| `{name}` | " + " | ".join(str(f[k]) for k in keys) + " |")
