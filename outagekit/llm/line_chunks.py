@@ -18,6 +18,8 @@ first; an empty table gives an empty result; other columns are not touched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,8 @@ def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Dat
     return barrier(three, *ids, "lines", cuts=F.transform("ends", piece))
 
 
-def remove_repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
-                           min_lines: int = MIN_LINES) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES,
+                           key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of ``docs``: doc_id, __file, __row, n_lines, n_chunks,
     n_removed (chunks), removed_lines, text (what is left)."""
     docs = located(docs.select("doc_id", "text"))
@@ -68,14 +70,21 @@ def remove_repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int =
     cut_docs = chunks(docs, window, divisor)
     rows = (cut_docs.select(*ids, "lines", F.posexplode("cuts").alias("j", "c")).where(F.col("c.n") >= min_lines)
             .select(*ids, "j", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n").alias("chunk")))
-    keyed = rows.select("*", F.xxhash64("chunk").alias("key"))
+    keyed = rows.select("*", key(F.col("chunk")).alias("key"))
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     found = cut(keyed.join(broadcast_bounded(repeated), "key", "left_semi"))
     place = F.struct("doc_id", "__file", "__row", "j")
-    same = (found.groupBy("key", "chunk").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    gone = (found.join(same, ["key", "chunk"])
-            .where(~((F.col("head.__file") == F.col("__file")) & (F.col("head.__row") == F.col("__row"))
-                     & (F.col("head.j") == F.col("j"))))
+    # occurrences are the same if their bytes are: classes of a key by its texts
+    classes = cut(found.groupBy("key", "chunk").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")))
+    keys = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min("head").alias("head")))
+    # nearly always a key has one text, and its occurrences need not be shuffled by their text
+    one = found.drop("chunk").join(broadcast_bounded(keys.where("texts = 1 and n > 1").select("key", "head")), "key")
+    several = keys.where("texts > 1").select("key")
+    if several.take(1):
+        clash = classes.where("n > 1").join(broadcast_bounded(several), "key", "left_semi").select("key", "chunk", "head")
+        one = one.unionByName(found.join(clash, ["key", "chunk"]).drop("chunk"))
+    gone = (one.where(~((F.col("head.__file") == F.col("__file")) & (F.col("head.__row") == F.col("__row"))
+                        & (F.col("head.j") == F.col("j"))))
             .groupBy("__file", "__row").agg(F.collect_set("j").alias("gone")))
     out = cut_docs.join(gone, ["__file", "__row"], "left")
     none = F.array().cast("array<int>")

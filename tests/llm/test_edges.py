@@ -115,6 +115,9 @@ def test_line_chunks(odd_docs, no_docs):
     # each distinct one-chunk text stays once
     texts = [r.text for r in odd_docs.collect()]
     assert sum(r.text == "one" for r in rows) == 1 and texts.count("one") == 2
+    weak = line_chunks.remove_repeated_chunks(odd_docs, min_lines=1, key=lambda c: F.crc32(c) % 2).collect()
+    told = lambda rs: collections.Counter((r.doc_id, r.n_chunks, r.n_removed, r.text) for r in rs)
+    assert told(weak) == told(rows)  # chunks that share a key are told apart by their bytes
     assert line_chunks.remove_repeated_chunks(no_docs).count() == 0
 
 
