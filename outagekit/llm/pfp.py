@@ -47,7 +47,7 @@ from outagekit.llm.common import cut, table
 LENGTH = 400
 #: Bytes of a trigger; one place in so many is one, and one of the second
 #: kind; bytes of a key (a multiple of W).
-W, EVERY, DENSE, CONTEXT = 16, 48, 4, 128
+W, EVERY, DENSE, CONTEXT = 16, 64, 16, 128
 #: Places of a key above which it is not gathered; places compared at once.
 HOT, GATHER = 50_000, 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
