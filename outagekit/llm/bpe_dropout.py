@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 #: Words up to this length merge in bulk; segmentations a task remembers
 #: (besides those of the batch at hand).
-SHORT, REMEMBERED = 24, 600_000
+SHORT, REMEMBERED = 24, 300_000
 #: Documents of an output batch.
 ROWS = 256
 MASK = (1 << 64) - 1

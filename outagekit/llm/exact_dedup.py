@@ -53,6 +53,8 @@ def update_state(spark: SparkSession, staged: DataFrame, staged_path: str, state
     s.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     s.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    s.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")  # of an executor; the state is on disk
+    s.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
     s.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else 4 MB or more a partition, unused
     s.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # one file a partition and run
     rows = s.readStream.schema(staged.schema).parquet(staged_path)
