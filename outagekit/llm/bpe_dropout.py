@@ -243,26 +243,37 @@ class Encoder:
         self.merges: Merges | None = None
         self.lossy: set[str] = set()  # words whose pieces do not spell them
 
+    def _learn(self, new: list[set[str]]) -> None:
+        """Segment the words that a variant does not know yet."""
+        if self.merges is None:
+            self.merges = Merges(self.vocab, self.dropout)
+        known = [list(ws) for ws in new]
+        keys = [xxhash.xxh64_intdigest(f"{self.seed}/{v}/{w}".encode("utf-8", "surrogatepass"))
+                for v, ws in enumerate(known) for w in ws]
+        every = [w for ws in known for w in ws]
+        packed = self.merges.segment_all(every, keys)
+        if not self._spell(packed, "".join(every)):  # then some do not: find them
+            self.lossy.update(w for w, ids in zip(every, packed) if not self._spell([ids], w))
+        at = 0
+        for v, ws in enumerate(known):
+            self.memory[v].update(zip(ws, packed[at:at + len(ws)]))
+            at += len(ws)
+
+    def _spell(self, packed: list[bytes], text: str) -> bool:
+        ids = np.frombuffer(b"".join(packed), np.int32).tolist()
+        return b"".join(map(self.vocab["spelled"].__getitem__, ids)) == text.encode("utf-8", "surrogatepass")
+
     def _drawn(self, doc: int | None) -> int:
         """The variant of a document's words."""
         return xxhash.xxh64_intdigest(f"{self.seed}/{doc}".encode()) % len(self.memory)
 
-    def _learn(self, new: dict) -> None:
-        if self.merges is None:
-            self.merges = Merges(self.vocab, self.dropout)
-        new = list(new)
-        keys = [xxhash.xxh64_intdigest(f"{self.seed}/{v}/{w}".encode("utf-8", "surrogatepass")) for w, v in new]
-        spelled = self.vocab["spelled"]
-        for (w, v), ids in zip(new, self.merges.segment_all([w for w, _ in new], keys)):
-            self.memory[v][w] = ids
-            if b"".join(map(spelled.__getitem__, np.frombuffer(ids, np.int32).tolist())) != w.encode("utf-8", "surrogatepass"):
-                self.lossy.add(w)
-
     def encode_all(self, texts: list[str | None], docs: list[int | None]) -> list[np.ndarray | None]:
         words = [self.find(" " + t) if t else [] for t in texts]
         drawn = [self._drawn(d) for d in docs]
-        new = {(w, v) for ws, v in zip(words, drawn) for w in set(ws).difference(self.memory[v])}
-        if new:
+        new: list[set[str]] = [set() for _ in self.memory]
+        for ws, v in zip(words, drawn):
+            new[v].update(set(ws).difference(self.memory[v]))
+        if any(new):
             self._learn(new)
         out = [None if t is None else np.frombuffer(b"".join(map(self.memory[v].__getitem__, ws)), np.int32)
                for t, ws, v in zip(texts, words, drawn)]
@@ -270,8 +281,9 @@ class Encoder:
         self.same = [None if t is None else sum(map(len, ws)) == len(t) + bool(t) and self.lossy.isdisjoint(ws)
                      for t, ws in zip(texts, words)]
         if sum(map(len, self.memory)) > REMEMBERED:  # what came first is what is common: it stays
-            for w, v in new:
-                del self.memory[v][w]
+            for memory, ws in zip(self.memory, new):
+                for w in ws:
+                    del memory[w]
         return out
 
     def encode(self, text: str | None, doc: int | None = None) -> np.ndarray | None:
