@@ -13,8 +13,9 @@ is trained on labelled findings and gives every candidate a probability.
 ``labelled_findings`` labels what well-known formats settle: issued key
 formats and assigned random values are secrets; words, identifiers, addresses
 and numbers are not; the rest stays unlabelled.  Findings labelled by hand can
-be passed instead.  The forest is fitted to at most ``sample`` findings of
-each label, picked by a hash; counts and scores cover all rows.
+be passed instead.  The forest is fitted to about ``sample`` findings of
+each label at most (never over twice that), picked by a hash; counts and
+scores cover all rows.
 
 Defined results: null and empty texts have no candidates; repeated rows have
 their candidates each; without findings of both labels the probability is the
@@ -123,11 +124,12 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPL
     labelled = cut((labelled_findings(found) if findings is None else findings).where("label is not null")
                    .select(*FEATURES, "label").distinct())
     n, ones = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    share = {1.0: -(-int(ones) // sample), 0.0: -(-int(n - ones) // sample)}  # one finding in so many, by its hash
     if n == 0 or ones in (0, n):
         scored = found.withColumn("probability", F.lit(float(ones / n) if n else 0.0))
     else:
         h = F.xxhash64(*FEATURES)
-        chosen = [labelled.where(F.col("label") == v).orderBy(h, *FEATURES).limit(sample) for v in (0.0, 1.0)]
+        chosen = [labelled.where((F.col("label") == v) & (F.pmod(h, F.lit(share[v])) == 0)).limit(2 * sample) for v in (0.0, 1.0)]
         as_vector = VectorAssembler(inputCols=FEATURES, outputCol="__features")
         forest = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED,
                                         probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__prediction")
