@@ -330,9 +330,10 @@ def encoded(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL,
     new = [("ids", "array<int>"), ("n_ids", "long"), ("lossless", "boolean")]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [n for n, _ in new]]
     how = (vocabulary(model), dropout, seed, variants)
-    # plain names inside, whatever the columns are called
-    cols = [F.col("doc_id").alias("c_id"), F.col("text").alias("c_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]]
-    names = ["c_id", "c_text", *[f"k{i}" for i in range(len(keep))]]
+    # plain names inside, whatever the columns are called; the id and the text go along once
+    sent = keep + [c for c in ("doc_id", "text") if c not in keep]
+    cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(sent)]
+    names = [f"k{sent.index(c)}" for c in ("doc_id", "text")] + [f"k{i}" for i in range(len(keep))]
     fields = [docs.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in new]
     inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
     out = docs.select(*cols).mapInArrow(lambda it: _encode(it, names, how), inner)
