@@ -4,23 +4,25 @@ A text becomes merge-type pieces of a given vocabulary file: a blank is put
 before it, the symbols are its characters, and an agenda (heap) of adjacent
 pairs merges the best-scored pair first, the leftmost of equals.  Dropout
 skips a candidate merge, when its turn comes, if a hash keyed by the seed, the
-word, the variant and the candidate's place falls below ``dropout``; with 0
-the pieces are the vocabulary's own segmentation.  What the vocabulary does
+document, the word's place in it and the candidate's place falls below
+``dropout``; with 0 the pieces are the vocabulary's own segmentation.  What the vocabulary does
 not cover becomes byte pieces, so every text decodes to exactly itself; a
 literal U+2581 does too, unlike in the library, as it is not taken for a blank.
 
 No piece has a blank after another character, so no merge crosses the start
-of a word (blanks and what follows them): words are segmented one by one.
-Each document draws one of ``variants`` keyed segmentations of its words by
-(seed, document), and a task remembers what it has segmented.
+of a word (blanks and what follows them): words are segmented one by one,
+each occurrence with its own draws.  A task remembers the merges of a word
+without dropout: an occurrence none of whose draws skips one of them has the
+same pieces, any other runs its own agenda.
 
-Defined results: null text gives null ids, empty text none; a null doc_id
-keys like any other; an empty table gives an empty result; other columns
+Defined results: null text gives null ids, empty text none; a document
+without doc_id is keyed by its text instead; an empty table gives an empty result; other columns
 are passed through (``encoded``) or not read (``encode``).
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 import re
 import sys
@@ -37,8 +39,8 @@ from pyspark.sql import types as T
 from outagekit.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: Words up to this length merge in bulk; segmentations a task remembers
+DROPOUT, SEED = 0.1, 17
+#: Words up to this length merge in bulk; words a task remembers
 #: (besides those of the batch at hand).
 SHORT, REMEMBERED = 24, 300_000
 #: Documents of an output batch.
@@ -71,15 +73,30 @@ def vocabulary(path: str = MODEL) -> dict:
             "words": rf" +[^ {alone}]*|[^ {alone}]+" + (f"|[{alone}]" if alone else "")}
 
 
+def _place(left: int, size: int) -> int:
+    """What stands for a candidate merge in its hash."""
+    return (left * 0x9E3779B97F4A7C15 + size * 0xD6E8FEB86659FD93) & MASK
+
+
+def _places(left: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _mix(x: int) -> int:
     x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
     x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
     return x ^ (x >> 31)
 
 
-def segment(word: str, vocab: dict, key: int = 0, dropout: float = 0.0) -> list[int]:
+def _mix_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def segment(word: str, vocab: dict, key: int = 0, dropout: float = 0.0, trace: list | None = None) -> list[int]:
     """Ids of ``word``: agenda of merges, each skipped where its keyed hash
-    says so."""
+    says so.  The places of the merges made go to ``trace``."""
     ranks, cutoff = vocab["ranks"], int(dropout * (1 << 64))
     part = list(word)
     after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
@@ -98,8 +115,10 @@ def segment(word: str, vocab: dict, key: int = 0, dropout: float = 0.0) -> list[
         _, left, right, size = heapq.heappop(agenda)
         if not part[left] or not part[right] or len(part[left]) + len(part[right]) != size:
             continue
-        if cutoff and _mix(key ^ (left * 0x9E3779B97F4A7C15 + size * 0xD6E8FEB86659FD93) & MASK) < cutoff:
+        if cutoff and _mix(key ^ _place(left, size)) < cutoff:
             continue
+        if trace is not None:
+            trace.append(_place(left, size))
         part[left] += part[right]
         part[right] = ""
         after[left] = after[right]
@@ -144,6 +163,12 @@ class Merges:
             if len(p) == 1:
                 self.chars[ord(p)] = n
 
+    def skipping(self, dropout: float) -> Merges:
+        """The same merges with another dropout."""
+        other = copy.copy(self)
+        other.dropout, other.cutoff = dropout, np.uint64(int(dropout * (1 << 64)))
+        return other
+
     def _slot(self, key):
         return ((key >> 20) * 40503 ^ (key & 0xFFFFF) * 60493) & self.mask
 
@@ -160,14 +185,19 @@ class Merges:
             at = np.where(off, (at + 1) & self.mask, at)
         rank = np.where(self.keys[at] == want, self.rank[at], self.NONE)
         if self.cutoff:
-            x = key ^ (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            rank[x ^ (x >> np.uint64(31)) < self.cutoff] = self.NONE
+            rank[_mix_all(key ^ _places(start, stop - start)) < self.cutoff] = self.NONE
         return rank, self.merged[at]
 
-    def segment_all(self, words: list[str], keys: list[int]) -> list[bytes]:
-        """Packed ids of each word."""
+    def _one(self, word: str, key: int, j: int, traces: list[tuple] | None) -> bytes:
+        made: list[int] = []
+        ids = segment(word, self.vocab, int(key), self.dropout, made)
+        if traces is not None:
+            traces.append((np.full(len(made), j), np.array(made, np.uint64)))
+        return np.array(ids, np.int32).tobytes()
+
+    def segment_all(self, words: list[str], keys: list[int] | np.ndarray, traces: list[tuple] | None = None) -> list[bytes]:
+        """Packed ids of each word.  ``traces`` gets (words, places) arrays of
+        the merges made, those of a word in their order."""
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
@@ -178,15 +208,15 @@ class Merges:
             if width > SHORT:
                 cut = next(i for i, j in enumerate(part) if len(words[j]) > SHORT)
                 for j in part[cut:]:
-                    out[j] = np.array(segment(words[j], self.vocab, keys[j], self.dropout), np.int32).tobytes()
+                    out[j] = self._one(words[j], keys[j], j, traces)
                 part = part[:cut]
                 if not part:
                     continue
                 width = len(words[part[-1]])
-            self._run(part, words, keys, width, out)
+            self._run(part, words, keys, width, out, traces)
         return out
 
-    def _run(self, part: list[int], words: list[str], keys: list[int], width: int, out: list) -> None:
+    def _run(self, part: list[int], words: list[str], keys: list[int], width: int, out: list, traces: list[tuple] | None) -> None:
         n = len(part)
         codes = np.frombuffer("".join([words[j].ljust(width, "\0") for j in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         lens = np.array([len(words[j]) for j in part])
@@ -194,13 +224,13 @@ class Merges:
         real = np.arange(width) < lens[:, None]
         odd = ((ids < 0) & real).any(1)
         for r in np.flatnonzero(odd):  # byte pieces
-            out[part[r]] = np.array(segment(words[part[r]], self.vocab, keys[part[r]], self.dropout), np.int32).tobytes()
+            out[part[r]] = self._one(words[part[r]], keys[part[r]], part[r], traces)
         ids[~real] = -1
         # one more place: the end of the last piece
         start = np.minimum(np.arange(width + 1), lens[:, None]).astype(np.int32)
         ids = np.concatenate([ids, np.full((n, 1), -1, np.int32)], axis=1)
         key = np.array([keys[j] for j in part], np.uint64)
-        rows = np.flatnonzero(~odd)
+        rows, named = np.flatnonzero(~odd), np.array(part)
         ids, start, key, lens = ids[rows], start[rows], key[rows], lens[rows]
         rank, made = self._pairs(ids[:, :-1], ids[:, 1:], start[:, :-1], np.concatenate([start[:, 2:], start[:, -1:]], axis=1), key[:, None])
         while len(rows):
@@ -217,9 +247,11 @@ class Merges:
                 line = np.arange(len(rows))
                 if not len(rows):
                     return
+            w = ids.shape[1]
+            if traces is not None:
+                traces.append((named[rows], _places(start[line, best], start[line, np.minimum(best + 2, w - 1)] - start[line, best])))
             ids[line, best] = made[line, best]
             lens = lens - 1
-            w = ids.shape[1]
             take = np.minimum(np.arange(w) + (np.arange(w) > best[:, None]), w - 1)
             ids, start = np.take_along_axis(ids, take, 1), np.take_along_axis(start, take, 1)
             ids[line, lens] = -1
@@ -235,55 +267,93 @@ class Merges:
 
 
 class Encoder:
-    """Encodes texts, remembering the packed ids of short words."""
+    """Encodes texts, remembering words as they are without dropout."""
 
-    def __init__(self, vocab: dict, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, vocab: dict, dropout: float = DROPOUT, seed: int = SEED):
         self.vocab, self.seed, self.find, self.dropout = vocab, seed, re.compile(vocab["words"]).findall, dropout
-        self.memory: list[dict] = [{} for _ in range(variants if dropout else 1)]
-        self.merges: Merges | None = None
+        self.cutoff = np.uint64(int(dropout * (1 << 64)))
+        self.number: dict[str, int] = {}
+        # of each word by its number: packed ids, and where the places of its merges are
+        self.packed: list[bytes] = []
+        self.first = np.zeros(1, np.int64)
+        self.places = np.zeros(0, np.uint64)
+        self.plain: Merges | None = None
+        self.dropping: Merges | None = None
         self.lossy: set[str] = set()  # words whose pieces do not spell them
 
-    def _learn(self, new: list[set[str]]) -> None:
-        """Segment the words that a variant does not know yet."""
-        if self.merges is None:
-            self.merges = Merges(self.vocab, self.dropout)
-        known = [list(ws) for ws in new]
-        keys = [xxhash.xxh64_intdigest(f"{self.seed}/{v}/{w}".encode("utf-8", "surrogatepass"))
-                for v, ws in enumerate(known) for w in ws]
-        every = [w for ws in known for w in ws]
-        packed = self.merges.segment_all(every, keys)
-        if not self._spell(packed, "".join(every)):  # then some do not: find them
-            self.lossy.update(w for w, ids in zip(every, packed) if not self._spell([ids], w))
-        at = 0
-        for v, ws in enumerate(known):
-            self.memory[v].update(zip(ws, packed[at:at + len(ws)]))
-            at += len(ws)
+    def _learn(self, new: list[str]) -> None:
+        """Segment words not known yet, without dropout."""
+        if self.plain is None:
+            self.plain = Merges(self.vocab, 0.0)
+            self.dropping = self.plain.skipping(self.dropout)
+        traces: list[tuple] = []
+        packed = self.plain.segment_all(new, [0] * len(new), traces)
+        self._check(new, packed)
+        self.number.update(zip(new, range(len(self.packed), len(self.packed) + len(new))))
+        self.packed += packed
+        of = np.concatenate([np.zeros(0, np.int64), *[t[0] for t in traces]])
+        places = np.concatenate([np.zeros(0, np.uint64), *[t[1] for t in traces]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(of, minlength=len(new)))])
+        self.places = np.concatenate([self.places, places[np.argsort(of, kind="stable")]])
+
+    def _forget(self, known: int, new: list[str]) -> None:
+        for w in new:
+            del self.number[w]
+        del self.packed[known:]
+        self.first = self.first[:known + 1].copy()
+        self.places = self.places[:self.first[-1]].copy()
+
+    def _check(self, words: list[str], packed: list[bytes]) -> None:
+        if not self._spell(packed, "".join(words)):  # then some do not: find them
+            self.lossy.update(w for w, ids in zip(words, packed) if not self._spell([ids], w))
 
     def _spell(self, packed: list[bytes], text: str) -> bool:
         ids = np.frombuffer(b"".join(packed), np.int32).tolist()
         return b"".join(map(self.vocab["spelled"].__getitem__, ids)) == text.encode("utf-8", "surrogatepass")
 
-    def _drawn(self, doc: int | None) -> int:
-        """The variant of a document's words."""
-        return xxhash.xxh64_intdigest(f"{self.seed}/{doc}".encode()) % len(self.memory)
+    def _keys(self, texts: list[str | None], docs: list[int | None], n: list[int]) -> np.ndarray:
+        """Key of every word: seed, document and its place there."""
+        named = [f"{self.seed}/{d}" if d is not None else f"{self.seed}//{t}" for t, d in zip(texts, docs)]
+        base = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in named], np.uint64)
+        ends = np.cumsum(n)
+        place = np.arange(1, ends[-1] + 1 if n else 1) - np.repeat(ends - n, n)
+        return _mix_all(np.repeat(base, n) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def _skipped(self, number: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The words (their index) that skip a merge they have without dropout."""
+        first = self.first[number]
+        n = self.first[number + 1] - first
+        of = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(of)) + np.repeat(first - np.cumsum(n) + n, n)
+        hit = np.zeros(len(n), bool)
+        hit[of[_mix_all(keys[of] ^ self.places[at]) < self.cutoff]] = True
+        return np.flatnonzero(hit)
 
     def encode_all(self, texts: list[str | None], docs: list[int | None]) -> list[np.ndarray | None]:
         words = [self.find(" " + t) if t else [] for t in texts]
-        drawn = [self._drawn(d) for d in docs]
-        new: list[set[str]] = [set() for _ in self.memory]
-        for ws, v in zip(words, drawn):
-            new[v].update(set(ws).difference(self.memory[v]))
-        if any(new):
+        n = [len(ws) for ws in words]
+        every = [w for ws in words for w in ws]
+        known = len(self.packed)
+        new = [w for w in dict.fromkeys(every) if w not in self.number]
+        if new:
             self._learn(new)
-        out = [None if t is None else np.frombuffer(b"".join(map(self.memory[v].__getitem__, ws)), np.int32)
-               for t, ws, v in zip(texts, words, drawn)]
+        number = list(map(self.number.__getitem__, every))
+        packed = list(map(self.packed.__getitem__, number))
+        if self.dropout and every:
+            keys = self._keys(texts, docs, n)
+            skipped = self._skipped(np.array(number), keys)
+            own = [every[i] for i in skipped.tolist()]
+            drawn = self.dropping.segment_all(own, keys[skipped])
+            self._check(own, drawn)
+            for i, ids in zip(skipped.tolist(), drawn):
+                packed[i] = ids
+        ends = np.cumsum([0, *n]).tolist()
+        out = [None if t is None else np.frombuffer(b"".join(packed[a:b]), np.int32) for t, a, b in zip(texts, ends, ends[1:])]
         # the pieces spell the text if they spell its words and the words make it up
         self.same = [None if t is None else sum(map(len, ws)) == len(t) + bool(t) and self.lossy.isdisjoint(ws)
                      for t, ws in zip(texts, words)]
-        if sum(map(len, self.memory)) > REMEMBERED:  # what came first is what is common: it stays
-            for memory, ws in zip(self.memory, new):
-                for w in ws:
-                    del memory[w]
+        if len(self.packed) > REMEMBERED:  # what came first is what is common: it stays
+            self._forget(known, new)
         return out
 
     def encode(self, text: str | None, doc: int | None = None) -> np.ndarray | None:
@@ -294,13 +364,13 @@ class Encoder:
         return b"".join([spelled[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
 
 
-def _remembering(vocab: dict, dropout: float, seed: int, variants: int) -> Encoder:
+def _remembering(vocab: dict, dropout: float, seed: int) -> Encoder:
     """The encoder of this worker process: its next tasks go on with what
     earlier ones remembered."""
     kept = sys.modules.setdefault("bpe_dropout_memory", types.ModuleType("bpe_dropout_memory")).__dict__
-    key = (vocab["id"], dropout, seed, variants)
+    key = (vocab["id"], dropout, seed)
     if kept.get("key") != key:
-        kept.update(key=key, encoder=Encoder(vocab, dropout, seed, variants))
+        kept.update(key=key, encoder=Encoder(vocab, dropout, seed))
     return kept["encoder"]
 
 
@@ -323,13 +393,13 @@ def _encode(batches: Iterator[pa.RecordBatch], names: list[str], how: tuple) ->
 
 
 def encoded(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL, dropout: float = DROPOUT,
-            seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+            seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text) with its columns ``keep`` (all by default) and
     ids, n_ids, lossless - whether the ids spell the text.  An input
     column of one of these names makes way for it."""
     new = [("ids", "array<int>"), ("n_ids", "long"), ("lossless", "boolean")]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [n for n, _ in new]]
-    how = (vocabulary(model), dropout, seed, variants)
+    how = (vocabulary(model), dropout, seed)
     # plain names inside, whatever the columns are called; the id and the text go along once
     sent = keep + [c for c in ("doc_id", "text") if c not in keep]
     cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(sent)]
