@@ -279,7 +279,7 @@ class Encoder:
         self.places = np.zeros(0, np.uint64)
         self.plain: Merges | None = None
         self.dropping: Merges | None = None
-        self.lossy: set[str] = set()  # words whose pieces do not spell them
+        self.spelled = pa.array(vocab["spelled"], pa.binary())
 
     def _learn(self, new: list[str]) -> None:
         """Segment words not known yet, without dropout."""
@@ -288,7 +288,6 @@ class Encoder:
             self.dropping = self.plain.skipping(self.dropout)
         traces: list[tuple] = []
         packed = self.plain.segment_all(new, [0] * len(new), traces)
-        self._check(new, packed)
         self.number.update(zip(new, range(len(self.packed), len(self.packed) + len(new))))
         self.packed += packed
         of = np.concatenate([np.zeros(0, np.int64), *[t[0] for t in traces]])
@@ -303,14 +302,6 @@ class Encoder:
         self.first = self.first[:known + 1].copy()
         self.places = self.places[:self.first[-1]].copy()
 
-    def _check(self, words: list[str], packed: list[bytes]) -> None:
-        if not self._spell(packed, "".join(words)):  # then some do not: find them
-            self.lossy.update(w for w, ids in zip(words, packed) if not self._spell([ids], w))
-
-    def _spell(self, packed: list[bytes], text: str) -> bool:
-        ids = np.frombuffer(b"".join(packed), np.int32).tolist()
-        return b"".join(map(self.vocab["spelled"].__getitem__, ids)) == text.encode("utf-8", "surrogatepass")
-
     def _keys(self, texts: list[str | None], docs: list[int | None], n: list[int]) -> np.ndarray:
         """Key of every word: seed, document and its place there."""
         named = [f"{self.seed}/{d}" if d is not None else f"{self.seed}//{t}" for t, d in zip(texts, docs)]
@@ -342,16 +333,10 @@ class Encoder:
         if self.dropout and every:
             keys = self._keys(texts, docs, n)
             skipped = self._skipped(np.array(number), keys)
-            own = [every[i] for i in skipped.tolist()]
-            drawn = self.dropping.segment_all(own, keys[skipped])
-            self._check(own, drawn)
-            for i, ids in zip(skipped.tolist(), drawn):
+            for i, ids in zip(skipped.tolist(), self.dropping.segment_all([every[i] for i in skipped.tolist()], keys[skipped])):
                 packed[i] = ids
         ends = np.cumsum([0, *n]).tolist()
         out = [None if t is None else np.frombuffer(b"".join(packed[a:b]), np.int32) for t, a, b in zip(texts, ends, ends[1:])]
-        # the pieces spell the text if they spell its words and the words make it up
-        self.same = [None if t is None else sum(map(len, ws)) == len(t) + bool(t) and self.lossy.isdisjoint(ws)
-                     for t, ws in zip(texts, words)]
         if len(self.packed) > REMEMBERED:  # what came first is what is common: it stays
             self._forget(known, new)
         return out
@@ -359,9 +344,20 @@ class Encoder:
     def encode(self, text: str | None, doc: int | None = None) -> np.ndarray | None:
         return self.encode_all([text], [doc])[0]
 
+    def _spelled(self, ids: np.ndarray) -> bytes:
+        """What the pieces spell, without the blank before the text."""
+        if not len(ids):
+            return b""
+        _, ends, data = self.spelled.take(pa.array(ids, pa.int32())).buffers()
+        return data.to_pybytes()[1:np.frombuffer(ends, np.int32)[len(ids)]] if data else b""
+
     def decode(self, ids: np.ndarray) -> str:
-        spelled = self.vocab["spelled"]
-        return b"".join([spelled[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
+        return self._spelled(ids).decode("utf-8", "surrogatepass")
+
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether the ids decode to the text (compared as bytes, as ids may
+        spell what is no text)."""
+        return self._spelled(ids) == text.encode("utf-8", "surrogatepass")
 
 
 def _remembering(vocab: dict, dropout: float, seed: int) -> Encoder:
@@ -382,7 +378,7 @@ def _encode(batches: Iterator[pa.RecordBatch], names: list[str], how: tuple) ->
             b = whole.slice(at, ROWS)
             docs, texts = b.column(id_col).to_pylist(), b.column(text_col).to_pylist()
             ids = encoder.encode_all(texts, docs)
-            same = encoder.same
+            same = [None if t is None else encoder.spells(i, t) for i, t in zip(ids, texts)]
             n = np.array([0 if i is None else len(i) for i in ids])
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.array([i is None for i in ids] + [False])),
@@ -395,7 +391,7 @@ def _encode(batches: Iterator[pa.RecordBatch], names: list[str], how: tuple) ->
 def encoded(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL, dropout: float = DROPOUT,
             seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text) with its columns ``keep`` (all by default) and
-    ids, n_ids, lossless - whether the ids spell the text.  An input
+    ids, n_ids, lossless - whether the ids, decoded, are the text.  An input
     column of one of these names makes way for it."""
     new = [("ids", "array<int>"), ("n_ids", "long"), ("lossless", "boolean")]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [n for n, _ in new]]

@@ -1,6 +1,7 @@
 """Operators do the whole of their job: nothing capped, thinned or refused."""
 
 import numpy as np
+import pyarrow as pa
 
 from outagekit.llm import bpe_dropout
 
@@ -37,3 +38,19 @@ def test_bpe_draws_for_each_occurrence_of_a_word():
             assert b is None and np.array_equal(c, ids) and np.array_equal(a, one.encode(long, 7))
     finally:
         bpe_dropout.REMEMBERED = old
+
+
+def test_bpe_lossless_is_found_by_decoding(monkeypatch):
+    how = (bpe_dropout.vocabulary(), 0.1, 23)
+    batch = pa.RecordBatch.from_pydict({"i": [1, 2, 3, 4, 5], "t": ["some words", "", None, " é\U0001F600\x00", "more"]})
+    told = lambda: next(bpe_dropout._encode(iter([batch]), ["i", "t"], how)).column(2).to_pylist()
+    assert told() == [True, True, None, True, True]
+    right = bpe_dropout.Encoder.encode_all
+
+    def wrong(self, texts, docs):
+        """Two ids of the first document change places; the last one's are missing."""
+        out = right(self, texts, docs)
+        return [out[0][::-1].copy(), *out[1:-1], out[-1][:0]]
+
+    monkeypatch.setattr(bpe_dropout.Encoder, "encode_all", wrong)
+    assert told() == [False, True, None, True, False]
