@@ -7,8 +7,10 @@ a positive query component, the bottom for a negative one.  After reading to
 a depth, a candidate's score has a lower bound (what was read, and the worst
 of each list for the rest) and an upper bound (the list's frontier for the
 rest).  Candidates whose upper bound is below the k-th best lower bound cannot
-qualify and are dropped; reading stops when no outsider can, the depth
-doubling until then; the survivors' scores are then resolved.  A block gives
+qualify and are dropped.  The depth doubles from a 16th of the lists up to
+half, then halves what is unread, to the end; each query stops when k
+candidates are left, or all that are left have exact scores.  The survivors'
+scores are then resolved.  A block gives
 each query its k best, and the best of all blocks follow by rank.
 
 Queries (rows whose id is divisible by ``step``) are sent to each block of
@@ -84,19 +86,21 @@ class Lists:
         own = self.ids == qids[:, None]
         alive = ~own
         k = min(k, self.n)
-        depth = self.n // 2
-        while 0 < depth < self.n - self.n // 16 and alive.sum() > 0.1 * alive.size:
-            low, high = self.bounds(depth, up, down)
-            low[own] = -np.inf
+        depth, reading = max(1, self.n // 16), np.arange(len(qids))
+        while depth < self.n and len(reading):
+            low, high = self.bounds(depth, up[reading], down[reading])
+            low[own[reading]] = -np.inf
             bar = np.partition(low, self.n - k, axis=1)[:, self.n - k]
-            alive &= high >= bar[:, None]  # an outsider below the k-th best lower bound cannot qualify
-            depth += (self.n - depth + 1) // 2
-        # what is left is read to the end
-        whole = q @ self.c.T if alive.sum() > 0.1 * alive.size else None
+            left = alive[reading] & (high >= bar[:, None])  # an outsider below the k-th best lower bound cannot qualify
+            alive[reading] = left
+            # a query is read no more when only k are left, or the others tie with them for certain
+            sure = (left & (low < high)).sum(1) == 0
+            reading = reading[~sure & (left.sum(1) > k)]
+            depth = min(2 * depth, depth + (self.n - depth + 1) // 2)
         out = []
-        for i in range(len(qids)):
+        for i in range(len(qids)):  # the scores of what is left are resolved
             left = np.flatnonzero(alive[i])
-            score = self.c[left] @ q[i] if whole is None else whole[i, left]
+            score = self.c[left] @ q[i]
             if len(left) > 4 * k:
                 some = score >= np.partition(score, len(left) - k)[len(left) - k]
                 left, score = left[some], score[some]

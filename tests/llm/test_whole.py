@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from outagekit.llm import bpe_dropout
+from outagekit.llm import bpe_dropout, topk
 
 
 def test_bpe_draws_for_each_occurrence_of_a_word():
@@ -54,3 +54,27 @@ def test_bpe_lossless_is_found_by_decoding(monkeypatch):
 
     monkeypatch.setattr(bpe_dropout.Encoder, "encode_all", wrong)
     assert told() == [False, True, None, True, False]
+
+
+def brute_top(ids, c, qids, q, k):
+    out = []
+    for i, row in zip(qids.tolist(), q.tolist()):
+        scores = [(-sum(a * b for a, b in zip(row, v)), j) for j, v in zip(ids.tolist(), c.tolist()) if j != i]
+        out.append([(j, -s) for s, j in sorted(scores)[:k]])
+    return out
+
+
+def test_top_k_reads_each_query_to_its_own_end(monkeypatch):
+    r = np.random.default_rng(3)
+    ids = np.arange(640)
+    c = 1000 + r.integers(-1, 2, (640, 4))  # nearly equal: bounds meet late
+    c[:5] += 5000
+    q = np.array([[7, -7, 7, -7], [1, 0, 0, 0], [0, 0, 0, 0]])
+    qids = np.array([1000, 1001, 3])
+    read = []
+    bounds = topk.Lists.bounds
+    monkeypatch.setattr(topk.Lists, "bounds", lambda self, depth, up, down: read.append((depth, len(up))) or bounds(self, depth, up, down))
+    found = topk.Lists(ids, c, np.float64).best(qids, q, 5)
+    assert [list(zip(i.tolist(), s.tolist())) for i, s in found] == brute_top(ids, c, qids, q, 5)
+    assert read[0] == (40, 3) and read[1][1] < 3  # a 16th; what needs no more reading is not read on
+    assert read[-1][0] > 600 and read[-1][1] == 1  # past 15/16 where the bounds need it
