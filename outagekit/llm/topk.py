@@ -20,7 +20,7 @@ Defined results: vectors that are null, or hold null or non-finite
 components, and rows without an id take no part; shorter vectors count as
 filled with zeros; repeated rows (same id and vector) are one candidate and
 one query, and no row of a query's id is its candidate; ties go to the
-smaller id; an empty table gives an empty result; other columns are not read.
+smaller id; a score among the best that is no 64-bit integer is an error; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ class Lists:
         depth, reading = max(1, self.n // 16), np.arange(len(qids))
         while depth < self.n and len(reading):
             low, high = self.bounds(depth, up[reading], down[reading])
-            low[own[reading]] = -np.inf
+            low[own[reading]] = np.iinfo(np.int64).min if low.dtype == np.int64 else -np.inf
             bar = np.partition(low, self.n - k, axis=1)[:, self.n - k]
             left = alive[reading] & (high >= bar[:, None])  # an outsider below the k-th best lower bound cannot qualify
             alive[reading] = left
@@ -104,11 +104,22 @@ class Lists:
             if len(left) > 4 * k:
                 some = score >= np.partition(score, len(left) - k)[len(left) - k]
                 left, score = left[some], score[some]
-            top = np.lexsort((self.ids[left], -score))[:k]
+            if score.dtype == object:
+                top = np.array(sorted(range(len(left)), key=lambda j: (-score[j], self.ids[left[j]]))[:k], np.int64)
+            else:
+                top = np.lexsort((self.ids[left], -score))[:k]
             out.append((self.ids[left][top], score[top].astype(np.int64)))
         return out
 
 
+def exact_kind(c: np.ndarray, q: np.ndarray) -> type:
+    """The fastest type in which sums of the products are exact: floats below
+    their limit, then 64-bit, then Python's integers."""
+    most = [max(-int(m.min(initial=0)), int(m.max(initial=0))) for m in (c, q)]
+    largest = most[0] * most[1] * max(1, c.shape[1])
+    return np.float32 if largest < 2 ** 24 else np.float64 if largest < 2 ** 53 else np.int64 if largest < 2 ** 63 else object
+
+
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
@@ -116,11 +127,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             c, q = _matrix(b.column("vecs")[i].values), _matrix(b.column("qvecs")[i].values)
             d = max(c.shape[1], q.shape[1])
             c, q = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (c, q))
-            largest = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, d)
-            if largest >= 2 ** 53:
-                raise ValueError("components too large for exact scores")
-            # sums of integers are exact in either type below its limit
-            found = Lists(ids, c, np.float32 if largest < 2 ** 24 else np.float64).best(qids, q, k)
+            found = Lists(ids, c, exact_kind(c, q)).best(qids, q, k)
             per = [len(f) for f, _ in found]
             marks = [int(xxhash.xxh64_intdigest(row.tobytes()) >> 1) for row in q]
             cols = [np.repeat(qids, per), np.repeat(np.array(marks, np.int64), per),

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from outagekit.llm import bpe_dropout, topk
 
@@ -78,3 +79,19 @@ def test_top_k_reads_each_query_to_its_own_end(monkeypatch):
     assert [list(zip(i.tolist(), s.tolist())) for i, s in found] == brute_top(ids, c, qids, q, 5)
     assert read[0] == (40, 3) and read[1][1] < 3  # a 16th; what needs no more reading is not read on
     assert read[-1][0] > 600 and read[-1][1] == 1  # past 15/16 where the bounds need it
+
+
+@pytest.mark.parametrize("large, kind", [(50_000 * 256, np.int64), (2_000_000 * 256, object)])
+def test_top_k_scores_large_components_exactly(large, kind):
+    r = np.random.default_rng(4)
+    ids, c = np.arange(60), r.integers(-300, 300, (60, 64))
+    c[7] = large + np.arange(64)
+    c[8] = -large
+    qids, q = ids[[0, 8, 50]], c[[0, 8, 50]].copy()
+    q[1] = -9
+    q[1, 3] = large - 1
+    assert topk.exact_kind(c, q) is kind
+    batch = pa.RecordBatch.from_pydict({"ids": [ids.tolist()], "vecs": [c.tolist()], "qids": [qids.tolist()], "qvecs": [q.tolist()]})
+    rows = next(topk._search(iter([batch]), 5)).to_pydict()
+    got = list(zip(rows["query_id"], rows["vec_id"], rows["score"]))
+    assert got == [(i, *t) for i, ts in zip(qids.tolist(), brute_top(ids, c, qids, q, 5)) for t in ts]
