@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from outagekit.llm import (
-    bpe_dropout, exact_dedup, line_chunks, mixing, pfp, secret_scan, simhash, topk, toxicity, url_reputation,
+    bpe_dropout, exact_dedup, line_chunks, mixing, pfp, secret_scan, sharding, simhash, topk, toxicity,
+    url_reputation,
 )
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_line_dedup": line_chunks.op9_line_dedup,
     "op10_toxicity_cnn": toxicity.op10_toxicity_cnn,
+    "op11_external_shuffle": sharding.op11_external_shuffle,
 }
 ORACLES = {
     "op4_nra_topk": topk.OP4_SQL,
