@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from outagekit.llm import (
-    bpe_dropout, exact_dedup, line_chunks, mixing, pfp, secret_scan, sharding, simhash, topk, toxicity,
-    url_reputation,
+    bpe_dropout, exact_dedup, line_chunks, mixing, pfp, secret_scan, sharding, simhash, spelling, topk,
+    toxicity, url_reputation,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_line_dedup": line_chunks.op9_line_dedup,
     "op10_toxicity_cnn": toxicity.op10_toxicity_cnn,
     "op11_external_shuffle": sharding.op11_external_shuffle,
+    "op13_pivotal_grams": spelling.op13_pivotal_grams,
 }
 ORACLES = {
     "op4_nra_topk": topk.OP4_SQL,
