@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from outagekit.llm import (
-    bpe_dropout, exact_dedup, line_chunks, mixing, pfp, secret_scan, sharding, simhash, spelling, topk,
+    bpe_dropout, collocations, exact_dedup, line_chunks, mixing, pfp, secret_scan, sharding, simhash, spelling, topk,
     toxicity, url_reputation,
 )
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_line_dedup": line_chunks.op9_line_dedup,
     "op10_toxicity_cnn": toxicity.op10_toxicity_cnn,
     "op11_external_shuffle": sharding.op11_external_shuffle,
+    "op12_stripes": collocations.op12_stripes,
     "op13_pivotal_grams": spelling.op13_pivotal_grams,
 }
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op5_url_reputation": url_reputation.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_line_dedup": line_chunks.OP9_SQL,
+    "op12_stripes": collocations.OP12_SQL,
 }
