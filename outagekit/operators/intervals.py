@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from outagekit.functions import scalars as S
 from outagekit.functions.numeric import round_half
 from outagekit.operators import scan as SC
+from outagekit.operators import walk as WK
 from outagekit.functions.schema import (
     END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES, resolve_column,
 )
@@ -337,15 +338,14 @@ def resolve_overlaps(df: DataFrame, uc: str = "NUM_UC_UCI", start: str = "DTHR_I
 
     * Rows with a missing or inverted interval pass by, unshuffled.
     * One exchange on the consumer unit and a running-maximum window find
-      where islands begin; a row alone in its island is kept as it is, in
-      the JVM.
-    * The rest, sorted, is walked batch by batch (Arrow batches in and out,
-      so types and values are untouched); one pending row per task is held.
-
-    Consumers above ``hot_rows`` rows find their islands on the chunked path
-    of ``operators.scan`` and are regrouped by (consumer, island), so a hot
-    consumer is spread over many tasks; an island, the smallest unit a
-    sequential walk allows, stays in one task, but is streamed.
+      where islands begin, and the sorted rows go through one walk per task,
+      batch by batch (Arrow batches in and out, so types and values are
+      untouched; one pending row per task is held).  A row alone in its
+      island is kept without being looked at.
+
+    The rows of consumers above ``hot_rows`` are cut into ordered chunks over
+    all tasks and walked chunk by chunk (``operators.walk``): neither a hot
+    consumer nor a long island is one task.
     """
     tagged = tag_overlaps(df, uc, start, end, tiebreak, skew, hot_rows)
     return tagged.where("__keep").drop("__keep")
@@ -369,36 +369,15 @@ def tag_overlaps(df: DataFrame, uc: str, start: str, end: str | None, tiebreak:
     order = [F.col("__s"), F.col("__e"), F.col("__t")]
     begins = F.col("__pmax").isNull() | (F.col("__s") >= F.col("__pmax"))
 
-    def islands_plain(frame: DataFrame) -> DataFrame:
+    def islands(frame: DataFrame) -> DataFrame:
         w = Window.partitionBy(_q(uc)).orderBy(*order)
         one = frame.select("*", F.max("__e").over(w.rowsBetween(_UNB, -1)).alias("__pmax")).select("*", begins.alias("__new"))
         return one.select("*", (F.col("__new") & F.coalesce(F.lead("__new").over(w), F.lit(True))).alias("__alone"))
 
-    def islands_chunked(frame: DataFrame, n_keys=None, n_rows=None) -> DataFrame:
-        n = SC.chunk_count(frame.sparkSession, n_rows)
-        pairs = n_keys and n_keys + n
-        h = SC.chunked(frame, [_q(uc)], order, n)
-        wl, oc = SC.chunk_window([_q(uc)], order), ["__s", "__e", "__t"]
-        h1 = h.select("*", F.max("__e").over(wl.rowsBetween(_UNB, -1)).alias("__lpm"))
-        h2 = SC.border_carry(h1, [uc], oc, max_cols=["__e"], pairs=pairs).select(
-            "*", F.greatest("__lpm", "__pm___e").alias("__pmax")).select("*", begins.alias("__new"))
-        h3 = h2.select("*", F.col("__new").cast("long").alias("__b"), F.lead("__new").over(wl).alias("__next"),
-                       SC.is_last(wl).alias("__last"))
-        h4 = SC.border_carry(h3, [uc], oc, first=["__new"], sum_cols=["__b"], pairs=pairs)
-        after = F.when(F.col("__last"), F.col("__nf___new")).otherwise(F.col("__next"))
-        return h4.select(*[_q(c) for c in frame.columns], "__new",
-                         (F.col("__new") & F.coalesce(after, F.lit(True))).alias("__alone"),
-                         (F.sum("__b").over(wl.rowsBetween(_UNB, Window.currentRow)) + F.col("__ps___b")).alias("__island"))
-
     epoch = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
-    walk_cols = [*names, "__new", *[F.timestamp_diff("MICROSECOND", epoch, F.col(c)).alias(f"{c}us") for c in ("__s", "__e")]]
+    bounds = [F.timestamp_diff("MICROSECOND", epoch, F.col(c)).alias(f"{c}us") for c in ("__s", "__e")]
     out_schema = T.StructType([*sch.fields, T.StructField("__keep", T.BooleanType())])
 
-    def walk(frame: DataFrame, *sort: Column) -> DataFrame:
-        alone = frame.where("__alone").select(*names, F.lit(True).alias("__keep"))
-        rest = frame.where(~F.col("__alone")).sortWithinPartitions(*sort, *order).select(*walk_cols)
-        return alone.unionByName(rest.mapInArrow(_island_walk(len(sch)), out_schema))
-
     if skew == "on":
         normal, held = None, (valid,)
     else:
@@ -406,55 +385,16 @@ def tag_overlaps(df: DataFrame, uc: str, start: str, end: str | None, tiebreak:
         normal, held = (valid, None) if parts is None else (parts[0], parts[1:])
     out = passed
     if normal is not None:
-        out = out.unionByName(walk(islands_plain(normal), _q(uc)))
+        rows = islands(normal).sortWithinPartitions(_q(uc), *order).select(*names, "__new", "__alone", *bounds)
+        out = out.unionByName(WK.walked(rows, len(names), out_schema))
     if held is not None:
-        n = SC.chunk_count(df.sparkSession, held[2] if len(held) > 1 else None)
-        hot = islands_chunked(*held).repartition(n, _q(uc), F.col("__island"))
-        out = out.unionByName(walk(hot, _q(uc), F.col("__island")))
+        frame, n_keys, n_rows = held if len(held) > 1 else (*held, None, None)
+        n = SC.chunk_count(df.sparkSession, n_rows)
+        rows = SC.chunked(frame, [_q(uc)], order, n)
+        out = out.unionByName(WK.walked_in_chunks(rows, uc, order, names, bounds, out_schema, n_keys and n_keys + n))
     return out
 
 
-def _island_walk(n_cols: int):
-    """The walk over Arrow batches of sorted islands: the first ``n_cols``
-    columns go through untouched, with a flag whether the row is kept.  It
-    travels to the tasks whole, so executors need not have this package."""
-
-    def walk(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def flagged(batch, keep):
-            cols = [batch.column(i) for i in range(n_cols)] + [pa.array(keep, pa.bool_())]
-            return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(n_cols + 1)])
-
-        champion = None  # (start, end, its one-row batch) of an earlier batch
-        for batch in batches:
-            new, start, end = (batch.column(c).to_pylist() for c in ("__new", "__sus", "__eus"))
-            keep = np.zeros(batch.num_rows, bool)
-            at = -1  # the champion's row in this batch; -1: it came earlier
-            for i in range(batch.num_rows):
-                cs, ce = (start[at], end[at]) if at >= 0 else champion[:2] if champion else (0, 0)
-                rival = not new[i] and start[i] < ce and end[i] > cs
-                if rival and end[i] - start[i] <= ce - cs:
-                    continue
-                if at >= 0:
-                    keep[at] = not rival
-                elif champion:
-                    yield flagged(champion[2], [not rival])
-                    champion = None
-                at = i
-            if at >= 0:
-                champion = (start[at], end[at], batch.slice(at, 1))
-                others = np.arange(batch.num_rows) != at
-                yield flagged(batch.filter(pa.array(others)), keep[others])
-            else:
-                yield flagged(batch, keep)
-        if champion:
-            yield flagged(champion[2], [True])
-
-    return walk
-
-
 # ----------------------------------------------------------------------------
 # De-duplication
 # ----------------------------------------------------------------------------
