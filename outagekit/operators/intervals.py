@@ -388,10 +388,8 @@ def tag_overlaps(df: DataFrame, uc: str, start: str, end: str | None, tiebreak:
         rows = islands(normal).sortWithinPartitions(_q(uc), *order).select(*names, "__new", "__alone", *bounds)
         out = out.unionByName(WK.walked(rows, len(names), out_schema))
     if held is not None:
-        frame, n_keys, n_rows = held if len(held) > 1 else (*held, None, None)
-        n = SC.chunk_count(df.sparkSession, n_rows)
-        rows = SC.chunked(frame, [_q(uc)], order, n)
-        out = out.unionByName(WK.walked_in_chunks(rows, uc, order, names, bounds, out_schema, n_keys and n_keys + n))
+        n = SC.chunk_count(df.sparkSession, held[2] if len(held) > 1 else None)
+        out = out.unionByName(WK.walked_in_chunks(held[0], uc, order, names, bounds, out_schema, n))
     return out
 
 

@@ -7,20 +7,24 @@ if it does.  So the champion only ever changes to a row of its own, and a
 walk that starts late with another champion comes to the same one soon.
 
 ``walked`` runs sorted rows through one walk per task.  ``walked_in_chunks``
-runs one consumer's walk over many tasks:
-
-1. every chunk of the consumer's sorted rows is walked from no champion;
-2. each chunk's last champion is handed to the next one.  A chunk whose
-   latest start and longest row cannot end the champion passes it on unseen;
-   any other chunk is walked again with it.  If that gives the champion at
-   its end that was supposed, all that follows stands; if not, the chunks
-   behind it are walked again;
+runs one consumer's walk over many tasks.  The rows are range-partitioned and
+sorted by (consumer, order) and checkpointed, so a chunk is a partition that
+is read again in order, without another exchange or sort:
+
+1. every chunk is walked from no champion;
+2. the last champion of a consumer that goes on in the next chunk is handed
+   to it.  A chunk whose latest start and longest row cannot end the champion
+   passes it on unseen; any other is walked again with it.  If that gives the
+   champion at its end that was supposed, all that follows stands; if not, the
+   chunks behind it are walked again;
 3. with every chunk's incoming champion settled, and the fate of the one it
    hands on, the rows are flagged.
 
-What goes between the chunks is one small row each.  Chunks are settled from
-the front, at least one a round; as walks join within a few rows, two rounds
-do unless champions change in a way that outlasts whole chunks.
+Only a chunk's first consumer can have a champion from before and only its
+last one can hand one on, so one small row per chunk comes to the driver and
+one goes back.  Chunks are settled from the front, at least one a round; as
+walks join within a few rows, two rounds do unless champions change in a way
+that outlasts whole chunks.
 
 Workers' functions are nested, so they travel with the job and executors need
 not have this package.
@@ -32,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outagekit.operators import scan as SC
+from outagekit.operators.scan import CHUNK
+from outagekit.session import checkpoint_dir
 
-KEEP = "__keep"
-#: Per chunk: the champion that came in, the one at the end, what became of
-#: the first in this chunk, the latest start and the greatest length.
-STATE = "__in_s long, __in_e long, __out_s long, __out_e long, __fate string, __max_s long, __max_len long"
+#: Of a chunk: its first and last consumer, the champion that came in, the
+#: first consumer's at its end, what became of the one that came in, the first
+#: consumer's latest start and greatest length, the last consumer's champion.
+STATE = (f"{CHUNK} int, head string, tail string, one boolean, in_s long, in_e long, out_s long, out_e long, "
+         "fate string, max_s long, max_len long, tail_s long, tail_e long")
 
 
 def walked(rows: DataFrame, n_cols: int, schema: T.StructType) -> DataFrame:
@@ -48,110 +54,100 @@ def walked(rows: DataFrame, n_cols: int, schema: T.StructType) -> DataFrame:
 
 
 def walked_in_chunks(rows: DataFrame, key: str, order: list[Column], names: list[Column], bounds: list[Column],
-                     schema: T.StructType, pairs: int | None) -> DataFrame:
-    """``rows`` (from ``scan.chunked`` by ``key``) as the columns ``names`` and
-    ``__keep``; ``bounds`` are the interval in microseconds."""
+                     schema: T.StructType, n_chunks: int) -> DataFrame:
+    """``rows`` as the columns ``names`` and ``__keep``; ``bounds`` are the
+    interval in microseconds.  A null ``key`` is a consumer like any other."""
+    checkpoint_dir(rows.sparkSession)  # raises before any work where there is none
     k = F.col(f"`{key}`")
-    w = SC.chunk_window([k], order)
-    first = (F.row_number().over(w) == 1).alias("__first")  # the window also puts the rows in order
-    key_field = T.StructField("__key", schema[key].dataType)
-    state = T.StructType([key_field, T.StructField(SC.CHUNK, T.IntegerType()), *T._parse_datatype_string(STATE)])
-    settled = T.StructType([*state, T.StructField("__open", T.BooleanType()), T.StructField("__out_kept", T.BooleanType())])
-    ends, none = ["__sus", "__eus", "__first"], F.lit(None).cast("long")
-
-    def handed(table: DataFrame, *more: str) -> DataFrame:
-        side = table.select(F.col("__key").alias(key), SC.CHUNK, "__in_s", "__in_e", *more)
-        return SC.join_keys(rows, F.broadcast(side) if pairs is not None and pairs <= SC.MAX_BROADCAST else side, [key, SC.CHUNK], "inner")
-
-    def states(frame: DataFrame) -> DataFrame:
-        lean = frame.select(k.alias("__key"), SC.CHUNK, *bounds, first, "__in_s", "__in_e")
-        return lean.mapInArrow(_chunk_states(), state)
-
-    def settle(seen: DataFrame) -> DataFrame:
-        return seen.groupBy("__key").applyInArrow(_settle(settled.names), settled).checkpoint(eager=True)
-
-    table = settle(states(rows.select("*", none.alias("__in_s"), none.alias("__in_e"))))
-    while table.where("__open").take(1):
-        again = states(handed(table.where("__open")))
-        table = settle(table.where("not __open").select(*state.names).unionByName(again))
-    flagged = handed(table, "__out_kept").select(*names, *bounds, first, "__in_s", "__in_e", "__out_kept")
-    return flagged.mapInArrow(_chunk_flags(len(names)), schema)
-
-
-def _chunk_states():
-    """Walk each chunk from its incoming champion: one row per chunk."""
+    dealt = (rows.repartitionByRange(n_chunks, k, *order).sortWithinPartitions(k, *order)
+             .select(*names, k.cast("string").alias("__key"), F.spark_partition_id().alias(CHUNK), *bounds).checkpoint(eager=True))
+    n = len(names)
+    lean = dealt.select(*dealt.columns[n:])
+    chunks = {r[CHUNK]: r.asDict() for r in lean.mapInArrow(_chunk_states({}), STATE).collect()}
+    while again := settle(chunks):
+        seen = lean.where(F.col(CHUNK).isin(list(again))).mapInArrow(_chunk_states(again), STATE)
+        chunks |= {r[CHUNK]: r.asDict() for r in seen.collect()}
+    settled = {c: (r["in_s"], r["in_e"], r["out_kept"]) for c, r in chunks.items()}
+    return dealt.mapInArrow(_chunk_flags(n, settled), schema)
+
+
+def settle(chunks: dict[int, dict]) -> dict[int, tuple[int, int]]:
+    """Hand champions on from chunk to chunk.  Returns the chunks that would
+    get another champion than they were walked with and cannot let it pass,
+    with that champion.  Where there is none, every chunk learns whether the
+    champion it hands on stays (``out_kept``)."""
+    again, tail, now = {}, None, None
+    rows = [chunks[c] for c in sorted(chunks)]
+    for r in rows:
+        came = now if r["head"] == tail and now is not None and r is not rows[0] else None
+        r["goes_on"] = came is not None
+        if came != ((r["in_s"], r["in_e"]) if r["in_s"] is not None else None):
+            if came is not None and r["max_s"] < came[1] and r["max_len"] <= came[1] - came[0]:
+                r["in_s"], r["in_e"], r["out_s"], r["out_e"], r["fate"] = *came, *came, "pass"
+            else:
+                again[r[CHUNK]] = came or (None, None)
+        tail = r["tail"]
+        now = (r["out_s"], r["out_e"]) if r["one"] else (r["tail_s"], r["tail_e"])
+    kept = True  # what becomes of the champion that the chunk before hands on
+    for r in reversed(rows):
+        r["out_kept"] = kept
+        if not r["goes_on"]:
+            kept = True
+        elif r["fate"] != "pass":
+            kept = r["fate"] != "lost"
+        elif not r["one"]:
+            kept = True  # its consumer ends in this chunk
+    return again
+
+
+def _chunk_states(champions: dict[int, tuple[int, int]]):
+    """Walk each chunk, its first consumer from the champion given: one row
+    per chunk."""
 
     def states(batches):
         import pyarrow as pa
 
-        at = None  # key, chunk, in, champion, fate of the incoming one, latest start, greatest length
-
-        def told(at):
-            key, chunk, came, (cs, ce), fate, last, longest = at
-            row = [key, pa.array([chunk], pa.int32()), *(pa.array([v], pa.int64()) for v in (*came, cs, ce)),
-                   pa.array([fate], pa.string()), pa.array([last], pa.int64()), pa.array([longest], pa.int64())]
-            return pa.RecordBatch.from_arrays(row, names=[f"c{i}" for i in range(len(row))])
-
+        at = chunk = head = tail = fate = None
+        came, first_end = (None, None), None
+        cs = ce = last = None
+        longest = 0
+        one = True
         for batch in batches:
-            chunk, start, end, first, in_s, in_e = (batch.column(i).to_pylist() for i in range(1, 7))
+            keys, numbers, start, end = (c.to_pylist() for c in batch.columns)
             for i in range(batch.num_rows):
-                if first[i]:
-                    if at:
-                        yield told(at)
-                    came = (in_s[i], in_e[i])
-                    at = [batch.column(0).slice(i, 1), chunk[i], came, came, None if came[0] is None else "pass", start[i], 0]
+                if at is None:
+                    at, chunk, head, tail = 0, numbers[i], keys[i], keys[i]
+                    came = tuple(champions.get(chunk, (None, None)))
+                    cs, ce = came
+                    fate = None if cs is None else "pass"
+                elif keys[i] != tail:
+                    if one:
+                        one, first_end = False, (cs, ce)
+                    cs = ce = None
+                    tail = keys[i]
                 s, e = start[i], end[i]
-                at[5], at[6] = s, max(at[6], e - s)  # starts are in order
-                cs, ce = at[3]
+                if one:
+                    last, longest = s, max(longest, e - s)  # starts are in order
                 rival = cs is not None and s < ce and e > cs
                 if rival and e - s <= ce - cs:
                     continue
-                if at[4] == "pass":
-                    at[4] = "lost" if rival else "kept"
-                at[3] = (s, e)
-        if at:
-            yield told(at)
+                if one and fate == "pass":
+                    fate = "lost" if rival else "kept"
+                cs, ce = s, e
+        if at is not None:
+            out = (cs, ce) if one else first_end
+            row = [chunk, head, tail, one, *came, *out, fate, last, longest, cs, ce]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[f"c{i}" for i in range(len(row))])
 
     return states
 
 
-def _settle(names: list[str]):
-    """Hand champions on from chunk to chunk of one key.  A chunk that would
-    get another champion than it was walked with, and cannot let it pass, is
-    open: it is to be walked again.  Where none is, the fate of the champion
-    at each chunk's end is read from the chunks behind."""
-
-    def settle(table):
-        import pyarrow as pa
-
-        rows = sorted(table.to_pylist(), key=lambda r: r["__chunk"])
-        key, now = table.column("__key").slice(0, 1).combine_chunks(), (None, None)
-        for r in rows:
-            came = (r["__in_s"], r["__in_e"])
-            r["__open"] = False
-            if came != now:
-                r["__in_s"], r["__in_e"] = now
-                if now[0] is not None and r["__max_s"] < now[1] and r["__max_len"] <= now[1] - now[0]:
-                    r["__out_s"], r["__out_e"], r["__fate"] = *now, "pass"
-                else:
-                    r["__open"] = True
-            now = (r["__out_s"], r["__out_e"])
-        kept = True
-        for r in reversed(rows):
-            r["__out_kept"] = kept
-            kept = kept if r["__fate"] == "pass" else r["__fate"] != "lost"
-        columns = {n: [r[n] for r in rows] for n in names if n != "__key"}
-        types = {"__chunk": pa.int32(), "__fate": pa.string(), "__open": pa.bool_(), "__out_kept": pa.bool_()}
-        keys = key.take(pa.array([0] * len(rows)))
-        return pa.Table.from_arrays([keys, *(pa.array(columns[n], types.get(n, pa.int64())) for n in names[1:])], names=names)
-
-    return settle
-
-
-def _chunk_flags(n_cols: int):
-    """Flag the rows of each chunk, walked from its incoming champion; the
-    champion at its end is kept if ``__out_kept``.  The first ``n_cols``
-    columns go through untouched."""
+def _chunk_flags(n_cols: int, settled: dict[int, tuple]):
+    """Flag the rows of each chunk, its first consumer walked from the
+    incoming champion; the champion at the chunk's end stays if so settled,
+    one at a consumer's end within the chunk always does.  The first
+    ``n_cols`` columns go through untouched."""
 
     def flags(batches):
         import numpy as np
@@ -161,19 +157,24 @@ def _chunk_flags(n_cols: int):
             cols = [batch.column(i) for i in range(n_cols)] + [pa.array(keep, pa.bool_())]
             return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(n_cols + 1)])
 
-        cs = ce = fate = None  # the champion and, at the chunk's end, whether it stays
-        held = None  # its one-row batch, if it came in an earlier one
+        cs = ce = key = None
+        stays = True  # whether the champion at the chunk's end does
+        begun = False
+        held = None  # the champion's one-row batch, if it came in an earlier one
         for batch in batches:
-            start, end, first, in_s, in_e, out_kept = (batch.column(n_cols + i).to_pylist() for i in range(6))
+            keys, chunk, start, end = (batch.column(n_cols + i).to_pylist() for i in range(4))
             keep = np.zeros(batch.num_rows, bool)
             at = -1  # the champion's row in this batch; -1: in ``held``, or of another chunk
             for i in range(batch.num_rows):
-                if first[i]:
+                if not begun:
+                    begun, key = True, keys[i]
+                    cs, ce, stays = settled[chunk[i]]
+                elif keys[i] != key:
                     if at >= 0:
-                        keep[at] = fate
+                        keep[at] = True
                     elif held is not None:
-                        yield flagged(held, [fate])
-                    at, held, cs, ce, fate = -1, None, in_s[i], in_e[i], out_kept[i]
+                        yield flagged(held, [True])
+                    at, held, cs, ce, key = -1, None, None, None, keys[i]
                 s, e = start[i], end[i]
                 rival = cs is not None and s < ce and e > cs
                 if rival and e - s <= ce - cs:
@@ -191,7 +192,7 @@ def _chunk_flags(n_cols: int):
             else:
                 yield flagged(batch, keep)
         if held is not None:
-            yield flagged(held, [fate])
+            yield flagged(held, [stays])
 
     return flags
 

@@ -59,8 +59,8 @@ def test_chunks_of_many_consumers_and_small_batches(spark, monkeypatch):
 def test_a_champion_that_outlasts_chunks_is_passed_on_unseen(spark, monkeypatch):
     """However many chunks it covers, it takes no further walk."""
     monkeypatch.setattr(SC, "chunk_count", lambda spark, rows: 24)
-    rounds, plain = [], WK._settle
-    monkeypatch.setattr(WK, "_settle", lambda names: rounds.append(1) or plain(names))
+    rounds, plain = [], WK.settle
+    monkeypatch.setattr(WK, "settle", lambda chunks: rounds.append(1) or plain(chunks))
     iv.resolve_overlaps(spark.createDataFrame(rows_of("one cover"), SCHEMA), skew="on").collect()
     assert len(rounds) <= 2
 
