@@ -48,7 +48,7 @@ MIXED, LANG_MIXED = 1_000_003, 7_919
 #: A prefix with this share of all words is split into PARTS by its next word.
 HEAVY, PARTS = 2000, 64
 #: Bytes of text that a task counts at once.
-BLOCK = 12 << 20
+BLOCK = 5 << 20
 SPACE = pa.scalar(" ", pa.large_string())
 STRIPES = "lang string, prefix string, part int, next array<string>, n array<int>"
 
@@ -85,12 +85,11 @@ class Block:
         data = np.frombuffer(b"\n".join(t.translate(CLEAN) for _, t in texts) + b"\n", np.uint8)
         gap = (data == 10) | (data == 32) | (data == 9)
         starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-        kept = np.cumsum(~gap) - ~gap
-        offsets = np.append(kept[starts], len(data) - gap.sum()).astype(np.int64)
+        offsets = np.append(starts - np.cumsum(gap, dtype=np.int32)[starts], len(data) - gap.sum()).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])])
         coded = words.dictionary_encode()
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        piece = np.cumsum(data == 10)[starts]
+        piece = np.cumsum(data == 10, dtype=np.int32)[starts]
         ends = np.cumsum([len(t) + 1 for _, t in texts])
         where = {lang: k for k, lang in enumerate(langs)}
         number = np.array([where[lang] for lang, _ in texts])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outagekit.session import checkpoint_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The word pattern of the contracts: runs of anything but ASCII white space.
@@ -17,13 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
-    Only where a session has none (tests, a laptop) a scratch folder is set."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir()
-    if path is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(path)
-    return path
+    A cluster's session without one is an error; in local mode, where all
+    tasks share the driver's process, a scratch folder is set."""
+    return checkpoint_dir(spark)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
