@@ -22,7 +22,7 @@ from outagekit.functions.schema import (
     is_numeric, numeric_columns, resolve_column, resolve_date_dq, resolve_regional_dq,
 )
 from outagekit.operators.intervals import interval_columns
-from outagekit.operators.indicators import quantile_aggs, ranked_histogram, value_histogram
+from outagekit.operators.selection import order_statistics
 
 # Thresholds of the rule report.
 QUALITY_RULES = {"null_threshold": 0.05, "duplicate_threshold": 0.01}
@@ -147,10 +147,9 @@ def schema_check_inputs(spark, paths: Sequence[str], contract: T.StructType) ->
 # Q-E .. Q-G outliers and negative durations
 # ----------------------------------------------------------------------------
 
-def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("coluna"), _q(c).cast("double").alias("valor")) for c in cols
-    ])).alias("kv")).select("kv.coluna", "kv.valor")
+IQR_SCHEMA = ("coluna string, nao_nulos long, outliers long, outliers_inferiores long, outliers_superiores long, pct_outliers double, "
+              "limite_inferior double, limite_superior double, q1 double, q3 double, iqr double, min double, max double, "
+              "media double, desvio_padrao double")
 
 
 def iqr_outliers(df: DataFrame, iqr_factor: float = 1.5, min_non_null: int = 5000,
@@ -162,44 +161,40 @@ def iqr_outliers(df: DataFrame, iqr_factor: float = 1.5, min_non_null: int = 500
     ``min_non_null`` values are skipped.  Mean and sample deviation are
     reported to 6 dp.
 
-    Two reads: one wide aggregate (mean, deviation), and one histogram of
-    (column, value), from which come count, extremes and quartiles, and -
-    against the fences - the outlier counts."""
+    No value is shuffled but for the few that share a quartile's last
+    bracket (``operators.selection``).  The columns' sizes, moments and
+    quartiles - some numbers per column, bounded by the schema - come to the
+    driver; the result is one more aggregate, against the fences."""
     cols = list(columns) if columns else numeric_columns(df)
-    if not cols:
-        return df.sparkSession.createDataFrame([], "coluna string")
-    x = [_q(c).cast("double") for c in cols]
-    wide = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(x)])
-    moments = _rows(wide, cols, {"coluna": cols, "__mean": [F.col(f"m{i}") for i in range(len(cols))],
-                                 "__std": [F.col(f"s{i}") for i in range(len(cols))]})
-    hist = value_histogram(_long_numeric(df, cols), "valor", ["coluna"])
-    ranked = ranked_histogram(hist, "valor", ["coluna"], skew)
+    x = df.select(*[_q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    parts = {"n": F.count, "lo": F.min, "hi": F.max, "mean": F.avg, "std": F.stddev_samp}
+    row = x.agg(*[f(f"x{i}").alias(f"{name}{i}") for i in range(len(cols)) for name, f in parts.items()]).first() if cols else {}
+    stats = {c: {"x": f"x{i}", **{name: row[f"{name}{i}"] for name in parts}} for i, c in enumerate(cols)}
+    stats = {c: s for c, s in stats.items() if s["n"] and s["n"] >= min_non_null}
+    if not stats:
+        return df.sparkSession.createDataFrame([], IQR_SCHEMA)
+    quartiles = order_statistics(x, {s["x"]: (s["n"], s["lo"], s["hi"]) for s in stats.values()}, (0.25, 0.75), skew)
     k = float(iqr_factor)
-    fences = (ranked.groupBy("coluna").agg(
-        F.max("__n").alias("nao_nulos"), F.min("valor").alias("min"), F.max("valor").alias("max"),
-        *quantile_aggs("valor", {"q1": 0.25, "q3": 0.75}))
-        .where(F.col("nao_nulos") >= min_non_null)
-        .select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
-        .select("*", (F.col("q1") - F.lit(k) * F.col("iqr")).alias("limite_inferior"),
-                (F.col("q3") + F.lit(k) * F.col("iqr")).alias("limite_superior")))
-    v = F.col("valor")
-    zero = F.col("iqr") == 0
-    low = F.when(zero, v < F.col("q1")).otherwise(v < F.col("limite_inferior"))
-    high = F.when(zero, v > F.col("q1")).otherwise(v > F.col("limite_superior"))
-
-    def total(cond: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(cond, F.col("__c"))), F.lit(0)).alias(name)
-
-    # one row per column: bounded by the schema, so broadcasting is safe
-    counts = (hist.join(F.broadcast(fences), "coluna")
-              .groupBy("coluna").agg(total(low | high, "outliers"), total(low, "outliers_inferiores"), total(high, "outliers_superiores"),
-                                     *[F.first(c).alias(c) for c in fences.columns if c != "coluna"]))
-    return (counts.join(F.broadcast(moments), "coluna")
-            .select("coluna", "nao_nulos", "outliers", "outliers_inferiores", "outliers_superiores",
+    for s in stats.values():
+        s["q1"], s["q3"] = quartiles[s["x"]]
+        s["iqr"] = s["q3"] - s["q1"]
+        s["from"], s["to"] = s["q1"] - k * s["iqr"], s["q3"] + k * s["iqr"]
+        # with no spread any value but the quartile is an outlier
+        s["fences"] = (s["q1"], s["q1"]) if s["iqr"] == 0 else (s["from"], s["to"])
+    counts = x.agg(*[c for i, s in enumerate(stats.values()) for c in (
+        F.count_if(F.col(s["x"]) < F.lit(s["fences"][0])).alias(f"l{i}"), F.count_if(F.col(s["x"]) > F.lit(s["fences"][1])).alias(f"h{i}"))])
+    of = lambda name: [F.lit(s[name]).cast("double") for s in stats.values()]
+    each = range(len(stats))
+    out = _rows(counts, list(stats), {
+        "coluna": list(stats), "nao_nulos": [s["n"] for s in stats.values()], "outliers_inferiores": [F.col(f"l{i}") for i in each],
+        "outliers_superiores": [F.col(f"h{i}") for i in each], "limite_inferior": of("from"), "limite_superior": of("to"),
+        "q1": of("q1"), "q3": of("q3"), "iqr": of("iqr"), "min": of("lo"), "max": of("hi"), "media": of("mean"), "desvio_padrao": of("std")})
+    both = F.col("outliers_inferiores") + F.col("outliers_superiores")
+    return (out.select("*", both.alias("outliers"))
+            .select("coluna", F.col("nao_nulos").cast("long").alias("nao_nulos"), "outliers", "outliers_inferiores", "outliers_superiores",
                     round_half(F.col("outliers") / F.col("nao_nulos") * 100.0, 4).alias("pct_outliers"),
                     "limite_inferior", "limite_superior", "q1", "q3", "iqr", "min", "max",
-                    round_half(F.col("__mean"), 6).alias("media"),
-                    round_half(F.col("__std"), 6).alias("desvio_padrao"))
+                    *[round_half(F.col(c), 6).alias(c) for c in ("media", "desvio_padrao")])
             .orderBy(F.col("pct_outliers").desc(), F.col("coluna")))
 
 
