@@ -25,6 +25,7 @@ from outagekit.functions import scalars as S
 from outagekit.functions.numeric import round_half
 from outagekit.operators import scan as SC
 from outagekit.operators import walk as WK
+from outagekit.sources.layouts import bare_path, input_of_row, layouts
 from outagekit.functions.schema import (
     END_ALIASES, MANOEUVRE_ID_ALIASES, START_ALIASES, UC_ALIASES, resolve_column,
 )
@@ -283,39 +284,32 @@ def mark_inputs(spark, paths: Sequence[str]) -> tuple[DataFrame | None, DataFram
 
     Returns the marked rows, with their file in ``arquivo``, and one row per
     file: counts and ``status`` - ``ok``, ``colunas_ausentes`` (a needed
-    column is missing) or ``erro`` (it cannot be read).  Files are told apart
-    by their schemas on the driver; files of one layout are read and marked in
-    one job, with the file as part of the window key, not in a loop."""
-    layouts: dict[tuple, list[str]] = {}
-    status = []
-    for path in paths:
+    column is missing) or ``erro`` (it cannot be read).  Layouts are read in
+    tasks (``sources.layouts``); files of one layout are read and marked in one
+    job, with the file as part of the window key, not in a loop."""
+    found, failed = layouts(spark, paths)
+    status = [(path, "erro", why) for path, why in failed]
+    usable = []
+    for layout in found:
         try:
-            schema = spark.read.parquet(path).schema
-        except Exception as e:  # an unreadable input is a result here, not a failure of the others
-            status.append((path, "erro", str(e).split("\n")[0]))
-            continue
-        try:
-            interval_columns(spark.createDataFrame([], schema))
+            interval_columns(spark.createDataFrame([], layout.schema))
         except KeyError as e:
-            status.append((path, "colunas_ausentes", str(e)))
+            status += [(path, "colunas_ausentes", str(e)) for path in layout.paths]
             continue
-        layouts.setdefault(tuple((f.name, f.dataType.simpleString()) for f in schema.fields), []).append(path)
-        status.append((path, "ok", None))
+        usable.append(layout)
+        status += [(path, "ok", None) for path in layout.paths]
     marked = None
-    for files in layouts.values():
-        df = spark.read.parquet(*files)
-        df = df.select("*", F.regexp_replace(F.col("_metadata.file_path"), r"^(.*\.parquet)/[^/]+$", "$1").alias("arquivo"))
+    for layout in usable:
+        df = spark.read.schema(layout.schema).parquet(*layout.paths).select("*", input_of_row().alias("arquivo"))
         part = mark_overlaps(df, scope=["arquivo"])
         marked = part if marked is None else marked.unionByName(part, allowMissingColumns=True)
     files = spark.createDataFrame(status, "arquivo string, status string, mensagem string")
-    # Spark writes paths with their scheme; compare without it
-    bare = lambda c: F.regexp_replace(c, r"^[a-z0-9+.]+:(//[^/]*(?=/))?", "")
     names = ["total", *_MARK_COUNTS]
     if marked is None:
         counts = spark.createDataFrame([], "__f string, " + ", ".join(f"{n} long" for n in names))
     else:
-        counts = mark_summary(marked, ["arquivo"]).withColumn("__f", bare(F.col("arquivo"))).drop("arquivo")
-    summary = (files.join(counts, bare(F.col("arquivo")) == F.col("__f"), "left")
+        counts = mark_summary(marked, ["arquivo"]).withColumn("__f", bare_path(F.col("arquivo"))).drop("arquivo")
+    summary = (files.join(counts, bare_path(F.col("arquivo")) == F.col("__f"), "left")
                .select("arquivo", "status", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names], "mensagem"))
     return marked, summary
 

@@ -23,6 +23,7 @@ from outagekit.functions.schema import (
 )
 from outagekit.operators.intervals import interval_columns
 from outagekit.operators.selection import order_statistics
+from outagekit.sources.layouts import bare_path, input_of_row, layouts
 
 # Thresholds of the rule report.
 QUALITY_RULES = {"null_threshold": 0.05, "duplicate_threshold": 0.01}
@@ -102,9 +103,14 @@ def schema_check(df: DataFrame, contract: T.StructType) -> DataFrame:
     Presence and type come from the schema; for present columns the test
     also counts non-null values that do not convert to the declared type
     (text timestamps go through the general timestamp parser)."""
-    actual = {f.name.lower(): f for f in df.schema.fields}
-    names = [f.name for f in contract.fields]
-    found = [actual.get(n.lower()) for n in names]
+    aggs, fields = _contract_test(df.schema, contract)
+    return _rows(df.agg(*aggs), contract.names, fields)
+
+
+def _contract_test(schema: T.StructType, contract: T.StructType) -> tuple[list[Column], dict[str, list]]:
+    """The aggregates of a contract's test and its columns made of them."""
+    actual = {f.name.lower(): f for f in schema.fields}
+    found = [actual.get(n.lower()) for n in contract.names]
     aggs = []
     for i, (want, got) in enumerate(zip(contract.fields, found)):
         if got is None:
@@ -115,30 +121,38 @@ def schema_check(df: DataFrame, contract: T.StructType) -> DataFrame:
         aggs.append(F.count_if(_q(got.name).isNotNull() & conv.isNull()).alias(f"b{i}"))
     wanted = [f.dataType.simpleString() for f in contract.fields]
     types = [g.dataType.simpleString() if g is not None else "ausente" for g in found]
-    return _rows(df.agg(*aggs), names, {
-        "coluna": names, "tipo_esperado": wanted, "tipo_atual": types,
+    return aggs, {
+        "coluna": contract.names, "tipo_esperado": wanted, "tipo_atual": types,
         "presente": [g is not None for g in found], "tipo_ok": [a == b for a, b in zip(types, wanted)],
-        "nao_convertiveis": [F.col(f"b{i}").cast("long") for i in range(len(names))]})
+        "nao_convertiveis": [F.col(f"b{i}").cast("long") for i in range(len(contract.names))]}
 
 
 def schema_check_inputs(spark, paths: Sequence[str], contract: T.StructType) -> DataFrame:
     """``schema_check`` of every input on its own: ``arquivo``, ``status``
     (``ok``; ``colunas_ausentes`` where a declared column is missing; ``erro``
-    where the input cannot be read) and the test's columns.  One aggregate
-    per input: inputs differ in their schemas, so their tests do too."""
-    out, failed = None, []
-    for path in paths:
-        try:
-            df = spark.read.parquet(path)
-        except Exception as e:  # an unreadable input is a result here, not a failure of the others
-            failed.append((path, "erro", str(e).split("\n")[0]))
-            continue
-        have = {c.lower() for c in df.columns}
-        status = "ok" if all(f.name.lower() in have for f in contract.fields) else "colunas_ausentes"
-        part = schema_check(df, contract).select(F.lit(path).alias("arquivo"), F.lit(status).alias("status"), "*")
+    where the input cannot be read) and the test's columns.  Inputs of one
+    layout are tested by one aggregate keyed by the input, so the plan grows
+    with the layouts, not with the inputs."""
+    found, failed = layouts(spark, paths)
+    out = None
+    for layout in found:
+        have = {c.lower() for c in layout.schema.names}
+        status = "ok" if all(n.lower() in have for n in contract.names) else "colunas_ausentes"
+        aggs, fields = _contract_test(layout.schema, contract)
+        df = spark.read.schema(layout.schema).parquet(*layout.paths)
+        counts = df.select("*", bare_path(input_of_row()).alias("__f")).groupBy("__f").agg(*aggs)
+        # an input without rows is tested too: nothing in it fails
+        files = spark.createDataFrame([(p,) for p in layout.paths], "arquivo string").select("arquivo", bare_path(F.col("arquivo")).alias("__f"))
+        one = files.join(counts, "__f", "left")
+        absent = [f"b{i}" for i, p in enumerate(fields["presente"]) if not p]
+        one = one.select("arquivo", *[F.col(f"b{i}") if f"b{i}" in absent else F.coalesce(f"b{i}", F.lit(0).cast("long")).alias(f"b{i}")
+                                      for i in range(len(aggs))])
+        rows = F.array(*[F.struct(*[(v[i] if isinstance(v[i], Column) else F.lit(v[i])).alias(k) for k, v in fields.items()])
+                         for i in range(len(aggs))])
+        part = one.select("arquivo", F.lit(status).alias("status"), F.inline(rows))
         out = part if out is None else out.unionByName(part)
     if failed:
-        bad = spark.createDataFrame(failed, "arquivo string, status string, mensagem string").drop("mensagem")
+        bad = spark.createDataFrame([(p, "erro") for p, _ in failed], "arquivo string, status string")
         out = bad if out is None else out.unionByName(bad, allowMissingColumns=True)
     return out
 

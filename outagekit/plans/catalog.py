@@ -29,6 +29,7 @@ from outagekit.session import checkpoint_dir
 from outagekit.sources import extract as ex
 from outagekit.sources import io as sio
 from outagekit.sources.fixtures import oracle, table
+from outagekit.sources.layouts import scan_layouts
 
 # The DEC/FEC month: the latest month of the billed table (the reference's
 # default selection).
@@ -161,6 +162,20 @@ def q_bronze(spark, sf):
     return sio.bronze_as_string(table(spark, sf, "intr_long"))
 
 
+@register("scan_processed_layouts", oracle("""
+SELECT *, CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 3 <> 0 THEN lpad(CAST(year(DTHR_INICIO_INTRP_UC) AS VARCHAR), 4, '0') END AS ano,
+       CASE WHEN CAST(NUM_INTRP_UCI AS BIGINT) % 3 <> 0 THEN lpad(CAST(month(DTHR_INICIO_INTRP_UC) AS VARCHAR), 2, '0') END AS mes
+FROM intr_long""", ["intr_long"]))
+def q_s4_layouts(spark, sf):
+    """A raw folder (all text), a processed folder by month, and one of them
+    under a second spelling."""
+    df, base = table(spark, sf, "intr_long"), _scratch(spark, "layouts")
+    third = F.col("NUM_INTRP_UCI").cast("long") % 3 == 0
+    sio.bronze_as_string(df.where(third)).write.parquet(f"{base}/raw")
+    sio.write_month_partition(df.where(~third), f"{base}/processed", "DTHR_INICIO_INTRP_UC")
+    return scan_layouts(spark, [f"{base}/raw", f"{base}/processed", f"{base}/./processed/"])
+
+
 @register("scan_processed", "SELECT * FROM events")
 def q_scan_processed(spark, sf):
     return sio.scan_processed(spark, [f"{sf}/events.parquet", f"{sf}/./events.parquet"])
