@@ -28,6 +28,7 @@ import re
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
 #: Words up to this length merge in bulk; words a task remembers
 #: (besides those of the batch at hand).
-SHORT, REMEMBERED = 24, 300_000
+SHORT, REMEMBERED = 24, 150_000
 #: Documents of an output batch.
 ROWS = 256
 MASK = (1 << 64) - 1
@@ -199,7 +200,7 @@ class Merges:
         """Packed ids of each word.  ``traces`` gets (words, places) arrays of
         the merges made, those of a word in their order."""
         out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable").tolist()
         at = 0
         while at < len(order):
             part = order[at:at + 4096]
@@ -238,8 +239,9 @@ class Merges:
             line = np.arange(len(rows))
             done = rank[line, best] == self.NONE
             if done.any():
-                for r in np.flatnonzero(done):
-                    out[part[rows[r]]] = ids[r, :lens[r]].tobytes()
+                ended, size = ids[done].tobytes(), 4 * ids.shape[1]
+                for at, j, n in zip(range(0, len(ended), size), named[rows[done]].tolist(), lens[done].tolist()):
+                    out[j] = ended[at:at + 4 * n]
                 go = ~done
                 rows, ids, start, key, lens, rank, made, best = (x[go] for x in (rows, ids, start, key, lens, rank, made, best))
                 w = int(lens.max(initial=1))
@@ -252,17 +254,19 @@ class Merges:
                 traces.append((named[rows], _places(start[line, best], start[line, np.minimum(best + 2, w - 1)] - start[line, best])))
             ids[line, best] = made[line, best]
             lens = lens - 1
-            take = np.minimum(np.arange(w) + (np.arange(w) > best[:, None]), w - 1)
-            ids, start = np.take_along_axis(ids, take, 1), np.take_along_axis(start, take, 1)
-            ids[line, lens] = -1
-            rank, made = np.take_along_axis(rank, take[:, :-1].clip(max=w - 2), 1), np.take_along_axis(made, take[:, :-1].clip(max=w - 2), 1)
-            rank[line, np.minimum(lens, w - 2)] = self.NONE
+            # the right piece and its pair go: one place less in every row
+            stay = np.ones((len(rows), w), bool)
+            stay[line, best + 1] = False
+            ids, start = ids[stay].reshape(-1, w - 1), start[stay].reshape(-1, w - 1)
+            stay = stay[:, :-1]
+            rank, made = rank[stay].reshape(-1, w - 2), made[stay].reshape(-1, w - 2)
+            w -= 1
             for j in (best, best - 1):
                 ok = np.flatnonzero((j >= 0) & (j + 1 < lens))
                 i = j[ok]
                 end = start[ok, np.minimum(i + 2, w - 1)]
                 rank[ok, i], made[ok, i] = self._pairs(ids[ok, i], ids[ok, i + 1], start[ok, i], end, key[ok])
-            last = np.flatnonzero(best + 1 >= lens)
+            last = np.flatnonzero((best + 1 >= lens) & (best < w - 1))
             rank[last, best[last]] = self.NONE
 
 
@@ -323,17 +327,19 @@ class Encoder:
     def encode_all(self, texts: list[str | None], docs: list[int | None]) -> list[np.ndarray | None]:
         words = [self.find(" " + t) if t else [] for t in texts]
         n = [len(ws) for ws in words]
-        every = [w for ws in words for w in ws]
-        known = len(self.packed)
-        new = [w for w in dict.fromkeys(every) if w not in self.number]
-        if new:
+        every = list(chain.from_iterable(words))
+        known, new = len(self.packed), []
+        number = list(map(self.number.get, every))
+        if None in number:
+            new = list(dict.fromkeys(w for w, k in zip(every, number) if k is None))
             self._learn(new)
-        number = list(map(self.number.__getitem__, every))
+            number = list(map(self.number.__getitem__, every))
         packed = list(map(self.packed.__getitem__, number))
         if self.dropout and every:
             keys = self._keys(texts, docs, n)
             skipped = self._skipped(np.array(number), keys)
-            for i, ids in zip(skipped.tolist(), self.dropping.segment_all([every[i] for i in skipped.tolist()], keys[skipped])):
+            drawn = skipped.tolist()
+            for i, ids in zip(drawn, self.dropping.segment_all([every[i] for i in drawn], keys[skipped])):
                 packed[i] = ids
         ends = np.cumsum([0, *n]).tolist()
         out = [None if t is None else np.frombuffer(b"".join(packed[a:b]), np.int32) for t, a, b in zip(texts, ends, ends[1:])]
