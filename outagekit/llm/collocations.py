@@ -13,7 +13,7 @@ phrase between the two occurs at least as often.
 
 Only phrases that occur LEAST times are candidates, and all parts of one
 occur at least as often, so the levels run one after the other: words, then
-pairs of counted words, then three and four words whose pairs all count.
+pairs of words that count, three words whose pairs do and four whose triples.
 What a level leaves goes to the next as one bitmap of fixed size (BITS) that
 has a bit for everything that counts; a false bit adds an entry and changes
 no result, since every count is exact.  Prefixes of a two-thousandth of all
@@ -50,7 +50,8 @@ HEAVY, PARTS = 2000, 64
 #: Bytes of text that a task counts at once.
 BLOCK = 5 << 20
 SPACE = pa.scalar(" ", pa.large_string())
-STRIPES = "lang string, prefix string, part int, next array<string>, n array<int>"
+#: A stripe on its way: its words go as one text (words hold no blanks).
+STRIPES = "lang string, prefix string, part int, next string, n array<int>"
 
 
 def _cleaning_table() -> bytes:
@@ -70,11 +71,14 @@ def word_spots(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, 42) % BITS for w in words], np.int64)
 
 
-def spot(lang: Column, first: Column, second: Column | None = None) -> Column:
-    """The bit of a word or a pair (the same as in the tasks)."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS).cast("long"))
-    out = at(lang) * LANG_MIXED + at(first) * MIXED
-    return F.pmod(out + at(second) if second is not None else out, F.lit(BITS).cast("long"))
+def spot(lang: Column, *words: Column) -> Column:
+    """The bit of a phrase (the same as in the tasks)."""
+    size = F.lit(BITS).cast("long")
+    at = lambda c: F.pmod(F.xxhash64(c), size)
+    out = at(words[0])
+    for w in words[1:]:
+        out = F.pmod(out * MIXED + at(w), size)
+    return F.pmod(at(lang) * LANG_MIXED + out, size)
 
 
 class Block:
@@ -102,11 +106,12 @@ class Block:
         self.lang_spot = word_spots([lang.encode() for lang in langs])[self.lang] * LANG_MIXED
         self.part = spots % PARTS
 
-    def passing(self, bits: np.ndarray, pairs: bool) -> np.ndarray:
-        at = self.lang_spot + self.word_spot * MIXED
-        if pairs:
-            at = at + np.append(self.word_spot[1:], 0)
-        at %= BITS
+    def passing(self, bits: np.ndarray, words: int) -> np.ndarray:
+        """Whether the bit of so many words from each one on is set."""
+        at = self.word_spot
+        for k in range(1, words):
+            at = (at * MIXED + np.append(self.word_spot[k:], np.zeros(min(k, len(at)), np.int64))) % BITS
+        at = (self.lang_spot + at) % BITS
         return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     def named(self, at: np.ndarray) -> pa.Array:
@@ -162,7 +167,8 @@ class Block:
             own = pa.array(prefix[head])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(self.langs, pa.string()).take(pa.array(lang[prefix[head]])), names.take(own).cast(pa.string()),
-                 pa.array(part[head], pa.int32()), pa.ListArray.from_arrays(offsets, follow_names.take(pa.array(follows[entries]))),
+                 pa.array(part[head], pa.int32()),
+                 pc.binary_join(pa.ListArray.from_arrays(offsets, follow_names.take(pa.array(follows[entries]))), " "),
                  pa.ListArray.from_arrays(offsets, pa.array(times[entries], pa.int32()))],
                 ["lang", "prefix", "part", "next", "n"])
 
@@ -194,23 +200,27 @@ def _word_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _pair_stripes(batches, bits, heavy) -> Iterator[pa.RecordBatch]:
     for b in _blocks(batches):
-        counts = b.passing(bits, False)
+        counts = b.passing(bits, 1)
         yield from b.stripes(1, counts, np.append(counts[1:], False), heavy)
 
 
-def _long_stripes(batches, bits, heavy) -> Iterator[pa.RecordBatch]:
+def _triple_stripes(batches, bits, heavy) -> Iterator[pa.RecordBatch]:
     for b in _blocks(batches):
-        pair = b.passing(bits, True) & b.joined
-        second, third = np.append(pair[1:], False), np.append(pair[2:], [False] * min(2, len(pair)))
-        yield from b.stripes(2, pair, second, heavy)
-        yield from b.stripes(3, pair & second, third, heavy)
+        pair = b.passing(bits, 2) & b.joined
+        yield from b.stripes(2, pair, np.append(pair[1:], False), heavy)
+
+
+def _quad_stripes(batches, bits, heavy) -> Iterator[pa.RecordBatch]:
+    for b in _blocks(batches):
+        triple = b.passing(bits, 3) & b.joined & np.append(b.joined[1:], False)
+        yield from b.stripes(3, triple, np.append(triple[1:], False), heavy)
 
 
 def merged(stripes: DataFrame) -> DataFrame:
     """Stripes of one prefix (and part) merged elementwise: lang, prefix,
     part, total and ``entries`` {next, n} of LEAST or more."""
     dealt = stripes.repartition("lang", "prefix", "part")
-    one = dealt.select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "n")))
+    one = dealt.select("lang", "prefix", "part", F.inline(F.arrays_zip(F.split("next", " ").alias("next"), "n")))
     whole = one.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
     # entries that are too rare are of no use but for the sum
     kept = F.when((F.col("n") >= LEAST) & (F.col("next") != ""), F.col("next")).otherwise(F.lit(""))
@@ -258,8 +268,11 @@ def counted_stripes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = pairs.select("lang", "prefix", F.inline("entries"))
     heavy = _heavy(found.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "n"), "phrase", total)
     two = _shared(spark, bitmap(found, spot(F.col("lang"), F.col("prefix"), F.col("next"))), heavy)
-    more = cut(merged(texts.mapInArrow(lambda b: _long_stripes(b, np.frombuffer(two.value[0], np.uint8), two.value[1]), STRIPES)))
-    return words, pairs.unionByName(more)
+    triples = cut(merged(texts.mapInArrow(lambda b: _triple_stripes(b, np.frombuffer(two.value[0], np.uint8), two.value[1]), STRIPES)))
+    found = triples.select("lang", F.split("prefix", " ").alias("p"), F.inline("entries"))
+    three = _shared(spark, bitmap(found, spot(F.col("lang"), F.col("p")[0], F.col("p")[1], F.col("next"))), heavy)
+    quads = cut(merged(texts.mapInArrow(lambda b: _quad_stripes(b, np.frombuffer(three.value[0], np.uint8), three.value[1]), STRIPES)))
+    return words, pairs.unionByName(triples).unionByName(quads)
 
 
 def _level(phrase: str) -> Column:
