@@ -48,7 +48,7 @@ MIXED, LANG_MIXED = 1_000_003, 7_919
 #: A prefix with this share of all words is split into PARTS by its next word.
 HEAVY, PARTS = 2000, 64
 #: Bytes of text that a task counts at once.
-BLOCK = 5 << 20
+BLOCK = 9 << 20
 SPACE = pa.scalar(" ", pa.large_string())
 #: A stripe on its way: its words go as one text (words hold no blanks).
 STRIPES = "lang string, prefix string, part int, next string, n array<int>"
