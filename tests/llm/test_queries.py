@@ -27,10 +27,10 @@ def _rows(df):
     return cols, sorted(tuple(repr(_norm(x)) for x in r) for r in df[cols].itertuples(index=False, name=None))
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = set(E.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert [q for q in names if q.startswith(f"op{n}_")]
 
 
