@@ -23,9 +23,21 @@ from outagekit.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of documents that go to a Python worker at once (Spark's own bound is 64 MB).
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the stages that send whole documents to Python
+    workers, whatever the rows' lengths; a session's own setting stays."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's toxicity threshold."""
+    in_small_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -36,6 +48,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near fingerprints."""
+    in_small_batches(spark)
     return drop_near_duplicates(docs)
 
 
@@ -46,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids, n_ids and lossless."""
+    in_small_batches(spark)
     return encoded(docs)
 
 
