@@ -16,6 +16,7 @@ whole window chain; frames are ROWS frames ordered by a total order
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +108,58 @@ def mark_overlaps(df: DataFrame, scope: Sequence[str] = (), internals: bool = Fa
         _mark_chunked(held, n_chunks=n_chunks, pairs=n_keys + n_chunks, **ctx))
 
 
+#: Start to start, a merge spans less: a row under 60 s and a gap under 60 s.
+LINK_S = 120
+#: Marks that look at a consumer's whole history.
+HISTORY_MARKS = ("Contido_outra_intrp", "Sobreposicao_tempo", "Conta_desligamento_unico", "Grupo_desligamento_uc")
+
+
+def _at(moment: datetime) -> Column:
+    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S")).cast(T.TimestampNTZType())
+
+
+def _chains_end(rows: DataFrame, keys: Sequence[str], since: datetime, halo: timedelta) -> datetime:
+    """A moment that no chain of merges from before ``since`` passes.
+
+    Starts in a chain are less than LINK_S apart, so one that spans a stretch
+    has a short row in each LINK_S of it.  Stretches grow until no consumer has
+    that; each look reads one stretch and counts, combined before the shuffle,
+    at most a row per consumer and LINK_S."""
+    while True:
+        links = -(-int(halo.total_seconds()) // LINK_S)
+        until = since + timedelta(seconds=links * LINK_S)
+        slot = F.floor(S.seconds_between(_at(since), F.col("__ini")) / F.lit(LINK_S))
+        dense = (rows.where((F.col("__ini") >= _at(since)) & (F.col("__ini") < _at(until)) & (F.col("__dur_s") < 60))
+                 .groupBy(*[_q(k) for k in keys]).agg(F.count_distinct(slot).alias("__slots")).where(F.col("__slots") >= links))
+        if not dense.take(1):
+            return until
+        halo *= 4
+
+
+def mark_month(df: DataFrame, anomes: str, scope: Sequence[str] = (), halo: timedelta = timedelta(hours=1), **how) -> DataFrame:
+    """Rows whose perceived start lies in the month ``YYYY-MM``, marked:
+    ``mark_overlaps`` filtered to the month, without HISTORY_MARKS, but read
+    and windowed over the month and its surroundings only.
+
+    A perceived group is a chain of rows under 60 s with gaps under 60 s, so a
+    row that starts LINK_S or more before the month is in no group with a row
+    of it, and a group with a valid row before the month started before it.
+    After the month only chains that began in it count: ``_chains_end`` says
+    how far they can reach (``halo`` to begin with).  The range of the raw
+    start reaches the scan where the start is a timestamp.  Rows without a
+    start have no month; ``how`` goes to ``mark_overlaps``."""
+    uc, _, start, end = interval_columns(df)
+    sch = df.schema
+    ini = S.parse_ts(start, sch[start].dataType)
+    lo, hi = (datetime.fromisoformat(t) for t in S.month_range(anomes))
+    keyed = df.select(_q(uc).cast("string").alias("__uc"), *[_q(c) for c in scope], ini.alias("__ini"),
+                      S.seconds_between(ini, S.parse_ts(end, sch[end].dataType)).alias("__dur_s"))
+    until = _chains_end(keyed, ["__uc", *scope], hi, halo)
+    near = df.where((ini >= _at(lo - timedelta(seconds=LINK_S))) & (ini < _at(until)))
+    return (mark_overlaps(near, scope, **how)
+            .where(S.in_month("DTHR_INICIO_INTRP_PERCEBIDO", anomes)).drop(*HISTORY_MARKS))
+
+
 def _valid() -> Column:
     return (F.col("__uc").isNotNull() & F.col("__id").isNotNull() & F.col("__ini").isNotNull()
             & F.col("__fim").isNotNull() & (F.col("__fim") >= F.col("__ini")))

@@ -64,7 +64,7 @@ def billed(spark: SparkSession, sf: str, anomes: str | None = ANOMES) -> DataFra
 
 def unique_long(spark: SparkSession, sf: str, anomes: str = ANOMES) -> DataFrame:
     bm = billed(spark, sf, anomes)
-    return ind.consolidate_perceived(ind.eligible_rows(marked_long(spark, sf), anomes, bm))
+    return ind.consolidate_perceived(ind.eligible_rows(iv.mark_month(table(spark, sf, "intr_long"), anomes), anomes, bm))
 
 
 # ---------------------------------------------------------------------------
@@ -76,6 +76,23 @@ def q_mark_overlaps(spark, sf):
     return marked_long(spark, sf)
 
 
+def _month_of(marked: str, anomes: str) -> str:
+    lo, hi = Q.month_bounds(anomes)
+    return (f"SELECT * EXCLUDE ({', '.join(iv.HISTORY_MARKS)}) FROM {marked} m "
+            f"WHERE DTHR_INICIO_INTRP_PERCEBIDO >= {lo} AND DTHR_INICIO_INTRP_PERCEBIDO < {hi}")
+
+
+@register("mark_month", oracle(_month_of(Q.marked_long(), ANOMES), ["intr_long"]))
+def q_mark_month(spark, sf):
+    return iv.mark_month(table(spark, sf, "intr_long"), ANOMES)
+
+
+@register("mark_month_dense", oracle(_month_of(Q.marked_dense(), "2024-01"), ["intr_dense"]))
+def q_mark_month_dense(spark, sf):
+    """Over short interruptions, which merge into perceived ones."""
+    return iv.mark_month(table(spark, sf, "intr_dense"), "2024-01")
+
+
 @register("dec_fec", oracle(Q.dec_fec_sql(ANOMES), ["intr_long", "billed_month"]))
 def q_dec_fec(spark, sf):
     return ind.dec_fec(unique_long(spark, sf), billed(spark, sf))
