@@ -30,6 +30,7 @@ from outagekit.sources import extract as ex
 from outagekit.sources import io as sio
 from outagekit.sources.fixtures import oracle, table
 from outagekit.sources.layouts import scan_layouts
+from outagekit.sources.publish import publish_months, publish_table, read_published
 
 # The DEC/FEC month: the latest month of the billed table (the reference's
 # default selection).
@@ -335,6 +336,27 @@ def q_k2(spark, sf):
     return sio.read_current(spark, base)
 
 
+_MONTH_TEXT = "strftime(DTHR_INICIO_INTRP_UC, '%Y') AS ano, strftime(DTHR_INICIO_INTRP_UC, '%m') AS mes"
+
+
+@register("publish_table", oracle(f"SELECT *, {_MONTH_TEXT} FROM {Q.marked_long()} m", ["intr_long"]))
+def q_k2_publish(spark, sf):
+    """The marked table published over the raw one."""
+    base, start = _scratch(spark, "published"), "DTHR_INICIO_INTRP_UC"
+    publish_table(table(spark, sf, "intr_long"), base, start)
+    publish_table(iv.mark_overlaps(read_published(spark, base).drop("ano", "mes")), base, start)
+    return read_published(spark, base)
+
+
+@register("publish_months", oracle(f"SELECT *, {_MONTH_TEXT} FROM intr_long", ["intr_long"]))
+def q_k1_publish(spark, sf):
+    """Every month, then one again, as a correction of it would be published."""
+    df, base, start = table(spark, sf, "intr_long"), _scratch(spark, "months"), "DTHR_INICIO_INTRP_UC"
+    publish_months(df, base, start)
+    publish_months(df.where(F.month(start) == 3), base, start)
+    return read_published(spark, base)
+
+
 @register("write_billed_uc", oracle(E2_SQL, GEO))
 def q_k3(spark, sf):
     target = sio.write_billed_uc(ex.billed_uc_rollup(*_geo(spark, sf), P_DATA_INI), _scratch(spark, "billed"))
