@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outagekit.functions.rows import distinct_rows
 from outagekit.functions.schema import (
     RAW_END_FALLBACK, RAW_START_FALLBACK, DURATION_ALIASES, is_numeric, is_temporal, resolve_column,
 )
@@ -194,7 +195,7 @@ def clean_data(df: DataFrame) -> DataFrame:
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     nums = [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType))]
-    out = df.dropDuplicates()
+    out = distinct_rows(df)
     if strs:
         out = out.fillna("", subset=strs)
     if nums:

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from outagekit.functions import scalars as S
 from outagekit.functions.numeric import round_half
+from outagekit.functions.rows import distinct_rows
 from outagekit.operators import scan as SC
 from outagekit.operators import walk as WK
 from outagekit.sources.layouts import bare_path, input_of_row, layouts
@@ -445,8 +446,9 @@ def tag_overlaps(df: DataFrame, uc: str, start: str, end: str | None, tiebreak:
 # ----------------------------------------------------------------------------
 
 def dedup_exact(df: DataFrame) -> DataFrame:
-    """Drop identical rows."""
-    return df.dropDuplicates()
+    """Drop identical rows (D1).  Of a wide table only the rows whose digest
+    repeats are shuffled and compared whole."""
+    return distinct_rows(df)
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -548,6 +548,26 @@ def q_p15(spark, sf):
     return S.clean_data(proj)
 
 
+# Rows with nulls, a third of them twice, and rows that only a null tells apart.
+_GAPS_SQL = """
+SELECT * REPLACE (CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS user_id,
+                  CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type,
+                  CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value) FROM events"""
+_GAPS_COPIED = f"({_GAPS_SQL} UNION ALL SELECT * FROM ({_GAPS_SQL}) t WHERE event_id % 3 = 0)"
+
+
+@register("clean_data_rows", f"""
+SELECT * REPLACE (coalesce(user_id, 0) AS user_id, coalesce(event_type, '') AS event_type, coalesce(value, 0.0) AS value)
+FROM (SELECT DISTINCT * FROM {_GAPS_COPIED} c) d""")
+def q_p15_rows(spark, sf):
+    """Whole rows with nulls."""
+    gaps = table(spark, sf, "events").withColumns({
+        "user_id": F.when(F.col("event_id") % 4 != 0, F.col("user_id")),
+        "event_type": F.when(F.col("event_id") % 5 != 0, F.col("event_type")),
+        "value": F.when(F.col("event_id") % 7 != 0, F.col("value"))})
+    return S.clean_data(gaps.unionByName(gaps.where(F.col("event_id") % 3 == 0)))
+
+
 @register("second_precision", oracle(
     "SELECT NUM_INTRP_UCI, (second(DTHR_INICIO_INTRP_UC) > 0 OR second(DATA_HORA_FIM_INTRP) > 0) AS TEM_PRECISAO_SEGUNDO, "
     "date_trunc('minute', DTHR_INICIO_INTRP_UC) AS DT_INI_MIN, date_trunc('minute', DATA_HORA_FIM_INTRP) AS DT_FIM_MIN "

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outagekit.functions.scalars import TOTAL_LABEL, in_month
+from outagekit.operators.joins import left_join_hot
+from outagekit.operators.scan import DEFAULT_HOT_ROWS
 
 # Region name -> one-letter origin code; others get the total label.
 NAME_TO_CODE = {"CSL": "P", "NRT": "L", "NRO": "M", "LES": "C", "OES": "V"}
@@ -25,10 +27,12 @@ def _month_text_to_anomes(data_mes: str) -> str:
     return f"{data_mes[:4]}-{data_mes[4:6]}"
 
 
-def join_self_start_end(hist: DataFrame, intrp: DataFrame) -> DataFrame:
+def join_self_start_end(hist: DataFrame, intrp: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """History LEFT JOIN interruption twice (J1): the start row by the
     manoeuvre-initial id (own id when null), the end row by the own id;
-    both on the origin code as well.  Billed rows only."""
+    both on the origin code as well.  Billed rows only.  One interruption can
+    hold a large share of the history: the history rows of ids with about
+    ``hot_rows`` rows and more are not brought together."""
     h = hist.where(F.col("indic_fat_hcai") == "S").select(
         "*", F.coalesce(F.col("num_intrp_inic_manobra_hcai"), F.col("num_intrp_hcai")).alias("__ini_id"))
     ini = intrp.select(F.col("indic_reg_orig_intrp").alias("__oi"), F.col("NUM_SEQ_INTRP").alias("__si"),
@@ -36,8 +40,8 @@ def join_self_start_end(hist: DataFrame, intrp: DataFrame) -> DataFrame:
                        F.col("data_hora_inic_intrp").alias("inicio"))
     fim = intrp.select(F.col("indic_reg_orig_intrp").alias("__of"), F.col("NUM_SEQ_INTRP").alias("__sf"),
                        F.col("data_hora_fim_intrp").alias("fim"))
-    j = (h.join(ini, (h.indic_reg_orig_intrp_hcai == ini.__oi) & (h.__ini_id == ini.__si), "left")
-         .join(fim, (h.indic_reg_orig_intrp_hcai == fim.__of) & (h.num_intrp_hcai == fim.__sf), "left"))
+    j = left_join_hot(h, ini, [("indic_reg_orig_intrp_hcai", "__oi"), ("__ini_id", "__si")], hot_rows)
+    j = left_join_hot(j, fim, [("indic_reg_orig_intrp_hcai", "__of"), ("num_intrp_hcai", "__sf")], hot_rows, counted=h)
     return j.select("num_uc_hcai", "indic_reg_orig_intrp_hcai", "num_intrp_hcai",
                     F.col("__ini_id").alias("num_intrp_inic_manobra"), "tipo_justif", "inicio", "fim")
 
