@@ -58,6 +58,25 @@ def marked_long(spark: SparkSession, sf: str) -> DataFrame:
     return iv.mark_overlaps(table(spark, sf, "intr_long"))
 
 
+ORDER_RECORDS = T.StructType([
+    T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderdate", T.DateType()),
+    T.StructField("o_totalprice", T.DoubleType()), T.StructField("o_lote", T.StringType())])
+
+
+def order_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a line of text in one of three folders; some lines lack
+    a field, some have one too many, some hold text for a number."""
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    price = F.when(key % 50 == 3, F.lit("n/d")).otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
+    line = F.concat_ws(",", key.cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), price,
+                       F.when(key % 50 != 1, F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', lote"'))),
+                       F.when(key % 50 == 2, F.lit("sobra")))
+    path = _scratch(spark, "orders-csv")
+    o.select((key % 3).alias("pasta"), line.alias("value")).write.partitionBy("pasta").text(path)
+    return sio.load_csv_tagged(spark, [f"{path}/pasta={i}" for i in range(3)], ORDER_RECORDS, header=False)
+
+
 def billed(spark: SparkSession, sf: str, anomes: str | None = ANOMES) -> DataFrame:
     b = ind.load_billed_uc(table(spark, sf, "billed_month"))
     return b.where(b.ANOMES == anomes) if anomes else b
@@ -199,6 +218,23 @@ def q_scan_processed(spark, sf):
     return sio.scan_processed(spark, [f"{sf}/events.parquet", f"{sf}/./events.parquet"])
 
 
+@register("load_csv_good", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS o_totalprice,
+       o_orderpriority || ', lote' AS o_lote FROM orders WHERE o_orderkey % 50 NOT IN (1, 2, 3)""")
+def q_csv_good(spark, sf):
+    return sio.good_records(order_records(spark, sf))
+
+
+@register("load_csv_rejects", """
+SELECT CAST(o_orderkey % 3 AS VARCHAR) AS pasta, CAST(count(*) FILTER (WHERE o_orderkey % 50 NOT IN (1, 2, 3)) AS BIGINT) AS lidos,
+       CAST(count(*) FILTER (WHERE o_orderkey % 50 IN (1, 2, 3)) AS BIGINT) AS rejeitados FROM orders GROUP BY 1""")
+def q_csv_rejects(spark, sf):
+    """The report by file, summed by folder: the files' names are the writer's."""
+    by_file = sio.reject_report(order_records(spark, sf))
+    folder = F.regexp_extract("arquivo", "pasta=([0-9]+)/", 1)
+    return by_file.groupBy(folder.alias("pasta")).agg(F.sum("lidos").alias("lidos"), F.sum("rejeitados").alias("rejeitados"))
+
+
 @register("load_billed_uc", oracle(
     "SELECT coalesce(REGIONAL_TOTAL, 'SEM_REGIONAL') AS REGIONAL_TOTAL, coalesce(SIGLA_REGIONAL, '') AS SIGLA_REGIONAL, "
     "CAST(ANOMES AS VARCHAR) AS ANOMES, coalesce(TRY_CAST(UC_FATURADA AS DOUBLE), 0.0) AS UC_FATURADA "

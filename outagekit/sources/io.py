@@ -149,3 +149,48 @@ def export_results(df: DataFrame, target: str, fmt: str = "csv") -> str:
     else:
         raise ValueError(f"unsupported format: {fmt}")
     return target
+
+
+#: Column of a read with ``load_csv_tagged`` that holds the text of a bad record.
+BAD_RECORD = "__registro_ruim"
+#: Column of such a read with the file of a record.
+RECORD_FILE = "__arquivo"
+
+
+def load_csv_tagged(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, header: bool = True,
+                    line_breaks: bool = False, sep: str = ",") -> DataFrame:
+    """CSV records with their file in ``RECORD_FILE`` and, for a bad one, its
+    text in ``BAD_RECORD``.
+
+    A record is bad if it has more or fewer fields than the schema or a field
+    that is not of its type; without a schema all columns are text, named by
+    the header of the first file.  With ``line_breaks`` a quoted field may
+    hold line ends; a file is then read by one task, and a quote that is never
+    closed makes one bad record of what follows it in its file.  Files without
+    records give none."""
+    paths = [path] if isinstance(path, str) else list(path)
+    r = spark.read.option("header", header).option("sep", sep).option("multiLine", line_breaks).option("escape", '"')
+    if schema is None:
+        if not header:
+            raise ValueError("records without a header need a schema")
+        schema = r.csv(paths).schema
+    tagged = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
+    rows = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_RECORD).schema(tagged).csv(paths)
+    # all fields are parsed whatever a query needs (columns are not pruned through a generator),
+    # or a record would be good in one query and bad in another
+    every = [F.col(f"`{c}`") for c in rows.columns]
+    return rows.select(F.inline(F.array(F.struct(*every, F.col("_metadata.file_path").alias(RECORD_FILE)))))
+
+
+def good_records(tagged: DataFrame) -> DataFrame:
+    """The records that fit the schema."""
+    return tagged.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD, RECORD_FILE)
+
+
+def reject_report(tagged: DataFrame) -> DataFrame:
+    """Per file its good and bad records and the first bad one in text order:
+    arquivo, lidos, rejeitados, exemplo.  One aggregate over one scan, combined
+    before the shuffle.  Files without records are not listed."""
+    bad = F.col(BAD_RECORD)
+    return tagged.groupBy(F.col(RECORD_FILE).alias("arquivo")).agg(
+        F.count_if(bad.isNull()).alias("lidos"), F.count_if(bad.isNotNull()).alias("rejeitados"), F.min(bad).alias("exemplo"))

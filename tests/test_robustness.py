@@ -175,6 +175,32 @@ def test_iqr_with_a_small_minimum(spark):
         assert (got[want.columns].loc[want.index] == want).all().all()
 
 
+def test_alerts_and_top_outliers_over_columns_with_outliers(spark):
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "user_id", "value")
+    result = dq.iqr_outliers(events, min_non_null=10)
+    rows = sorted(result.collect(), key=lambda r: (-r.pct_outliers, r.coluna))
+    assert rows[0].coluna == "value" and rows[0].pct_outliers >= 1.0 and len(rows) == 3
+    for top in (1, 2, 30):
+        alert = dq.outlier_alerts(result, top_n=top).first()
+        assert alert.colunas_analisadas == 3
+        assert alert.colunas_em_alerta == sum(r.pct_outliers >= 1.0 for r in rows)
+        assert alert.inferiores_top == sum(r.outliers_inferiores for r in rows[:top])
+        assert alert.superiores_top == sum(r.outliers_superiores for r in rows[:top]) > 0
+        best = dq.top_n(result, top, [F.col("pct_outliers").desc(), F.col("coluna")]).collect()
+        assert [r.coluna for r in best] == [r.coluna for r in rows[:top]]
+
+
+def test_preview_counts_consumers_on_the_exchange_of_the_marking(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ind.ci_chi_preview(catalog.marked_long(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    keyed = [ln for ln in plan.split("\n") if "Exchange hashpartitioning" in ln]
+    # one by consumer, which the marking needs, and one of a row per band and region
+    assert len(keyed) == 2 and sum("NUM_UC_UCI" in ln for ln in keyed) == 1
+
+
 def test_a_date_alone_is_a_timestamp(spark):
     row = spark.createDataFrame([("2024-01-05",)], "t string").select(S.parse_ts("t").alias("v")).first()
     assert row.v == dt.datetime(2024, 1, 5)
