@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from outagekit.llm import bpe_dropout, mixing, pfp, simhash, toxicity
@@ -197,3 +198,40 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     assert counts[0] >= counts[1] >= counts[2] >= counts[3]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert len(last) == counts[-1] and last.lossless.all()
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """No sample: each labelled document that is not held out is learnt from
+    or checked, over several parts and rounds; a word that only a few of
+    them show is known afterwards."""
+    n = 14_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 2 = 0, 'en', 'de') as lang", "concat('plain', id % 50, ' words', id % 70,"
+                                     " if(id % 5 = 0, concat(' ', crc32(cast(id % 200 as string)), 'nasty'), ' fine')) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 = 0 as int) as toxic")
+    used = labels.where(~toxicity.held_out(labels.doc_id)).count()
+    assert used > 2 * (toxicity.POSITIVE + toxicity.NEGATIVE)
+    model = toxicity.fitted(docs, labels)
+    assert (model["learnt"] + model["checked"], set(model["by_lang"])) == (used, {"en", "de"})
+    got = toxicity.scored(docs, model, ["doc_id"]).where(toxicity.held_out(F.col("doc_id"))).toPandas()
+    assert ((got.score >= toxicity.CUT) == (got.doc_id % 5 == 0)).mean() > 0.95
+
+
+def test_toxicity_parts_lie_in_tasks_of_their_own(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "'t' as text").unionByName(spark.range(50).selectExpr("7 as doc_id", "cast(null as string) as text"))
+    one = spark.range(0, 600, 2).selectExpr("id as doc_id", "1 as toxic").unionByName(spark.createDataFrame([(7, 0)], "doc_id long, toxic int"))
+    rows = toxicity.labelled(docs, one, 3)
+    assert str(rows._jdf.queryExecution().executedPlan()).count("Exchange ") == 1
+    at = rows.selectExpr("part", "toxic", "spark_partition_id() as task").toPandas()
+    assert len(at) == 300 + 51 and (at.toxic == 0).sum() == 51
+    assert at.groupby("task").part.nunique().tolist() == [1, 1, 1]
+
+
+def test_toxicity_cuts_have_the_best_f1(spark):
+    g = np.random.default_rng(3)
+    y = g.random(500) < 0.2
+    logit = np.round(g.normal(0, 1, 500) + 1.5 * y, 1)
+    rows = spark.createDataFrame([("en", int(t), float(z)) for t, z in zip(y, logit)], "lang string, toxic int, logit double")
+    got = toxicity.best_cuts(rows).first()
+    f1 = lambda at: 2 * (y & (logit >= at)).sum() / ((logit >= at).sum() + y.sum())
+    assert (got.n, got.ones) == (500, y.sum())
+    assert f1(got.cut) == max(f1(at) for at in logit)
