@@ -1,14 +1,14 @@
 """Phrase collocations by stripes (operator 12).
 
 Each prefix of one to three words keys an associative counter of the word
-that follows, its *stripe*; the empty word stands for the end of a piece and
-for words that cannot matter.  A task counts the stripes of its texts, and
+that follows, its *stripe*; ends of pieces and words that cannot matter are
+no entries and never shuffled.  A task counts the stripes of its texts, and
 stripes of one prefix are merged elementwise after one shuffle.  All that the
-scores need comes from the merged stripes: an entry is the count of prefix
-and word (an extension), a stripe's sum is the count of the prefix, and a
-phrase that a longer one subsumes is known by the largest entry of its own
-stripe (longer by a word behind) and the largest entry that ends in it
-(longer by a word before).  A phrase two words longer needs no look: the
+scores need comes from the word counts and the merged stripes: an entry is
+the count of prefix and word, so the prefix's own count is an entry one level
+down, and a phrase that a longer one subsumes is known by the largest entry
+of its own stripe (longer by a word behind) and the largest entry that ends
+in it (longer by a word before).  A phrase two words longer needs no look: the
 phrase between the two occurs at least as often.
 
 Only phrases that occur LEAST times are candidates, and all parts of one
@@ -18,7 +18,7 @@ What a level leaves goes to the next as one bitmap of fixed size (BITS) that
 has a bit for everything that counts; a false bit adds an entry and changes
 no result, since every count is exact.  Prefixes of a two-thousandth of all
 words or more (at most 2,000 of them) have their stripes split into parts by
-the following word; sums and maxima of the parts are put together again.
+the following word; maxima of the parts are put together again.
 
 Defined results: null and empty texts have no words; null lang is ``und``
 (and one with rows whose lang says so); repeated rows count as further
@@ -119,21 +119,19 @@ class Block:
 
     def stripes(self, level: int, counts: np.ndarray | None, known: np.ndarray | None, heavy: dict) -> Iterator[pa.RecordBatch]:
         """The stripes of prefixes of ``level`` words that start where
-        ``counts`` says; words that ``known`` leaves out go to the empty one."""
-        n, v = len(self.codes), len(self.words) + 1
+        ``counts`` says, without words that ``known`` leaves out."""
+        n, v = len(self.codes), len(self.words)
         ok = np.ones(n, bool) if counts is None else counts.copy()
         for k in range(1, level):  # the prefix lies in one piece
             ok[:n - k + 1] &= self.joined[k - 1:]
             ok[max(0, n - k + 1):] = False
         at = np.flatnonzero(ok)
+        at = at[self.joined[at + level - 1]]  # a word of the same piece follows
+        if known is not None:
+            at = at[known[at]]
         if not len(at):
             return
-        behind = at + level - 1
-        more = self.joined[behind]
-        following = np.where(more, np.minimum(behind + 1, n - 1), 0)
-        if known is not None:
-            more = more & known[at]
-        follows = np.where(more, self.codes[following] + 1, 0)
+        follows = self.codes[at + level]
         # the prefix as one number: (language, word, word, word), made dense as it grows
         prefix = self.lang[at].astype(np.int64) * v + self.codes[at]
         for k in range(1, level):
@@ -153,12 +151,12 @@ class Block:
             for k, name in enumerate(self.langs):
                 if heavy.get(name):
                     split |= (lang == k) & pc.is_in(key, pa.array(heavy[name], pa.large_string())).to_numpy(zero_copy_only=False)
-        part = np.where(split[prefix], np.concatenate([[0], self.part])[follows], -1)
+        part = np.where(split[prefix], self.part[follows], -1)
         if split.any():
             order = np.lexsort((part, prefix))
             prefix, follows, times, part = prefix[order], follows[order], times[order], part[order]
         edge = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
-        follow_names = pa.concat_arrays([pa.array([""], pa.string()), self.words.cast(pa.string())])
+        follow_names = self.words.cast(pa.string())
         for lo in range(0, len(edge), 50_000):
             head = edge[lo:lo + 50_000]
             stop = edge[lo + 50_000] if lo + 50_000 < len(edge) else len(prefix)
@@ -218,16 +216,11 @@ def _quad_stripes(batches, bits, heavy) -> Iterator[pa.RecordBatch]:
 
 def merged(stripes: DataFrame) -> DataFrame:
     """Stripes of one prefix (and part) merged elementwise: lang, prefix,
-    part, total and ``entries`` {next, n} of LEAST or more."""
+    part and ``entries`` {next, n}, those of LEAST or more."""
     dealt = stripes.repartition("lang", "prefix", "part")
     one = dealt.select("lang", "prefix", "part", F.inline(F.arrays_zip(F.split("next", " ").alias("next"), "n")))
-    whole = one.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n"))
-    # entries that are too rare are of no use but for the sum
-    kept = F.when((F.col("n") >= LEAST) & (F.col("next") != ""), F.col("next")).otherwise(F.lit(""))
-    few = whole.groupBy("lang", "prefix", "part", kept.alias("next")).agg(F.sum("n").alias("n"))
-    entry = F.when(F.col("next") != "", F.struct("next", "n"))
-    out = few.groupBy("lang", "prefix", "part").agg(F.sum("n").alias("total"), F.collect_list(entry).alias("entries"))
-    return out.where((F.col("total") >= LEAST) | (F.col("part") >= 0))
+    whole = one.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return whole.groupBy("lang", "prefix", "part").agg(F.collect_list(F.struct("next", "n")).alias("entries"))
 
 
 def bitmap(df: DataFrame, at: Column) -> bytes:
@@ -256,8 +249,8 @@ def _shared(spark: SparkSession, bits: bytes, heavy: dict):
 
 
 def counted_stripes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(words {lang, word, n}, stripes {lang, prefix, part, total, entries})
-    of a corpus: every word, and every prefix that occurs LEAST times."""
+    """(words {lang, word, n}, stripes {lang, prefix, part, entries}) of a
+    corpus: every word, and every prefix with an entry of LEAST or more."""
     spark = docs.sparkSession
     texts = docs.where("text is not null and text <> ''").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = cut(texts.mapInArrow(_word_stripes, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -296,8 +289,9 @@ def collocations(docs: DataFrame) -> DataFrame:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entries = cut(stripes.select("lang", "prefix", F.inline("entries")))
     candidates = entries.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("a"))
-    counts = (stripes.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("n"))
-              .where(F.col("n") >= LEAST))
+    # parts of a candidate occur as often at least: words, and entries of the levels below
+    counts = words.where(F.col("n") >= LEAST).select("lang", F.col("word").alias("phrase"), "n").unionByName(
+        candidates.where(_level("phrase") < LONGEST).select("lang", "phrase", F.col("a").alias("n")))
     # the largest entry of the phrase's stripe, and the largest that ends in it
     ends_in = F.concat_ws(" ", F.expr("substring(prefix, instr(prefix, ' ') + 1)"), "next")
     longer = (entries.where(F.instr("prefix", " ") > 0).select("lang", F.explode(F.array(F.col("prefix"), ends_in)).alias("phrase"), "n")

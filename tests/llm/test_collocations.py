@@ -3,6 +3,7 @@
 import collections
 import re
 
+import numpy as np
 import pytest
 
 from outagekit.llm import collocations
@@ -81,3 +82,13 @@ def test_products_past_64_bits(spark, monkeypatch):
     words = spark.createDataFrame([("en", "a", big + 7), ("en", "b", big + 9)], "lang string, word string, n long")
     monkeypatch.setattr(collocations, "counted_stripes", lambda docs: (words, stripes))
     assert told(collocations.collocations(None)) == [("en", 1, "a b", big, big + 7, big + 9, 2 * big + 16, 2_000_000 * big // (2 * big + 16))]
+
+
+def test_only_words_that_count_are_shuffled():
+    """Ends of pieces and words that the level below leaves out take no room
+    in a stripe, and a prefix without any other takes no row."""
+    block = collocations.Block([("en", b"a b c. a b d. a b. c a")])
+    a, b, c = block.word_spot[0], block.word_spot[1], block.word_spot[2]
+    counts = np.isin(block.word_spot, [a, b, c])
+    rows = [r for batch in block.stripes(1, counts, np.append(counts[1:], False), {}) for r in batch.to_pylist()]
+    assert {r["prefix"]: dict(zip(r["next"].split(" "), r["n"])) for r in rows} == {"a": {"b": 3}, "b": {"c": 1}, "c": {"a": 1}}
