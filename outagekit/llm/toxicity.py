@@ -249,7 +249,8 @@ class Scorer:
             z[~real] = -np.inf
             tops.append(np.maximum.reduceat(z, first, axis=0))
             col += k * f
-        return np.maximum(np.concatenate(tops, axis=1) + bias, 0) @ out + shift
+        # added filter by filter: a matrix product rounds a row by its place and by how many there are
+        return np.cumsum(np.maximum(np.concatenate(tops, axis=1) + bias, 0) * out, axis=1)[:, -1] + shift
 
 
 def best_cut(logit: np.ndarray, y: np.ndarray) -> float:

@@ -11,6 +11,7 @@ from outagekit.llm import (
     bpe_dropout, exact_dedup, line_chunks, mixing, pfp, secret_scan, simhash, topk, toxicity, url_reputation,
 )
 
+from .conftest import odd_texts
 from .test_brute import brute_components, brute_fingerprint, brute_removed
 
 
@@ -149,6 +150,15 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
 
 
+def test_toxicity_of_a_text_alone_and_among_others():
+    net = toxicity.Network()
+    docs = [toxicity.words_of(t) for t in odd_texts()]
+    together = toxicity.Scorer(net.table(), net.head()).logits(docs)
+    alone = [toxicity.Scorer(net.table(), net.head()).logits([d])[0] for d in docs]
+    assert together.tolist() == [float(z) for z in alone]
+    assert together.dtype == alone[0].dtype == "float32"
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://User@A.Example.ORG:80/en/1?x", "x://example.org", "x://example.org/", "x://example.org/es/",
             "x://sub.example.org/es/a#b", "x://example.org/en/12", "x://notexample.org/es/", "x://a.com/fr/", "x://b.com/de/x", "x://b.com/de", "x://org/",
