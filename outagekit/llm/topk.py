@@ -13,8 +13,10 @@ candidates are left, or all that are left have exact scores.  The survivors'
 scores are then resolved.  A block gives
 each query its k best, and the best of all blocks follow by rank.
 
-Queries (rows whose id is divisible by ``step``) are sent to each block of
-candidates in blocks of their own; candidates are shuffled once.
+Queries (rows whose id is divisible by ``step``) are sent in blocks of their
+own to groups of blocks of candidates, one copy a group, and meet them in a
+merge join: the copies together grow faster than either table, so neither side
+is ever broadcast, whatever size Spark expects it to have.
 
 Defined results: vectors that are null, or hold null or non-finite
 components, and rows without an id take no part; shorter vectors count as
@@ -38,6 +40,8 @@ from outagekit.llm.common import cut, table
 TOP, STEP, SCALE = 5, 50, 256
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 8192, 512
+#: Components of the candidates of a group at most, and groups to have before any gets a second block.
+GROUP, SPREAD = 2 ** 23, 64
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -49,6 +53,9 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _matrix(col) -> np.ndarray:
+    long = set(col.value_lengths().to_pylist())
+    if len(long) == 1:
+        return np.asarray(col.flatten(), np.int64).reshape(len(col), long.pop())
     rows = [np.asarray(r.values) for r in col]
     d = max((len(r) for r in rows), default=0)
     return np.array([r if len(r) == d else np.pad(r, (0, d - len(r))) for r in rows], np.int64).reshape(len(rows), d)
@@ -70,14 +77,11 @@ class Lists:
         """Lower and upper bounds (queries x candidates) after reading
         ``depth`` entries of each list: from the top for the positive query
         components ``up``, from the bottom for the negative ones ``down``."""
-        low, high = 0, 0
-        for part, seen, worst, front in (
-                (up, self.rank >= self.n - depth, self.sorted[0], self.sorted[self.n - depth]),
-                (down, self.rank < depth, self.sorted[-1], self.sorted[depth - 1])):
-            read = part @ np.where(seen, self.c, 0).T
-            rest = (~seen).astype(self.c.dtype).T
-            low, high = low + read + (part * worst) @ rest, high + read + (part * front) @ rest
-        return low, high
+        seen = np.hstack([self.rank >= self.n - depth, self.rank < depth])
+        parts, read = np.hstack([up, down]), np.hstack([self.c, self.c])
+        worst = np.concatenate([self.sorted[0], self.sorted[-1]])
+        front = np.concatenate([self.sorted[self.n - depth], self.sorted[depth - 1]])
+        return parts @ np.where(seen, read, worst).T, parts @ np.where(seen, read, front).T
 
     def best(self, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The k best (ids, scores) of each query, its own id left out."""
@@ -121,13 +125,17 @@ def exact_kind(c: np.ndarray, q: np.ndarray) -> type:
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    lists = None
     for b in batches:
         for i in range(b.num_rows):
             ids, qids = (np.asarray(b.column(c)[i].values) for c in ("ids", "qids"))
             c, q = _matrix(b.column("vecs")[i].values), _matrix(b.column("qvecs")[i].values)
             d = max(c.shape[1], q.shape[1])
             c, q = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (c, q))
-            found = Lists(ids, c, exact_kind(c, q)).best(qids, q, k)
+            kind = exact_kind(c, q)  # the lists of a block serve all blocks of queries that follow each other
+            if lists is None or lists.c.dtype != kind or not (np.array_equal(lists.ids, ids) and np.array_equal(lists.c, c)):
+                lists = Lists(ids.copy(), c, kind)
+            found = lists.best(qids, q, k)
             per = [len(f) for f, _ in found]
             marks = [int(xxhash.xxh64_intdigest(row.tobytes()) >> 1) for row in q]
             cols = [np.repeat(qids, per), np.repeat(np.array(marks, np.int64), per),
@@ -135,23 +143,35 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "qh", "vec_id", "score"])
 
 
-def packed(rows: DataFrame, per: int, names: tuple[str, str, str]) -> DataFrame:
-    """Rows in blocks of about ``per``: block, ids, vectors."""
-    n = -(-rows.count() // per)
-    block = F.pmod(F.xxhash64("vec_id", "q"), F.lit(max(1, n)))
+def packed(rows: DataFrame, n: int, names: tuple[str, str, str]) -> DataFrame:
+    """Rows in ``n`` blocks: block, ids, vectors."""
+    block = F.pmod(F.xxhash64("vec_id", "q"), F.lit(n))
     both = F.array_sort(F.collect_list(F.struct("vec_id", "q")))
     return (rows.groupBy(block.cast("int").alias(names[0])).agg(both.alias("b"))
             .select(names[0], F.col("b.vec_id").alias(names[1]), F.col("b.q").alias(names[2])))
 
 
+def grouped(blocks: int, d: int, tasks: int = 0) -> int:
+    """Groups that so many blocks of candidates of ``d`` components are dealt
+    into: each gets a copy of the queries, so there are no more than keep
+    ``tasks`` busy, or than groups of ``GROUP`` components make."""
+    most = max(1, GROUP // (CANDIDATES * max(1, d)))
+    return -(-blocks // min(most, max(1, blocks // max(SPREAD, tasks))))
+
+
 def top_k(vectors: DataFrame, k: int = TOP, step: int = STEP, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best per query."""
     rows = cut(quantised(vectors, scale))
-    cands = packed(rows, CANDIDATES, ("block", "ids", "vecs"))
-    queries = packed(rows.where(F.col("vec_id") % step == 0), QUERIES, ("qblock", "qids", "qvecs"))
-    blocks = max(1, -(-rows.count() // CANDIDATES))
-    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = cands.join(sent, "block").select("ids", "vecs", "qids", "qvecs").mapInArrow(
+    asked = rows.where(F.col("vec_id") % step == 0)
+    n, d = rows.agg(F.count("*"), F.max(F.size("q"))).first()
+    blocks, qblocks = max(1, -(-n // CANDIDATES)), max(1, -(-asked.count() // QUERIES))
+    groups = grouped(blocks, d or 0, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    cands, key = packed(rows, blocks, ("block", "ids", "vecs")), "block"
+    if groups < blocks:
+        cands, key = cands.withColumn("group", F.col("block") % groups), "group"
+    sent = packed(asked, qblocks, ("qblock", "qids", "qvecs")).withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # for each row of the left side a merge join holds those of the right: few blocks, however many queries there are
+    found = sent.join(cands.hint("merge"), key).select("ids", "vecs", "qids", "qvecs").mapInArrow(
         lambda it: _search(it, k), "query_id long, qh long, vec_id long, score long")
     w = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -95,3 +95,63 @@ def test_top_k_scores_large_components_exactly(large, kind):
     rows = next(topk._search(iter([batch]), 5)).to_pydict()
     got = list(zip(rows["query_id"], rows["vec_id"], rows["score"]))
     assert got == [(i, *t) for i, ts in zip(qids.tolist(), brute_top(ids, c, qids, q, 5)) for t in ts]
+
+
+def test_top_k_bounds_are_those_of_the_lists():
+    r = np.random.default_rng(5)
+    c, q = r.integers(-40, 40, (30, 6)), r.integers(-40, 40, (7, 6))
+    lists = topk.Lists(np.arange(30), c, np.float32)
+    up, down = np.maximum(q, 0).astype(np.float32), np.minimum(q, 0).astype(np.float32)
+    for depth in (1, 4, 29):
+        low, high = lists.bounds(depth, up, down)
+        for i, j in np.ndindex(7, 30):
+            least = most = 0
+            for d in range(6):
+                s = np.sort(c[:, d])
+                read = lists.rank[j, d] >= 30 - depth if q[i, d] > 0 else lists.rank[j, d] < depth
+                rest = (s[0], s[-depth]) if q[i, d] > 0 else (s[-1], s[depth - 1])
+                least += q[i, d] * (c[j, d] if read else rest[0])
+                most += q[i, d] * (c[j, d] if read else rest[1])
+            assert (low[i, j], high[i, j]) == (least, most) and least <= q[i] @ c[j] <= most
+
+
+@pytest.mark.parametrize("group, spread", [(2 ** 23, 64), (3 * 40 * 8, 2), (1, 1)])
+def test_top_k_never_broadcasts_the_copies_of_its_queries(spark, monkeypatch, group, spread):
+    monkeypatch.setattr(topk, "CANDIDATES", 40)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "GROUP", group)
+    monkeypatch.setattr(topk, "SPREAD", spread)
+    grouped = topk.grouped
+    monkeypatch.setattr(topk, "grouped", lambda blocks, d, tasks: grouped(blocks, d))
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(0, 1, (500, 8)), 3)
+    x[30:60] = x[30]
+    v = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = topk.top_k(v, step=10)
+    got = sorted(map(tuple, found.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    ids, q = np.arange(500), np.floor(256 * x).astype(np.int64)
+    best = brute_top(ids, q, ids[::10], q[::10], 5)
+    assert got == [(i, n, *t) for i, ts in zip(range(0, 500, 10), best) for n, t in enumerate(ts, 1)]
+
+
+def test_top_k_copies_of_queries_follow_groups_not_blocks():
+    assert [topk.grouped(b, 64) for b in (1, 2, 76, 127, 128, 375, 512, 1000, 8000)] == [1, 2, 76, 127, 64, 75, 64, 67, 500]
+    assert (topk.grouped(375, 64, 2000), topk.grouped(8000, 512), topk.grouped(375, 10 ** 5), topk.grouped(1, 0)) == (375, 4000, 375, 1)
+
+
+def test_top_k_sorts_the_lists_of_a_block_once(monkeypatch):
+    made, init = [], topk.Lists.__init__
+    monkeypatch.setattr(topk.Lists, "__init__", lambda self, ids, c, kind: made.append((len(ids), kind)) or init(self, ids, c, kind))
+    r = np.random.default_rng(8)
+    a, b, q = (r.integers(-90, 90, (n, 5)) for n in (20, 20, 3))
+    ids, qids = list(range(20)), [3, 4, 100]
+    wide, large = np.hstack([q, q[:, :1]]), q * 10 ** 5
+    pairs = [(a, q), (a, -q), (b, q), (b, large), (b, wide), (a[:, :3], q), (a, q)]  # the same ids, other vectors
+    batch = pa.RecordBatch.from_pydict({"ids": [ids] * 7, "vecs": [v.tolist() for v, _ in pairs], "qids": [qids] * 7, "qvecs": [x.tolist() for _, x in pairs]})
+    for (v, x), out in zip(pairs, topk._search(iter([batch]), 4), strict=True):
+        full = [[*row, 0, 0, 0] for row in v.tolist()]
+        best = brute_top(np.array(ids), np.array(full), np.array(qids), x, 4)
+        assert list(zip(*(out.column(i).to_pylist() for i in (0, 2, 3)))) == [(i, *t) for i, ts in zip(qids, best) for t in ts]
+    assert made == [(20, np.float32), (20, np.float32), (20, np.float64), (20, np.float32), (20, np.float32), (20, np.float32)]
